@@ -1,0 +1,56 @@
+"""The two Arrow-batched UDFs of the project (P19, F12): base-58 is not a Catalyst function.
+
+Both are vectorised over Arrow batches and stay small helpers; the rest of the
+address check (the pattern) runs in Catalyst before the UDF sees a row.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyframe.functions.expr import BASE58_PATTERN
+
+# Fixed value: the base-58 alphabet (no 0, O, I, l).
+B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_B58_INDEX = {ch: i for i, ch in enumerate(B58)}
+
+
+def b58encode(raw: bytes) -> str:
+    n = int.from_bytes(raw, "big")
+    out = []
+    while n:
+        n, r = divmod(n, 58)
+        out.append(B58[r])
+    pad = len(raw) - len(raw.lstrip(b"\0"))
+    return "1" * pad + "".join(reversed(out))
+
+
+def b58decode_len(s: str) -> int | None:
+    """Decoded byte length of a base-58 string, None when it has a non-alphabet char."""
+    n = 0
+    for ch in s:
+        i = _B58_INDEX.get(ch)
+        if i is None:
+            return None
+        n = n * 58 + i
+    pad = len(s) - len(s.lstrip("1"))
+    return pad + (n.bit_length() + 7) // 8
+
+
+@F.arrow_udf(T.StringType())
+def base58_encode(col: pa.Array) -> pa.Array:
+    """bytes -> base-58 text."""
+    return pa.array([None if v is None else b58encode(v) for v in col.to_pylist()], type=pa.string())
+
+
+@F.arrow_udf(T.BooleanType())
+def _decodes_to_32(col: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else b58decode_len(v) == 32 for v in col.to_pylist()], type=pa.bool_())
+
+
+def is_valid_address(c: Column) -> Column:
+    """Base-58 public key: pattern in Catalyst first, the exact 32-byte decode only for candidates."""
+    return F.when(c.rlike(BASE58_PATTERN), _decodes_to_32(c)).otherwise(F.lit(False))
