@@ -195,12 +195,14 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]
     return packed.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-SORT_KEYS = {
-    "name": [F.col("name").asc_nulls_last()],
-    "balance": [F.col("balance").desc_nulls_last()],
-    "activity": [F.col("activity_count").desc()],
-    "created": [F.col("created_at").desc()],
-}
+def sort_keys(sort: str) -> list[Column]:
+    """Listing orders by name, balance, activity or creation time."""
+    return {
+        "name": lambda: [F.col("name").asc_nulls_last()],
+        "balance": lambda: [F.col("balance").desc_nulls_last()],
+        "activity": lambda: [F.col("activity_count").desc()],
+        "created": lambda: [F.col("created_at").desc()],
+    }[sort]()
 
 
 def list_registry(registry: DataFrame, sort: str = "created", tags: Sequence[str] | None = None,
@@ -213,7 +215,7 @@ def list_registry(registry: DataFrame, sort: str = "created", tags: Sequence[str
         df = df.where(F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])))
     if program_id is not None:
         df = df.where(F.col("program_id") == F.lit(program_id))
-    return df.orderBy(*SORT_KEYS[sort], F.col("id").asc())
+    return df.orderBy(*sort_keys(sort), F.col("id").asc())
 
 
 def new_signatures(current: DataFrame, seen: DataFrame, keys: Sequence[str] = ("address", "signature")) -> DataFrame:
