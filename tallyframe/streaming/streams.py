@@ -1,8 +1,8 @@
 """Structured Streaming forms of the keyed operators.
 
 * R1 ``account_change_stream``: per-account last state in the state store
-  (``applyInPandasWithState``, RocksDB provider), vectorised pandas per key
-  and micro-batch. Batch twin: ``operators.changes.account_changes``.
+  (``applyInPandasWithState``, RocksDB provider); numpy over each key's rows
+  of one micro-batch. Batch twin: ``operators.changes.account_changes``.
 * R2 ``new_signature_stream``: keyed ``dropDuplicates`` (exact; state sharded
   by key), or ``dropDuplicatesWithinWatermark`` for bounded state.
 * R3 ``slot_change_stream``: last emitted value per source in state.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,90 +80,81 @@ def run_available_now(stream: DataFrame, spark: SparkSession, name: str, fmt: st
 
 # -- R1: account change detection ---------------------------------------------
 
-def _fmt_int(s: pd.Series, suffix: str = "") -> pd.Series:
-    out = s.astype("Int64").astype("string") + suffix
-    return out.astype(object).where(s.notna(), None)
+def _text(v, suffix: str = "") -> str | None:
+    """Value text as Spark's cast to string gives it: integers plain, booleans lower-case."""
+    if v is None:
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return "true" if v else "false"
+    if isinstance(v, (int, np.integer)) or (isinstance(v, float) and v.is_integer()):
+        return f"{int(v)}{suffix}"
+    return f"{v}{suffix}"
 
 
-def _fmt_raw(s: pd.Series) -> pd.Series:
-    if s.dtype == bool or str(s.dtype) == "boolean":
-        return s.map({True: "true", False: "false"}).astype(object).where(s.notna(), None)
-    if pd.api.types.is_integer_dtype(s) or pd.api.types.is_float_dtype(s):
-        return _fmt_int(s)
-    return s.astype(object).where(s.notna(), None)
+def _col(pdf: pd.DataFrame, name: str) -> np.ndarray:
+    return pdf[name].to_numpy(dtype=object, na_value=None)
 
 
-def _differs(a: pd.Series, b: pd.Series) -> pd.Series:
-    both_null = a.isna() & b.isna()
-    eq = (a == b).fillna(False).astype(bool)
-    return ~(eq | both_null)
+# (activity_type, change_type, field, text suffix, delta column)
+CHANGE_SPECS = (("BALANCE_CHANGE", "BALANCE", "lamports", " lamports", "lamports_change"),
+                ("DATA_CHANGE", "DATA_SIZE", "data_size", " bytes", "data_size_change"),
+                ("OWNER_CHANGE", "OWNER", "owner", "", None),
+                ("EXECUTABLE_CHANGE", "EXECUTABLE", "executable", "", None),
+                ("RENT_EPOCH_CHANGE", "RENT_EPOCH", "rent_epoch", "", None))
 
 
 def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(ORDER, kind="mergesort")
-    late = 0
-    prev_row = None
+    """Per account and micro-batch: order the new states, drop late ones, compare each with its
+    predecessor (the stored last state for the first one) and keep the newest state."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    slot, ts, ident = (pdf[c].to_numpy(dtype=np.int64) for c in ORDER)
+    order = np.lexsort((ident, ts, slot))
+    slot, ts, ident = slot[order], ts[order], ident[order]
+    vals = {f: _col(pdf, f)[order] for f in STATE_FIELDS}
+    late, prev_row = 0, None
     if state.exists:
         prev_row = dict(zip([f.name for f in CHANGE_STATE.fields], state.get))
         late = int(prev_row["late_dropped"] or 0)
         ps, pt, pi = prev_row["slot"], prev_row["ts_us"], prev_row["id"]
-        s, t, i = pdf["slot"], pdf["ts_us"], pdf["id"]
-        newer = (s > ps) | ((s == ps) & ((t > pt) | ((t == pt) & (i > pi))))
+        newer = (slot > ps) | ((slot == ps) & ((ts > pt) | ((ts == pt) & (ident > pi))))
         late += int((~newer).sum())
-        pdf = pdf[newer.values]
-    if pdf.empty:
+        slot, ts, ident = slot[newer], ts[newer], ident[newer]
+        vals = {f: v[newer] for f, v in vals.items()}
+    n = len(slot)
+    if n == 0:
         if prev_row is not None:
             prev_row["late_dropped"] = late
             state.update(tuple(prev_row[f.name] for f in CHANGE_STATE.fields))
         return
-    pdf = pdf.reset_index(drop=True)
-    prev = pdf[STATE_FIELDS].shift(1).astype(object)
-    has_prev = pd.Series([True] * len(pdf))
-    if prev_row is not None:
-        for f in STATE_FIELDS:
-            prev.at[0, f] = prev_row[f]
-    else:
-        has_prev.iloc[0] = False
-
-    base = pd.DataFrame({"account_address": pdf["account_address"], "block_slot": pdf["slot"],
-                         "ts_us": pdf["ts_us"], "snapshot_id": pdf["id"]})
-    lam_new = pdf["lamports"].astype("Int64")
-    lam_old = pd.Series(prev["lamports"], dtype="Int64")
-    ds_new = pdf["data_size"].astype("Int64")
-    ds_old = pd.Series(prev["data_size"], dtype="Int64")
-    specs = [
-        ("BALANCE_CHANGE", "BALANCE", _differs(lam_new, lam_old), _fmt_int(lam_old, " lamports"),
-         _fmt_int(lam_new, " lamports"), lam_new - lam_old, 0),
-        ("DATA_CHANGE", "DATA_SIZE", _differs(ds_new, ds_old), _fmt_int(ds_old, " bytes"), _fmt_int(ds_new, " bytes"),
-         0, ds_new - ds_old),
-        ("OWNER_CHANGE", "OWNER", _differs(pdf["owner"].astype(object), prev["owner"]),
-         _fmt_raw(prev["owner"]), _fmt_raw(pdf["owner"]), 0, 0),
-        ("EXECUTABLE_CHANGE", "EXECUTABLE", _differs(pdf["executable"].astype(object), prev["executable"]),
-         _fmt_raw(prev["executable"].astype("boolean")), _fmt_raw(pdf["executable"]), 0, 0),
-        ("RENT_EPOCH_CHANGE", "RENT_EPOCH", _differs(pdf["rent_epoch"].astype("Int64"),
-                                                      pd.Series(prev["rent_epoch"], dtype="Int64")),
-         _fmt_int(pd.Series(prev["rent_epoch"], dtype="Int64")), _fmt_int(pdf["rent_epoch"].astype("Int64")), 0, 0),
-    ]
-    parts = []
-    for kind, change, mask, old, new, d_lam, d_data in specs:
-        m = (mask & has_prev).values
-        if not m.any():
+    out = {f.name: [] for f in CHANGE_OUT.fields}
+    for i in range(n):
+        if i == 0 and prev_row is None:
             continue
-        part = base[m].copy()
-        part["activity_type"], part["change_type"] = kind, change
-        part["old_value"], part["new_value"] = old[m].values, new[m].values
-        part["lamports_change"] = (d_lam[m].astype("int64").values if isinstance(d_lam, pd.Series) else 0)
-        part["data_size_change"] = (d_data[m].astype("int64").values if isinstance(d_data, pd.Series) else 0)
-        parts.append(part)
-    last = pdf.iloc[-1]
-    state.update((int(last["slot"]), int(last["ts_us"]), int(last["id"]),
-                  None if pd.isna(last["lamports"]) else int(last["lamports"]),
-                  None if pd.isna(last["data_size"]) else int(last["data_size"]),
-                  None if pd.isna(last["owner"]) else str(last["owner"]),
-                  None if pd.isna(last["executable"]) else bool(last["executable"]),
-                  None if pd.isna(last["rent_epoch"]) else int(last["rent_epoch"]), late))
-    if parts:
-        yield pd.concat(parts, ignore_index=True)[[f.name for f in CHANGE_OUT.fields]]
+        for kind, change, field, suffix, delta in CHANGE_SPECS:
+            new = vals[field][i]
+            old = prev_row[field] if i == 0 else vals[field][i - 1]
+            if old == new:
+                continue
+            out["account_address"].append(key[0])
+            out["block_slot"].append(int(slot[i]))
+            out["ts_us"].append(int(ts[i]))
+            out["snapshot_id"].append(int(ident[i]))
+            out["activity_type"].append(kind)
+            out["change_type"].append(change)
+            out["old_value"].append(_text(old, suffix))
+            out["new_value"].append(_text(new, suffix))
+            d = None if old is None or new is None or delta is None else int(new) - int(old)
+            out["lamports_change"].append(d if delta == "lamports_change" else 0)
+            out["data_size_change"].append(d if delta == "data_size_change" else 0)
+    last = {f: vals[f][-1] for f in STATE_FIELDS}
+    state.update((int(slot[-1]), int(ts[-1]), int(ident[-1]),
+                  None if last["lamports"] is None else int(last["lamports"]),
+                  None if last["data_size"] is None else int(last["data_size"]),
+                  None if last["owner"] is None else str(last["owner"]),
+                  None if last["executable"] is None else bool(last["executable"]),
+                  None if last["rent_epoch"] is None else int(last["rent_epoch"]), late))
+    if out["account_address"]:
+        yield pd.DataFrame(out)
 
 
 def account_change_stream(snapshots: DataFrame, key: str = "account_address") -> DataFrame:
