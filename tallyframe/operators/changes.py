@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.sequence import slot_chunk, with_ordinal, with_previous, with_running_mean
+from tallyframe.operators.sequence import slot_chunk, time_chunk, with_ordinal, with_previous, with_running_mean
 
 STATE_FIELDS = ("lamports", "data_size", "owner", "executable", "rent_epoch")
 
@@ -127,8 +127,8 @@ def tx_ordinal(df: DataFrame, key: str, order: Sequence[str], chunk: Column | No
 
 def running_latency(log: DataFrame, by: Sequence[str] = ("kind",), order: Sequence[str] = ("ts", "request_id"),
                     value: str = "response_us") -> DataFrame:
-    """Running mean response per endpoint, chunked by day."""
-    return with_running_mean(log, list(by), list(order), value, F.to_date(F.col(order[0])), out="running_mean")
+    """Running mean response per endpoint, chunked by minute of event time."""
+    return with_running_mean(log, list(by), list(order), value, time_chunk(order[0]), out="running_mean")
 
 
 def slot_gaps(headers: DataFrame, chunk: Column | None = None) -> DataFrame:

@@ -204,3 +204,18 @@ def registry_add(v, spark, sf):
                                        F.lit(True).alias("is_active"), F.lit(0).cast("long").alias("activity_count"),
                                        F.col("id").alias("ingest_seq"))
     return maintenance.insert_absent(target, batch, "address")
+
+
+@query("seed_slots", oracle_text("""
+SELECT r.slot, coalesce(h.blockhash, 'unknown_blockhash') AS blockhash,
+       CASE WHEN h.blockhash IS NOT NULL THEN h.parent_slot ELSE greatest(r.slot - 1, 0) END AS parent_slot,
+       h.blockhash IS NOT NULL AND r.slot <= (SELECT max(slot) FROM v_headers) - 32 AS finalized
+FROM (SELECT unnest(generate_series((SELECT max(slot) FROM v_headers) - 5, (SELECT max(slot) FROM v_headers)))
+      AS slot) r
+LEFT JOIN v_headers h ON h.slot = r.slot"""))
+def seed_slots(v, spark, sf):
+    """K9: seed an empty slots table with the tip and the 5 slots before it (first write wins)."""
+    tip = v.headers.agg(F.max("slot")).first()[0]
+    seeded = ingest.ingest_recent_slots(spark, v.headers, tip, 6, INGEST_TS).withColumn("ingest_seq", F.lit(0))
+    empty = seeded.limit(0).drop("ingest_seq")
+    return maintenance.insert_absent(empty, seeded, "slot").select("slot", "blockhash", "parent_slot", "finalized")

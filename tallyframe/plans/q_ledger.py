@@ -404,3 +404,24 @@ def list_registry_sorted(v, spark, sf):
 def registry_by_tag(v, spark, sf):
     """Registry rows whose tags overlap the requested tags."""
     return ledger.list_registry(registry_with_tags(v), sort="name", tags=["BUILDING", "MACHINERY"]).drop("tags")
+
+
+@query("multi_get_cached_count", oracle_text(f"""
+SELECT count(*) FILTER (WHERE prio = 0) AS cached_count, count(*) AS total_count
+FROM (SELECT u.*, row_number() OVER (PARTITION BY signature ORDER BY prio) AS rn
+      FROM (SELECT *, 0 AS prio FROM v_transactions WHERE ts >= TIMESTAMP '{HOT_SINCE}'
+            UNION ALL SELECT *, 1 AS prio FROM v_transactions) u
+      WHERE signature IN (SELECT signature FROM v_tx_accounts WHERE pos = 2))
+WHERE rn = 1"""))
+def multi_get_cached_count(v, spark, sf):
+    """Keys served from the hot source, and the total resolved."""
+    return joins.cached_count(multi_get_transactions(v, spark, sf))
+
+
+@query("ensure_parents", oracle_text("""
+SELECT DISTINCT t.slot, 'unknown_blockhash' AS blockhash, false AS finalized FROM v_transactions t
+WHERE NOT EXISTS (SELECT 1 FROM v_headers h WHERE h.slot = t.slot)"""))
+def ensure_parents(v, spark, sf):
+    """Placeholder slot rows to insert before transactions whose slot has no header."""
+    return joins.ensure_parents(v.transactions, v.headers, "slot",
+                                {"blockhash": "unknown_blockhash", "finalized": False})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import analytics, changes, ledger
-from tallyframe.operators.sequence import slot_chunk
+from tallyframe.operators.sequence import slot_chunk, time_chunk
 from tallyframe.plans.registry import ASOF, oracle_text, query
 
 CHANGE_COLS = ["account_address", "block_slot", "timestamp", "snapshot_id", "activity_type", "change_type",
@@ -101,7 +101,7 @@ SELECT source, observed_ts, seq, slot, finalized_slot, slot_delta, finalized_del
 WHERE slot_delta > 0"""))
 def slot_progress(v, spark, sf):
     """Per reporting source, slot and finalized deltas; only increasing reports."""
-    return changes.slot_progress(slot_reports(v), chunk=F.to_date("observed_ts"))
+    return changes.slot_progress(slot_reports(v), chunk=time_chunk("observed_ts"))
 
 
 DUC_SQL = """
@@ -114,7 +114,7 @@ WHERE p IS NULL OR p <> slot"""
 def distinct_until_changed(v, spark, sf):
     """The slot stream (transactions in arrival order) without consecutive repeats."""
     return changes.distinct_until_changed(v.transactions.select("signature", "slot", "ts"), "slot",
-                                          ["ts", "signature"], chunk=F.to_date("ts"))
+                                          ["ts", "signature"], chunk=time_chunk("ts"))
 
 
 @query("slots_processed", oracle_text(f"SELECT count(*) AS slots_processed FROM ({DUC_SQL})"))
@@ -253,3 +253,18 @@ SELECT wallet_address, token_mint, id, balance, slot, ts FROM (
 def latest_balances(v, spark, sf):
     """Latest balance per (wallet, token); null mint = native coin."""
     return analytics.latest_balances(v.balances)
+
+
+@query("leader_conflicts", oracle_text("""
+SELECT slot, leader_pubkey, seq, previous_leader FROM (
+  SELECT *, lag(leader_pubkey) OVER (PARTITION BY slot ORDER BY seq) AS previous_leader FROM (
+    SELECT slot, leader_pubkey, 0 AS seq FROM v_slot_leaders
+    UNION ALL SELECT l.slot, n.leader_pubkey, 1 AS seq FROM v_slot_leaders l
+              JOIN v_slot_leaders n ON n.slot = l.slot + 1))
+WHERE previous_leader IS NOT NULL AND previous_leader <> leader_pubkey"""))
+def leader_conflicts(v, spark, sf):
+    """A second leader report per slot (read one slot ahead) that contradicts the first."""
+    nxt = v.slot_leaders.select((F.col("slot") - 1).alias("slot"), "leader_pubkey")
+    second = v.slot_leaders.select("slot").join(nxt, "slot").withColumn("seq", F.lit(1))
+    reports = v.slot_leaders.withColumn("seq", F.lit(0)).unionByName(second)
+    return changes.leader_conflicts(reports).select("slot", "leader_pubkey", "seq", "previous_leader")
