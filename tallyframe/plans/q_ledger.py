@@ -425,3 +425,17 @@ def ensure_parents(v, spark, sf):
     """Placeholder slot rows to insert before transactions whose slot has no header."""
     return joins.ensure_parents(v.transactions, v.headers, "slot",
                                 {"blockhash": "unknown_blockhash", "finalized": False})
+
+
+@query("history_export", oracle_text("""
+SELECT wallet_address, id, activity_type, transaction_signature, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY wallet_address ORDER BY ts DESC, id DESC) AS rank
+  FROM v_activities WHERE wallet_address IN (SELECT address FROM v_tracked WHERE is_active))
+WHERE rank <= 50"""))
+def history_export(v, spark, sf):
+    """Watched wallets' histories exported as gzip JSON lines and read back."""
+    from tallyframe.operators.maintenance import write_table
+    from tallyframe.session import scratch_path
+    hist = wallet_history(v, spark, sf).drop("ts")
+    path = write_table(hist, scratch_path(spark, "history-export"), fmt="json", compression="gzip")
+    return spark.read.schema(hist.schema).json(path)

@@ -208,3 +208,11 @@ def archive_envelope(v, spark, sf):
     ok = (F.col("opened.data") == F.col("payload")) & (F.col("opened.slot") == F.col("doc_id")) \
         & (F.col("opened.metadata")["name"] == F.col("name"))
     return opened.select("doc_id", F.col("opened.data_type").alias("data_type"), ok.alias("roundtrip_ok"))
+
+
+@query("latency_summary_approx")
+def latency_summary_approx(v, spark, sf):
+    """A5 at scale: bounded percentile sketch per kind (no exact oracle; exact form is latency_summary)."""
+    d = metrics.latency_summary_approx(v.access_log)
+    return d.select("kind", r6("mean_us"), "min_us", "max_us",
+                    *[F.col("p50_p95_p99_us")[i].alias(n) for i, n in enumerate(["p50_us", "p95_us", "p99_us"])])

@@ -50,7 +50,12 @@ ORDER = ["slot", "ts_us", "id"]
 
 def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int) -> str:
     """Append ``df`` to ``path`` as ``n_batches`` files in ``order_col`` order (one write per range),
-    the way a landing process delivers a stream. Range bounds come from an approximate quantile."""
+    the way a landing process delivers a stream. The input is computed once into a staging table in
+    the shared folder; range bounds come from an approximate quantile of it."""
+    spark = df.sparkSession
+    staging = scratch_path(spark, "staging")
+    df.write.parquet(staging)
+    df = spark.read.parquet(staging)
     qs = df.approxQuantile(order_col, [i / n_batches for i in range(1, n_batches)], 0.0001)
     edges = [None, *sorted(set(qs)), None]
     for lo, hi in zip(edges[:-1], edges[1:]):
