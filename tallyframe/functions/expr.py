@@ -82,9 +82,19 @@ def content_id(payload) -> Column:
     return F.concat(F.lit(CID_PREFIX), *digits)
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def unix_micros_ntz(ts) -> Column:
-    """Microseconds since epoch of a timestamp_ntz read as UTC wall time."""
-    return F.unix_micros(_c(ts).cast("timestamp"))
+    """Microseconds since 1970-01-01 of a timestamp_ntz, its wall time read as UTC.
+
+    Pure NTZ arithmetic: the result does not depend on the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), _c(ts))
+
+
+def ntz_from_micros(us) -> Column:
+    """Inverse of ``unix_micros_ntz``."""
+    return F.timestamp_add("MICROSECOND", _c(us), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def seconds_between(a, b) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expr import unix_micros_ntz
 from tallyframe.operators.sequence import slot_chunk, time_chunk, with_ordinal, with_previous, with_running_mean
 
 STATE_FIELDS = ("lamports", "data_size", "owner", "executable", "rent_epoch")
@@ -65,7 +66,7 @@ def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: C
                    F.inline(F.filter(changes, lambda x: x["_changed"])))
            .drop("_changed"))
     sig = F.concat_ws("_", F.lit("account_change"), F.col("account_address"), F.col("block_slot").cast("string"),
-                      F.unix_seconds(F.col("timestamp").cast("timestamp")).cast("string"))
+                      F.floor(unix_micros_ntz("timestamp") / 1000000).cast("long").cast("string"))
     return out.withColumn("transaction_signature", sig)
 
 

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expr import unix_micros_ntz
+
 CHUNK = "_chunk"
 
 
@@ -31,7 +33,7 @@ def time_chunk(col: str = "ts", seconds: int = 60) -> Column:
 
     A minute of ledger traffic bounds each window group even for a key holding
     a third of all rows; coarser buckets (a day) would not."""
-    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(unix_micros_ntz(col) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def _window(keys: Sequence[str], order: Sequence[str]):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expr import unix_micros_ntz
 from tallyframe.functions.udfs import base58_encode, is_valid_address
 from tallyframe.operators import maintenance
 from tallyframe.plans.registry import INGEST_TS, oracle_text, query
@@ -48,7 +49,7 @@ def raw_transactions(v):
                  F.when(F.col("status") == "failed", F.lit("InstructionError")).alias("err")))
     return t.select("signature", "slot", meta.alias("meta"),
                     F.when(F.col("program_id") == "prog5", F.lit(None).cast("long"))
-                    .otherwise(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("block_time"),
+                    .otherwise(F.floor(unix_micros_ntz("ts") / 1000000).cast("long")).alias("block_time"),
                     F.array("program_id").alias("program_ids"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.expr import unix_micros_ntz
 from tallyframe.plans.q_ledger import SUB_SELECT, _sub_out, subscription_input
 from tallyframe.plans.q_sequences import CHANGE_COLS, DUC_SQL
 from tallyframe.plans.registry import oracle_text, query
@@ -45,7 +46,7 @@ def stream_new_signatures(v, spark, sf):
 def stream_slots(v, spark, sf):
     """The slot stream without consecutive repeats."""
     df = v.transactions.select("signature", "slot", "ts",
-                               F.unix_micros(F.col("ts").cast("timestamp")).alias("_ord"))
+                               unix_micros_ntz("ts").alias("_ord"))
     src = _landed(spark, df, "slot-stream", "_ord")
     return streams.run_available_now(streams.slot_change_stream(src), spark, "slot-stream")
 

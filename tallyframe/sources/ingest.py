@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import UNKNOWN_BLOCKHASH
+from tallyframe.functions.expr import UNKNOWN_BLOCKHASH, ntz_from_micros
 from tallyframe.schemas import FLOW_BLOCK_DOC, TX_JSONL
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'"
@@ -68,7 +68,7 @@ def normalise_transactions(raw: DataFrame, ingest_ts: str) -> DataFrame:
         F.coalesce(meta["fee"], F.lit(0).cast("long")).alias("fee"),
         F.when(meta.isNotNull() & meta["err"].isNull(), "success").otherwise("failed").alias("status"),
         "program_ids", "block_time",
-        F.coalesce(F.timestamp_seconds("block_time").cast("timestamp_ntz"),
+        F.coalesce(ntz_from_micros(F.col("block_time") * 1000000),
                    F.lit(ingest_ts).cast("timestamp_ntz")).alias("ts"))
 
 

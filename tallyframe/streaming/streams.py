@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyframe.functions.expr import ntz_from_micros, unix_micros_ntz
 from tallyframe.operators.ledger import subscription_filter
 from tallyframe.session import scratch_path
 
@@ -165,10 +166,10 @@ def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def account_change_stream(snapshots: DataFrame, key: str = "account_address") -> DataFrame:
     """Streaming change detection; same rows as the batch ``account_changes``."""
     inp = snapshots.select(F.col(key).alias("account_address"), "slot",
-                           F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "id", *STATE_FIELDS)
+                           unix_micros_ntz("ts").alias("ts_us"), "id", *STATE_FIELDS)
     out = inp.groupBy("account_address").applyInPandasWithState(
         _detect_changes, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
-    ts = F.timestamp_micros("ts_us").cast("timestamp_ntz")
+    ts = ntz_from_micros("ts_us")
     return out.select("account_address", "block_slot", ts.alias("timestamp"), "snapshot_id", "activity_type",
                       "change_type", "old_value", "new_value", "lamports_change", "data_size_change",
                       F.concat_ws("_", F.lit("account_change"), F.col("account_address"),
@@ -197,11 +198,10 @@ def _slot_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def slot_change_stream(tx: DataFrame, source: str | None = None) -> DataFrame:
     """Emit a slot only when it differs from the last one of its source."""
     src = F.col(source) if source else F.lit("chain")
-    inp = tx.select(src.alias("source"), "signature", "slot", F.unix_micros(F.col("ts").cast("timestamp"))
-                    .alias("ts_us"))
+    inp = tx.select(src.alias("source"), "signature", "slot", unix_micros_ntz("ts").alias("ts_us"))
     out = inp.groupBy("source").applyInPandasWithState(_slot_changes, SLOT_OUT, SLOT_STATE, "append",
                                                        GroupStateTimeout.NoTimeout)
-    return out.select("signature", "slot", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"))
+    return out.select("signature", "slot", ntz_from_micros("ts_us").alias("ts"))
 
 
 # -- R2, R4 --------------------------------------------------------------------
