@@ -99,12 +99,14 @@ def get_account(requests: DataFrame, states: DataFrame, key: str = "address") ->
                     F.col("owner").isNotNull().alias("found")))
 
 
-def tx_by_program(tx: DataFrame, programs: DataFrame, ids: str = "program_ids", key: str = "signature",
-                  ) -> DataFrame:
+def tx_by_program(tx: DataFrame, programs, ids: str = "program_ids", key: str = "signature") -> DataFrame:
     """Transactions whose program list contains a requested program.
 
-    Exploded to (signature, program) and semi-joined, so the request list may be large.
+    A literal list is an ``arrays_overlap`` filter (no shuffle); a request
+    table is joined: exploded to (signature, program) and semi-joined, so it may be large.
     """
+    if isinstance(programs, (list, tuple)):
+        return tx.where(F.arrays_overlap(F.col(ids), F.array(*[F.lit(p) for p in programs])))
     pairs = tx.select(key, F.explode(ids).alias("program_id"))
     hits = pairs.join(programs.select("program_id"), "program_id", "left_semi").select(key).distinct()
     return tx.join(hits, key, "left_semi")

@@ -335,8 +335,7 @@ def tx_by_program(v, spark, sf):
     tx = v.transactions.join(
         v.tx_accounts.where(F.col("account").startswith("prog")).groupBy("signature")
         .agg(F.collect_list("account").alias("program_ids")), "signature")
-    progs = spark.createDataFrame([("prog2",), ("prog5",)], "program_id string")
-    return joins.tx_by_program(tx, progs).select("signature", "slot")
+    return joins.tx_by_program(tx, ["prog2", "prog5"]).select("signature", "slot")
 
 
 # -- T3-T7 ----------------------------------------------------------------

@@ -46,7 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (local runs and tests) a
     private folder under the system temp dir is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        sc = None
+    if sc is None:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        return d or tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     d = sc.getCheckpointDir()
     if d:
         return d

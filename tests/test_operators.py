@@ -161,3 +161,24 @@ def test_footprint_rollup_total(spark):
     df = spark.createDataFrame([("a", 10), ("a", 30), ("b", 2_000_000)], "kind string, bytes long")
     got = {r.kind: (r.entries, r.total_bytes, r.bytes_per_entry, r.total_mb) for r in metrics.footprint(df).collect()}
     assert got == {"a": (2, 40, 20.0, 0), "b": (1, 2_000_000, 2_000_000.0, 2), None: (3, 2_000_040, 666680.0, 2)}
+
+
+def test_tx_by_program_list_and_table_agree(spark):
+    tx = spark.createDataFrame([("s1", ["p1", "p2"]), ("s2", ["p3"]), ("s3", [])],
+                               "signature string, program_ids array<string>")
+    progs = spark.createDataFrame([("p2",), ("p3",), ("p2",)], "program_id string")
+    by_list = sorted(r.signature for r in joins.tx_by_program(tx, ["p2", "p3"]).collect())
+    by_table = sorted(r.signature for r in joins.tx_by_program(tx, progs).collect())
+    assert by_list == by_table == ["s1", "s2"]
+
+
+def test_json_array_and_enum_helpers(spark):
+    from tallyframe.functions.expr import display_time, enum_or_unknown, json_string_array, name_or_default
+    df = spark.createDataFrame([('["a","b"]', "send", None, dt.datetime(2024, 1, 2, 3, 4, 5))],
+                               "j string, k string, n string, ts timestamp_ntz")
+    r = df.select(json_string_array("j").alias("a"), json_string_array(F.lit("not json")).alias("b"),
+                  enum_or_unknown("k", ["SEND", "RECEIVE"]).alias("k1"), enum_or_unknown(F.lit("x"), ["SEND"]).alias("k2"),
+                  name_or_default("n").alias("n"), display_time("ts").alias("t1"),
+                  display_time("ts", short=True).alias("t2")).first()
+    assert (r.a, r.b, r.k1, r.k2, r.n, r.t1, r.t2) == (["a", "b"], [], "SEND", "UNKNOWN", "Unnamed",
+                                                       "2024-01-02 03:04:05", "01-02 03:04:05")
