@@ -1,7 +1,9 @@
 """The two Arrow-batched UDFs of the project (P19, F12): base-58 is not a Catalyst function.
 
-Both are vectorised over Arrow batches and stay small helpers; the rest of the
-address check (the pattern) runs in Catalyst before the UDF sees a row.
+Both are vectorised over Arrow batches and stay small helpers. The address
+check combines a Catalyst pattern test with the exact decode in the UDF (Spark
+evaluates an extracted Python UDF for every row, so the pattern is not a
+pre-filter for it; callers that want that filter rows first).
 """
 
 from __future__ import annotations
@@ -52,5 +54,5 @@ def _decodes_to_32(col: pa.Array) -> pa.Array:
 
 
 def is_valid_address(c: Column) -> Column:
-    """Base-58 public key: pattern in Catalyst first, the exact 32-byte decode only for candidates."""
+    """Base-58 public key: the Catalyst pattern and the exact 32-byte decode must both hold."""
     return F.when(c.rlike(BASE58_PATTERN), _decodes_to_32(c)).otherwise(F.lit(False))
