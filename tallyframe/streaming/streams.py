@@ -214,7 +214,9 @@ def new_signature_stream(df: DataFrame, keys: Sequence[str] = ("address", "signa
     with it, duplicates are only suppressed within the watermark delay."""
     if watermark is None:
         return df.dropDuplicates(list(keys))
-    return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
+    # Watermarks need TIMESTAMP, not TIMESTAMP_NTZ; only relative delays matter here.
+    return (df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+            .dropDuplicatesWithinWatermark(list(keys)))
 
 
 def filtered_tx_stream(df: DataFrame, **filters) -> DataFrame:

@@ -61,3 +61,13 @@ def test_slot_stream_and_dedup(spark):
                                                                            .alias("address"), "signature")),
                                    spark, "t-dedup")
     assert dd.count() == 30
+
+
+def test_signature_dedup_within_watermark(spark):
+    land = scratch_path(spark, "t-wm")
+    schema = "address string, signature string, ts timestamp_ntz"
+    rows = [("a", "s1", T0), ("a", "s1", T0 + dt.timedelta(seconds=5)), ("a", "s2", T0 + dt.timedelta(seconds=6))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(land)
+    src = streams.read_stream(spark, land, spark.createDataFrame([], schema).schema)
+    got = streams.run_available_now(streams.new_signature_stream(src, watermark="1 hour"), spark, "t-wm-out")
+    assert sorted(r.signature for r in got.collect()) == ["s1", "s2"]
