@@ -98,7 +98,17 @@ def _text(v, suffix: str = "") -> str | None:
 
 
 def _col(pdf: pd.DataFrame, name: str) -> np.ndarray:
-    return pdf[name].to_numpy(dtype=object, na_value=None)
+    """Column as an object array with None for nulls (integer columns with nulls arrive as float)."""
+    a = pdf[name].to_numpy()
+    if a.dtype.kind == "f":
+        out = a.astype(object)
+        out[np.isnan(a)] = None
+        return out
+    return a.astype(object)
+
+
+def _differs(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+    return np.fromiter((o != n for o, n in zip(old, new)), dtype=bool, count=len(new))
 
 
 # (activity_type, change_type, field, text suffix, delta column)
@@ -112,7 +122,8 @@ CHANGE_SPECS = (("BALANCE_CHANGE", "BALANCE", "lamports", " lamports", "lamports
 def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per account and micro-batch: order the new states, drop late ones, compare each with its
     predecessor (the stored last state for the first one) and keep the newest state."""
-    pdf = pd.concat(list(batches), ignore_index=True)
+    frames = list(batches)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
     slot, ts, ident = (pdf[c].to_numpy(dtype=np.int64) for c in ORDER)
     order = np.lexsort((ident, ts, slot))
     slot, ts, ident = slot[order], ts[order], ident[order]
@@ -132,26 +143,30 @@ def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
             prev_row["late_dropped"] = late
             state.update(tuple(prev_row[f.name] for f in CHANGE_STATE.fields))
         return
-    out = {f.name: [] for f in CHANGE_OUT.fields}
-    for i in range(n):
-        if i == 0 and prev_row is None:
+    parts = []
+    for kind, change, field, suffix, delta in CHANGE_SPECS:
+        new = vals[field]
+        old = np.empty(n, dtype=object)
+        old[1:] = new[:-1]
+        old[0] = prev_row[field] if prev_row is not None else None
+        mask = _differs(new, old)
+        if prev_row is None:
+            mask[0] = False
+        idx = np.flatnonzero(mask)
+        if len(idx) == 0:
             continue
-        for kind, change, field, suffix, delta in CHANGE_SPECS:
-            new = vals[field][i]
-            old = prev_row[field] if i == 0 else vals[field][i - 1]
-            if old == new:
-                continue
-            out["account_address"].append(key[0])
-            out["block_slot"].append(int(slot[i]))
-            out["ts_us"].append(int(ts[i]))
-            out["snapshot_id"].append(int(ident[i]))
-            out["activity_type"].append(kind)
-            out["change_type"].append(change)
-            out["old_value"].append(_text(old, suffix))
-            out["new_value"].append(_text(new, suffix))
-            d = None if old is None or new is None or delta is None else int(new) - int(old)
-            out["lamports_change"].append(d if delta == "lamports_change" else 0)
-            out["data_size_change"].append(d if delta == "data_size_change" else 0)
+        o, nw = old[idx], new[idx]
+        d = np.array([None if a is None or b is None else int(b) - int(a) for a, b in zip(o, nw)], dtype=object) \
+            if delta else np.zeros(len(idx), dtype=np.int64)
+        zeros = np.zeros(len(idx), dtype=np.int64)
+        parts.append({
+            "block_slot": slot[idx], "ts_us": ts[idx], "snapshot_id": ident[idx],
+            "activity_type": np.full(len(idx), kind, dtype=object), "change_type": np.full(len(idx), change, dtype=object),
+            "old_value": np.array([_text(v, suffix) for v in o], dtype=object),
+            "new_value": np.array([_text(v, suffix) for v in nw], dtype=object),
+            "lamports_change": d if delta == "lamports_change" else zeros,
+            "data_size_change": d if delta == "data_size_change" else zeros,
+        })
     last = {f: vals[f][-1] for f in STATE_FIELDS}
     state.update((int(slot[-1]), int(ts[-1]), int(ident[-1]),
                   None if last["lamports"] is None else int(last["lamports"]),
@@ -159,8 +174,11 @@ def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
                   None if last["owner"] is None else str(last["owner"]),
                   None if last["executable"] is None else bool(last["executable"]),
                   None if last["rent_epoch"] is None else int(last["rent_epoch"]), late))
-    if out["account_address"]:
-        yield pd.DataFrame(out)
+    if parts:
+        n_out = sum(len(p["block_slot"]) for p in parts)
+        cols = {f.name: (np.full(n_out, key[0], dtype=object) if f.name == "account_address"
+                         else np.concatenate([p[f.name] for p in parts])) for f in CHANGE_OUT.fields}
+        yield pd.DataFrame(cols, copy=False)
 
 
 def account_change_stream(snapshots: DataFrame, key: str = "account_address") -> DataFrame:
