@@ -168,7 +168,7 @@ def top_k_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Colum
     group limit on both sides of the shuffle, so a hot key ships at most k rows per task."""
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def history(activities: DataFrame, requests: DataFrame, address: str = "wallet_address", limit: int = 50,
