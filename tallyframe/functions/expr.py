@@ -41,6 +41,11 @@ def short_address(addr, head: int = 8, tail: int = 8) -> Column:
                   F.concat(F.substring(a, 1, head), F.lit("..."), F.substring(a, -tail, tail))).otherwise(a)
 
 
+def prefix(c, n: int) -> Column:
+    """the first n characters (whole value when shorter)."""
+    return F.substring(_c(c), 1, n)
+
+
 def json_string_array(c) -> Column:
     """JSON text -> array<string>; malformed or missing -> empty array."""
     return F.coalesce(F.from_json(_c(c), "array<string>"), F.array().cast("array<string>"))

@@ -69,15 +69,37 @@ def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int) -> s
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1,
+                max_bytes_per_trigger: str | None = None) -> DataFrame:
+    """File stream source. The per-trigger bounds also bound the rows one key brings to a
+    stateful group in one micro-batch, whatever the key's share of the stream."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    return r.parquet(path)
+
+
+def start_stream(stream: DataFrame, sink_path: str, checkpoint: str, processing_time: str | None = None,
+                 fmt: str = "parquet", output_mode: str = "append"):
+    """A continuously running query polled at ``processing_time`` (e.g. '10 seconds'),
+    or drained once with availableNow when None. Returns the StreamingQuery."""
+    w = stream.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start(sink_path)
+
+
+def idempotent_batch_writer(path: str, fmt: str = "parquet"):
+    """K3: a ``foreachBatch`` function that appends each micro-batch under ``batch_id=<id>``,
+    overwriting only that batch's folder, so a retried batch replaces rather than duplicates."""
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        batch_df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+    return write
 
 
 def run_available_now(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
     """Drain everything available into an exactly-once file sink, then read the sink back."""
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start(out))
+    q = start_stream(stream, out, ckpt, fmt=fmt)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

@@ -182,3 +182,9 @@ def test_json_array_and_enum_helpers(spark):
                   display_time("ts", short=True).alias("t2")).first()
     assert (r.a, r.b, r.k1, r.k2, r.n, r.t1, r.t2) == (["a", "b"], [], "SEND", "UNKNOWN", "Unnamed",
                                                        "2024-01-02 03:04:05", "01-02 03:04:05")
+
+
+def test_prefix_helper(spark):
+    from tallyframe.functions.expr import prefix
+    r = spark.createDataFrame([("abcdefghijkl",), ("ab",)], "s string").select(prefix("s", 8).alias("p")).collect()
+    assert [x.p for x in r] == ["abcdefgh", "ab"]
