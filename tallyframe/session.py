@@ -26,6 +26,23 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Shuffle and scan sizing for an input volume, so partitions fit executor memory.
+
+    Shuffle partitions start at input / 256 MiB (at least 2 per core); AQE then
+    coalesces small ones toward the 128 MiB advisory size and splits skewed ones
+    above 512 MiB. Scans split files at 256 MiB. At 100 TB on 1000 executors x 8
+    cores this gives ~400k initial shuffle partitions, coalesced at runtime.
+    """
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tallyframe", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)

@@ -188,3 +188,11 @@ def test_prefix_helper(spark):
     from tallyframe.functions.expr import prefix
     r = spark.createDataFrame([("abcdefghijkl",), ("ab",)], "s string").select(prefix("s", 8).alias("p")).collect()
     assert [x.p for x in r] == ["abcdefgh", "ab"]
+
+
+def test_scale_conf_sizes_partitions():
+    from tallyframe.session import scale_conf
+    small = scale_conf(10 * 1024 * 1024, cores=8)
+    big = scale_conf(100 * 1024 ** 4, cores=8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 * 1024)
