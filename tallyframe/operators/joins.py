@@ -1,6 +1,6 @@
 """Joins. All equi-joins; Catalyst and AQE pick the strategy.
 
-No side is force-broadcast unless its size is checked first: ``small_or_none``
+No side is force-broadcast unless its size is checked first: ``broadcast_if_small``
 counts at most ``max_rows + 1`` rows of a candidate side, and only a side
 under the bound gets the broadcast hint. Anything bigger stays a shuffle join,
 where AQE may still convert to broadcast from measured sizes or split skewed
@@ -9,8 +9,6 @@ partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +114,3 @@ def ensure_parents(child: DataFrame, parent: DataFrame, key: str, defaults: dict
     """Parent rows to create so every child key has a parent (placeholders from ``defaults``)."""
     missing = child.select(key).distinct().join(parent.select(key), key, "left_anti")
     return missing.select(key, *[F.lit(v).alias(k) for k, v in defaults.items()])
-
-
-def join_keys(cols: Sequence[str]) -> list[str]:
-    return list(cols)
