@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.schemas import SYSTEM_PROGRAM
 
-BROADCAST_MAX_ROWS = 1_000_000
+# A registry of 200k (address, name, tag) rows is ~10 MB: cheap to ship to every executor.
+BROADCAST_MAX_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

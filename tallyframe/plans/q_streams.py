@@ -15,18 +15,21 @@ from tallyframe.session import scratch_path
 from tallyframe.streaming import streams
 
 N_BATCHES = 4
+FILES_PER_RANGE = 4
 
 
-def _landed(spark, df, name, order_col):
+def _landed(spark, df, name, order_col, key=None):
+    """Land ``df`` in N_BATCHES ordered ranges; each range becomes about one micro-batch."""
     path = scratch_path(spark, f"{name}-landing")
-    streams.land_in_order(df, path, order_col, N_BATCHES)
-    return streams.read_stream(spark, path, df.schema, files_per_trigger=1)
+    files = FILES_PER_RANGE if key else 1
+    streams.land_in_order(df, path, order_col, N_BATCHES, key=key, files_per_range=files)
+    return streams.read_stream(spark, path, df.schema, files_per_trigger=files)
 
 
 @query("stream_account_changes", oracle_text("SELECT * FROM changes", "changes"))
 def stream_account_changes(v, spark, sf):
     """Account change detection as a stateful stream over snapshots landed in slot order."""
-    src = _landed(spark, v.snapshots, "snapshots", "slot")
+    src = _landed(spark, v.snapshots, "snapshots", "slot", key="account_address")
     return streams.run_available_now(streams.account_change_stream(src), spark, "account-changes") \
         .select(*CHANGE_COLS)
 
@@ -37,7 +40,7 @@ def stream_new_signatures(v, spark, sf):
     """R2: first sighting of every (address, signature) pair."""
     df = v.activities.select(F.col("wallet_address").alias("address"),
                              F.col("transaction_signature").alias("signature"), "ts", "id")
-    src = _landed(spark, df, "activities", "id")
+    src = _landed(spark, df, "activities", "id", key="address")
     return streams.run_available_now(streams.new_signature_stream(src.select("address", "signature")), spark,
                                      "new-signatures")
 
@@ -58,7 +61,7 @@ WHERE list_has_any(account_keys, ['prog1', 'prog2', 'prog3'])
   AND NOT is_vote AND NOT failed""", "sub_input"))
 def stream_tx_filter(v, spark, sf):
     """The subscription filter over a pushed transaction stream."""
-    src = _landed(spark, subscription_input(v), "tx-push", "slot")
+    src = _landed(spark, subscription_input(v), "tx-push", "slot", key="signature")
     out = streams.filtered_tx_stream(src, include=["prog1", "prog2", "prog3"],
                                      exclude=["acct00000012", "acct00000013"], vote=False, failed=False)
     return streams.run_available_now(_sub_out(out), spark, "tx-filter")

@@ -49,10 +49,15 @@ ORDER = ["slot", "ts_us", "id"]
 
 # -- landing and running ----------------------------------------------------
 
-def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int) -> str:
-    """Append ``df`` to ``path`` as ``n_batches`` files in ``order_col`` order (one write per range),
-    the way a landing process delivers a stream. The input is computed once into a staging table in
-    the shared folder; range bounds come from an approximate quantile of it."""
+def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int, key: str | None = None,
+                  files_per_range: int = 1) -> str:
+    """Append ``df`` to ``path`` in ``n_batches`` ranges of ``order_col`` (one write per range, so
+    ranges land in order), the way a landing process delivers a stream. The input is computed once
+    into a staging table in the shared folder; range bounds come from an approximate quantile of it.
+
+    With ``key``, a range is hash-partitioned by key into ``files_per_range`` files: all rows of a
+    key in a range share one file, so per-key order holds across micro-batches while the write is
+    spread over tasks. Without a key, a range is one file (a single global sequence)."""
     spark = df.sparkSession
     staging = scratch_path(spark, "staging")
     df.write.parquet(staging)
@@ -65,7 +70,9 @@ def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int) -> s
             cond = cond & (F.col(order_col) > lo)
         if hi is not None:
             cond = cond & (F.col(order_col) <= hi)
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        part = df.where(cond)
+        part = part.repartition(files_per_range, key) if key else part.coalesce(1)
+        part.write.mode("append").parquet(path)
     return path
 
 
