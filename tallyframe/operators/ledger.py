@@ -207,7 +207,8 @@ def sort_keys(sort: str) -> list[Column]:
 
 def list_registry(registry: DataFrame, sort: str = "created", tags: Sequence[str] | None = None,
                   program_id: str | None = None, active: bool | None = None) -> DataFrame:
-    """Registry listing, filtered, ordered by the chosen key with an id tie-break."""
+    """Registry listing with its Active/Inactive label, filtered, ordered by the
+    chosen key with an id tie-break."""
     df = registry
     if active is not None:
         df = df.where(F.col("is_active") == F.lit(active))
@@ -215,6 +216,7 @@ def list_registry(registry: DataFrame, sort: str = "created", tags: Sequence[str
         df = df.where(F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])))
     if program_id is not None:
         df = df.where(F.col("program_id") == F.lit(program_id))
+    df = df.withColumn("registry_status", F.when(F.col("is_active"), "Active").otherwise("Inactive"))
     return df.orderBy(*sort_keys(sort), F.col("id").asc())
 
 

@@ -45,7 +45,7 @@ def latency_summary(log: DataFrame, by: Sequence[str] = ("kind",), value: str =
     """A4/A5: mean, min, max and exact p50/p95/p99 per group.
 
     Exact percentiles sort each group's values; for large groups use
-    ``approx=True`` style ``percentile_approx`` (bounded sketch, partial aggregation).
+    ``latency_summary_approx`` (bounded sketch, partial aggregation).
     """
     v = F.col(value)
     return log.groupBy(*by).agg(
@@ -82,10 +82,15 @@ def batch_rate(log: DataFrame, width: str = "1 hour", width_s: float = 3600.0, t
                     (F.col("n") / F.lit(width_s)).alias("per_second")))
 
 
-def throughput_tier(df: DataFrame, rate: str = "per_second") -> DataFrame:
-    """>= 1000 excellent, >= 500 good, else needs work."""
+def throughput_tier(df: DataFrame, rate: str = "per_second", mean_us: str | None = None) -> DataFrame:
+    """>= 1000 excellent, >= 500 good, else needs work; goals: rate > 1000/s and,
+    when a mean latency column is given, mean < 1 ms."""
     r = F.col(rate)
-    return df.withColumn("tier", F.when(r >= 1000, "excellent").when(r >= 500, "good").otherwise("needs_work"))
+    out = df.withColumn("tier", F.when(r >= 1000, "excellent").when(r >= 500, "good").otherwise("needs_work")) \
+        .withColumn("rate_goal_met", r > 1000)
+    if mean_us is not None:
+        out = out.withColumn("latency_goal_met", F.col(mean_us) < 1000)
+    return out
 
 
 def footprint(df: DataFrame, by: str = "kind", size: str = "bytes") -> DataFrame:

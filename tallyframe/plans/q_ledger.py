@@ -375,7 +375,8 @@ def last_k_signatures(v, spark, sf):
 
 
 REG_SQL = """
-SELECT t.id, t.address, t.name, t.tag, t.is_active, a.last_activity, coalesce(a.activity_count, 0) AS activity_count
+SELECT t.id, t.address, t.name, t.tag, t.is_active, a.last_activity, coalesce(a.activity_count, 0) AS activity_count,
+       CASE WHEN t.is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
 FROM v_tracked t LEFT JOIN (SELECT wallet_address, max(ts) AS last_activity, count(*) AS activity_count
                             FROM v_activities GROUP BY wallet_address) a ON a.wallet_address = t.address"""
 
@@ -399,7 +400,8 @@ def list_registry_sorted(v, spark, sf):
 
 
 @query("registry_by_tag", oracle_text(
-    "SELECT id, address, name, tag, is_active FROM v_tracked WHERE tag IN ('BUILDING', 'MACHINERY')"))
+    "SELECT id, address, name, tag, is_active, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status "
+    "FROM v_tracked WHERE tag IN ('BUILDING', 'MACHINERY')"))
 def registry_by_tag(v, spark, sf):
     """Registry rows whose tags overlap the requested tags."""
     return ledger.list_registry(registry_with_tags(v), sort="name", tags=["BUILDING", "MACHINERY"]).drop("tags")
