@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import unix_micros_ntz
+from tallyframe.schemas import ACCOUNT_CHANGE_KINDS
 from tallyframe.operators.sequence import slot_chunk, time_chunk, with_ordinal, with_previous, with_running_mean
 
-STATE_FIELDS = ("lamports", "data_size", "owner", "executable", "rent_epoch")
+STATE_FIELDS = tuple(field for _, _, field, _ in ACCOUNT_CHANGE_KINDS)
 
 
 def _change(kind: str, change: str, old: Column, new: Column, changed: Column,
@@ -44,22 +45,13 @@ def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: C
         return ~c(f).eqNullSafe(p[f])
 
     zero = F.lit(0)
-    changes = F.array(
-        _change("BALANCE_CHANGE", "BALANCE",
-                F.concat(p["lamports"].cast("string"), F.lit(" lamports")),
-                F.concat(c("lamports").cast("string"), F.lit(" lamports")),
-                differs("lamports"), c("lamports") - p["lamports"], zero),
-        _change("DATA_CHANGE", "DATA_SIZE",
-                F.concat(p["data_size"].cast("string"), F.lit(" bytes")),
-                F.concat(c("data_size").cast("string"), F.lit(" bytes")),
-                differs("data_size"), zero, c("data_size") - p["data_size"]),
-        _change("OWNER_CHANGE", "OWNER", p["owner"].cast("string"), c("owner").cast("string"),
-                differs("owner"), zero, zero),
-        _change("EXECUTABLE_CHANGE", "EXECUTABLE", p["executable"].cast("string"), c("executable").cast("string"),
-                differs("executable"), zero, zero),
-        _change("RENT_EPOCH_CHANGE", "RENT_EPOCH", p["rent_epoch"].cast("string"), c("rent_epoch").cast("string"),
-                differs("rent_epoch"), zero, zero),
-    )
+    deltas = {"lamports": (c("lamports") - p["lamports"], zero), "data_size": (zero, c("data_size") - p["data_size"])}
+    changes = F.array(*[
+        _change(kind, change,
+                F.concat(p[field].cast("string"), F.lit(suffix)) if suffix else p[field].cast("string"),
+                F.concat(c(field).cast("string"), F.lit(suffix)) if suffix else c(field).cast("string"),
+                differs(field), *deltas.get(field, (zero, zero)))
+        for kind, change, field, suffix in ACCOUNT_CHANGE_KINDS])
     out = (d.where(p.isNotNull())
            .select(c(key).alias("account_address"), c("slot").alias("block_slot"), c("ts").alias("timestamp"),
                    c("id").alias("snapshot_id"),

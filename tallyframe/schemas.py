@@ -57,3 +57,11 @@ ACCOUNT_ACTIVITY_TYPES = ("BALANCE_CHANGE", "DATA_CHANGE", "OWNER_CHANGE", "EXEC
                           "RENT_EPOCH_CHANGE", "PROGRAM_INTERACTION", "UNKNOWN")
 WALLET_ACTIVITY_TYPES = ("SEND", "RECEIVE", "SWAP", "BUY", "SELL", "STAKE", "UNSTAKE", "UNKNOWN")
 SYSTEM_PROGRAM = "11111111111111111111111111111111"
+# Account change kinds in emission order: (activity_type, change_type, state field, value text suffix).
+ACCOUNT_CHANGE_KINDS = (
+    ("BALANCE_CHANGE", "BALANCE", "lamports", " lamports"),
+    ("DATA_CHANGE", "DATA_SIZE", "data_size", " bytes"),
+    ("OWNER_CHANGE", "OWNER", "owner", ""),
+    ("EXECUTABLE_CHANGE", "EXECUTABLE", "executable", ""),
+    ("RENT_EPOCH_CHANGE", "RENT_EPOCH", "rent_epoch", ""),
+)

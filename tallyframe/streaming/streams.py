@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.functions.expr import ntz_from_micros, unix_micros_ntz
 from tallyframe.operators.ledger import subscription_filter
+from tallyframe.schemas import ACCOUNT_CHANGE_KINDS
 from tallyframe.session import scratch_path
 
 L, S, B = T.LongType(), T.StringType(), T.BooleanType()
@@ -43,7 +44,7 @@ CHANGE_STATE = T.StructType([
     T.StructField("data_size", L), T.StructField("owner", S), T.StructField("executable", B),
     T.StructField("rent_epoch", L), T.StructField("late_dropped", L)])
 
-STATE_FIELDS = ["lamports", "data_size", "owner", "executable", "rent_epoch"]
+STATE_FIELDS = [field for _, _, field, _ in ACCOUNT_CHANGE_KINDS]
 ORDER = ["slot", "ts_us", "id"]
 
 
@@ -141,11 +142,8 @@ def _differs(new: np.ndarray, old: np.ndarray) -> np.ndarray:
 
 
 # (activity_type, change_type, field, text suffix, delta column)
-CHANGE_SPECS = (("BALANCE_CHANGE", "BALANCE", "lamports", " lamports", "lamports_change"),
-                ("DATA_CHANGE", "DATA_SIZE", "data_size", " bytes", "data_size_change"),
-                ("OWNER_CHANGE", "OWNER", "owner", "", None),
-                ("EXECUTABLE_CHANGE", "EXECUTABLE", "executable", "", None),
-                ("RENT_EPOCH_CHANGE", "RENT_EPOCH", "rent_epoch", "", None))
+_DELTA = {"lamports": "lamports_change", "data_size": "data_size_change"}
+CHANGE_SPECS = tuple((kind, change, field, suffix, _DELTA.get(field)) for kind, change, field, suffix in ACCOUNT_CHANGE_KINDS)
 
 
 def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
