@@ -27,8 +27,13 @@ def _change(kind: str, change: str, old: Column, new: Column, changed: Column,
                     changed.alias("_changed"))
 
 
+# A key with at most this many rows keeps one window group; busier keys are chunked.
+HOT_KEY_ROWS = 100_000
+
+
 def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: Column | None = None,
-                    order: Sequence[str] = ("slot", "ts", "id")) -> DataFrame:
+                    order: Sequence[str] = ("slot", "ts", "id"), hot_threshold: int | None = HOT_KEY_ROWS,
+                    ) -> DataFrame:
     """Compare each account state with the previous one of the same account.
 
     Emits 0-5 rows per state, in field order balance, data size, owner,
@@ -38,7 +43,7 @@ def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: C
     transaction_signature (``account_change_{addr}_{slot}_{epoch seconds}``).
     """
     chunk = chunk if chunk is not None else slot_chunk("slot")
-    d = with_previous(snapshots, [key], list(order), STATE_FIELDS, chunk, out="_p")
+    d = with_previous(snapshots, [key], list(order), STATE_FIELDS, chunk, out="_p", hot_threshold=hot_threshold)
     p, c = F.col("_p"), F.col
 
     def differs(f):
@@ -112,10 +117,11 @@ def retain_recent(df: DataFrame, tip, keep: int = 100, slot: str = "slot") -> Da
     return df.where(F.col(slot) >= F.greatest(tip - F.lit(keep), F.lit(0)))
 
 
-def tx_ordinal(df: DataFrame, key: str, order: Sequence[str], chunk: Column | None = None) -> DataFrame:
+def tx_ordinal(df: DataFrame, key: str, order: Sequence[str], chunk: Column | None = None,
+               hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
     """1-based message ordinal per key (no global ordinal: that is one task)."""
     chunk = chunk if chunk is not None else slot_chunk("slot")
-    return with_ordinal(df, [key], list(order), chunk, out="ordinal")
+    return with_ordinal(df, [key], list(order), chunk, out="ordinal", hot_threshold=hot_threshold)
 
 
 def running_latency(log: DataFrame, by: Sequence[str] = ("kind",), order: Sequence[str] = ("ts", "request_id"),

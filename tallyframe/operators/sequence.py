@@ -9,6 +9,10 @@ row of the previous chunk, counts and sums of earlier chunks) come from a
 per-chunk summary, which is at most one row per (key, chunk), aggregated
 map-side, and joined back on ``(key, chunk)``: the big side keeps the
 partitioning of its window, only the summary moves.
+
+With ``hot_threshold`` only keys above it are chunked and summarised (targeted
+salting): on sparse data the summary then covers the few hot keys instead of
+approaching one row per key and chunk.
 """
 
 from __future__ import annotations
@@ -40,17 +44,43 @@ def _window(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
+HOT_KEYS_MAX = 200_000
+
+
+def _with_chunk(df: DataFrame, keys: list[str], chunk: Column, hot_threshold: int | None):
+    """Add CHUNK; return (frame, filter selecting the rows that need summaries).
+
+    With ``hot_threshold``, only keys with more rows than the threshold are chunked (the
+    targeted form of salting): other keys keep one window group, bounded by the threshold, and
+    need no summary. The hot-key set is at most rows / threshold keys; it is broadcast only when
+    a bounded count proves it small, otherwise every key is chunked.
+    """
+    if not keys or hot_threshold is None:
+        return df.withColumn(CHUNK, chunk), F.lit(True)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_threshold)
+           .select(*keys, F.lit(True).alias("_hot")))
+    # The size check and the broadcast both read this small set: keep it after the check.
+    hot = hot.persist()
+    if hot.count() > HOT_KEYS_MAX:
+        hot.unpersist()
+        return df.withColumn(CHUNK, chunk), F.lit(True)
+    marked = df.join(F.broadcast(hot), keys, "left")
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    return marked.withColumn(CHUNK, F.when(is_hot, chunk)).drop("_hot"), is_hot
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
-                  chunk: Column, out: str = "prev") -> DataFrame:
+                  chunk: Column, out: str = "prev", hot_threshold: int | None = None) -> DataFrame:
     """Add struct column ``out`` = values of the previous row of the same key.
 
     ``order`` must be a unique ascending ordering within a key and ``chunk``
     must not decrease along it. ``out`` is null on the first row of a key.
     """
     keys, order, values = list(keys), list(order), list(values)
-    d = df.withColumn(CHUNK, chunk)
+    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
     in_chunk = d.withColumn(out, F.lag(F.struct(*values)).over(_window(keys, order)))
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
+    last = (d.where(needs_summary).groupBy(*keys, CHUNK)
+            .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last")))
     chunks = Window.partitionBy(*keys).orderBy(CHUNK) if keys else Window.orderBy(CHUNK)
     edge = last.select(*keys, CHUNK, F.lag("_last").over(chunks).alias("_edge"))
     return (in_chunk.join(edge, [*keys, CHUNK], "left")
@@ -59,36 +89,37 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                 out: str = "ordinal") -> DataFrame:
+                 out: str = "ordinal", hot_threshold: int | None = None) -> DataFrame:
     """1-based position of each row within its key along ``order``."""
     keys, order = list(keys), list(order)
-    d = df.withColumn(CHUNK, chunk)
+    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
     ranked = d.withColumn("_rn", F.row_number().over(_window(keys, order)))
-    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.where(needs_summary).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*keys) if keys else Window).orderBy(CHUNK) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (ranked.join(offsets, [*keys, CHUNK], "left")
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
+            .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("long"))
             .drop("_rn", "_off", CHUNK))
 
 
 def with_running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column,
-                      out: str = "running_mean") -> DataFrame:
+                      out: str = "running_mean", hot_threshold: int | None = None) -> DataFrame:
     """Mean of ``value`` over all rows of the key up to and including this one."""
     keys, order = list(keys), list(order)
-    d = df.withColumn(CHUNK, chunk)
+    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
     upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = (d.withColumn("_s", F.sum(F.col(value).cast("double")).over(upto))
            .withColumn("_c", F.count(F.col(value)).over(upto)))
-    sums = d.groupBy(*keys, CHUNK).agg(F.sum(F.col(value).cast("double")).alias("_cs"),
+    sums = d.where(needs_summary).groupBy(*keys, CHUNK).agg(F.sum(F.col(value).cast("double")).alias("_cs"),
                                        F.count(F.col(value)).alias("_cc"))
     before = (Window.partitionBy(*keys) if keys else Window).orderBy(CHUNK) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, CHUNK,
                           F.coalesce(F.sum("_cs").over(before), F.lit(0.0)).alias("_ps"),
                           F.coalesce(F.sum("_cc").over(before), F.lit(0)).alias("_pc"))
-    total_c = F.col("_pc") + F.col("_c")
+    ps, pc = F.coalesce(F.col("_ps"), F.lit(0.0)), F.coalesce(F.col("_pc"), F.lit(0))
+    total_c = pc + F.col("_c")
     return (run.join(offsets, [*keys, CHUNK], "left")
-            .withColumn(out, F.when(total_c > 0, (F.col("_ps") + F.col("_s")) / total_c))
+            .withColumn(out, F.when(total_c > 0, (ps + F.col("_s")) / total_c))
             .drop("_s", "_c", "_ps", "_pc", CHUNK))

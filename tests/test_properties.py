@@ -20,11 +20,11 @@ def _frame(spark, rows):
         data, columns=["k", "slot", "id", "v"])
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows_strategy, width=st.sampled_from([1, 3, 16, 1000]))
-def test_with_previous_equals_bruteforce(spark, rows, width):
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=rows_strategy, width=st.sampled_from([1, 3, 16, 1000]), hot=st.sampled_from([None, 0, 4, 1000]))
+def test_with_previous_equals_bruteforce(spark, rows, width, hot):
     df, pdf = _frame(spark, rows)
-    got = with_previous(df, ["k"], ["slot", "id"], ["v"], slot_chunk("slot", width), out="p") \
+    got = with_previous(df, ["k"], ["slot", "id"], ["v"], slot_chunk("slot", width), out="p", hot_threshold=hot) \
         .select("id", F.col("p.v").alias("pv")).toPandas().set_index("id")["pv"]
     pdf = pdf.sort_values(["k", "slot", "id"])
     want = pdf.groupby("k")["v"].shift(1)
@@ -34,12 +34,13 @@ def test_with_previous_equals_bruteforce(spark, rows, width):
         assert (pd.isna(a) and pd.isna(b)) or a == b
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows_strategy, width=st.sampled_from([1, 7, 1000]))
-def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, width):
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=rows_strategy, width=st.sampled_from([1, 7, 1000]), hot=st.sampled_from([None, 0, 4, 1000]))
+def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, width, hot):
     df, pdf = _frame(spark, rows)
     ch = slot_chunk("slot", width)
-    got = with_running_mean(with_ordinal(df, ["k"], ["slot", "id"], ch), ["k"], ["slot", "id"], "v", ch) \
+    got = with_running_mean(with_ordinal(df, ["k"], ["slot", "id"], ch, hot_threshold=hot), ["k"], ["slot", "id"],
+                            "v", ch, hot_threshold=hot) \
         .toPandas().set_index("id")
     pdf = pdf.sort_values(["k", "slot", "id"])
     pdf["ordinal"] = pdf.groupby("k").cumcount() + 1

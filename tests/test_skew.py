@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import changes
@@ -39,11 +40,12 @@ def _bruteforce(pdf):
     return sorted(out)
 
 
-def test_hot_key_changes_exact_and_bounded(spark):
+@pytest.mark.parametrize("hot_threshold", [None, 1000])
+def test_hot_key_changes_exact_and_bounded(spark, hot_threshold):
     pdf = _snapshots()
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     chunk = slot_chunk("slot", 64)
-    got = changes.account_changes(df, chunk=chunk)
+    got = changes.account_changes(df, chunk=chunk, hot_threshold=hot_threshold)
     assert sorted((r.account_address, r.snapshot_id, r.activity_type) for r in got.collect()) == _bruteforce(pdf)
     # the largest window group is one (account, 64-slot chunk): at most 64 slots x 5 rows, not 10k hot rows
     biggest = df.withColumn(CHUNK, chunk).groupBy("account_address", CHUNK).count().agg(F.max("count")).first()[0]
