@@ -8,9 +8,11 @@
 * R3 ``slot_change_stream``: last emitted value per source in state.
 * R4 ``filtered_tx_stream``: stateless subscription filter.
 
-Streams read with ``ts`` cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ)
-and write to an exactly-once file sink whose checkpoint lives in the shared
-folder, so a lost executor or a restarted driver resumes from the last commit.
+Event time stays TIMESTAMP_NTZ and is turned into epoch microseconds with
+zone-free arithmetic; only the watermarked dedup casts to TIMESTAMP (watermarks
+reject NTZ). Results go to an exactly-once file sink (or an idempotent
+``foreachBatch``) whose checkpoint lives in the shared folder, so a lost
+executor or a restarted driver resumes from the last commit.
 Contract: states of one key arrive in order across micro-batches; a state not
 newer than the stored one is late, dropped and counted in the state.
 """
