@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.expr import BASE58_PATTERN
+from tallyframe.session import ship_package
 
 # Fixed value: the base-58 alphabet (no 0, O, I, l).
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -42,9 +43,14 @@ def b58decode_len(s: str) -> int | None:
     return pad + (n.bit_length() + 7) // 8
 
 
-@F.arrow_udf(T.StringType())
-def base58_encode(col: pa.Array) -> pa.Array:
+def base58_encode(c) -> Column:
     """bytes -> base-58 text."""
+    ship_package()
+    return _base58_encode(c)
+
+
+@F.arrow_udf(T.StringType())
+def _base58_encode(col: pa.Array) -> pa.Array:
     return pa.array([None if v is None else b58encode(v) for v in col.to_pylist()], type=pa.string())
 
 
@@ -55,4 +61,5 @@ def _decodes_to_32(col: pa.Array) -> pa.Array:
 
 def is_valid_address(c: Column) -> Column:
     """Base-58 public key: the Catalyst pattern and the exact 32-byte decode must both hold."""
+    ship_package()
     return F.when(c.rlike(BASE58_PATTERN), _decodes_to_32(c)).otherwise(F.lit(False))

@@ -80,6 +80,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``tallyframe`` importable in executor Python workers (``addPyFile``).
+
+    Plans that carry Python code (Arrow UDFs, stateful stream functions) reference
+    this package by module; executors have it only if it is installed there or
+    shipped. The zip is built once per application from the driver's copy and
+    served to executors by Spark."""
+    import shutil
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with the session's artifact API instead
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tallyframe-pkg-"), "tallyframe"), "zip",
+                                  root_dir=root, base_dir="tallyframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared folder (never reused, never cleared)."""
     base = shared_dir(spark).rstrip("/")

@@ -31,7 +31,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyframe.functions.expr import ntz_from_micros, unix_micros_ntz
 from tallyframe.operators.ledger import subscription_filter
 from tallyframe.schemas import ACCOUNT_CHANGE_KINDS
-from tallyframe.session import scratch_path
+from tallyframe.session import scratch_path, ship_package
 
 L, S, B = T.LongType(), T.StringType(), T.BooleanType()
 
@@ -212,6 +212,7 @@ def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def account_change_stream(snapshots: DataFrame, key: str = "account_address") -> DataFrame:
     """Streaming change detection; same rows as the batch ``account_changes``."""
+    ship_package(snapshots.sparkSession)
     inp = snapshots.select(F.col(key).alias("account_address"), "slot",
                            unix_micros_ntz("ts").alias("ts_us"), "id", *STATE_FIELDS)
     out = inp.groupBy("account_address").applyInPandasWithState(
@@ -244,6 +245,7 @@ def _slot_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def slot_change_stream(tx: DataFrame, source: str | None = None) -> DataFrame:
     """Emit a slot only when it differs from the last one of its source."""
+    ship_package(tx.sparkSession)
     src = F.col(source) if source else F.lit("chain")
     inp = tx.select(src.alias("source"), "signature", "slot", unix_micros_ntz("ts").alias("ts_us"))
     out = inp.groupBy("source").applyInPandasWithState(_slot_changes, SLOT_OUT, SLOT_STATE, "append",
