@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -170,13 +171,13 @@ def answer(questions: DataFrame, resolve: Callable[[list[bytes]], list[bytes]])
     return questions.groupBy("shard").applyInArrow(run, ANSWER_SCHEMA)
 
 
-def meet(blocks_df: DataFrame, answers: DataFrame, run: Callable[[int, pa.RecordBatch, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """Each block with its answers by shard, given to ``run``."""
+def meet(blocks_df: DataFrame, answers: DataFrame, run: Callable[[int, Any, dict[int, bytes]], pa.Table], schema, read: Callable[[bytes], Any] = load) -> DataFrame:
+    """Each block, its payload as ``read`` gives it, with its answers by shard, given to ``run``."""
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
             raise RuntimeError(f"answers for a block that occurs {left.num_rows} times: the input's rows are not in a stable order")
         got = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True)) if right.num_rows else {}
-        return run(left.column("block")[0].as_py(), load(left.column("payload")[0].as_py()), got)
+        return run(left.column("block")[0].as_py(), read(left.column("payload")[0].as_py()), got)
 
     return blocks_df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
