@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_chats
+from .embedding_dedup import near_vectors
 from .licenses import DELIMITERS, KEYS, TEMPLATES, phrase_at, scan_licenses
 from .mixing import mix_sources
+from .mtree import top_k
 from .ngram_join import near_groups
 from .packing import pack_sequences
 from .substring_dedup import remove_repeats
@@ -35,6 +37,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -55,6 +61,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns.unionByName(hostile)))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -71,9 +81,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -131,4 +143,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM marked GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
+ORACLE_TOP_K = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_top_k": ORACLE_TOP_K, "op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
