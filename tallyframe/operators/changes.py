@@ -1,61 +1,57 @@
 """Windows and sequences: change detection, slot progress, gaps, leader changes.
 
-All per-key sequences go through ``operators.sequence`` so a hot key is split
-into bounded (key, chunk) window groups; global sequences (no natural key) are
-chunked the same way instead of running one unpartitioned window.
+All sequences of unbounded length go through ``operators.sequence``, so a hot key is split into
+bounded (key, chunk) window groups; global sequences (no natural key) are chunked the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import unix_micros_ntz
 from tallyframe.schemas import ACCOUNT_CHANGE_KINDS
-from tallyframe.operators.sequence import slot_chunk, time_chunk, with_ordinal, with_previous, with_running_mean
+from tallyframe.operators.sequence import ROWS_PER_CHUNK, with_ordinal, with_previous, with_running_mean
 
+NUMBER_FIELDS = ("lamports", "data_size", "rent_epoch")
 STATE_FIELDS = tuple(field for _, _, field, _ in ACCOUNT_CHANGE_KINDS)
 
 
 def _change(kind: str, change: str, old: Column, new: Column, changed: Column,
-            d_lamports: Column, d_data: Column) -> Column:
+            d_lamports: Column, d_data: Column, numbers: tuple[Column, Column]) -> Column:
     return F.struct(F.lit(kind).alias("activity_type"), F.lit(change).alias("change_type"),
                     old.alias("old_value"), new.alias("new_value"),
                     d_lamports.cast("long").alias("lamports_change"), d_data.cast("long").alias("data_size_change"),
+                    numbers[0].cast("long").alias("old_number"), numbers[1].cast("long").alias("new_number"),
                     changed.alias("_changed"))
 
 
-# A key with at most this many rows keeps one window group; busier keys are chunked.
-HOT_KEY_ROWS = 100_000
-
-
-def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: Column | None = None,
-                    order: Sequence[str] = ("slot", "ts", "id"), hot_threshold: int | None = HOT_KEY_ROWS,
-                    ) -> DataFrame:
+def account_changes(snapshots: DataFrame, key: str = "account_address", order: Sequence[str] = ("slot", "ts", "id"),
+                    rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Compare each account state with the previous one of the same account.
 
     Emits 0-5 rows per state, in field order balance, data size, owner,
     executable, rent epoch; the first state of an account emits nothing.
     Output: account, block_slot, timestamp, snapshot_id, activity_type,
-    change_type, old_value, new_value, lamports_change, data_size_change,
+    change_type, old_value, new_value (texts), lamports_change, data_size_change,
+    old_number, new_number (of number fields; else null),
     transaction_signature (``account_change_{addr}_{slot}_{epoch seconds}``).
     """
-    chunk = chunk if chunk is not None else slot_chunk("slot")
-    d = with_previous(snapshots, [key], list(order), STATE_FIELDS, chunk, out="_p", hot_threshold=hot_threshold)
+    d = with_previous(snapshots, [key], list(order), STATE_FIELDS, out="_p", rows=rows)
     p, c = F.col("_p"), F.col
 
     def differs(f):
         return ~c(f).eqNullSafe(p[f])
 
-    zero = F.lit(0)
+    zero, none = F.lit(0), F.lit(None)
     deltas = {"lamports": (c("lamports") - p["lamports"], zero), "data_size": (zero, c("data_size") - p["data_size"])}
     changes = F.array(*[
         _change(kind, change,
                 F.concat(p[field].cast("string"), F.lit(suffix)) if suffix else p[field].cast("string"),
                 F.concat(c(field).cast("string"), F.lit(suffix)) if suffix else c(field).cast("string"),
-                differs(field), *deltas.get(field, (zero, zero)))
+                differs(field), *deltas.get(field, (zero, zero)), (p[field], c(field)) if field in NUMBER_FIELDS else (none, none))
         for kind, change, field, suffix in ACCOUNT_CHANGE_KINDS])
     out = (d.where(p.isNotNull())
            .select(c(key).alias("account_address"), c("slot").alias("block_slot"), c("ts").alias("timestamp"),
@@ -68,21 +64,19 @@ def account_changes(snapshots: DataFrame, key: str = "account_address", chunk: C
 
 
 def distinct_until_changed(df: DataFrame, value: str, order: Sequence[str], partition: Sequence[str] = (),
-                           chunk: Column | None = None) -> DataFrame:
+                           rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Drop rows whose value equals the previous row's; the first row is always kept."""
-    chunk = chunk if chunk is not None else slot_chunk(value)
-    d = with_previous(df, list(partition), list(order), [value], chunk, out="_p")
+    d = with_previous(df, list(partition), list(order), [value], out="_p", rows=rows)
     return d.where(F.col("_p").isNull() | ~F.col(value).eqNullSafe(F.col("_p")[value])).drop("_p")
 
 
 def slot_progress(reports: DataFrame, source: str = "source", order: Sequence[str] = ("observed_ts", "seq"),
-                  chunk: Column | None = None) -> DataFrame:
+                  rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per source, slot and finalized-slot deltas against the previous report.
 
     The first report of a source has delta 1; only increasing reports are emitted.
     """
-    chunk = chunk if chunk is not None else slot_chunk("slot")
-    d = with_previous(reports, [source], list(order), ["slot", "finalized_slot"], chunk, out="_p")
+    d = with_previous(reports, [source], list(order), ["slot", "finalized_slot"], out="_p", rows=rows)
     first = F.col("_p").isNull()
     d = d.select(*reports.columns,
                  F.when(first, F.lit(1)).otherwise(F.col("slot") - F.col("_p")["slot"]).cast("long")
@@ -92,24 +86,23 @@ def slot_progress(reports: DataFrame, source: str = "source", order: Sequence[st
     return d.where(F.col("slot_delta") > 0)
 
 
-def leader_changes(leaders: DataFrame, chunk: Column | None = None) -> DataFrame:
+def leader_changes(leaders: DataFrame) -> DataFrame:
     """Leader schedule rows where the leader differs from the previous slot's.
 
     The first slot counts as a change with no previous leader.
     """
-    chunk = chunk if chunk is not None else slot_chunk("slot", 1024)
-    d = with_previous(leaders, [], ["slot"], ["leader_pubkey"], chunk, out="_p")
+    d = with_previous(leaders, [], ["slot"], ["leader_pubkey"], out="_p")
     prev = F.col("_p")["leader_pubkey"]
     return (d.where(prev.isNull() | (prev != F.col("leader_pubkey")))
             .select("slot", "leader_pubkey", prev.alias("previous_leader")))
 
 
 def leader_conflicts(reports: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
-    """For each slot, reports whose leader differs from the previous report for the same slot."""
-    d = with_previous(reports, ["slot"], list(order), ["leader_pubkey"], F.lit(0), out="_p")
-    prev = F.col("_p")["leader_pubkey"]
-    return d.where(prev.isNotNull() & (prev != F.col("leader_pubkey"))) \
-        .select(*reports.columns, prev.alias("previous_leader"))
+    """For each slot, reports whose leader differs from the previous report for the same slot.
+
+    A slot has a report per reporting node, so its window group is small by nature."""
+    d = reports.withColumn("previous_leader", F.lag("leader_pubkey").over(Window.partitionBy("slot").orderBy(*order)))
+    return d.where(F.col("previous_leader") != F.col("leader_pubkey"))
 
 
 def retain_recent(df: DataFrame, tip, keep: int = 100, slot: str = "slot") -> DataFrame:
@@ -117,27 +110,24 @@ def retain_recent(df: DataFrame, tip, keep: int = 100, slot: str = "slot") -> Da
     return df.where(F.col(slot) >= F.greatest(tip - F.lit(keep), F.lit(0)))
 
 
-def tx_ordinal(df: DataFrame, key: str, order: Sequence[str], chunk: Column | None = None,
-               hot_threshold: int | None = HOT_KEY_ROWS) -> DataFrame:
+def tx_ordinal(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """1-based message ordinal per key (no global ordinal: that is one task)."""
-    chunk = chunk if chunk is not None else slot_chunk("slot")
-    return with_ordinal(df, [key], list(order), chunk, out="ordinal", hot_threshold=hot_threshold)
+    return with_ordinal(df, [key], list(order), out="ordinal")
 
 
 def running_latency(log: DataFrame, by: Sequence[str] = ("kind",), order: Sequence[str] = ("ts", "request_id"),
                     value: str = "response_us") -> DataFrame:
-    """Running mean response per endpoint, chunked by minute of event time."""
-    return with_running_mean(log, list(by), list(order), value, time_chunk(order[0]), out="running_mean")
+    """Running mean response per endpoint."""
+    return with_running_mean(log, list(by), list(order), value, out="running_mean")
 
 
-def slot_gaps(headers: DataFrame, chunk: Column | None = None) -> DataFrame:
+def slot_gaps(headers: DataFrame, rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Missed slots and reorgs along landed headers ordered by slot.
 
     gap = slot - previous slot - 1; reorg when parent_slot < previous slot,
     depth = previous slot - parent_slot. Only rows with a gap or reorg.
     """
-    chunk = chunk if chunk is not None else slot_chunk("slot", 1024)
-    d = with_previous(headers, [], ["slot"], ["slot"], chunk, out="_p")
+    d = with_previous(headers, [], ["slot"], ["slot"], out="_p", rows=rows)
     prev = F.col("_p")["slot"]
     d = d.select("slot", "parent_slot", prev.alias("previous_slot"),
                  (F.col("slot") - prev - 1).alias("missed_slots"),

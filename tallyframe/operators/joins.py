@@ -1,10 +1,7 @@
 """Joins. All equi-joins; Catalyst and AQE pick the strategy.
 
-No side is force-broadcast unless its size is checked first: ``broadcast_if_small``
-counts at most ``max_rows + 1`` rows of a candidate side, and only a side
-under the bound gets the broadcast hint. Anything bigger stays a shuffle join,
-where AQE may still convert to broadcast from measured sizes or split skewed
-partitions.
+No side is broadcast by hint: Spark broadcasts a side whose estimated or measured bytes are under
+its threshold, and splits skewed partitions of the shuffle joins.
 """
 
 from __future__ import annotations
@@ -14,23 +11,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.schemas import SYSTEM_PROGRAM
 
-# A registry of 200k (address, name, tag) rows is ~10 MB: cheap to ship to every executor.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a bounded size check (reads at most max_rows+1 rows)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def watched_states(states: DataFrame, registry: DataFrame, key: str = "account_address",
                    reg_key: str = "address", active_only: bool = True) -> DataFrame:
     """Account states of watched addresses with the registry's name and tag."""
     reg = registry.where(F.col("is_active")) if active_only else registry
     reg = reg.select(F.col(reg_key).alias(key), F.col("name"), F.col("tag"))
-    return states.join(broadcast_if_small(reg), key, "inner")
+    return states.join(reg, key, "inner")
 
 
 def multi_get(requests: DataFrame, hot: DataFrame, store: DataFrame, key: str, limit: int = 0) -> DataFrame:

@@ -1,18 +1,15 @@
 """Skew-safe sequence primitives: previous row, ordinal and running aggregates.
 
-A plain ``Window.partitionBy(key)`` puts every row of one key into one task;
-one account, program or request kind can hold a third of all rows. These
-helpers window over ``(key, chunk)`` instead, where ``chunk`` is a coarse
-bucket of the ordering (a slot range or a day) that is non-decreasing along the
-order. Each chunk group is bounded. The values that cross a chunk edge (the last
-row of the previous chunk, counts and sums of earlier chunks) come from a
-per-chunk summary, which is at most one row per (key, chunk), aggregated
-map-side, and joined back on ``(key, chunk)``: the big side keeps the
-partitioning of its window, only the summary moves.
-
-With ``hot_threshold`` only keys above it are chunked and summarised (targeted
-salting): on sparse data the summary then covers the few hot keys instead of
-approaching one row per key and chunk.
+A plain ``Window.partitionBy(key)`` puts every row of one key into one task; one account, program
+or request kind can hold a third of all rows. These helpers window over ``(key, chunk)``, where the
+chunk is a stretch of the first ordering column. The stretch's width follows from the data: the
+busiest key holds ``ROWS_PER_CHUNK`` rows a chunk on average, so a window group is bounded in rows
+whatever the load is. There is one algorithm for all keys and sizes, and nothing runs while a query
+is built (the width is a scalar subquery of its plan).
+
+What crosses a chunk's edge (the last row before it, counts and sums of earlier chunks) comes from a
+per-chunk summary that is aggregated map-side. Chunks are stitched in two levels: within groups of
+``CHUNKS_PER_GROUP`` chunks, then over groups, so no task sees all summaries of a key either.
 """
 
 from __future__ import annotations
@@ -21,105 +18,107 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.expr import unix_micros_ntz
 
-CHUNK = "_chunk"
+# Keys are held as one struct: equal when all fields are equal or both null, so that joins on it keep null keys.
+KEY, CHUNK, GROUP = "_key", "_chunk", "_group"
+ROWS_PER_CHUNK = 65_536
+CHUNKS_PER_GROUP = 1_024
 
 
-def slot_chunk(col: str = "slot", width: int = 256) -> Column:
-    """Bucket of ``width`` consecutive slots."""
-    return F.floor(F.col(col) / F.lit(width)).cast("long")
+def _axis(df: DataFrame, col: str) -> Column:
+    """The ordering column as a number: micros of a timestamp, days of a date, else the number itself."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return unix_micros_ntz(F.col(col).cast("timestamp_ntz"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col)
+    if isinstance(kind, T.NumericType):
+        return F.col(col)
+    raise TypeError(f"the first ordering column must be a number, date or timestamp; {col} is {kind.simpleString()}")
 
 
-def time_chunk(col: str = "ts", seconds: int = 60) -> Column:
-    """Bucket of ``seconds`` of event time (a timestamp or timestamp_ntz read as UTC).
+def _key(keys: Sequence[str]) -> list[str]:
+    return [KEY] if keys else []
 
-    A minute of ledger traffic bounds each window group even for a key holding
-    a third of all rows; coarser buckets (a day) would not."""
-    return F.floor(unix_micros_ntz(col) / F.lit(seconds * 1_000_000)).cast("long")
 
+def with_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add KEY and CHUNK, non-decreasing along ``order``; rows without a first ordering value come first."""
+    x = _axis(df, order[0])
+    df = df.withColumn(KEY, F.struct(*keys)) if keys else df
+    per_key = df.groupBy(*_key(keys)).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+    span = per_key.agg(F.struct(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).alias("s")).scalar()
+    width = (span["high"] - span["low"] + 1).cast("double") * rows / span["n"]
+    return df.withColumn(CHUNK, F.coalesce(F.floor((x - span["low"]) / width).cast("long"), F.lit(-1).cast("long")))
 
-def _window(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
+def _window(key: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*key, CHUNK).orderBy(*order)
 
-HOT_KEYS_MAX = 200_000
 
+def _levels(summary: DataFrame, keys: list[str]):
+    """The summary with its chunk groups, and the windows over a group's chunks and over a key's groups."""
+    grouped = summary.withColumn(GROUP, F.floor(F.col(CHUNK) / CHUNKS_PER_GROUP).cast("long"))
+    near = Window.partitionBy(*keys, GROUP).orderBy(CHUNK)
+    far = (Window.partitionBy(*keys) if keys else Window).orderBy(GROUP)
+    return grouped, near, far
 
-def _with_chunk(df: DataFrame, keys: list[str], chunk: Column, hot_threshold: int | None):
-    """Add CHUNK; return (frame, filter selecting the rows that need summaries).
 
-    With ``hot_threshold``, only keys with more rows than the threshold are chunked (the
-    targeted form of salting): other keys keep one window group, bounded by the threshold, and
-    need no summary. The hot-key set is at most rows / threshold keys; it is broadcast only when
-    a bounded count proves it small, otherwise every key is chunked.
-    """
-    if not keys or hot_threshold is None:
-        return df.withColumn(CHUNK, chunk), F.lit(True)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_threshold)
-           .select(*keys, F.lit(True).alias("_hot")))
-    # The size check and the broadcast both read this small set: keep it after the check.
-    hot = hot.persist()
-    if hot.count() > HOT_KEYS_MAX:
-        hot.unpersist()
-        return df.withColumn(CHUNK, chunk), F.lit(True)
-    marked = df.join(F.broadcast(hot), keys, "left")
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    return marked.withColumn(CHUNK, F.when(is_hot, chunk)).drop("_hot"), is_hot
+def _last_before(summary: DataFrame, keys: list[str], last: str, out: str) -> DataFrame:
+    """For each (key, chunk) the ``last`` of the nearest earlier chunk of the key."""
+    grouped, near, far = _levels(summary, keys)
+    tops = grouped.groupBy(*keys, GROUP).agg(F.max_by(last, CHUNK).alias("_top")).select(*keys, GROUP, F.lag("_top").over(far).alias("_top"))
+    inner = grouped.select(*keys, CHUNK, GROUP, F.lag(last).over(near).alias(out))
+    return inner.join(tops, [*keys, GROUP], "left").select(*keys, CHUNK, F.coalesce(out, "_top").alias(out))
+
+
+def _sums_before(summary: DataFrame, keys: list[str], sums: Sequence[str]) -> DataFrame:
+    """For each (key, chunk) the sums over all earlier chunks of the key."""
+    grouped, near, far = _levels(summary, keys)
+    before = (Window.unboundedPreceding, -1)
+    tops = grouped.groupBy(*keys, GROUP).agg(*(F.sum(s).alias(s) for s in sums))
+    tops = tops.select(*keys, GROUP, *(F.sum(s).over(far.rowsBetween(*before)).alias(f"_top{s}") for s in sums))
+    inner = grouped.select(*keys, CHUNK, GROUP, *(F.sum(s).over(near.rowsBetween(*before)).alias(s) for s in sums))
+    total = [(F.coalesce(s, F.lit(0)) + F.coalesce(f"_top{s}", F.lit(0))).alias(s) for s in sums]
+    return inner.join(tops, [*keys, GROUP], "left").select(*keys, CHUNK, *total)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
-                  chunk: Column, out: str = "prev", hot_threshold: int | None = None) -> DataFrame:
+                  out: str = "prev", rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add struct column ``out`` = values of the previous row of the same key.
 
-    ``order`` must be a unique ascending ordering within a key and ``chunk``
-    must not decrease along it. ``out`` is null on the first row of a key.
+    ``order`` must be a unique ascending ordering within a key, its first column a number, date or
+    timestamp. ``out`` is null on the first row of a key.
     """
-    keys, order, values = list(keys), list(order), list(values)
-    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
+    d, keys = with_chunk(df, keys, order, rows), _key(keys)
     in_chunk = d.withColumn(out, F.lag(F.struct(*values)).over(_window(keys, order)))
-    last = (d.where(needs_summary).groupBy(*keys, CHUNK)
-            .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last")))
-    chunks = Window.partitionBy(*keys).orderBy(CHUNK) if keys else Window.orderBy(CHUNK)
-    edge = last.select(*keys, CHUNK, F.lag("_last").over(chunks).alias("_edge"))
-    return (in_chunk.join(edge, [*keys, CHUNK], "left")
-            .withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
-            .drop("_edge", CHUNK))
+    last = d.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
+    edge = _last_before(last, keys, "_last", "_edge")
+    return (in_chunk.join(edge, [*keys, CHUNK], "left").withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
+            .drop("_edge", CHUNK, KEY))
 
 
-def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                 out: str = "ordinal", hot_threshold: int | None = None) -> DataFrame:
+def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "ordinal", rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """1-based position of each row within its key along ``order``."""
-    keys, order = list(keys), list(order)
-    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
+    d, keys = with_chunk(df, keys, order, rows), _key(keys)
     ranked = d.withColumn("_rn", F.row_number().over(_window(keys, order)))
-    counts = d.where(needs_summary).groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(*keys) if keys else Window).orderBy(CHUNK) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (ranked.join(offsets, [*keys, CHUNK], "left")
-            .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("long"))
-            .drop("_rn", "_off", CHUNK))
+    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _sums_before(counts, keys, ["_n"])
+    return (ranked.join(offsets, [*keys, CHUNK], "left").withColumn(out, (F.col("_n") + F.col("_rn")).cast("long"))
+            .drop("_rn", "_n", CHUNK, KEY))
 
 
-def with_running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column,
-                      out: str = "running_mean", hot_threshold: int | None = None) -> DataFrame:
+def with_running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "running_mean",
+                      rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Mean of ``value`` over all rows of the key up to and including this one."""
-    keys, order = list(keys), list(order)
-    d, needs_summary = _with_chunk(df, keys, chunk, hot_threshold)
+    d, keys = with_chunk(df, keys, order, rows), _key(keys)
     upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = (d.withColumn("_s", F.sum(F.col(value).cast("double")).over(upto))
            .withColumn("_c", F.count(F.col(value)).over(upto)))
-    sums = d.where(needs_summary).groupBy(*keys, CHUNK).agg(F.sum(F.col(value).cast("double")).alias("_cs"),
-                                       F.count(F.col(value)).alias("_cc"))
-    before = (Window.partitionBy(*keys) if keys else Window).orderBy(CHUNK) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, CHUNK,
-                          F.coalesce(F.sum("_cs").over(before), F.lit(0.0)).alias("_ps"),
-                          F.coalesce(F.sum("_cc").over(before), F.lit(0)).alias("_pc"))
-    ps, pc = F.coalesce(F.col("_ps"), F.lit(0.0)), F.coalesce(F.col("_pc"), F.lit(0))
-    total_c = pc + F.col("_c")
-    return (run.join(offsets, [*keys, CHUNK], "left")
-            .withColumn(out, F.when(total_c > 0, (ps + F.col("_s")) / total_c))
-            .drop("_s", "_c", "_ps", "_pc", CHUNK))
+    sums = d.groupBy(*keys, CHUNK).agg(F.sum(F.col(value).cast("double")).alias("_ps"), F.count(F.col(value)).alias("_pc"))
+    total_c = F.col("_pc") + F.col("_c")
+    return (run.join(_sums_before(sums, keys, ["_ps", "_pc"]), [*keys, CHUNK], "left")
+            .withColumn(out, F.when(total_c > 0, (F.col("_ps") + F.coalesce("_s", F.lit(0.0))) / total_c))
+            .drop("_s", "_c", "_ps", "_pc", CHUNK, KEY))

@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import analytics, changes, ledger
-from tallyframe.operators.sequence import slot_chunk, time_chunk
+from tallyframe.operators.sequence import with_previous
 from tallyframe.plans.registry import ASOF, oracle_text, query
 
 CHANGE_COLS = ["account_address", "block_slot", "timestamp", "snapshot_id", "activity_type", "change_type",
                "old_value", "new_value", "lamports_change", "data_size_change", "transaction_signature"]
 
-# Slot-range chunk of the per-account windows: bounds each window group so a hot
-# account is spread over many tasks (256 slots is about 100 s of chain time).
-ACCOUNT_CHUNK_SLOTS = 256
+def active(v):
+    return v.tracked.where(F.col("is_active")).select(F.col("address").alias("account_address"))
 
 
-def account_change_rows(v):
-    return changes.account_changes(v.snapshots, chunk=slot_chunk("slot", ACCOUNT_CHUNK_SLOTS)).select(*CHANGE_COLS)
+def account_change_rows(v, only=None):
+    """W1 over all snapshots, or over those of the accounts in ``only`` (an account's changes need its own states alone)."""
+    snapshots = v.snapshots if only is None else v.snapshots.join(only, "account_address", "left_semi")
+    return changes.account_changes(snapshots)
 
 
 @query("account_changes", oracle_text("SELECT * FROM changes", "changes"))
 def account_changes(v, spark, sf):
     """W1 (flagship): field-level changes between successive states of every account."""
-    return account_change_rows(v)
+    return account_change_rows(v).select(*CHANGE_COLS)
+
+
+@query("owner_changes", oracle_text("""
+SELECT owner, id, slot, old_value, new_value FROM (
+  SELECT owner, id, slot, CAST(lag(lamports) OVER w AS VARCHAR) || ' lamports' AS old_value,
+         CAST(lamports AS VARCHAR) || ' lamports' AS new_value, lag(lamports) OVER w AS p
+  FROM v_snapshots WINDOW w AS (PARTITION BY owner ORDER BY slot, ts, id))
+WHERE p IS DISTINCT FROM lamports AND old_value IS NOT NULL"""))
+def owner_changes(v, spark, sf):
+    """W1 on a skewed key: balance changes along the states of each owner (a handful of owners hold all rows)."""
+    d = with_previous(v.snapshots, ["owner"], ["slot", "ts", "id"], ["lamports"], out="_p", rows=1024)
+    text = [F.concat(c.cast("string"), F.lit(" lamports")) for c in (F.col("_p.lamports"), F.col("lamports"))]
+    return (d.where(F.col("_p").isNotNull() & ~F.col("lamports").eqNullSafe(F.col("_p.lamports")))
+            .select("owner", "id", "slot", text[0].alias("old_value"), text[1].alias("new_value")))
 
 
 @query("account_history", oracle_text("""
@@ -34,9 +49,7 @@ SELECT account_address, block_slot, timestamp, snapshot_id, activity_type, chang
 WHERE rank <= 50""", "changes"))
 def account_history(v, spark, sf):
     """Newest 50 change rows of every active watched account."""
-    req = v.tracked.where(F.col("is_active")).select(F.col("address").alias("account_address"))
-    df = ledger.lookup(account_change_rows(v), req, "account_address")
-    return ledger.top_k_per_key(df, "account_address", [F.col("timestamp").desc(), F.col("snapshot_id").desc(),
+    return ledger.top_k_per_key(account_change_rows(v, active(v)), "account_address", [F.col("timestamp").desc(), F.col("snapshot_id").desc(),
                                                         F.col("activity_type")], 50) \
         .select("account_address", "block_slot", "timestamp", "snapshot_id", "activity_type", "change_type", "rank")
 
@@ -79,7 +92,7 @@ def threshold_alerts(v, spark, sf):
     """Alerts for active accounts: balance crossing 50 coins, data size change of 40+ bytes."""
     reg = v.tracked.where(F.col("is_active")).select(
         "address", F.lit(50.0).alias("balance_threshold"), F.lit(40).cast("long").alias("data_size_threshold"))
-    return analytics.threshold_alerts(account_change_rows(v), reg).select(
+    return analytics.threshold_alerts(account_change_rows(v, active(v)), reg).select(
         "account_address", "block_slot", "snapshot_id", "change_type", "alert")
 
 
@@ -101,7 +114,7 @@ SELECT source, observed_ts, seq, slot, finalized_slot, slot_delta, finalized_del
 WHERE slot_delta > 0"""))
 def slot_progress(v, spark, sf):
     """Per reporting source, slot and finalized deltas; only increasing reports."""
-    return changes.slot_progress(slot_reports(v), chunk=time_chunk("observed_ts"))
+    return changes.slot_progress(slot_reports(v))
 
 
 DUC_SQL = """
@@ -114,7 +127,7 @@ WHERE p IS NULL OR p <> slot"""
 def distinct_until_changed(v, spark, sf):
     """The slot stream (transactions in arrival order) without consecutive repeats."""
     return changes.distinct_until_changed(v.transactions.select("signature", "slot", "ts"), "slot",
-                                          ["ts", "signature"], chunk=time_chunk("ts"))
+                                          ["ts", "signature"])
 
 
 @query("slots_processed", oracle_text(f"SELECT count(*) AS slots_processed FROM ({DUC_SQL})"))
@@ -207,8 +220,7 @@ def subscribe_slots(v, spark, sf):
 SELECT slot, leader_pubkey, previous_leader FROM ({LEADER_LAG_SQL}) WHERE slot >= 100"""))
 def subscribe_leaders(v, spark, sf):
     """Leader entries from slot 100 on (end 0 = unlimited), each with the previous slot's leader."""
-    from tallyframe.operators.sequence import with_previous
-    d = with_previous(v.slot_leaders, [], ["slot"], ["leader_pubkey"], slot_chunk("slot", 1024), out="_p")
+    d = with_previous(v.slot_leaders, [], ["slot"], ["leader_pubkey"], out="_p")
     start, end = 100, 0
     slot = F.col("slot")
     d = d.where((slot >= start) & ((F.lit(end) == 0) | (slot <= end)))

@@ -6,7 +6,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyframe.operators import analytics, changes, joins, ledger, maintenance, metrics
-from tallyframe.operators.sequence import slot_chunk
 from tallyframe.session import scratch_path
 from tallyframe.sources import ingest
 from tallyframe.streaming import streams
@@ -39,7 +38,7 @@ def test_null_fields_are_changes_and_batch_equals_stream(spark):
     rows = [_snap(1, 5, None, 0), _snap(2, 5, 3, 1), _snap(3, None, 3, 2), _snap(4, 7, None, 3),
             _snap(5, 7, None, 4, owner=None)]
     df = spark.createDataFrame(rows, SNAP)
-    batch = changes.account_changes(df, chunk=slot_chunk("slot", 2))
+    batch = changes.account_changes(df, rows=2)
     got = {(r.snapshot_id, r.change_type): (r.old_value, r.new_value, r.lamports_change, r.data_size_change)
            for r in batch.collect()}
     assert got == {(2, "DATA_SIZE"): (None, "3 bytes", 0, None), (3, "BALANCE"): ("5 lamports", None, None, 0),

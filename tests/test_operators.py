@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import content_id, fee_text, saturating_sub, short_address
 from tallyframe.operators import archive, changes, joins, ledger, maintenance, metrics
-from tallyframe.operators.sequence import slot_chunk
 
 T0 = dt.datetime(2024, 1, 1)
 SNAP = "id long, account_address string, lamports long, data_size long, owner string, executable boolean, " \
@@ -28,7 +27,7 @@ def test_account_changes_golden(spark):
         snap(5, "B", 7, 0, "sys", False, 0, 3),         # single state of another account
     ]
     df = spark.createDataFrame(rows, SNAP)
-    got = changes.account_changes(df, chunk=slot_chunk("slot", 256)).orderBy("snapshot_id", "activity_type")
+    got = changes.account_changes(df).orderBy("snapshot_id", "activity_type")
     out = [(r.snapshot_id, r.activity_type, r.change_type, r.old_value, r.new_value, r.lamports_change,
             r.data_size_change) for r in got.collect()]
     assert out == [
@@ -47,7 +46,7 @@ def test_lamports_change_sums_to_last_minus_first(spark):
     rows = [snap(i, "A", lam, 1, "o", False, 1, s) for i, (lam, s) in
             enumerate([(5, 1), (9, 300), (2, 301), (2, 900), (40, 2000)])]
     df = spark.createDataFrame(rows, SNAP)
-    total = changes.account_changes(df, chunk=slot_chunk("slot", 256)).agg(F.sum("lamports_change")).first()[0]
+    total = changes.account_changes(df).agg(F.sum("lamports_change")).first()[0]
     assert total == 40 - 5
 
 
@@ -112,7 +111,7 @@ def test_hit_ratio_empty_is_zero(spark):
 
 def test_slot_gaps_and_reorg(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (5, 4), (6, 3)], "slot long, parent_slot long")
-    got = sorted(tuple(r) for r in changes.slot_gaps(df, chunk=slot_chunk("slot", 2)).collect())
+    got = sorted(tuple(r) for r in changes.slot_gaps(df, rows=2).collect())
     assert got == [(5, 4, 2, 2, False, 0), (6, 3, 5, 0, True, 2)]
 
 

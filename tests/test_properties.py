@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyframe.functions.udfs import b58decode_len, b58encode
-from tallyframe.operators.sequence import slot_chunk, with_ordinal, with_previous, with_running_mean
+from tallyframe.operators.sequence import with_ordinal, with_previous, with_running_mean
 
 rows_strategy = st.lists(
     st.tuples(st.sampled_from(["hot", "hot", "hot", "k1", "k2"]), st.integers(0, 60), st.integers(-5, 5)),
@@ -21,10 +21,10 @@ def _frame(spark, rows):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows_strategy, width=st.sampled_from([1, 3, 16, 1000]), hot=st.sampled_from([None, 0, 4, 1000]))
-def test_with_previous_equals_bruteforce(spark, rows, width, hot):
+@given(rows=rows_strategy, per_chunk=st.sampled_from([1, 3, 16, 1000]))
+def test_with_previous_equals_bruteforce(spark, rows, per_chunk):
     df, pdf = _frame(spark, rows)
-    got = with_previous(df, ["k"], ["slot", "id"], ["v"], slot_chunk("slot", width), out="p", hot_threshold=hot) \
+    got = with_previous(df, ["k"], ["slot", "id"], ["v"], out="p", rows=per_chunk) \
         .select("id", F.col("p.v").alias("pv")).toPandas().set_index("id")["pv"]
     pdf = pdf.sort_values(["k", "slot", "id"])
     want = pdf.groupby("k")["v"].shift(1)
@@ -35,12 +35,10 @@ def test_with_previous_equals_bruteforce(spark, rows, width, hot):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows=rows_strategy, width=st.sampled_from([1, 7, 1000]), hot=st.sampled_from([None, 0, 4, 1000]))
-def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, width, hot):
+@given(rows=rows_strategy, per_chunk=st.sampled_from([1, 7, 1000]))
+def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, per_chunk):
     df, pdf = _frame(spark, rows)
-    ch = slot_chunk("slot", width)
-    got = with_running_mean(with_ordinal(df, ["k"], ["slot", "id"], ch, hot_threshold=hot), ["k"], ["slot", "id"],
-                            "v", ch, hot_threshold=hot) \
+    got = with_running_mean(with_ordinal(df, ["k"], ["slot", "id"], rows=per_chunk), ["k"], ["slot", "id"], "v", rows=per_chunk) \
         .toPandas().set_index("id")
     pdf = pdf.sort_values(["k", "slot", "id"])
     pdf["ordinal"] = pdf.groupby("k").cumcount() + 1
@@ -81,9 +79,8 @@ def test_input_order_is_irrelevant(spark):
     def snap(df):
         return sorted(tuple(r) for r in df.collect())
 
-    ch = slot_chunk("slot", 16)
-    assert snap(changes.account_changes(a, chunk=ch, hot_threshold=50)) == \
-        snap(changes.account_changes(b, chunk=ch, hot_threshold=50))
+    assert snap(changes.account_changes(a, rows=50)) == \
+        snap(changes.account_changes(b, rows=50))
     assert snap(ledger.latest_per_key(a, "account_address", ["slot", "ts", "id"])) == \
         snap(ledger.latest_per_key(b, "account_address", ["slot", "ts", "id"]))
     seq = F.col("id").alias("ingest_seq")

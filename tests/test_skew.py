@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import changes
-from tallyframe.operators.sequence import CHUNK, slot_chunk
+from tallyframe.operators import changes, sequence
+from tallyframe.operators.sequence import CHUNK, with_chunk
 
 N = 30_000
 T0 = dt.datetime(2024, 1, 1)
@@ -40,14 +40,33 @@ def _bruteforce(pdf):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot_threshold", [None, 1000])
-def test_hot_key_changes_exact_and_bounded(spark, hot_threshold):
+@pytest.mark.parametrize("rows", [100, 1 << 20])
+def test_hot_key_changes_exact_and_bounded(spark, rows):
     pdf = _snapshots()
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    chunk = slot_chunk("slot", 64)
-    got = changes.account_changes(df, chunk=chunk, hot_threshold=hot_threshold)
+    got = changes.account_changes(df, rows=rows)
     assert sorted((r.account_address, r.snapshot_id, r.activity_type) for r in got.collect()) == _bruteforce(pdf)
-    # the largest window group is one (account, 64-slot chunk): at most 64 slots x 5 rows, not 10k hot rows
-    biggest = df.withColumn(CHUNK, chunk).groupBy("account_address", CHUNK).count().agg(F.max("count")).first()[0]
+    # the largest window group holds about ``rows`` rows, not the 10k of the hot key
+    biggest = with_chunk(df, ["account_address"], ["slot", "ts", "id"], rows).groupBy("account_address", CHUNK).count().agg(F.max("count")).first()[0]
     hot_rows = int((pdf["account_address"] == "hot").sum())
-    assert biggest <= 64 * 5 < hot_rows
+    assert biggest <= min(hot_rows, 2 * rows)
+
+
+def test_groups_of_chunks_are_stitched(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "CHUNKS_PER_GROUP", 3)
+    rows = [(i % 2 and "hot" or None, i // 2, i, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, slot long, id long, v double")
+    got = sequence.with_previous(df, ["k"], ["slot", "id"], ["v"], rows=4).select("id", F.col("prev.v").alias("p")).collect()
+    assert {r.id: r.p for r in got} == {i: (float(i - 2) if i > 1 else None) for i in range(200)}
+    got = sequence.with_ordinal(df, ["k"], ["slot", "id"], rows=4).collect()
+    assert {r.id: r.ordinal for r in got} == {i: i // 2 + 1 for i in range(200)}
+
+
+def test_values_need_not_follow_the_order(spark):
+    """The chunk follows the order, not the value: 0, 300, 0 are three values, and reports may go back."""
+    df = spark.createDataFrame([(1, 0), (2, 300), (3, 0), (4, 0)], "seq long, v long")
+    assert sorted(r.seq for r in changes.distinct_until_changed(df, "v", ["seq"], rows=1).collect()) == [1, 2, 3]
+    rows = [("a", i, s, s) for i, s in enumerate([100, 600, 101, 601])]
+    reports = spark.createDataFrame(rows, "source string, seq long, slot long, finalized_slot long")
+    got = changes.slot_progress(reports, order=("seq",), rows=1).orderBy("seq").collect()
+    assert [(r.slot, r.slot_delta) for r in got] == [(100, 1), (600, 500), (601, 500)]

@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyframe.operators import changes
-from tallyframe.operators.sequence import slot_chunk
 from tallyframe.session import scratch_path
 from tallyframe.streaming import streams
 
@@ -43,7 +42,7 @@ def test_account_change_stream_equals_batch_across_restart(spark):
     run()
     spark.createDataFrame(_rows(80, 120), SNAP).coalesce(1).write.mode("append").parquet(land)
     run()  # restart from the checkpoint: state carries the last state of every account
-    batch = changes.account_changes(spark.createDataFrame(_rows(0, 120), SNAP), chunk=slot_chunk("slot", 16))
+    batch = changes.account_changes(spark.createDataFrame(_rows(0, 120), SNAP), rows=16)
     assert _key(spark.read.parquet(out)) == _key(batch)
 
 
