@@ -1,6 +1,6 @@
 """Ledger-shaped views over the driver tables (FIXTURES.md §3), as DataFrames.
 
-The SQL text of the same views lives in ``plans/oracle.py``; the oracle check
+The SQL text of the same views lives in ``plans/registry.py``; the oracle check
 compares the two, so any drift shows up as a mismatch.
 """
 
@@ -102,6 +102,18 @@ class LedgerViews:
                 .unionByName(tx.select("signature", F.lit(1).alias("pos"), F.col("program_id").alias("account")))
                 .unionByName(third))
 
+    @cached_property
+    def pushed_transactions(self) -> DataFrame:
+        """Transactions as a node pushes them, each with its own account list (``tx_accounts`` gathered by signature)."""
+        ev = self.t.events
+        third = F.when(F.col("event_type") != "view", F.array(_addr(F.col("user_id") + 1))).otherwise(F.array().cast("array<string>"))
+        program = F.concat(F.lit("prog"), (_props_n() % 7).cast("string"))
+        failed = F.col("event_type") == "error"
+        return ev.select(_sig().alias("signature"), _slot_of().alias("slot"), (F.lit(5000) + F.col("event_id") % 10000).alias("fee"),
+                         F.when(failed, "failed").otherwise("success").alias("status"), program.alias("program_id"),
+                         F.concat(F.array(_addr("user_id"), program), third).alias("account_keys"),
+                         (program == "prog0").alias("is_vote"), failed.alias("failed"))
+
     @cached_property
     def activities(self) -> DataFrame:
         et = F.col("event_type")

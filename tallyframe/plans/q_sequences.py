@@ -29,7 +29,7 @@ def account_changes(v, spark, sf):
 
 @query("owner_changes", oracle_text("""
 SELECT owner, id, slot, old_value, new_value FROM (
-  SELECT owner, id, slot, CAST(lag(lamports) OVER w AS VARCHAR) || ' lamports' AS old_value,
+  SELECT owner, id, slot, lamports, CAST(lag(lamports) OVER w AS VARCHAR) || ' lamports' AS old_value,
          CAST(lamports AS VARCHAR) || ' lamports' AS new_value, lag(lamports) OVER w AS p
   FROM v_snapshots WINDOW w AS (PARTITION BY owner ORDER BY slot, ts, id))
 WHERE p IS DISTINCT FROM lamports AND old_value IS NOT NULL"""))

@@ -1,57 +1,43 @@
 """Registered queries: the streaming operators, drained with ``availableNow`` and read back.
 
-Each stream's oracle is its batch twin's SQL: the stream must produce the same rows.
+The streams read the given table itself (``Tables(streaming=True)``). Each stream's oracle is its
+batch twin's SQL: the stream must produce the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import unix_micros_ntz
-from tallyframe.plans.q_ledger import SUB_SELECT, _sub_out, subscription_input
+from tallyframe.plans.fixtures import LedgerViews
+from tallyframe.plans.q_ledger import SUB_SELECT, _sub_out
 from tallyframe.plans.q_sequences import CHANGE_COLS, DUC_SQL
 from tallyframe.plans.registry import oracle_text, query
-from tallyframe.session import scratch_path
+from tallyframe.sources.tables import Tables
 from tallyframe.streaming import streams
 
-N_BATCHES = 4
-FILES_PER_RANGE = 4
 
-
-def _landed(spark, df, name, order_col, key=None):
-    """Land ``df`` in N_BATCHES ordered ranges; each range becomes about one micro-batch."""
-    path = scratch_path(spark, f"{name}-landing")
-    files = FILES_PER_RANGE if key else 1
-    streams.land_in_order(df, path, order_col, N_BATCHES, key=key, files_per_range=files)
-    return streams.read_stream(spark, path, df.schema, files_per_trigger=files)
+def _streaming(spark, sf):
+    return LedgerViews(Tables(spark, sf, streaming=True))
 
 
 @query("stream_account_changes", oracle_text("SELECT * FROM changes", "changes"))
 def stream_account_changes(v, spark, sf):
-    """Account change detection as a stateful stream over snapshots landed in slot order."""
-    src = _landed(spark, v.snapshots, "snapshots", "slot", key="account_address")
-    return streams.run_available_now(streams.account_change_stream(src), spark, "account-changes") \
-        .select(*CHANGE_COLS)
+    """Account change detection, micro-batch by micro-batch."""
+    return streams.run_account_changes(spark, _streaming(spark, sf).snapshots).select(*CHANGE_COLS)
 
 
 @query("stream_new_signatures", oracle_text("""
 SELECT DISTINCT wallet_address AS address, transaction_signature AS signature FROM v_activities"""))
 def stream_new_signatures(v, spark, sf):
-    """R2: first sighting of every (address, signature) pair."""
-    df = v.activities.select(F.col("wallet_address").alias("address"),
-                             F.col("transaction_signature").alias("signature"), "ts", "id")
-    src = _landed(spark, df, "activities", "id", key="address")
-    return streams.run_available_now(streams.new_signature_stream(src.select("address", "signature")), spark,
-                                     "new-signatures")
+    """R2: first sighting of every (address, signature) pair, with bounded state (an event is repeated within a day, if at all)."""
+    df = _streaming(spark, sf).activities.select(F.col("wallet_address").alias("address"), F.col("transaction_signature").alias("signature"), "ts")
+    return streams.run_available_now(streams.new_signature_stream(df, watermark="1 day"), spark, "new-signatures").select("address", "signature")
 
 
 @query("stream_slots", oracle_text(DUC_SQL))
 def stream_slots(v, spark, sf):
     """The slot stream without consecutive repeats."""
-    df = v.transactions.select("signature", "slot", "ts",
-                               unix_micros_ntz("ts").alias("_ord"))
-    src = _landed(spark, df, "slot-stream", "_ord")
-    return streams.run_available_now(streams.slot_change_stream(src), spark, "slot-stream")
+    return streams.run_slot_changes(spark, _streaming(spark, sf).transactions)
 
 
 @query("stream_tx_filter", oracle_text(f"""
@@ -61,7 +47,16 @@ WHERE list_has_any(account_keys, ['prog1', 'prog2', 'prog3'])
   AND NOT is_vote AND NOT failed""", "sub_input"))
 def stream_tx_filter(v, spark, sf):
     """The subscription filter over a pushed transaction stream."""
-    src = _landed(spark, subscription_input(v), "tx-push", "slot", key="signature")
-    out = streams.filtered_tx_stream(src, include=["prog1", "prog2", "prog3"],
+    out = streams.filtered_tx_stream(_streaming(spark, sf).pushed_transactions, include=["prog1", "prog2", "prog3"],
                                      exclude=["acct00000012", "acct00000013"], vote=False, failed=False)
     return streams.run_available_now(_sub_out(out), spark, "tx-filter")
+
+
+@query("stream_batch_rate", oracle_text("""
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n, n / 3600.0 AS per_second
+FROM (SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM v_access_log GROUP BY 1)
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_access_log) - INTERVAL 1 HOUR"""))
+def stream_batch_rate(v, spark, sf):
+    """Request rate per hour, for the hours that the watermark (one hour behind) has closed."""
+    out = streams.run_available_now(streams.batch_rate_stream(_streaming(spark, sf).access_log), spark, "batch-rate")
+    return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), "n", "per_second")

@@ -19,10 +19,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 class Tables:
-    """Lazy accessor for the fixture tables of one scale-factor folder."""
+    """Lazy accessor for the fixture tables of one scale-factor folder, as tables or as file streams."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self.spark = spark
+        self.streaming = streaming
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
@@ -30,5 +31,8 @@ class Tables:
         if name not in FIXTURE_TABLES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+            path = f"{self.sf_dir}/{name}.parquet"
+            table = read_table(self.spark, path)
+            # as a pattern, so that the file source takes a table of one file as well as a folder
+            self._cache[name] = self.spark.readStream.schema(table.schema).parquet(f"{path[:-1]}[t]") if self.streaming else table
         return self._cache[name]

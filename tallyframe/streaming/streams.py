@@ -1,88 +1,41 @@
 """Structured Streaming forms of the keyed operators.
 
-* R1 ``account_change_stream``: per-account last state in the state store
-  (``applyInPandasWithState``, RocksDB provider); numpy over each key's rows
-  of one micro-batch. Batch twin: ``operators.changes.account_changes``.
-* R2 ``new_signature_stream``: keyed ``dropDuplicates`` (exact; state sharded
-  by key), or ``dropDuplicatesWithinWatermark`` for bounded state.
-* R3 ``slot_change_stream``: last emitted value per source in state.
+* R1 ``account_change_batches`` and R3 ``slot_change_batches``: ``foreachBatch`` over the batch
+  operators. A micro-batch is joined to the last states of its own keys, goes through the same
+  chunked window as a batch job, and its results and new last states are written under its batch id.
+* R2 ``new_signature_stream``: keyed ``dropDuplicatesWithinWatermark`` (bounded state), or
+  ``dropDuplicates`` without a watermark (exact, unbounded state).
 * R4 ``filtered_tx_stream``: stateless subscription filter.
+* R5 ``fresh_state_stream``: the last state per key, with event-time expiry of the state.
+* A7 ``batch_rate_stream``: rows per tumbling window, emitted once the watermark has passed it.
 
-Event time stays TIMESTAMP_NTZ and is turned into epoch microseconds with
-zone-free arithmetic; only the watermarked dedup casts to TIMESTAMP (watermarks
-reject NTZ). Results go to an exactly-once file sink (or an idempotent
-``foreachBatch``) whose checkpoint lives in the shared folder, so a lost
-executor or a restarted driver resumes from the last commit.
-Contract: states of one key arrive in order across micro-batches; a state not
-newer than the stored one is late, dropped and counted in the state.
+Event time stays TIMESTAMP_NTZ; only watermarked streams cast to TIMESTAMP (watermarks reject NTZ).
+Everything is written under the shared folder, so a lost executor or a restarted driver resumes from
+the last commit, and a retried micro-batch replaces its own folder. A row that is not newer than the
+stored state of its key is late: it goes to the ``rejects`` output, never silently away.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyframe.functions.expr import ntz_from_micros, unix_micros_ntz
+from tallyframe.operators.changes import STATE_FIELDS, account_changes, distinct_until_changed
 from tallyframe.operators.ledger import subscription_filter
-from tallyframe.schemas import ACCOUNT_CHANGE_KINDS
-from tallyframe.session import scratch_path, ship_package
-
-L, S, B = T.LongType(), T.StringType(), T.BooleanType()
-
-CHANGE_OUT = T.StructType([
-    T.StructField("account_address", S), T.StructField("block_slot", L), T.StructField("ts_us", L),
-    T.StructField("snapshot_id", L), T.StructField("activity_type", S), T.StructField("change_type", S),
-    T.StructField("old_value", S), T.StructField("new_value", S), T.StructField("lamports_change", L),
-    T.StructField("data_size_change", L)])
-
-CHANGE_STATE = T.StructType([
-    T.StructField("slot", L), T.StructField("ts_us", L), T.StructField("id", L), T.StructField("lamports", L),
-    T.StructField("data_size", L), T.StructField("owner", S), T.StructField("executable", B),
-    T.StructField("rent_epoch", L), T.StructField("late_dropped", L)])
-
-STATE_FIELDS = [field for _, _, field, _ in ACCOUNT_CHANGE_KINDS]
-ORDER = ["slot", "ts_us", "id"]
-
-
-# -- landing and running ----------------------------------------------------
-
-def land_in_order(df: DataFrame, path: str, order_col: str, n_batches: int, key: str | None = None,
-                  files_per_range: int = 1) -> str:
-    """Append ``df`` to ``path`` in ``n_batches`` ranges of ``order_col`` (one write per range, so
-    ranges land in order), the way a landing process delivers a stream. The input is computed once
-    into a staging table in the shared folder; range bounds come from an approximate quantile of it.
-
-    With ``key``, a range is hash-partitioned by key into ``files_per_range`` files: all rows of a
-    key in a range share one file, so per-key order holds across micro-batches while the write is
-    spread over tasks. Without a key, a range is one file (a single global sequence)."""
-    spark = df.sparkSession
-    staging = scratch_path(spark, "staging")
-    df.write.parquet(staging)
-    df = spark.read.parquet(staging)
-    qs = df.approxQuantile(order_col, [i / n_batches for i in range(1, n_batches)], 0.0001)
-    edges = [None, *sorted(set(qs)), None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order_col) > lo)
-        if hi is not None:
-            cond = cond & (F.col(order_col) <= hi)
-        part = df.where(cond)
-        part = part.repartition(files_per_range, key) if key else part.coalesce(1)
-        part.write.mode("append").parquet(path)
-    return path
+from tallyframe.session import scratch_path
 
+#: A stored state is written whole after this many micro-batches, so a read covers that many at most.
+COMPACT_EVERY = 64
+
+
+# -- running ------------------------------------------------------------------
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1,
                 max_bytes_per_trigger: str | None = None) -> DataFrame:
-    """File stream source. The per-trigger bounds also bound the rows one key brings to a
-    stateful group in one micro-batch, whatever the key's share of the stream."""
+    """File stream source; the per-trigger bounds bound a micro-batch."""
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if max_bytes_per_trigger:
         r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
@@ -98,6 +51,19 @@ def start_stream(stream: DataFrame, sink_path: str, checkpoint: str, processing_
     return w.start(sink_path)
 
 
+def start_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, processing_time: str | None = None):
+    """S10 for ``foreachBatch`` sinks."""
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()
+
+
+def _drained(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def idempotent_batch_writer(path: str, fmt: str = "parquet"):
     """K3: a ``foreachBatch`` function that appends each micro-batch under ``batch_id=<id>``,
     overwriting only that batch's folder, so a retried batch replaces rather than duplicates."""
@@ -109,151 +75,118 @@ def idempotent_batch_writer(path: str, fmt: str = "parquet"):
 def run_available_now(stream: DataFrame, spark: SparkSession, name: str, fmt: str = "parquet") -> DataFrame:
     """Drain everything available into an exactly-once file sink, then read the sink back."""
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    q = start_stream(stream, out, ckpt, fmt=fmt)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return spark.read.format(fmt).load(out)
+    _drained(start_stream(stream, out, ckpt, fmt=fmt))
+    return spark.read.schema(stream.schema).format(fmt).load(out)
+
+
+class BatchFolders:
+    """The folders of a ``foreachBatch`` job under ``path``: out, rejects and state, one subfolder per batch id."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write(self, df: DataFrame, what: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{what}/batch_id={batch_id}")
+
+    def read(self, spark: SparkSession, what: str, schema: T.StructType) -> DataFrame:
+        """All rows written so far; none if there was no batch yet."""
+        files = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{self.path}/{what}")
+
+    def state(self, spark: SparkSession, schema: T.StructType, batch_id: int) -> DataFrame:
+        """State rows before ``batch_id``: the last one written whole, and those after it."""
+        rows = self.read(spark, "state", schema)
+        if "batch_id" not in rows.columns:
+            return rows
+        whole = batch_id // COMPACT_EVERY * COMPACT_EVERY - 1
+        return rows.where((F.col("batch_id") >= whole) & (F.col("batch_id") < batch_id)).drop("batch_id")
+
+
+def _latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of highest order per key (of all rows without keys), by a partial aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return best.where(F.col("_r").isNotNull()).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))
+
+
+def _stateful(folders: BatchFolders, keys: Sequence[str], order: Sequence[str], run: Callable[[DataFrame], DataFrame]):
+    """A ``foreachBatch`` function: ``run`` gets the new rows after the last states of their keys (``_seed`` tells them)."""
+    keys, order = list(keys), list(order)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+        stored = folders.state(spark, batch.schema, batch_id)
+        touched = batch.select(*keys).distinct() if keys else None
+        last = _latest(stored.join(touched, keys, "left_semi") if keys else stored, keys, order)
+        ranks = last.select(*keys, F.struct(*order).alias("_last"))
+        ranked = (batch.join(ranks, keys, "left") if keys else batch.withColumn("_last", ranks.select("_last").scalar()))
+        fresh = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+        news = ranked.where(fresh).select(*columns)
+        folders.write(ranked.where(~fresh).select(*columns), "rejects", batch_id)
+        rows = last.select(*columns).withColumn("_seed", F.lit(True)).unionByName(news.withColumn("_seed", F.lit(False)))
+        folders.write(run(rows), "out", batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            folders.write(_latest(stored.unionByName(news), keys, order).select(*columns), "state", batch_id)
+        else:
+            folders.write(_latest(news, keys, order).select(*columns), "state", batch_id)
+
+    return write
 
 
 # -- R1: account change detection ---------------------------------------------
 
-def _text(v, suffix: str = "") -> str | None:
-    """Value text as Spark's cast to string gives it: integers plain, booleans lower-case."""
-    if v is None:
-        return None
-    if isinstance(v, (bool, np.bool_)):
-        return "true" if v else "false"
-    if isinstance(v, (int, np.integer)) or (isinstance(v, float) and v.is_integer()):
-        return f"{int(v)}{suffix}"
-    return f"{v}{suffix}"
-
-
-def _col(pdf: pd.DataFrame, name: str) -> np.ndarray:
-    """Column as an object array with None for nulls (integer columns with nulls arrive as float)."""
-    a = pdf[name].to_numpy()
-    if a.dtype.kind == "f":
-        out = a.astype(object)
-        out[np.isnan(a)] = None
-        return out
-    return a.astype(object)
-
-
-def _differs(new: np.ndarray, old: np.ndarray) -> np.ndarray:
-    return np.fromiter((o != n for o, n in zip(old, new)), dtype=bool, count=len(new))
-
-
-# (activity_type, change_type, field, text suffix, delta column)
-_DELTA = {"lamports": "lamports_change", "data_size": "data_size_change"}
-CHANGE_SPECS = tuple((kind, change, field, suffix, _DELTA.get(field)) for kind, change, field, suffix in ACCOUNT_CHANGE_KINDS)
-
-
-def _detect_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per account and micro-batch: order the new states, drop late ones, compare each with its
-    predecessor (the stored last state for the first one) and keep the newest state."""
-    frames = list(batches)
-    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    slot, ts, ident = (pdf[c].to_numpy(dtype=np.int64) for c in ORDER)
-    order = np.lexsort((ident, ts, slot))
-    slot, ts, ident = slot[order], ts[order], ident[order]
-    vals = {f: _col(pdf, f)[order] for f in STATE_FIELDS}
-    late, prev_row = 0, None
-    if state.exists:
-        prev_row = dict(zip([f.name for f in CHANGE_STATE.fields], state.get))
-        late = int(prev_row["late_dropped"] or 0)
-        ps, pt, pi = prev_row["slot"], prev_row["ts_us"], prev_row["id"]
-        newer = (slot > ps) | ((slot == ps) & ((ts > pt) | ((ts == pt) & (ident > pi))))
-        late += int((~newer).sum())
-        slot, ts, ident = slot[newer], ts[newer], ident[newer]
-        vals = {f: v[newer] for f, v in vals.items()}
-    n = len(slot)
-    if n == 0:
-        if prev_row is not None:
-            prev_row["late_dropped"] = late
-            state.update(tuple(prev_row[f.name] for f in CHANGE_STATE.fields))
-        return
-    parts = []
-    for kind, change, field, suffix, delta in CHANGE_SPECS:
-        new = vals[field]
-        old = np.empty(n, dtype=object)
-        old[1:] = new[:-1]
-        old[0] = prev_row[field] if prev_row is not None else None
-        mask = _differs(new, old)
-        if prev_row is None:
-            mask[0] = False
-        idx = np.flatnonzero(mask)
-        if len(idx) == 0:
-            continue
-        o, nw = old[idx], new[idx]
-        d = np.array([None if a is None or b is None else int(b) - int(a) for a, b in zip(o, nw)], dtype=object) \
-            if delta else np.zeros(len(idx), dtype=np.int64)
-        zeros = np.zeros(len(idx), dtype=np.int64)
-        parts.append({
-            "block_slot": slot[idx], "ts_us": ts[idx], "snapshot_id": ident[idx],
-            "activity_type": np.full(len(idx), kind, dtype=object), "change_type": np.full(len(idx), change, dtype=object),
-            "old_value": np.array([_text(v, suffix) for v in o], dtype=object),
-            "new_value": np.array([_text(v, suffix) for v in nw], dtype=object),
-            "lamports_change": d if delta == "lamports_change" else zeros,
-            "data_size_change": d if delta == "data_size_change" else zeros,
-        })
-    last = {f: vals[f][-1] for f in STATE_FIELDS}
-    state.update((int(slot[-1]), int(ts[-1]), int(ident[-1]),
-                  None if last["lamports"] is None else int(last["lamports"]),
-                  None if last["data_size"] is None else int(last["data_size"]),
-                  None if last["owner"] is None else str(last["owner"]),
-                  None if last["executable"] is None else bool(last["executable"]),
-                  None if last["rent_epoch"] is None else int(last["rent_epoch"]), late))
-    if parts:
-        n_out = sum(len(p["block_slot"]) for p in parts)
-        cols = {f.name: (np.full(n_out, key[0], dtype=object) if f.name == "account_address"
-                         else np.concatenate([p[f.name] for p in parts])) for f in CHANGE_OUT.fields}
-        yield pd.DataFrame(cols, copy=False)
-
-
-def account_change_stream(snapshots: DataFrame, key: str = "account_address") -> DataFrame:
-    """Streaming change detection; same rows as the batch ``account_changes``."""
-    ship_package(snapshots.sparkSession)
-    inp = snapshots.select(F.col(key).alias("account_address"), "slot",
-                           unix_micros_ntz("ts").alias("ts_us"), "id", *STATE_FIELDS)
-    out = inp.groupBy("account_address").applyInPandasWithState(
-        _detect_changes, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
-    ts = ntz_from_micros("ts_us")
-    return out.select("account_address", "block_slot", ts.alias("timestamp"), "snapshot_id", "activity_type",
-                      "change_type", "old_value", "new_value", "lamports_change", "data_size_change",
-                      F.concat_ws("_", F.lit("account_change"), F.col("account_address"),
-                                  F.col("block_slot").cast("string"),
-                                  F.floor(F.col("ts_us") / 1000000).cast("string")).alias("transaction_signature"))
+def account_change_batches(path: str, key: str = "account_address", order: Sequence[str] = ("slot", "ts", "id")):
+    """A ``foreachBatch`` function that writes the changes of each micro-batch under ``path``.
+
+    The changes are those the batch operator finds between an account's new states and its last stored
+    one. States of an account arrive in order over micro-batches; late ones go to ``rejects``."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        # only the first of an account's rows can be the stored one, and it has no predecessor here
+        return account_changes(rows.drop("_seed"), key, order)
+
+    return _stateful(BatchFolders(path), [key], order, run)
+
+
+SNAPSHOT_COLS = ("id", "account_address", *STATE_FIELDS, "slot", "ts")
+
+
+def run_account_changes(spark: SparkSession, snapshots: DataFrame, name: str = "account-changes") -> DataFrame:
+    """R1 drained: all change rows of a stream of snapshots."""
+    path, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    _drained(start_batches(snapshots.select(*SNAPSHOT_COLS), account_change_batches(path), ckpt))
+    schema = account_changes(spark.createDataFrame([], snapshots.select(*SNAPSHOT_COLS).schema)).schema
+    return BatchFolders(path).read(spark, "out", schema).select(*schema.names)
 
 
 # -- R3: distinct-until-changed slot stream ----------------------------------
 
-SLOT_OUT = T.StructType([T.StructField("source", S), T.StructField("signature", S), T.StructField("slot", L),
-                         T.StructField("ts_us", L)])
-SLOT_STATE = T.StructType([T.StructField("last_slot", L)])
+def slot_change_batches(path: str, order: Sequence[str] = ("ts", "signature"), source: Sequence[str] = ()):
+    """A ``foreachBatch`` function that writes a slot only when it differs from the one before it.
+
+    Without ``source`` the stream is one sequence, and the only thing carried over is its last row."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        return distinct_until_changed(rows, "slot", order, source).where(~F.col("_seed")).drop("_seed")
 
+    return _stateful(BatchFolders(path), source, order, run)
 
-def _slot_changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "signature"], kind="mergesort")
-    pdf = pdf.reset_index(drop=True)
-    prev = pdf["slot"].shift(1)
-    if state.exists:
-        prev.iloc[0] = state.get[0]
-    keep = prev.isna() | (pdf["slot"] != prev)
-    state.update((int(pdf["slot"].iloc[-1]),))
-    yield pdf[keep.values][[f.name for f in SLOT_OUT.fields]]
 
+def run_slot_changes(spark: SparkSession, tx: DataFrame, name: str = "slot-stream") -> DataFrame:
+    """R3 drained."""
+    path, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    tx = tx.select("signature", "slot", "ts")
+    _drained(start_batches(tx, slot_change_batches(path), ckpt))
+    return BatchFolders(path).read(spark, "out", tx.schema).select(*tx.columns)
 
-def slot_change_stream(tx: DataFrame, source: str | None = None) -> DataFrame:
-    """Emit a slot only when it differs from the last one of its source."""
-    ship_package(tx.sparkSession)
-    src = F.col(source) if source else F.lit("chain")
-    inp = tx.select(src.alias("source"), "signature", "slot", unix_micros_ntz("ts").alias("ts_us"))
-    out = inp.groupBy("source").applyInPandasWithState(_slot_changes, SLOT_OUT, SLOT_STATE, "append",
-                                                       GroupStateTimeout.NoTimeout)
-    return out.select("signature", "slot", ntz_from_micros("ts_us").alias("ts"))
 
+# -- R2, R4, R5, A7 -------------------------------------------------------------
+
+def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
-# -- R2, R4 --------------------------------------------------------------------
 
 def new_signature_stream(df: DataFrame, keys: Sequence[str] = ("address", "signature"),
                          watermark: str | None = None) -> DataFrame:
@@ -263,11 +196,25 @@ def new_signature_stream(df: DataFrame, keys: Sequence[str] = ("address", "signa
     with it, duplicates are only suppressed within the watermark delay."""
     if watermark is None:
         return df.dropDuplicates(list(keys))
-    # Watermarks need TIMESTAMP, not TIMESTAMP_NTZ; only relative delays matter here.
-    return (df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(list(keys)))
+    return _watermarked(df, "ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
 def filtered_tx_stream(df: DataFrame, **filters) -> DataFrame:
     """The subscription filter applied to a pushed transaction stream (stateless)."""
     return subscription_filter(df, **filters)
+
+
+def fresh_state_stream(df: DataFrame, key: str, columns: Sequence[str], ttl: str, ts: str = "ts", seq: str = "id") -> DataFrame:
+    """The last state per key and time-to-live window; a window's state is dropped when the watermark passes it.
+
+    Windows tile time by ``ttl``, so the state that is held covers the last two of them at most."""
+    d = _watermarked(df, ts, ttl).groupBy(F.window(ts, ttl).alias("w"), key)
+    return (d.agg(F.max_by(F.struct(ts, *columns), F.struct(ts, seq)).alias("_r"))
+            .select(key, F.col("w.end").alias("expires_after"), *(F.col("_r")[c].alias(c) for c in (ts, *columns))))
+
+
+def batch_rate_stream(df: DataFrame, width: str = "1 hour", width_s: float = 3600.0, delay: str = "1 hour", ts: str = "ts",
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Rows per tumbling window and rate per second; the streaming twin of ``metrics.batch_rate``."""
+    return (_watermarked(df, ts, delay).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", (F.col("n") / F.lit(width_s)).alias("per_second")))

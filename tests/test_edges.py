@@ -48,18 +48,18 @@ def test_null_fields_are_changes_and_batch_equals_stream(spark):
     for lo in (0, 2, 4):
         spark.createDataFrame(rows[lo:lo + 2], SNAP).coalesce(1).write.mode("append").parquet(land)
     src = streams.read_stream(spark, land, df.schema)
-    stream = streams.run_available_now(streams.account_change_stream(src), spark, "t-null-out")
+    stream = streams.run_account_changes(spark, src, "t-null-out")
     assert _key(stream) == _key(batch)
 
 
-def test_stream_drops_late_states_and_sorts_out_of_order(spark):
+def test_stream_rejects_late_states_and_sorts_out_of_order(spark):
     land = scratch_path(spark, "t-late")
     first = [_snap(3, 30, 1, 3), _snap(1, 10, 1, 1), _snap(2, 20, 1, 2)]  # out of order inside a batch
     late = [_snap(0, 99, 1, 0), _snap(4, 40, 1, 4)]                       # slot 0 arrives after slot 3
     for part in (first, late):
         spark.createDataFrame(part, SNAP).coalesce(1).write.mode("append").parquet(land)
     src = streams.read_stream(spark, land, spark.createDataFrame([], SNAP).schema)
-    got = streams.run_available_now(streams.account_change_stream(src), spark, "t-late-out")
+    got = streams.run_account_changes(spark, src, "t-late-out")
     assert sorted((r.snapshot_id, r.old_value, r.new_value) for r in got.collect()) == [
         (2, "10 lamports", "20 lamports"), (3, "20 lamports", "30 lamports"), (4, "30 lamports", "40 lamports")]
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import changes
+from tallyframe.operators import changes, metrics
 from tallyframe.session import scratch_path
 from tallyframe.streaming import streams
 
@@ -27,23 +27,49 @@ def _key(df):
                                                "new_value", "lamports_change", "data_size_change").collect())
 
 
-def test_account_change_stream_equals_batch_across_restart(spark):
-    land, out, ckpt = (scratch_path(spark, n) for n in ("t-land", "t-out", "t-ckpt"))
-    schema = spark.createDataFrame([], SNAP).schema
+def _land(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def _changes(spark, land, out, ckpt, schema):
+    """Drain what has landed; the changes and the rejected rows so far."""
+    src = streams.read_stream(spark, land, schema)
+    q = streams.start_batches(src.select(*streams.SNAPSHOT_COLS), streams.account_change_batches(out), ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/out"), spark.read.parquet(f"{out}/rejects")
 
-    def run():
-        src = streams.read_stream(spark, land, schema, files_per_trigger=1)
-        q = (streams.account_change_stream(src).writeStream.format("parquet").option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start(out))
-        q.awaitTermination()
 
+def test_account_change_stream_equals_batch_across_restart(spark, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
+    land, out, ckpt = (scratch_path(spark, n) for n in ("t-land", "t-out", "t-ckpt"))
+    schema = spark.createDataFrame([], SNAP).schema
     for lo, hi in ((0, 40), (40, 80)):
-        spark.createDataFrame(_rows(lo, hi), SNAP).coalesce(1).write.mode("append").parquet(land)
-    run()
-    spark.createDataFrame(_rows(80, 120), SNAP).coalesce(1).write.mode("append").parquet(land)
-    run()  # restart from the checkpoint: state carries the last state of every account
+        _land(spark, _rows(lo, hi), SNAP, land)
+    _changes(spark, land, out, ckpt, schema)
+    for lo, hi in ((80, 100), (100, 120)):
+        _land(spark, _rows(lo, hi), SNAP, land)
+    got, rejects = _changes(spark, land, out, ckpt, schema)  # restart from the checkpoint and the stored states
     batch = changes.account_changes(spark.createDataFrame(_rows(0, 120), SNAP), rows=16)
-    assert _key(spark.read.parquet(out)) == _key(batch)
+    assert _key(got) == _key(batch)
+    assert rejects.count() == 0
+
+
+def test_large_numbers_nulls_and_late_rows(spark):
+    """Balances beyond 2**53 stay exact beside a null, and a late state is rejected, not lost."""
+    land, out, ckpt = (scratch_path(spark, n) for n in ("t-big", "t-bigout", "t-bigckpt"))
+    big = 2 ** 53
+
+    def row(i, slot, lamports):
+        return (i, "a", lamports, 1, "o", False, 1, slot, T0 + dt.timedelta(seconds=slot))
+
+    first, second = [row(0, 1, big), row(1, 3, big + 1)], [row(2, 2, 7), row(3, 4, None), row(4, 5, big + 3)]
+    for rows in (first, second):
+        _land(spark, rows, SNAP, land)
+    got, rejects = _changes(spark, land, out, ckpt, spark.createDataFrame([], SNAP).schema)
+    in_time = [r for r in first + second if r[0] != 2]
+    assert _key(got) == _key(changes.account_changes(spark.createDataFrame(in_time, SNAP)))
+    assert [r.id for r in rejects.collect()] == [2]
+    assert f"{big + 3} lamports" in {r.new_value for r in got.collect()}
 
 
 def test_slot_stream_and_dedup(spark):
@@ -51,9 +77,9 @@ def test_slot_stream_and_dedup(spark):
     rows = [(f"s{i:03d}", i // 3, T0 + dt.timedelta(seconds=i)) for i in range(30)]
     schema = "signature string, slot long, ts timestamp_ntz"
     for lo in (0, 10, 20):
-        spark.createDataFrame(rows[lo:lo + 10], schema).coalesce(1).write.mode("append").parquet(land)
+        _land(spark, rows[lo:lo + 10], schema, land)
     src = streams.read_stream(spark, land, spark.createDataFrame([], schema).schema)
-    got = streams.run_available_now(streams.slot_change_stream(src), spark, "t-slot-out")
+    got = streams.run_slot_changes(spark, src, "t-slot-out")
     assert sorted(r.slot for r in got.collect()) == list(range(10))
     dsrc = streams.read_stream(spark, land, spark.createDataFrame([], schema).schema)
     dd = streams.run_available_now(streams.new_signature_stream(dsrc.select(F.col("slot").cast("string")
@@ -62,6 +88,27 @@ def test_slot_stream_and_dedup(spark):
     assert dd.count() == 30
 
 
+def test_rate_and_fresh_state_streams_equal_their_batch_twins(spark):
+    land = scratch_path(spark, "t-rate")
+    schema = "id long, k string, v long, ts timestamp_ntz"
+    rows = [(i, f"k{i % 3}", i, T0 + dt.timedelta(minutes=7 * i)) for i in range(60)]
+    for lo in (0, 30):
+        _land(spark, rows[lo:lo + 30], schema, land)
+    src = streams.read_stream(spark, land, spark.createDataFrame([], schema).schema)
+    got = streams.run_available_now(streams.batch_rate_stream(src), spark, "t-rate-out").collect()
+    want = metrics.batch_rate(spark.createDataFrame(rows, schema)).collect()
+    closed = {r.window_start: r.n for r in want if r.window_end <= rows[-1][3] - dt.timedelta(hours=1)}
+    assert {r.window_start.replace(tzinfo=None): r.n for r in got} == closed
+    src = streams.read_stream(spark, land, spark.createDataFrame([], schema).schema)
+    fresh = streams.run_available_now(streams.fresh_state_stream(src, "k", ["v"], "2 hours"), spark, "t-fresh-out").collect()
+    last = {}
+    for _, k, v, ts in rows:
+        w = T0 + dt.timedelta(hours=2 * ((ts - T0) // dt.timedelta(hours=2) + 1))
+        last[(k, w)] = v
+    edge = rows[-1][3] - dt.timedelta(hours=2)
+    assert {(r.k, r.expires_after.replace(tzinfo=None)): r.v for r in fresh} == {x: v for x, v in last.items() if x[1] <= edge}
+
+
 def test_signature_dedup_within_watermark(spark):
     land = scratch_path(spark, "t-wm")
     schema = "address string, signature string, ts timestamp_ntz"
