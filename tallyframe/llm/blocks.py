@@ -190,8 +190,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers."""
+    """Make this package importable in the executors' Python workers, and bound what they get at once."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
 
 
 def joined(a: bytes, b: bytes) -> bytes:

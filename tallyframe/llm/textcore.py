@@ -104,12 +104,22 @@ class Words:
         return span_hashes(self.buf, self.start, self.end)
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    up, down = _BYTE_POWERS.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[buf] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each byte span (in order of start); equal bytes give equal hashes wherever they stand.
+
+    Works through the buffer in stretches, so that its memory is a few times a stretch or the longest span."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + stretch)))
+        low, high = int(start[at]), int(end[at:to].max())
+        up, down = _BYTE_POWERS.upto(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[buf[low:high]] * up[:-1], out=total[1:])
+        a, b = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
