@@ -73,11 +73,16 @@ def name_or_default(c) -> Column:
 
 
 def content_id(payload) -> Column:
-    """'bafybeib' + base32 (RFC 4648, no padding) of the first 20 bytes of sha256(payload).
+    """'bafybeib' + base32 (RFC 4648, no padding) of the first 20 bytes of sha256(payload)."""
+    return cid_of(F.sha2(_c(payload), 256))
+
+
+def cid_of(checksum) -> Column:
+    """F11 from the hex sha256; a stored column, since it is read eight times.
 
     20 bytes = 40 hex digits = 8 groups of 5 hex digits (20 bits) = 8 x 4 base32 digits.
     """
-    h = F.sha2(_c(payload), 256)
+    h = _c(checksum)
     alphabet = F.lit(BASE32_ALPHABET)
     digits = []
     for i in range(8):
@@ -105,3 +110,40 @@ def ntz_from_micros(us) -> Column:
 def seconds_between(a, b) -> Column:
     """(b - a) in seconds as double."""
     return (unix_micros_ntz(b) - unix_micros_ntz(a)).cast("double") / F.lit(1e6)
+
+
+# Fixed value: the base-58 alphabet (no 0, O, I, l), which is in ASCII order.
+BASE58_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+ADDRESS_BYTES = 32
+
+
+def base58_number(n: int) -> str:
+    """Base-58 digits of a number ('' for 0)."""
+    out = ""
+    while n:
+        n, r = divmod(n, 58)
+        out = BASE58_ALPHABET[r] + out
+    return out
+
+
+def address_bounds() -> list[tuple[str, str]]:
+    """By number k of leading 1s: the smallest rest of a text that decodes to 32 bytes, and the first beyond."""
+    return [(base58_number(256 ** (ADDRESS_BYTES - 1 - k)), base58_number(256 ** (ADDRESS_BYTES - k))) for k in range(ADDRESS_BYTES)]
+
+
+def is_valid_address(c) -> Column:
+    """Base-58 public key: the pattern holds and the text decodes to exactly 32 bytes.
+
+    Each leading 1 is a zero byte. The rest is a number whose bytes fill up to 32 iff it lies between two
+    powers of 256; as the alphabet is in ASCII order, numbers compare as (length, text) do.
+    """
+    a = _c(c)
+    rest = F.regexp_replace(a, "^1+", "")
+    k = F.length(a) - F.length(rest)
+    low, high = (F.element_at(F.array(*(F.lit(b[i]) for b in address_bounds())), F.least(k, F.lit(ADDRESS_BYTES - 1)) + 1) for i in (0, 1))
+
+    def at_least(x, y):
+        return (F.length(x) > F.length(y)) | ((F.length(x) == F.length(y)) & (x >= y))
+
+    inside = F.when(k < ADDRESS_BYTES, at_least(rest, low) & ~at_least(rest, high)).otherwise((k == ADDRESS_BYTES) & (rest == ""))
+    return F.coalesce(a.rlike(BASE58_PATTERN) & inside, F.lit(False))

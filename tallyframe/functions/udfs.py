@@ -1,10 +1,4 @@
-"""The two Arrow-batched UDFs of the project (P19, F12): base-58 is not a Catalyst function.
-
-Both are vectorised over Arrow batches and stay small helpers. The address
-check combines a Catalyst pattern test with the exact decode in the UDF (Spark
-evaluates an extracted Python UDF for every row, so the pattern is not a
-pre-filter for it; callers that want that filter rows first).
-"""
+"""The one Arrow UDF of the ledger operators (F12): encoding bytes in base 58 needs 512-bit arithmetic that Catalyst lacks."""
 
 from __future__ import annotations
 
@@ -13,34 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.expr import BASE58_PATTERN
+from tallyframe.functions.expr import base58_number
 from tallyframe.session import ship_package
 
-# Fixed value: the base-58 alphabet (no 0, O, I, l).
-B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
-_B58_INDEX = {ch: i for i, ch in enumerate(B58)}
-
 
 def b58encode(raw: bytes) -> str:
-    n = int.from_bytes(raw, "big")
-    out = []
-    while n:
-        n, r = divmod(n, 58)
-        out.append(B58[r])
-    pad = len(raw) - len(raw.lstrip(b"\0"))
-    return "1" * pad + "".join(reversed(out))
-
-
-def b58decode_len(s: str) -> int | None:
-    """Decoded byte length of a base-58 string, None when it has a non-alphabet char."""
-    n = 0
-    for ch in s:
-        i = _B58_INDEX.get(ch)
-        if i is None:
-            return None
-        n = n * 58 + i
-    pad = len(s) - len(s.lstrip("1"))
-    return pad + (n.bit_length() + 7) // 8
+    """Base-58 text of bytes; each leading zero byte is a 1."""
+    return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + base58_number(int.from_bytes(raw, "big"))
 
 
 def base58_encode(c) -> Column:
@@ -52,14 +25,3 @@ def base58_encode(c) -> Column:
 @F.arrow_udf(T.StringType())
 def _base58_encode(col: pa.Array) -> pa.Array:
     return pa.array([None if v is None else b58encode(v) for v in col.to_pylist()], type=pa.string())
-
-
-@F.arrow_udf(T.BooleanType())
-def _decodes_to_32(col: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else b58decode_len(v) == 32 for v in col.to_pylist()], type=pa.bool_())
-
-
-def is_valid_address(c: Column) -> Column:
-    """Base-58 public key: the Catalyst pattern and the exact 32-byte decode must both hold."""
-    ship_package()
-    return F.when(c.rlike(BASE58_PATTERN), _decodes_to_32(c)).otherwise(F.lit(False))

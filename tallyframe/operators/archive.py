@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import content_id
-from tallyframe.schemas import ENVELOPE
+from tallyframe.functions.expr import cid_of
+from tallyframe.operators.maintenance import write_table
 
 MAX_BYTES = 100 * 1024 * 1024  # fixed value: 100 MiB upload limit
 
 
 def envelope(df: DataFrame, data_type: str, slot: str, ts_seconds: str, data: str,
              metadata: dict[str, str] | None = None) -> DataFrame:
-    """Typed envelope serialised to JSON bytes."""
+    """Typed envelope serialised to JSON bytes; ``data`` may be any column, a struct becomes a JSON object."""
     meta = F.create_map(*[x for k, c in (metadata or {}).items() for x in (F.lit(k), F.col(c).cast("string"))]) \
         if metadata else F.create_map().cast("map<string,string>")
     env = F.struct(F.lit(data_type).alias("data_type"), F.col(slot).cast("long").alias("slot"),
@@ -26,9 +26,10 @@ def envelope(df: DataFrame, data_type: str, slot: str, ts_seconds: str, data: st
     return df.withColumn("envelope", F.to_json(env).cast("binary"))
 
 
-def open_envelope(df: DataFrame, col: str = "envelope") -> DataFrame:
-    """JSON bytes back to the typed envelope."""
-    return df.withColumn("opened", F.from_json(F.col(col).cast("string"), ENVELOPE))
+def open_envelope(df: DataFrame, col: str = "envelope", data: str = "string") -> DataFrame:
+    """JSON bytes back to the typed envelope, its data of the given type."""
+    schema = f"data_type string, slot long, timestamp long, data {data}, metadata map<string,string>"
+    return df.withColumn("opened", F.from_json(F.col(col).cast("string"), schema))
 
 
 def split_by_size(df: DataFrame, payload: str = "payload", max_bytes: int = MAX_BYTES):
@@ -40,16 +41,22 @@ def split_by_size(df: DataFrame, payload: str = "payload", max_bytes: int = MAX_
 def manifest(df: DataFrame, payload: str = "payload", name: str = "name", mime: str = "text/plain",
              uploaded_at: str = "uploaded_at", pinned: str = "pinned") -> DataFrame:
     """C4: one manifest row per distinct content; same content -> same cid -> the latest
-    upload's metadata wins. The hash is over the uncompressed payload."""
-    rows = df.select(content_id(F.col(payload)).alias("cid"), F.col(name).alias("name"),
+    upload's metadata wins. The hash is over the uncompressed payload; it is taken once per row, and
+    the cid follows from it once per content."""
+    rows = df.select(F.sha2(F.col(payload), 256).alias("checksum"), F.col(name).alias("name"),
                      F.octet_length(F.col(payload)).cast("long").alias("original_size"),
                      F.lit(mime).alias("mime_type"), F.col(uploaded_at).cast("long").alias("uploaded_at"),
-                     F.col(pinned).alias("pinned"), F.lit(False).alias("encrypted"),
-                     F.sha2(F.col(payload), 256).alias("checksum"))
+                     F.col(pinned).alias("pinned"), F.lit(False).alias("encrypted"))
     # Upload order: uploaded_at, then name for ties; the last upload's metadata wins.
-    rest = [c for c in rows.columns if c != "cid"]
-    return (rows.groupBy("cid").agg(F.max_by(F.struct(*rest), F.struct("uploaded_at", "name")).alias("_r"))
-            .select("cid", *[F.col("_r")[c].alias(c) for c in rest]))
+    rest = [c for c in rows.columns if c != "checksum"]
+    last = rows.groupBy("checksum").agg(F.max_by(F.struct(*rest), F.struct("uploaded_at", "name")).alias("_r"))
+    return last.select(cid_of("checksum").alias("cid"), *[F.col("_r")[c].alias(c) for c in rest], "checksum")
+
+
+def store_payloads(df: DataFrame, path: str, payload: str = "payload") -> str:
+    """Distinct payloads with their checksum as gzip JSON lines."""
+    rows = df.select(F.sha2(F.col(payload), 256).alias("checksum"), F.col(payload).alias("payload"))
+    return write_table(rows.groupBy("checksum").agg(F.first("payload").alias("payload")), path, fmt="json", compression="gzip")
 
 
 def archive(df: DataFrame, max_bytes: int = MAX_BYTES, **kw):
@@ -71,8 +78,8 @@ def cleanup(man: DataFrame, now_epoch: int, days: int):
 
 def verify(man: DataFrame, stored: DataFrame, payload: str = "payload") -> DataFrame:
     """Restore each manifest entry from stored payloads and check the checksum and size."""
-    s = stored.select(content_id(F.col(payload)).alias("cid"), F.sha2(F.col(payload), 256).alias("_sum"),
-                      F.octet_length(F.col(payload)).cast("long").alias("_size")).dropDuplicates(["cid"])
+    s = (stored.groupBy(F.sha2(F.col(payload), 256).alias("_sum")).agg(F.max(F.octet_length(F.col(payload)).cast("long")).alias("_size"))
+         .select(cid_of("_sum").alias("cid"), "_sum", "_size"))
     d = man.join(s, "cid", "left")
     return d.select("cid", "name", F.col("_sum").isNotNull().alias("restored"),
                     (F.coalesce(F.col("_sum") == F.col("checksum"), F.lit(False))

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import BASE58_PATTERN, enum_or_unknown, norm_kind
+from tallyframe.functions.expr import BASE58_PATTERN, norm_kind
+from tallyframe.schemas import WALLET_ACTIVITY_TYPES
 
 
 # -- lookups ---------------------------------------------------------------
@@ -150,11 +151,6 @@ def access_counts(df: DataFrame, read: str = "accounts_read", written: str = "ac
     })
 
 
-def normalise_kind(df: DataFrame, col: str, allowed: Sequence[str]) -> DataFrame:
-    """F13."""
-    return df.withColumn(col, enum_or_unknown(col, allowed))
-
-
 # -- sort, top-k -----------------------------------------------------------
 
 def recent_slots(slots: DataFrame, limit: int = 10, finalized: bool = False) -> DataFrame:
@@ -174,14 +170,19 @@ def top_k_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Colum
 def history(activities: DataFrame, requests: DataFrame, address: str = "wallet_address", limit: int = 50,
             start=None, end=None, kind: str | None = None, ts: str = "ts", kind_col: str = "activity_type",
             ) -> DataFrame:
-    """Newest-first activity history per requested address, id tie-break (Q11)."""
+    """Newest-first activity history per requested address, id tie-break (Q11).
+
+    A kind that is not one of the known ones asks for the rows of no known kind, as 'unknown' does."""
     df = lookup(activities, requests.select(F.col(address)), address)
     if start is not None:
         df = df.where(F.to_date(F.col(ts)) >= F.lit(start).cast("date"))
     if end is not None:
         df = df.where(F.to_date(F.col(ts)) <= F.lit(end).cast("date"))
     if kind is not None:
-        df = df.where(enum_or_unknown(kind_col, [kind.upper()]) == F.lit(kind.upper()))
+        # kinds are stored in upper case, so that a known kind is a plain equality that reaches the scan
+        stored = F.col(kind_col)
+        others = [k for k in WALLET_ACTIVITY_TYPES if k != "UNKNOWN"]
+        df = df.where(stored == kind.upper()) if kind.upper() in others else df.where(stored.isNull() | ~stored.isin(others))
     if limit and limit > 0:
         df = top_k_per_key(df, address, [F.col(ts).desc(), F.col("id").desc()], limit)
     return df

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import scratch_path
-
 
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -28,10 +26,17 @@ def _pick(df: DataFrame, keys: list[str], seq: str, last: bool) -> DataFrame:
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys, seq: str = "ingest_seq") -> DataFrame:
-    """K1: last write replaces the whole row. Target rows carry lower sequence numbers
-    than any batch row; within the batch the highest ``seq`` wins."""
+    """K1: last write replaces the whole row. Any batch row is newer than the target's row of its key;
+    within the batch the highest ``seq`` wins. Only the batch is aggregated; the target is anti-joined."""
     k = _keys(keys)
-    return _pick(target.unionByName(batch), k, seq, last=True)
+    newest = _pick(batch, k, seq, last=True)
+    return target.join(newest.select(*k), k, "left_anti").unionByName(newest.select(*target.columns))
+
+
+def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
+    """K9: the target, or the seed rows when the target has none."""
+    rows = target.limit(1).select(F.count(F.lit(1))).scalar()
+    return target.unionByName(seed.select(*target.columns).where(rows == 0))
 
 
 def insert_absent(target: DataFrame, batch: DataFrame, keys, seq: str = "ingest_seq") -> DataFrame:
@@ -87,10 +92,3 @@ def write_table(df: DataFrame, path: str, mode: str = "error", partition_by: Seq
     w.save(path)
     return path
 
-
-def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Cut lineage by writing to a fresh path in the shared folder and reading it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.format(fmt).save(path)
-    return spark.read.format(fmt).load(path)

@@ -2,7 +2,7 @@
 
 All are hash aggregates with map-side partial aggregation; a hot group key
 (a request kind with a third of the rows) is combined per task before the
-shuffle. Exact percentiles are the exception: see ``latency_summary``.
+shuffle. Exact percentiles are minima over running counts of values.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import unix_micros_ntz
+from tallyframe.operators.sequence import with_running_total
 
 
 def table_stats(named: dict[str, DataFrame]) -> DataFrame:
@@ -41,17 +42,36 @@ def request_metrics(log: DataFrame, by: Sequence[str] = ("kind",), hit: str = "h
         F.avg(value).alias("mean_response_us"))
 
 
-def latency_summary(log: DataFrame, by: Sequence[str] = ("kind",), value: str = "response_us") -> DataFrame:
-    """A4/A5: mean, min, max and exact p50/p95/p99 per group.
+def value_counts(log: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows per (group, value) and, along the values of a group, the rows up to and including it (``upto``).
 
-    Exact percentiles sort each group's values; for large groups use
-    ``latency_summary_approx`` (bounded sketch, partial aggregation).
-    """
-    v = F.col(value)
-    return log.groupBy(*by).agg(
-        F.avg(v).alias("mean_us"), F.min(v).alias("min_us"), F.max(v).alias("max_us"),
-        F.percentile(v, 0.5).alias("p50_us"), F.percentile(v, 0.95).alias("p95_us"),
-        F.percentile(v, 0.99).alias("p99_us"))
+    Counting is map-side and the running total is chunked (``sequence``), so no task holds a group's values."""
+    counts = log.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return with_running_total(counts, by, [value], "n", out="upto")
+
+
+def latency_summary(log: DataFrame, by: Sequence[str] = ("kind",), value: str = "response_us",
+                    percentiles: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """A4/A5: mean, min, max and exact percentiles (interpolated between neighbours) per group.
+
+    The value at place i (from 0) is the smallest one with more than i rows up to it: a minimum, which
+    combines map-side like the other aggregates here."""
+    counts = value_counts(log, by, value)
+    v, total = F.col(value), F.col("_total")
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("_total")).withColumnsRenamed({c: f"_w_{c}" for c in by})
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    d = counts.join(whole, cond).drop(*(f"_w_{c}" for c in by))
+    places = {f"p{int(round(100 * p))}_us": (total - 1) * F.lit(float(p)) for p in percentiles}
+    at = [F.min(F.when(F.col("upto") > f(place), v)).alias(f"_{side}_{name}") for name, place in places.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    out = d.groupBy(*by).agg((F.sum(v * F.col("n")) / F.sum("n")).alias("mean_us"), F.min(v).alias("min_us"), F.max(v).alias("max_us"), F.max("_total").alias("_total"), *at)
+
+    def between(name, place):
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+    return out.select(*by, "mean_us", "min_us", "max_us", *(between(n, p) for n, p in places.items()))
 
 
 def latency_summary_approx(log: DataFrame, by: Sequence[str] = ("kind",), value: str = "response_us",
@@ -113,20 +133,21 @@ def latency_of_means(log: DataFrame, by: str = "kind", value: str = "response_us
 def block_rollup(tx: DataFrame, slots: DataFrame, confirmed_depth: int = 2, finalized_depth: int = 32,
                  vote: str = "is_vote") -> DataFrame:
     """Per block: transactions, fees, volume, votes, and the delays until the
-    block became confirmed / finalized (time of the block ``depth`` slots later)."""
-    agg = tx.groupBy("slot").agg(
-        F.count(F.lit(1)).alias("tx_count"), F.sum("fee").cast("long").alias("total_fees"),
-        F.sum("amount").alias("total_volume"), F.count_if(F.col(vote)).alias("vote_count"))
-    s = slots.select("slot", "ts")
-    later = slots.select(F.col("slot").alias("_ls"), F.col("ts").alias("_lts"))
-    conf = later.withColumnRenamed("_ls", "_cs").withColumnRenamed("_lts", "_cts")
-    fin = later.withColumnRenamed("_ls", "_fs").withColumnRenamed("_lts", "_fts")
-    d = (s.join(agg, "slot", "left")
-         .join(conf, F.col("_cs") == F.col("slot") + confirmed_depth, "left")
-         .join(fin, F.col("_fs") == F.col("slot") + finalized_depth, "left"))
-    return d.select(
-        "slot", F.coalesce("tx_count", F.lit(0).cast("long")).alias("tx_count"),
-        F.coalesce("total_fees", F.lit(0).cast("long")).alias("total_fees"),
-        "total_volume", F.coalesce("vote_count", F.lit(0).cast("long")).alias("vote_count"),
-        ((unix_micros_ntz("_cts") - unix_micros_ntz("ts")).cast("double") / 1e6).alias("confirmation_delay_s"),
-        ((unix_micros_ntz("_fts") - unix_micros_ntz("ts")).cast("double") / 1e6).alias("finalization_delay_s"))
+    block became confirmed / finalized (time of the block ``depth`` slots later).
+
+    Every block tells its time to itself and to the blocks that it confirms and finalizes, and one
+    aggregate by slot gathers times and transactions: no self-joins."""
+    none = {"ts": F.lit(None).cast("timestamp_ntz"), "n": F.lit(0).cast("long"), "fee": F.lit(None).cast("long"), "amount": F.lit(None).cast("double"), "vote": F.lit(0), "role": F.lit("tx")}
+    depths = F.array(*(F.struct(F.lit(d).cast("long").alias("depth"), F.lit(r).alias("role")) for d, r in ((0, "own"), (confirmed_depth, "confirmed"), (finalized_depth, "finalized"))))
+    times = slots.select("slot", "ts", F.inline(depths)).select((F.col("slot") - F.col("depth")).alias("slot"), *(F.col(c) if c in ("ts", "role") else none[c].alias(c) for c in none))
+    facts = tx.select("slot", *({"n": F.lit(1).cast("long"), "fee": F.col("fee").cast("long"), "amount": F.col("amount").cast("double"), "vote": F.col(vote).cast("int")}.get(c, none[c]).alias(c) for c in none))
+    at = {r: F.max(F.when(F.col("role") == r, F.col("ts"))) for r in ("own", "confirmed", "finalized")}
+    d = times.unionByName(facts).groupBy("slot").agg(
+        F.sum("n").alias("tx_count"), F.coalesce(F.sum("fee"), F.lit(0)).cast("long").alias("total_fees"), F.sum("amount").alias("total_volume"),
+        F.coalesce(F.sum("vote"), F.lit(0)).cast("long").alias("vote_count"), F.count_if(F.col("role") == "own").alias("_own"), *(c.alias(f"_{r}_ts") for r, c in at.items()))
+
+    def delay(role, name):
+        return ((unix_micros_ntz(f"_{role}_ts") - unix_micros_ntz("_own_ts")).cast("double") / 1e6).alias(name)
+
+    return d.where(F.col("_own") > 0).select("slot", "tx_count", "total_fees", "total_volume", "vote_count",
+                                              delay("confirmed", "confirmation_delay_s"), delay("finalized", "finalization_delay_s"))

@@ -122,3 +122,13 @@ def with_running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return (run.join(_sums_before(sums, keys, ["_ps", "_pc"]), [*keys, CHUNK], "left")
             .withColumn(out, F.when(total_c > 0, (F.col("_ps") + F.coalesce("_s", F.lit(0.0))) / total_c))
             .drop("_s", "_c", "_ps", "_pc", CHUNK, KEY))
+
+
+def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "running_total",
+                       rows: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Sum of ``value`` over all rows of the key up to and including this one."""
+    d, keys = with_chunk(df, keys, order, rows), _key(keys)
+    run = d.withColumn(out, F.sum(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = d.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_ps"))
+    return (run.join(_sums_before(sums, keys, ["_ps"]), [*keys, CHUNK], "left")
+            .withColumn(out, F.coalesce(out, F.lit(0)) + F.col("_ps")).drop("_ps", CHUNK, KEY))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import unix_micros_ntz
-from tallyframe.functions.udfs import base58_encode, is_valid_address
+from tallyframe.functions.expr import BASE58_PATTERN, address_bounds, is_valid_address, unix_micros_ntz
 from tallyframe.operators import maintenance
 from tallyframe.plans.registry import INGEST_TS, oracle_text, query
 from tallyframe.session import scratch_path
@@ -16,7 +15,20 @@ from tallyframe.sources import ingest
     "SELECT slot, blockhash, parent_slot, true AS finalized, ts AS timestamp FROM v_headers"))
 def ingest_headers(v, spark, sf):
     """S3: landed headers as slots rows."""
-    return ingest.ingest_headers(v.headers)
+    return ingest.ingest_headers(v.headers, INGEST_TS)
+
+
+@query("ingest_headers_fallback", oracle_text(f"""
+SELECT slot, CASE WHEN slot % 11 = 0 THEN 'unknown_blockhash' ELSE blockhash END AS blockhash,
+       CASE WHEN slot % 11 = 0 THEN greatest(slot - 1, 0) ELSE parent_slot END AS parent_slot, slot % 11 <> 0 AS finalized,
+       CASE WHEN slot % 11 = 0 OR slot % 5 = 0 THEN TIMESTAMP '{INGEST_TS}' ELSE ts END AS timestamp
+FROM v_headers"""))
+def ingest_headers_fallback(v, spark, sf):
+    """Headers of which some failed to arrive (every 11th slot) or lack a block time (every 5th)."""
+    failed = F.col("slot") % 11 == 0
+    headers = v.headers.select("slot", F.when(~failed, F.col("blockhash")).alias("blockhash"), F.when(~failed, F.col("parent_slot")).alias("parent_slot"),
+                               F.when(~failed & (F.col("slot") % 5 != 0), F.col("ts")).alias("ts"))
+    return ingest.ingest_headers(headers, INGEST_TS)
 
 
 @query("ingest_recent_slots", oracle_text(f"""
@@ -28,7 +40,7 @@ FROM (SELECT unnest(generate_series(0, (SELECT max(slot) FROM v_headers))) AS sl
 LEFT JOIN v_headers h ON h.slot = r.slot"""))
 def ingest_recent_slots(v, spark, sf):
     """Every slot from 0 to the landed tip; missing headers become placeholder rows."""
-    tip = v.headers.agg(F.max("slot")).first()[0]
+    tip = v.headers.select(F.max("slot")).scalar()
     return ingest.ingest_recent_slots(spark, v.headers, tip, tip + 1, INGEST_TS)
 
 
@@ -57,12 +69,13 @@ def raw_transactions(v):
 SELECT signature, slot, CASE WHEN program_id = 'prog6' THEN 0 ELSE fee END AS fee,
        CASE WHEN program_id <> 'prog6' AND status <> 'failed' THEN 'success' ELSE 'failed' END AS status,
        CASE WHEN program_id = 'prog5' THEN TIMESTAMP '{INGEST_TS}'
-            ELSE TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) END AS ts
+            ELSE TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) END AS ts,
+       program_id AS program_ids_text
 FROM v_transactions"""))
 def ingest_transactions(v, spark, sf):
     """Normalise raw transactions (status, fee default, block time fallback)."""
     return ingest.normalise_transactions(raw_transactions(v), INGEST_TS).select(
-        "signature", "slot", "fee", "status", "ts")
+        "signature", "slot", "fee", "status", "ts", F.array_join("program_ids", ",").alias("program_ids_text"))
 
 
 @query("flow_blocks", oracle_text("""
@@ -125,7 +138,7 @@ def upsert_slots(v, spark, sf):
     """K1: unfinalized slots upserted with landed headers (whole-row replace)."""
     target = v.slots.select("slot", "blockhash", "parent_slot", F.lit(False).alias("finalized"), "ts",
                             F.lit(0).alias("ingest_seq"))
-    batch = ingest.ingest_headers(v.headers).withColumnRenamed("timestamp", "ts").withColumn("ingest_seq", F.lit(1))
+    batch = ingest.ingest_headers(v.headers, INGEST_TS).withColumnRenamed("timestamp", "ts").withColumn("ingest_seq", F.lit(1))
     return maintenance.upsert(target, batch, "slot").select("slot", "blockhash", "parent_slot", "finalized", "ts")
 
 
@@ -181,25 +194,42 @@ def registry_remove_activities(v, spark, sf):
     return maintenance.remove_keys(v.activities, _removed(v), "wallet_address")
 
 
-# -- P19, K6 (base-58 needs the Arrow UDF: no oracle, brute-force tests instead) ---
+# -- P19, K6 ----------------------------------------------------------------
+
+# Candidate keys: the hex digits of a digest as 44 base-58 digits, of which those that begin with a zero digit are too short.
+HEX, DIGITS, KEY_CHARS = "0123456789abcdef", "123456789ABCDEFG", 44
+
+_BOUNDS = ", ".join(f"({k}, '{low}', '{high}')" for k, (low, high) in enumerate(address_bounds()))
+CANDIDATES_SQL = f"""
+candidates AS (SELECT id, name, CASE WHEN tag = 'HOUSEHOLD' THEN translate(substr(sha256(address), 1, {KEY_CHARS}), '{HEX}', '{DIGITS}') ELSE address END AS address FROM v_tracked),
+split AS (SELECT *, ltrim(address, '1') AS rest, length(address) - length(ltrim(address, '1')) AS k FROM candidates),
+bounds(k, low, high) AS (VALUES {_BOUNDS}),
+checked AS (SELECT id, name, address, regexp_matches(address, '{BASE58_PATTERN}') AND coalesce(
+    (length(rest), rest) >= (length(low), low) AND (length(rest), rest) < (length(high), high), s.k = 32 AND rest = '') AS valid
+  FROM split s LEFT JOIN bounds b ON b.k = s.k)"""
+
 
 def candidate_addresses(v):
-    """Registry candidates: HOUSEHOLD customers get a real 32-byte base-58 key, others their raw id text."""
-    key = base58_encode(F.unhex(F.sha2(F.col("address"), 256)))
+    """Registry candidates: HOUSEHOLD customers get a key-like text, others their raw id text."""
+    key = F.translate(F.substring(F.sha2("address", 256), 1, KEY_CHARS), HEX, DIGITS)
     return v.tracked.select("id", "name", F.when(F.col("tag") == "HOUSEHOLD", key).otherwise(F.col("address"))
                             .alias("address"))
 
 
-@query("valid_addresses")
+@query("valid_addresses", oracle_text("SELECT id, name, address, valid FROM checked", extra=CANDIDATES_SQL))
 def valid_addresses(v, spark, sf):
     """Candidate addresses with the base-58 public-key check."""
-    return candidate_addresses(v).withColumn("valid", is_valid_address(F.col("address")))
+    return candidate_addresses(v).withColumn("valid", is_valid_address("address"))
 
 
-@query("registry_add")
+@query("registry_add", oracle_text("""
+SELECT id, address, name, is_active, CAST(0 AS BIGINT) AS activity_count FROM v_tracked
+UNION ALL
+SELECT id + 9000000, address, name, true, 0 FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY id) AS rn FROM checked WHERE valid)
+WHERE rn = 1 AND address NOT IN (SELECT address FROM v_tracked)""", extra=CANDIDATES_SQL))
 def registry_add(v, spark, sf):
     """K6: valid new addresses registered with count 0 and active; existing addresses ignored."""
-    cand = candidate_addresses(v).withColumn("valid", is_valid_address(F.col("address")))
+    cand = candidate_addresses(v).withColumn("valid", is_valid_address("address"))
     target = v.tracked.select("id", "address", "name", "is_active", F.lit(0).cast("long").alias("activity_count"))
     batch = cand.where("valid").select((F.col("id") + 9000000).alias("id"), "address", "name",
                                        F.lit(True).alias("is_active"), F.lit(0).cast("long").alias("activity_count"),
@@ -207,16 +237,40 @@ def registry_add(v, spark, sf):
     return maintenance.insert_absent(target, batch, "address")
 
 
-@query("seed_slots", oracle_text("""
+SEED_SQL = """
 SELECT r.slot, coalesce(h.blockhash, 'unknown_blockhash') AS blockhash,
        CASE WHEN h.blockhash IS NOT NULL THEN h.parent_slot ELSE greatest(r.slot - 1, 0) END AS parent_slot,
        h.blockhash IS NOT NULL AND r.slot <= (SELECT max(slot) FROM v_headers) - 32 AS finalized
 FROM (SELECT unnest(generate_series((SELECT max(slot) FROM v_headers) - 5, (SELECT max(slot) FROM v_headers)))
       AS slot) r
-LEFT JOIN v_headers h ON h.slot = r.slot"""))
+LEFT JOIN v_headers h ON h.slot = r.slot"""
+
+
+def _seeded(v, spark, table):
+    tip = v.headers.select(F.max("slot")).scalar()
+    seed = ingest.ingest_recent_slots(spark, v.headers, tip, 6, INGEST_TS).select("slot", "blockhash", "parent_slot", "finalized")
+    return maintenance.seed_if_empty(table.select(*seed.columns), seed)
+
+
+@query("seed_slots", oracle_text(SEED_SQL))
 def seed_slots(v, spark, sf):
-    """K9: seed an empty slots table with the tip and the 5 slots before it (first write wins)."""
-    tip = v.headers.agg(F.max("slot")).first()[0]
-    seeded = ingest.ingest_recent_slots(spark, v.headers, tip, 6, INGEST_TS).withColumn("ingest_seq", F.lit(0))
-    empty = seeded.limit(0).drop("ingest_seq")
-    return maintenance.insert_absent(empty, seeded, "slot").select("slot", "blockhash", "parent_slot", "finalized")
+    """K9: seed an empty slots table with the tip and the 5 slots before it."""
+    return _seeded(v, spark, v.slots.where("slot < 0"))
+
+
+@query("seed_slots_present", oracle_text("SELECT slot, blockhash, parent_slot, finalized FROM v_slots WHERE slot % 2 = 0"))
+def seed_slots_present(v, spark, sf):
+    """K9: a slots table that has rows gets none."""
+    return _seeded(v, spark, v.slots.where("slot % 2 = 0"))
+
+
+@query("track_finalized", oracle_text("""
+SELECT slot, blockhash, parent_slot, slot <= (SELECT max(slot) FROM v_slots) - 32 AS finalized, ts FROM v_slots"""))
+def track_finalized(v, spark, sf):
+    """Slots followed at the finalized level only, and saved over the rows of a table of unfinalized slots (K1)."""
+    from tallyframe.operators import ledger
+    tip = v.slots.select(F.max("slot")).scalar()
+    columns = ["slot", "blockhash", "parent_slot", "finalized", "ts"]
+    news = ledger.commitment_levels(v.slots, tip).where(F.col("commitment") == "finalized").withColumn("finalized", F.lit(True))
+    table = v.slots.withColumn("finalized", F.lit(False)).select(*columns)
+    return maintenance.upsert(table, news.withColumn("ingest_seq", F.lit(1)).select(*columns, "ingest_seq"), "slot")

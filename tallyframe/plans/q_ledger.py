@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import expr
 from tallyframe.operators import joins, ledger
 from tallyframe.plans.registry import HOT_SINCE, SEEN_BEFORE, oracle_text, query
 
@@ -440,3 +441,65 @@ def history_export(v, spark, sf):
     hist = wallet_history(v, spark, sf).drop("ts")
     path = write_table(hist, scratch_path(spark, "history-export"), fmt="json", compression="gzip")
     return spark.read.schema(hist.schema).json(path)
+
+
+# -- T4, T7 by creation time and balance; D6 by program; scalar display helpers ---
+
+LISTING = 100
+LISTED_SQL = """
+listed AS (SELECT t.*, TIMESTAMP '2024-01-01' + to_hours(t.id % 500) AS created_at, 'prog' || (t.id % 7) AS program_id, b.balance
+           FROM v_tracked t LEFT JOIN (SELECT wallet_address, arg_max(balance, (ts, slot, id)) AS balance FROM v_balances
+                                       WHERE token_mint IS NULL GROUP BY 1) b ON b.wallet_address = t.address)"""
+
+
+def listed(v):
+    """The registry with a creation time, a program and the latest native balance."""
+    from tallyframe.operators.analytics import latest_balances
+    native = latest_balances(v.balances.where(F.col("token_mint").isNull())).select(F.col("wallet_address").alias("address"), "balance")
+    created = F.timestamp_add("HOUR", F.col("id") % 500, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return v.tracked.withColumn("created_at", created).withColumn("program_id", F.concat(F.lit("prog"), (F.col("id") % 7).cast("string"))).join(native, "address", "left")
+
+
+def first_listed(v, sort, *order):
+    """The first entries of a listing, with their place in it, so that the order itself is checked."""
+    from pyspark.sql import Window
+    top = ledger.list_registry(listed(v), sort=sort).limit(LISTING)
+    return top.select(F.row_number().over(Window.orderBy(*order, F.col("id").asc())).cast("long").alias("place"), "id", "address", "registry_status")
+
+
+@query("list_registry_created", oracle_text(f"""
+SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, address, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
+FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
+def list_registry_created(v, spark, sf):
+    """The default listing, newest entries first."""
+    return first_listed(v, "created", F.col("created_at").desc())
+
+
+@query("list_registry_balance", oracle_text(f"""
+SELECT row_number() OVER (ORDER BY balance DESC NULLS LAST, id) AS place, id, address, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
+FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
+def list_registry_balance(v, spark, sf):
+    """The entries of largest balance."""
+    return first_listed(v, "balance", F.col("balance").desc_nulls_last())
+
+
+@query("registry_by_program", oracle_text("""
+SELECT id, address, name, program_id, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status FROM listed WHERE program_id = 'prog3'""", extra=LISTED_SQL))
+def registry_by_program(v, spark, sf):
+    """Registry entries of one program."""
+    return ledger.list_registry(listed(v), sort="name", program_id="prog3").select("id", "address", "name", "program_id", "registry_status")
+
+
+@query("registry_display", oracle_text("""
+SELECT signature, CASE WHEN fee % 7 = 0 THEN 'No fee' ELSE printf('%.9f SOL', fee / 1e9) END AS fee_text,
+       substr(signature, 1, 5) || '...' || substr(signature, length(signature) - 4, 5) AS short, substr(status, 1, 4) AS head,
+       CASE WHEN slot % 3 = 0 THEN 0 ELSE 2 END AS n_tags, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown_at, strftime(ts, '%m-%d %H:%M:%S') AS shown_short,
+       CASE WHEN slot % 2 = 0 THEN 'Unnamed' ELSE payer END AS shown_name
+FROM v_transactions"""))
+def registry_display(v, spark, sf):
+    """the texts a listing shows."""
+    tags = F.when(F.col("slot") % 3 == 0, "not json").otherwise('["a", "b"]')
+    return v.transactions.select(
+        "signature", expr.fee_text(F.when(F.col("fee") % 7 == 0, F.lit(0)).otherwise(F.col("fee"))).alias("fee_text"), expr.short_address("signature", 5, 5).alias("short"),
+        expr.prefix("status", 4).alias("head"), F.size(expr.json_string_array(tags)).alias("n_tags"), expr.display_time("ts").alias("shown_at"),
+        expr.display_time("ts", short=True).alias("shown_short"), expr.name_or_default(F.when(F.col("slot") % 2 != 0, F.col("payer"))).alias("shown_name"))

@@ -258,6 +258,15 @@ def history_by_type(v, spark, sf):
     return ledger.history(v.activities, req, limit=0, kind="send")
 
 
+@query("history_unknown", oracle_text("""
+SELECT * FROM v_activities
+WHERE wallet_address IN (SELECT address FROM v_tracked WHERE is_active) AND activity_type = 'UNKNOWN'"""))
+def history_unknown(v, spark, sf):
+    """Watched wallets' activities of unknown kind."""
+    req = v.tracked.where(F.col("is_active")).select(F.col("address").alias("wallet_address"))
+    return ledger.history(v.activities, req, limit=0, kind="unknown")
+
+
 @query("latest_balances", oracle_text("""
 SELECT wallet_address, token_mint, id, balance, slot, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY wallet_address, token_mint ORDER BY ts DESC, slot DESC, id DESC) AS rn

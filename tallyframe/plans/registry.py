@@ -24,7 +24,7 @@ SEEN_BEFORE = "2024-01-15 00:00:00"
 HOT_SINCE = "2024-01-25 00:00:00"
 ARCHIVE_NOW = 1702000000
 ARCHIVE_DAYS = 10
-ARCHIVE_MAX_BYTES = 65536
+REJECT_BYTES = 16384  # archive_rejects alone, to exercise the limit; the archive itself takes 100 MiB
 
 VIEW_SQL = {
     "v_transactions": """
@@ -151,7 +151,7 @@ SELECT cid, name, original_size, mime_type, uploaded_at, pinned, encrypted, chec
   SELECT cid, name, CAST(strlen(payload) AS BIGINT) AS original_size, 'text/plain' AS mime_type,
          CAST(uploaded_at AS BIGINT) AS uploaded_at, pinned, false AS encrypted, h AS checksum,
          row_number() OVER (PARTITION BY cid ORDER BY uploaded_at DESC, name DESC) AS rn
-  FROM cids WHERE strlen(payload) <= 65536) WHERE rn = 1""",
+  FROM cids WHERE strlen(payload) <= 104857600) WHERE rn = 1""",
 }
 
 _FRAGMENT_DEPS = {"changes": ["snap_prev"], "sub_input": ["keys"], "manifest": ["cids"]}

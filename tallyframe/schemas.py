@@ -1,8 +1,8 @@
-"""Spark schemas of the stored relations and landed records."""
+"""Spark schemas of landed records, and fixed values of the ledger model."""
 
 from pyspark.sql import types as T
 
-L, S, B, D, TS = T.LongType(), T.StringType(), T.BooleanType(), T.DoubleType(), T.TimestampType()
+L, S = T.LongType(), T.StringType()
 ARR_S = T.ArrayType(T.StringType())
 
 
@@ -10,51 +10,15 @@ def _st(*fields):
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-SLOTS = _st(("slot", L, False), ("blockhash", S, False), ("parent_slot", L, True),
-            ("finalized", B, False), ("timestamp", TS, False), ("created_at", TS, True))
-
-TRANSACTIONS = _st(("signature", S, False), ("slot", L, False), ("fee", L, False), ("status", S, False),
-                   ("program_ids", ARR_S, True), ("timestamp", TS, False), ("created_at", TS, True))
-
-SLOT_LEADERS = _st(("slot", L, False), ("leader_pubkey", S, False), ("validator_name", S, True),
-                   ("created_at", TS, True))
-
-TRACKED_ACCOUNTS = _st(("id", L, False), ("address", S, False), ("name", S, True), ("created_at", TS, True),
-                       ("is_active", B, False), ("last_activity", TS, True), ("activity_count", L, False),
-                       ("notes", S, True), ("tags", ARR_S, True), ("program_id", S, True),
-                       ("balance_threshold", D, True), ("data_size_threshold", L, True))
-
-ACCOUNT_ACTIVITIES = _st(("id", L, True), ("account_address", S, False), ("activity_type", S, False),
-                         ("change_type", S, False), ("old_value", S, True), ("new_value", S, True),
-                         ("timestamp", TS, False), ("block_slot", L, False), ("lamports_change", L, False),
-                         ("data_size_change", L, False), ("details", S, True),
-                         ("transaction_signature", S, True))
-
-ACCOUNT_SNAPSHOTS = _st(("id", L, False), ("account_address", S, False), ("lamports", L, False),
-                        ("data_size", L, False), ("owner", S, False), ("executable", B, False),
-                        ("rent_epoch", L, False), ("timestamp", TS, False), ("slot", L, False))
-
 # The JSON-lines transaction log: the sample record shape.
 TX_JSONL = _st(("signature", S, True), ("slot", L, True), ("fee", L, True), ("status", S, True),
                ("programIds", ARR_S, True), ("timestamp", S, True))
 
-# A raw landed transaction before normalisation: meta is absent when the node
-# returned no metadata, err is set when the transaction failed.
-RAW_TRANSACTION = _st(("signature", S, False), ("slot", L, False),
-                      ("meta", T.StructType([T.StructField("fee", L, True), T.StructField("err", S, True)]), True),
-                      ("block_time", L, True), ("program_ids", ARR_S, True))
-
 # Second-chain latest-block response document.
 FLOW_BLOCK_DOC = T.StructType([T.StructField("result", _st(
     ("height", L, True), ("id", S, True), ("timestamp", S, True)), True)])
 
-# Archive envelope: typed payload with string metadata.
-ENVELOPE = _st(("data_type", S, False), ("slot", L, False), ("timestamp", L, False), ("data", S, True),
-               ("metadata", T.MapType(S, S), True))
-
 # Fixed values of the ledger model.
-ACCOUNT_ACTIVITY_TYPES = ("BALANCE_CHANGE", "DATA_CHANGE", "OWNER_CHANGE", "EXECUTABLE_CHANGE",
-                          "RENT_EPOCH_CHANGE", "PROGRAM_INTERACTION", "UNKNOWN")
 WALLET_ACTIVITY_TYPES = ("SEND", "RECEIVE", "SWAP", "BUY", "SELL", "STAKE", "UNSTAKE", "UNKNOWN")
 SYSTEM_PROGRAM = "11111111111111111111111111111111"
 # Account change kinds in emission order: (activity_type, change_type, state field, value text suffix).

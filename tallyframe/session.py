@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -57,26 +58,28 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _private_dir(master: str) -> str:
+    """A folder of this machine, for sessions whose tasks all run on it."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and tasks of master {master} do not share this machine's folders: "
+                           "set it to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallyframe-ckpt-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs and tests) a
-    private folder under the system temp dir is created and registered.
+    Read from the session. Where it is unset, a private folder is made for a local master, as in
+    tests; on any other master that is an error, since each executor would write to its own disk.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
         sc = None
     if sc is None:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-        return d or tempfile.mkdtemp(prefix="tallyframe-ckpt-")
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf_dir = sc.getConf().get("spark.checkpoint.dir")
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
-    sc.setCheckpointDir(conf_dir)
+        return spark.conf.get("spark.checkpoint.dir", None) or _private_dir(spark.conf.get("spark.master", ""))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _private_dir(sc.master))
     return sc.getCheckpointDir()
 
 
@@ -113,11 +116,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for APIs that want a plain local path."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def default_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

@@ -5,7 +5,7 @@ normalise records a connector has already landed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import UNKNOWN_BLOCKHASH, ntz_from_micros
@@ -27,21 +27,31 @@ def to_tx_jsonl(tx: DataFrame) -> DataFrame:
                      F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"))
 
 
-def ingest_headers(headers: DataFrame) -> DataFrame:
-    """S3: landed block headers -> slots rows; the reference forces finalized = true here."""
-    return headers.select("slot", "blockhash", "parent_slot", F.lit(True).alias("finalized"),
-                          F.col("ts").alias("timestamp"))
+def ingest_headers(headers: DataFrame, ingest_ts: str) -> DataFrame:
+    """Landed block headers -> slots rows, finalized. A header without block time gets the ingest
+    time; a header that failed to arrive (no blockhash) becomes a placeholder that is not finalized."""
+    failed = F.col("blockhash").isNull()
+    return headers.select("slot", F.coalesce("blockhash", F.lit(UNKNOWN_BLOCKHASH)).alias("blockhash"),
+                          F.when(failed, F.greatest(F.col("slot") - 1, F.lit(0))).otherwise(F.col("parent_slot")).alias("parent_slot"),
+                          (~failed).alias("finalized"), F.coalesce("ts", F.lit(ingest_ts).cast("timestamp_ntz")).alias("timestamp"))
 
 
-def ingest_recent_slots(spark: SparkSession, headers: DataFrame, tip: int, count: int, ingest_ts: str,
+def slot_range(spark: SparkSession, low, high, step: int = 65_536) -> DataFrame:
+    """Slots low..high (columns, such as scalar subqueries), generated stretch by stretch over tasks."""
+    starts = spark.range(1).select(F.explode(F.sequence(F.floor(low / step).cast("long"), F.floor(high / step).cast("long"))).alias("part"))
+    slots = starts.repartition("part").select(F.explode(F.sequence(F.col("part") * step, F.col("part") * step + step - 1)).alias("slot"))
+    return slots.where((F.col("slot") >= low) & (F.col("slot") <= high))
+
+
+def ingest_recent_slots(spark: SparkSession, headers: DataFrame, tip, count, ingest_ts: str,
                         finalized_depth: int = 32) -> DataFrame:
     """Slots tip, tip-1, ..., tip-count+1 (floored at 0, distinct); a missing header becomes a
     placeholder row (unknown blockhash, parent = slot-1 floored at 0, not finalized, ingest time).
 
-    The id range is generated by ``spark.range`` across tasks, never as one exploded array.
+    ``tip`` and ``count`` are numbers or columns (a scalar subquery).
     """
-    lo = max(tip - count + 1, 0)
-    ids = spark.range(lo, tip + 1).select(F.col("id").alias("slot"))
+    tip = tip if isinstance(tip, Column) else F.lit(tip)
+    ids = slot_range(spark, F.greatest(tip - count + 1, F.lit(0)), tip)
     h = headers.select("slot", "blockhash", "parent_slot", F.col("ts").alias("_hts"))
     d = ids.join(h, "slot", "left")
     found = F.col("blockhash").isNotNull()
@@ -49,7 +59,7 @@ def ingest_recent_slots(spark: SparkSession, headers: DataFrame, tip: int, count
         "slot",
         F.coalesce("blockhash", F.lit(UNKNOWN_BLOCKHASH)).alias("blockhash"),
         F.when(found, F.col("parent_slot")).otherwise(F.greatest(F.col("slot") - 1, F.lit(0))).alias("parent_slot"),
-        (found & (F.col("slot") <= F.lit(tip - finalized_depth))).alias("finalized"),
+        (found & (F.col("slot") <= tip - F.lit(finalized_depth))).alias("finalized"),
         F.coalesce("_hts", F.lit(ingest_ts).cast("timestamp_ntz")).alias("timestamp"))
 
 

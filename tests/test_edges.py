@@ -121,3 +121,46 @@ def test_activity_filter_all_and_underscores(spark):
     assert ledger.activity_filter(df, ["all"]).count() == 2
     assert [r.activity_type for r in ledger.activity_filter(df, ["balancechange"]).collect()] == ["BALANCE_CHANGE"]
     assert ledger.activity_filter(df.where(F.lit(False)), ["owner_change"]).count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import pytest
+
+    from tallyframe.session import _private_dir
+    assert _private_dir("local[4]") and _private_dir("local")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            _private_dir(master)
+
+
+def test_archive_limit_rejects_and_counts(spark):
+    from tallyframe.operators import archive
+    df = spark.createDataFrame([("a", "x" * 10, 1, False), ("b", "x" * 11, 2, False)], "name string, payload string, uploaded_at long, pinned boolean")
+    man, rejected = archive.archive(df, max_bytes=10)
+    assert [r.name for r in man.collect()] == ["a"] and [r.name for r in rejected.collect()] == ["b"]
+    assert archive.MAX_BYTES == 100 * 1024 * 1024
+
+
+def test_history_of_unknown_kind(spark):
+    df = spark.createDataFrame([(1, "w", "SEND", T0), (2, "w", "UNKNOWN", T0), (3, "w", "odd", T0), (4, "w", None, T0)],
+                               "id long, wallet_address string, activity_type string, ts timestamp_ntz")
+    req = df.select("wallet_address").distinct()
+    assert sorted(r.id for r in ledger.history(df, req, limit=0, kind="unknown").collect()) == [2, 3, 4]
+    assert [r.id for r in ledger.history(df, req, limit=0, kind="send").collect()] == [1]
+
+
+def test_seed_only_when_empty(spark):
+    rows, seed = (spark.createDataFrame([(k,)], "k long") for k in (1, 2))
+    assert [r.k for r in maintenance.seed_if_empty(rows.limit(0), seed).collect()] == [2]
+    assert [r.k for r in maintenance.seed_if_empty(rows, seed).collect()] == [1]
+
+
+def test_percentiles_interpolate_like_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(k, int(x)) for k in ("a", "b", None) for x in rng.integers(0, 50, {"a": 1, "b": 40}.get(k, 333))] + [("a", None)]
+    got = metrics.latency_summary(spark.createDataFrame(rows, "kind string, response_us long")).collect()
+    for r in got:
+        x = [v for k, v in rows if k == r.kind and v is not None]
+        assert np.allclose([r.mean_us, r.min_us, r.max_us, r.p50_us, r.p95_us, r.p99_us], [np.mean(x), min(x), max(x), *np.percentile(x, [50, 95, 99])])
+    assert len(got) == 3

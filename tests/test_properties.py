@@ -6,7 +6,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyframe.functions.udfs import b58decode_len, b58encode
 from tallyframe.operators.sequence import with_ordinal, with_previous, with_running_mean
 
 rows_strategy = st.lists(
@@ -48,19 +47,10 @@ def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, per_chunk):
         assert abs(got.loc[r.id, "running_mean"] - r.rm) < 1e-9
 
 
-@given(st.binary(min_size=0, max_size=40))
-def test_base58_roundtrip_length(raw):
-    s = b58encode(raw)
-    assert b58decode_len(s) == len(raw) or (raw == b"" and s == "")
-
-
-def test_valid_address_udf(spark):
-    from tallyframe.functions.udfs import base58_encode, is_valid_address
-    df = spark.createDataFrame([(bytes(range(32)),), (b"\x01" * 31,)], "raw binary")
-    enc = df.select(base58_encode("raw").alias("a"))
-    cands = enc.union(spark.createDataFrame([("acct00000001",), ("1" * 44,)], "a string"))
-    got = [r.ok for r in cands.select(is_valid_address(F.col("a")).alias("ok")).collect()]
-    assert got == [True, False, False, False]
+def test_base58_encode(spark):
+    from tallyframe.functions.udfs import base58_encode
+    df = spark.createDataFrame([(b"\0\0\x01",), (b"hello",), (None,)], "raw binary")
+    assert [r.a for r in df.select(base58_encode("raw").alias("a")).collect()] == ["112", "Cn8eVZg", None]
 
 
 def test_input_order_is_irrelevant(spark):
