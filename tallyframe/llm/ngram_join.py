@@ -6,14 +6,17 @@ Two documents link when the Jaccard similarity of their shingle sets is ``THRESH
   sketched under its own band and, for partners of smaller size, under the band below.
 * A sketch under a band has m words; each shingle is XORed into the word its hash chooses, so a
   shingle of the symmetric difference changes one word at most, and the number of differing words
-  is a lower bound of the symmetric difference, which is d or less for a link in that band. With m
-  over d, linked sets agree in some word (pigeonhole).
-* That word must not be an empty one. It is not if either set fills more than d words. A set that
-  doesn't is sketched again with the next salt, until it does: of two linked sets both are present
-  at the first salt at which one of them fills enough words, so no link is lost.
+  is a lower bound of the symmetric difference, which is d or less for a link in that band. A set that
+  fills more than d words therefore agrees with each partner in one of them (pigeonhole).
+* If more than d words hold two shingles or more, only those are joined on: single shingles of
+  passages that many documents share make no candidates then. Otherwise all filled words are, and a
+  set that fills d words or fewer is sketched again with the next salt, until it fills more. Of two
+  linked sets one has the fewest salts; under its last one both are present, so no link is lost.
 * Sketch words are dealt out by hash ranges; the sets that share a word are paired with the one of
-  smallest id, and the pairs are verified on their texts. Sets in one group of sharers that end up in
-  different components are then paired with each other, so the components are those of all links.
+  smallest id. A pair is dropped if the Hamming distance of two short parity sketches of one bit per
+  shingle, again a lower bound, is over d, and is verified on the texts otherwise.
+* Sets that share a word but end up in different components are then compared with each other, sketch
+  by sketch in blocks, and what may be a link is verified, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .textcore import LOWER, Words, chunks, mix, range_hashes, signed, text_buff
 
 SHINGLE = 5
 THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
+#: Rows of one group that a task compares with as many others.
+GROUP_ROWS = 4096
 
 
 class Bands:
@@ -53,7 +58,7 @@ class Bands:
         """(words m, largest symmetric difference d) of a band of the smaller set."""
         top = int(self.edges[band + 1]) - 1
         d = (top + self.largest(top)) * (self.den - self.num) // (self.den + self.num)
-        return d + 1 + d // 20, d
+        return d + 1 + 2 * (d + 1) // 5 if d else 1, d
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +123,41 @@ def sketch_words(values: np.ndarray, first: np.ndarray, rows: np.ndarray, bands:
         at = np.flatnonzero(np.diff(slot, prepend=-1))
         parity = np.bitwise_xor.reduceat(mix(v[order] + np.uint64(7)), at) if len(at) else np.zeros(0, np.uint64)
         mine = item[order[at]]
+        filled, twice = np.bincount(mine, minlength=len(rows)), np.diff(np.append(at, len(slot))) > 1
+        enough = np.bincount(mine, twice, len(rows)) > d
+        use = twice | ~enough[mine]
         place = (band[mine].astype(np.uint64) << np.uint64(48)) + (np.uint64(salt) << np.uint64(40)) + word[order[at]].astype(np.uint64)
-        keys.append(mix(parity ^ mix(place)))
-        owners.append(rows[mine])
-        again = np.bincount(mine, minlength=len(rows)) <= d
+        keys.append(mix(parity ^ mix(place))[use])
+        owners.append(rows[mine[use]])
+        again = filled <= d
         rows, band, salt = rows[again], band[again], salt + 1
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def parity_sketches(values: np.ndarray, first: np.ndarray, band: np.ndarray, bands: Bands) -> list[bytes]:
+    """A parity bit sketch of every set under the given bands (below 0: none), of about four bits per allowed difference."""
+    d = {int(b): bands.spread(int(b))[1] for b in np.unique(band) if b >= 0}
+    size = np.array([64 * (-(-4 * (d[b] + 1) // 64)) if b >= 0 else 0 for b in band.tolist()], np.int64)
+    n = np.where(size > 0, np.diff(first), 0)
+    item = np.repeat(np.arange(len(n)), n)
+    v = values[np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    slot = (mix(v ^ np.uint64(0x5DEECE66D)) % size[item].astype(np.uint64)).astype(np.int64) + (np.cumsum(size) - size)[item]
+    raw = np.packbits((np.bincount(slot, minlength=int(size.sum())) & 1).astype(np.uint8)).tobytes()
+    end = np.cumsum(size) // 8
+    return [raw[a:b] for a, b in zip((end - size // 8).tolist(), end.tolist(), strict=True)]
+
+
+def may_link(bands: Bands, n_a: int, own_a: bytes, low_a: bytes, n_b: int, own_b: bytes, low_b: bytes) -> bool:
+    """Whether sizes and sketches of two sets leave a link possible."""
+    if n_a > n_b:
+        n_a, own_a, low_a, n_b, own_b, low_b = n_b, own_b, low_b, n_a, own_a, low_a
+    if not n_a or n_b > bands.largest(n_a):
+        return False
+    band_a, band_b = bands.of(np.array([n_a, n_b])).tolist()
+    other = own_b if band_a == band_b else low_b
+    return (int.from_bytes(own_a) ^ int.from_bytes(other)).bit_count() <= bands.spread(band_a)[1]
+
+
 def _ask(df: DataFrame, text: str, key: str, bands: Bands, n_shards: int) -> DataFrame:
     def run(batches):
         for block, batch in cut(batches, text):
@@ -165,14 +197,23 @@ def _sharers(questions: DataFrame) -> DataFrame:
     return questions.groupBy("shard").applyInArrow(run, "group long, doc long, lead long")
 
 
+SKETCHED = ("n", "one", "two", "own", "low")
+
+
 def _verified(spark: SparkSession, df: DataFrame, sets: DataFrame, pairs: DataFrame, text: str, key: str, bands: Bands) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: by digest if equal, else by their texts."""
+    """The pairs (a, b) whose sets are similar enough: by digest if equal, else by their sketches and then their texts."""
     num, den = bands.num, bands.den
-    pairs = (pairs.join(sets.selectExpr("doc as a", "n as n_a", "one as one_a", "two as two_a"), "a")
-             .join(sets.selectExpr("doc as b", "n as n_b", "one as one_b", "two as two_b"), "b")
-             .filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
-             .select("a", "b", ((F.col("n_a") == F.col("n_b")) & (F.col("one_a") == F.col("one_b")) & (F.col("two_a") == F.col("two_b"))).alias("equal")))
-    pairs = written(spark, pairs, "pairs")
+    both_sets = pairs.join(sets.select(F.col("doc").alias("a"), *(F.col(c).alias(f"{c}_a") for c in SKETCHED)), "a") \
+        .join(sets.select(F.col("doc").alias("b"), *(F.col(c).alias(f"{c}_b") for c in SKETCHED)), "b")
+
+    def sift(batches):
+        for batch in batches:
+            c = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            equal = [x == y for x, y in zip(zip(c["n_a"], c["one_a"], c["two_a"], strict=True), zip(c["n_b"], c["one_b"], c["two_b"], strict=True), strict=True)]
+            keep = [e or may_link(bands, *row) for e, *row in zip(equal, c["n_a"], c["own_a"], c["low_a"], c["n_b"], c["own_b"], c["low_b"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal, pa.bool_())], ["a", "b", "equal"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(spark, both_sets.mapInArrow(sift, "a long, b long, equal boolean"), "pairs")
     open_pairs = pairs.filter(~F.col("equal")).select("a", "b").distinct()
     wanted = written(spark, open_pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     texts = written(spark, df.select(F.col(key).alias("doc"), F.col(text).alias("body")).join(wanted, "doc", "left_semi"), "texts")
@@ -193,6 +234,38 @@ def _verified(spark: SparkSession, df: DataFrame, sets: DataFrame, pairs: DataFr
     return written(spark, pairs.filter("equal").select("a", "b").unionByName(both.mapInArrow(check, "a long, b long")), "verified")
 
 
+def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of one group and different components that sketches leave possible; large groups in blocks by blocks."""
+    pieces = written(spark, left.groupBy("group").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("pieces")).filter("pieces > 1"), "large_groups")
+    n = F.coalesce("pieces", F.lit(1))
+    rows = (left.join(pieces, "group", "left").withColumn("piece", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .select("group", "doc", "component", "piece", F.least("piece", "other").alias("low_piece"), F.greatest("piece", "other").alias("high_piece")))
+    rows = rows.join(sets.select("doc", "n", "own", "low").dropDuplicates(["doc"]), "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, component, size, piece = (table.column(c).to_numpy() for c in ("doc", "component", "n", "piece"))
+        crossed = table.column("low_piece")[0].as_py() != table.column("high_piece")[0].as_py()
+        own, low = table.column("own").to_pylist(), table.column("low").to_pylist()
+        band = bands.of(size)
+        found = [np.zeros((0, 2), np.int64)]
+        for b in np.unique(band).tolist():
+            ours, above = np.flatnonzero(band == b), np.flatnonzero(band == b + 1)
+            all_rows = np.concatenate([ours, above])
+            bits = np.stack([np.frombuffer(own[i], np.uint64) for i in ours.tolist()] + [np.frombuffer(low[i], np.uint64) for i in above.tolist()])
+            d = bands.spread(b)[1]
+            for at, i in enumerate(ours.tolist()):
+                rest = all_rows[at + 1:]
+                near = (np.bitwise_count(bits[at + 1:] ^ bits[at]).sum(1) <= d) & (component[rest] != component[i]) & (np.maximum(size[rest], size[i]) * bands.num <= np.minimum(size[rest], size[i]) * bands.den)
+                if crossed:
+                    near &= piece[rest] != piece[i]
+                hit = rest[near]
+                found.append(np.stack([np.minimum(doc[i], doc[hit]), np.maximum(doc[i], doc[hit])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("group", "low_piece", "high_piece").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(key, ``n_shingles``, ``component_id``) for every row of ``df``.
 
@@ -209,10 +282,14 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
 
     def measure(batches):
         for _, batch in cut(batches, text):
-            ids, _, first, one, two, lead = _block_sets(batch, text, key)
-            yield pa.RecordBatch.from_pydict({"doc": batch.column(key), "n": np.diff(first), "one": signed(one), "two": signed(two), "lead": pa.array(ids[lead], from_pandas=True).cast(pa.int64())})
-
-    sets = written(spark, known.mapInArrow(measure, "doc long, n long, one long, two long, lead long"), "sets")
+            ids, values, first, one, two, lead = _block_sets(batch, text, key)
+            n = np.diff(first)
+            band = np.where(n > 0, bands.of(np.maximum(n, 1)), -1)
+            own, low = (parity_sketches(values, first, x, bands) for x in (band, band - 1))
+            yield pa.RecordBatch.from_pydict({"doc": batch.column(key), "n": n, "one": signed(one), "two": signed(two), "own": pa.array(own, pa.binary()), "low": pa.array(low, pa.binary()),
+                                              "lead": pa.array(ids[lead], pa.int64())})
+
+    sets = written(spark, known.mapInArrow(measure, "doc long, n long, one long, two long, own binary, low binary, lead long"), "sets")
     groups = written(spark, _sharers(_ask(known, text, key, bands, n_shards)).distinct(), "sharers")
     copies = sets.filter((F.col("doc") != F.col("lead")) & (F.col("n") > 0)).selectExpr("lead as a", "doc as b")
     first_pairs = written(spark, groups.filter(F.col("doc") != F.col("lead")).selectExpr("lead as a", "doc as b").distinct(), "candidates")
@@ -224,9 +301,7 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     split = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("group")
     left = written(spark, placed.join(split, "group", "left_semi"), "split")
     if not left.isEmpty():
-        more = (left.selectExpr("group", "doc as a", "component as of_a").join(left.selectExpr("group", "doc as b", "component as of_b"), "group")
-                .filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(first_pairs, ["a", "b"], "left_anti"))
+        more = _across(spark, left, sets, bands).join(first_pairs, ["a", "b"], "left_anti")
         found = components(spark, links.unionByName(_verified(spark, known, sets, more, text, key, bands)))
     counted = sets.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"))
     if df.filter(F.col(key).isNull()).isEmpty():
