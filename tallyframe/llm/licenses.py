@@ -1,7 +1,7 @@
 """License scan by a positional rare-token index (operator 4), in Spark expressions only.
 
-Every template is indexed under its words of highest corpus IDF, with their positions in it. A file's
-words are looked up in that index; each posting proposes a start, proposals of one template are
+Every template is indexed under the words of highest corpus IDF in its mandatory key phrase, with
+their positions in the template. A file's words are looked up in that index; each posting proposes a start, proposals of one template are
 intersected by that start, the mandatory key phrase is verified word by word, and the rest of the
 template is scored by the IDF mass that stands where it should. The index and the document
 frequencies are one small row, read as a scalar subquery; files are not shuffled.
@@ -38,7 +38,7 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution and use in source and binary forms"),
     Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
 )
-#: Words a template is indexed under.
+#: Words of its mandatory phrase that a template is indexed under.
 KEYS = 2
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,6 +52,11 @@ def phrase_at(t: Template) -> int:
     return next(i for i in range(len(words)) if words[i: i + len(phrase)] == phrase)
 
 
+def in_phrase(t: Template, rel: int) -> bool:
+    """Whether the word at a place of a template belongs to its mandatory phrase."""
+    return phrase_at(t) <= rel < phrase_at(t) + len(t.phrase.split())
+
+
 def rare_token_index(df: DataFrame, text: str, templates: tuple[Template, ...]) -> Column:
     """One struct: ``keys`` (word -> postings (template, position)) and ``idf`` (word -> weight), by all documents of ``df``."""
     vocabulary = sorted({w for t in templates for w in t.words.split()})
@@ -59,11 +64,12 @@ def rare_token_index(df: DataFrame, text: str, templates: tuple[Template, ...])
     # every word of the vocabulary has a row, with the number of documents that hold it
     counts = present.select(F.explode(F.concat(F.col("present"), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     n = counts.agg(F.max(F.when(F.col("word") == "", F.col("df")))).scalar()
-    slots = [F.struct(F.lit(i).alias("template"), F.lit(r).alias("rel"), F.lit(w).alias("word")) for i, t in enumerate(templates) for r, w in enumerate(t.words.split())]
+    slots = [F.struct(F.lit(i).alias("template"), F.lit(r).alias("rel"), F.lit(w).alias("word"), F.lit(in_phrase(t, r)).alias("mandatory"))
+             for i, t in enumerate(templates) for r, w in enumerate(t.words.split())]
     table = df.sparkSession.range(1).select(F.inline(F.array(*slots)))
-    weighed = table.join(counts, "word", "left").select("template", "rel", "word", (F.log((F.coalesce(n, F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
+    weighed = table.join(counts, "word", "left").select("template", "rel", "word", "mandatory", (F.log((F.coalesce(n, F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
     idf = weighed.agg(F.map_from_entries(F.collect_set(F.struct("word", "idf"))).alias("idf"))
-    ranked = (weighed.groupBy("template").agg(F.array_sort(F.collect_list(F.struct((-F.round("idf", 9)).alias("low"), "rel", "word"))).alias("ranked"))
+    ranked = (weighed.filter("mandatory").groupBy("template").agg(F.array_sort(F.collect_list(F.struct((-F.round("idf", 9)).alias("low"), "rel", "word"))).alias("ranked"))
               .select("template", F.explode(F.slice("ranked", 1, KEYS)).alias("key")))
     keys = (ranked.groupBy(F.col("key.word").alias("word")).agg(F.array_sort(F.collect_list(F.struct("template", F.col("key.rel").alias("rel")))).alias("postings"))
             .agg(F.map_from_entries(F.collect_list(F.struct("word", "postings"))).alias("keys")))

@@ -38,7 +38,7 @@ def thresholds(mean: Column) -> Column:
 def source_rates(df: DataFrame, weights: dict[str, float] | None, total: float | None, temperature: float, source: str, text: str) -> DataFrame:
     """(source, size, share, rate): rate is what one document of the source is repeated on average.
 
-    Sizes are characters. ``weights`` are target shares of all characters, scaled to 1; a source that
+    Sizes are characters. ``weights`` are target shares, scaled to 1 over the sources there are; a source that
     it does not name gets none. Without ``weights``, shares are sizes to the power of ``temperature``.
     ``total`` is the number of characters wanted, as many as there are by default. A source of no characters keeps rate 0.
     """

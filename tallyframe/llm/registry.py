@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_chats
 from .embedding_dedup import near_vectors
-from .licenses import DELIMITERS, KEYS, TEMPLATES, phrase_at, scan_licenses
+from .licenses import DELIMITERS, KEYS, TEMPLATES, in_phrase, scan_licenses
 from .mixing import mix_sources
 from .mtree import top_k
 from .ngram_join import near_groups
@@ -108,7 +108,7 @@ SELECT doc_id, source, copy::INTEGER AS copy, md5('order 42|' || coalesce(doc_id
 FROM (SELECT *, unnest(range(0, n::BIGINT)) AS copy FROM draws)
 """
 
-_SLOTS = ", ".join(f"({i}, '{t.label}', {t.base}, {r}, '{w}', {phrase_at(t) <= r < phrase_at(t) + len(t.phrase.split())})"
+_SLOTS = ", ".join(f"({i}, '{t.label}', {t.base}, {r}, '{w}', {in_phrase(t, r)})"
                    for i, t in enumerate(TEMPLATES) for r, w in enumerate(t.words.split()))
 ORACLE_LICENSES = f"""
 WITH w0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{DELIMITERS}'), lambda w: w <> '') AS ws FROM documents),
@@ -116,7 +116,7 @@ w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM w
 t(template, label, base, rel, word, key_phrase) AS (VALUES {_SLOTS}),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM t) GROUP BY 1),
 weighed AS (SELECT t.*, ln((SELECT count(*) FROM documents) + 1) - ln(coalesce(df, 0) + 1) + 1 AS idf FROM t LEFT JOIN df USING (word)),
-keyed AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY round(idf, 9) DESC, rel) <= {KEYS} AS is_key FROM weighed),
+keyed AS (SELECT *, key_phrase AND row_number() OVER (PARTITION BY template, key_phrase ORDER BY round(idf, 9) DESC, rel) <= {KEYS} AS is_key FROM weighed),
 proposed AS (SELECT DISTINCT w.doc_id, k.template, w.pos - k.rel AS start FROM w JOIN keyed k ON w.word = k.word AND k.is_key WHERE w.pos >= k.rel),
 examined AS (SELECT p.doc_id, p.start, p.template, any_value(k.label) AS label, bool_or(k.base) AS base,
     bool_and(CASE WHEN k.key_phrase THEN w.word IS NOT NULL ELSE true END) AS verified,

@@ -69,7 +69,7 @@ class Model(NamedTuple):
 
 def restored(word: bytes, cost: np.ndarray) -> bytes:
     """The likeliest reading of a disguised word: Viterbi over its lattice, a state being the last two symbols."""
-    word = word.strip(b".,;:?\"()[]{}#&%")
+    word = word.lstrip(b".,;:?\"([{#&%").rstrip(b".,;:?\")]}#&%!")
     states = {(0, 0): (0.0, b"")}
     for at, byte in enumerate(word):
         sign = chr(byte)
