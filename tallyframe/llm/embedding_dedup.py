@@ -12,19 +12,21 @@ links are counted without listing pairs. Equal vectors are collapsed first, and
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import prepare, written
 from .links import components
 from .textcore import mix, signed
 
 THRESHOLD = 0.93
-TABLES = 8
-PROBES = 6
+TABLES = 6
+PROBES = 4
 BUCKET_MEAN = 64
 BUCKET_ROWS = 2048
 
@@ -70,12 +72,17 @@ def codes(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
     return out
 
 
-def _compare(rows: dict[str, np.ndarray], table: int, threshold: float, shape: tuple[int, int]):
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, whatever their magnitude."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _compare(rows: dict[str, np.ndarray], table: int, threshold: float, shape: tuple[int, int], kind: type):
     """Of one bucket piece: (vector, links counted here, smallest vector it is tied to here)."""
     member, split, low, high = rows["member"], rows["split"], rows["low"][0], rows["high"][0]
     n = len(member)
-    x = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"]])
-    x = x / np.linalg.norm(x, axis=1)[:, None]
+    x = units(np.stack([np.frombuffer(v, kind) for v in rows["vector"]]).astype(np.float64))
     c = np.stack([np.frombuffer(v, np.int32).reshape(shape) for v in rows["codes"]])
     ours = np.flatnonzero(member)
     near = x[ours] @ x.T >= threshold
@@ -118,14 +125,16 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     """
     spark = df.sparkSession
     prepare(spark)
-    df = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = np.float32 if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
+    df = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if kind is np.float32 else "array<double>").alias("vector"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     classes = written(spark, df.filter(fine).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
     n = classes.count()
     k = max(1, math.ceil(math.log(max(1, n / BUCKET_MEAN)) / math.log(128)))
 
-    def place(batches):
+    def place(batches, whole=True):
+        """Each vector in its buckets; only the buckets unless ``whole``."""
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -136,11 +145,10 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                 for d in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == d)
                     x = flat[first[rows][:, None] + np.arange(d)]
-                    unit = x / np.abs(x).max(1, keepdims=True)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                    unit = units(x.astype(np.float64))
                     all_codes = np.stack([codes(unit, t, k, probes) for t in range(tables)], 1)
                     packed = [c.tobytes() for c in all_codes.astype(np.int32)]
-                    vectors = [v.tobytes() for v in unit]
+                    vectors = [v.tobytes() for v in x]
                     names = part.column("label").take(pa.array(rows))
                     seed = mix(np.array([hash_text(s) for s in names.to_pylist()], np.uint64) + np.uint64(d))
                     for t in range(tables):
@@ -148,13 +156,16 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                             code = all_codes[:, t, p]
                             use = np.flatnonzero(code >= 0)
                             bucket = signed(mix(seed[use] ^ mix(code[use].astype(np.uint64) * np.uint64(tables) + np.uint64(t))))
+                            if not whole:
+                                yield pa.RecordBatch.from_pydict({"bucket": bucket})
+                                continue
                             yield pa.RecordBatch.from_pydict({
                                 "bucket": bucket, "id": part.column("id").take(pa.array(rows[use])), "tab": pa.array(np.full(len(use), t, np.int32)), "member": pa.array(np.full(len(use), p == 0)),
                                 "weight": part.column("weight").take(pa.array(rows[use])), "vector": pa.array([vectors[i] for i in use], pa.binary()), "codes": pa.array([packed[i] for i in use], pa.binary())})
 
     placed = classes.mapInArrow(place, "bucket long, id long, tab int, member boolean, weight long, vector binary, codes binary")
     # large buckets in pieces; the sizes are stored, so that Spark broadcasts them only if they are few
-    sizes = written(spark, classes.mapInArrow(lambda it: (b.select(["bucket"]) for b in place(it)), "bucket long").groupBy("bucket").agg(F.count("*").alias("rows"))
+    sizes = written(spark, classes.mapInArrow(lambda batches: place(batches, whole=False), "bucket long").groupBy("bucket").agg(F.count("*").alias("rows"))
                     .filter(F.col("rows") > BUCKET_ROWS).select("bucket", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("pieces")), "large_buckets")
     split = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int")
     pieces = (placed.join(sizes, "bucket", "left").withColumn("split", split).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
@@ -181,7 +192,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                 for a, b in many:
                     if columns["member"][a:b].any():
                         rows = {c: v[a:b] for c, v in columns.items()} | {"vector": vectors[a:b], "codes": packed[a:b]}
-                        found = _compare(rows, int(columns["tab"][a]), threshold, shape)
+                        found = _compare(rows, int(columns["tab"][a]), threshold, shape, kind)
                         if found:
                             out.append(found)
             return out, table.slice(int(at[stop]))
@@ -216,7 +227,5 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
 
 
 def hash_text(text: str) -> int:
-    import zlib
-
     raw = text.encode()
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)

@@ -92,23 +92,23 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[Template,
     details = F.array(*(F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.split(F.lit(t.words), " ").alias("words"),
                                  F.split(F.lit(t.phrase), " ").alias("phrase"), F.lit(phrase_at(t)).alias("at")) for t in templates))
     # inline() of one row keeps what was computed from being computed again by each of its readers
-    read = df.select(*names, F.inline(F.array(F.struct(words_of(F.col(text)).alias("_words")))))
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    read = read.select(*names, F.inline(F.array(F.struct(F.col("_words"), hits.alias("_hits"), F.when(F.size(hits) > 0, index).alias("_index"), details.alias("_details")))))
+    read = df.select(*names, F.inline(F.array(F.struct(words_of(F.col(text)).alias("__lic_words")))))
+    hits = F.filter(F.transform("__lic_words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    read = read.select(*names, F.inline(F.array(F.struct(F.col("__lic_words"), hits.alias("__lic_hits"), F.when(F.size(hits) > 0, index).alias("__lic_index"), details.alias("__lic_details")))))
     proposed = F.array_distinct(F.flatten(F.transform(
-        F.filter("_hits", lambda h: F.map_contains_key("_index.keys", h["word"])),
-        lambda h: F.filter(F.transform(F.col("_index.keys")[h["word"]], lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["rel"]).alias("start"))),
+        F.filter("__lic_hits", lambda h: F.map_contains_key("__lic_index.keys", h["word"])),
+        lambda h: F.filter(F.transform(F.col("__lic_index.keys")[h["word"]], lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["rel"]).alias("start"))),
                            lambda p: p["start"] >= 0))))
 
     def examined(p):
-        t = F.col("_details")[p["template"]]
-        share = F.aggregate(F.transform(t["words"], lambda w, k: F.when(F.get("_words", p["start"] + k) == w, F.col("_index.idf")[w]).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        whole = F.aggregate(t["words"], F.lit(0.0), lambda a, w: a + F.col("_index.idf")[w])
-        right = F.forall(F.transform(t["phrase"], lambda w, k: F.coalesce(F.get("_words", p["start"] + t["at"] + k) == w, F.lit(False))), lambda x: x)
+        t = F.col("__lic_details")[p["template"]]
+        share = F.aggregate(F.transform(t["words"], lambda w, k: F.when(F.get("__lic_words", p["start"] + k) == w, F.col("__lic_index.idf")[w]).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+        whole = F.aggregate(t["words"], F.lit(0.0), lambda a, w: a + F.col("__lic_index.idf")[w])
+        right = F.forall(F.transform(t["phrase"], lambda w, k: F.coalesce(F.get("__lic_words", p["start"] + t["at"] + k) == w, F.lit(False))), lambda x: x)
         return F.struct(p["template"].alias("template"), p["start"].alias("start"), t["base"].alias("base"), t["label"].alias("label"), right.alias("verified"), (share / whole).alias("share"))
 
-    read = read.select(*names, F.size("_words").cast("long").alias("n_words"), F.inline(F.array(F.struct(
-        F.when(F.size("_hits") > 0, F.transform(proposed, examined)).otherwise(F.transform(F.filter(proposed, lambda p: F.lit(False)), examined)).alias("places")))))
+    read = read.select(*names, F.size("__lic_words").cast("long").alias("n_words"), F.inline(F.array(F.struct(
+        F.when(F.size("__lic_hits") > 0, F.transform(proposed, examined)).otherwise(F.transform(F.filter(proposed, lambda p: F.lit(False)), examined)).alias("places")))))
     verified = F.filter("places", lambda p: p["verified"])
     base = F.filter(verified, lambda p: p["base"])
 

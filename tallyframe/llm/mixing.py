@@ -71,12 +71,15 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, total: f
     names = df.columns
     rates = source_rates(df, weights, total, temperature, source, text)
     # stored, so that Spark knows its size and broadcasts it only if it is small
-    rates = written(spark, rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)))
-                    .select(F.col("source").alias("_source"), "rate", "_parts", thresholds(F.col("rate") / F.col("_parts")).alias("_steps")).withColumnRenamed("rate", "_rate").filter("_rate > 0"), "rates")
+    rates = written(spark, rates.withColumn("__mix_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)))
+                    .select(F.col("source").alias("__mix_source"), "rate", "__mix_parts", thresholds(F.col("rate") / F.col("__mix_parts")).alias("__mix_steps")).withColumnRenamed("rate", "__mix_rate").filter("__mix_rate > 0"), "rates")
     id_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    draw = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_parts")), F.lit(0),
-                       lambda acc, part: acc + F.size(F.filter(F.col("_steps"), lambda step: step <= uniform(seed, id_text, part))))
-    copies = (df.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).join(rates, "_source").withColumn("_n", draw).filter("_n > 0")
-              .select(*names, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    def one(part):
+        """The Poisson number of one part; transform() binds the uniform number, so that it is hashed once and not for each threshold."""
+        return F.get(F.transform(F.array(uniform(seed, id_text, part)), lambda u: F.size(F.filter(F.col("__mix_steps"), lambda step: step <= u))), F.lit(0))
+
+    draw = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__mix_parts")), F.lit(0), lambda acc, part: acc + one(part))
+    copies = (df.withColumn("__mix_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).join(rates, "__mix_source").withColumn("__mix_n", draw).filter("__mix_n > 0")
+              .select(*names, F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)).alias("copy"))
               .withColumn("position", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), id_text, F.col("copy").cast("string")))))
     return copies.repartition("position").sortWithinPartitions("position")
