@@ -32,6 +32,8 @@ from .textcore import LOWER, Words, chunks, mix, range_hashes, signed, text_buff
 
 SHINGLE = 5
 THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
+#: Bits of a parity sketch per difference that a link may have: the more, the closer its distance comes to the true one.
+SKETCH_BITS = 12
 #: Rows of one group that a task compares with as many others.
 GROUP_ROWS = 4096
 
@@ -135,9 +137,9 @@ def sketch_words(values: np.ndarray, first: np.ndarray, rows: np.ndarray, bands:
 
 
 def parity_sketches(values: np.ndarray, first: np.ndarray, band: np.ndarray, bands: Bands) -> list[bytes]:
-    """A parity bit sketch of every set under the given bands (below 0: none), of about four bits per allowed difference."""
+    """A parity bit sketch of every set under the given bands (below 0: none), of ``SKETCH_BITS`` bits per allowed difference."""
     d = {int(b): bands.spread(int(b))[1] for b in np.unique(band) if b >= 0}
-    size = np.array([64 * (-(-4 * (d[b] + 1) // 64)) if b >= 0 else 0 for b in band.tolist()], np.int64)
+    size = np.array([64 * (-(-SKETCH_BITS * (d[b] + 1) // 64)) if b >= 0 else 0 for b in band.tolist()], np.int64)
     n = np.where(size > 0, np.diff(first), 0)
     item = np.repeat(np.arange(len(n)), n)
     v = values[np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
@@ -253,13 +255,18 @@ def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands)
             all_rows = np.concatenate([ours, above])
             bits = np.stack([np.frombuffer(own[i], np.uint64) for i in ours.tolist()] + [np.frombuffer(low[i], np.uint64) for i in above.tolist()])
             d = bands.spread(b)[1]
-            for at, i in enumerate(ours.tolist()):
-                rest = all_rows[at + 1:]
-                near = (np.bitwise_count(bits[at + 1:] ^ bits[at]).sum(1) <= d) & (component[rest] != component[i]) & (np.maximum(size[rest], size[i]) * bands.num <= np.minimum(size[rest], size[i]) * bands.den)
+            step = max(1, (1 << 18) // (bits.size or 1))
+            for at in range(0, len(ours), step):
+                i, rest = ours[at: at + step, None], all_rows[None, at:]
+                near = (component[rest] != component[i]) & (np.maximum(size[rest], size[i]) * bands.num <= np.minimum(size[rest], size[i]) * bands.den)
+                near &= np.arange(rest.shape[1])[None] > np.arange(len(i))[:, None]
                 if crossed:
                     near &= piece[rest] != piece[i]
-                hit = rest[near]
-                found.append(np.stack([np.minimum(doc[i], doc[hit]), np.maximum(doc[i], doc[hit])], 1))
+                if near.any():
+                    near &= np.bitwise_count(bits[at: at + len(i), None] ^ bits[None, at:]).sum(2, dtype=np.int64) <= d
+                    x, y = np.nonzero(near)
+                    x, y = doc[i[x, 0]], doc[rest[0, y]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
