@@ -33,7 +33,7 @@ from .textcore import LOWER, Words, chunks, mix, range_hashes, signed, text_buff
 SHINGLE = 5
 THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
 #: Bits of a parity sketch per difference that a link may have: the more, the closer its distance comes to the true one.
-SKETCH_BITS = 12
+SKETCH_BITS = 8
 #: Rows of one group that a task compares with as many others.
 GROUP_ROWS = 4096
 
@@ -241,8 +241,10 @@ def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands)
     pieces = written(spark, left.groupBy("group").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("pieces")).filter("pieces > 1"), "large_groups")
     n = F.coalesce("pieces", F.lit(1))
     rows = (left.join(pieces, "group", "left").withColumn("piece", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-            .select("group", "doc", "component", "piece", F.least("piece", "other").alias("low_piece"), F.greatest("piece", "other").alias("high_piece")))
-    rows = rows.join(sets.select("doc", "n", "own", "low").dropDuplicates(["doc"]), "doc")
+            .select("group", "doc", "component", "least_band", "piece", F.least("piece", "other").alias("low_piece"), F.greatest("piece", "other").alias("high_piece")))
+    rows = rows.join(sets.select("doc", "n", "band", "own", "low").dropDuplicates(["doc"]), "doc")
+    # the sketch under the band below is for smaller sets of the group, if there are any
+    rows = rows.withColumn("low", F.when(F.col("band") > F.col("least_band"), F.col("low"))).drop("least_band", "band")
 
     def compare(table: pa.Table) -> pa.Table:
         doc, component, size, piece = (table.column(c).to_numpy() for c in ("doc", "component", "n", "piece"))
@@ -293,20 +295,22 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
             n = np.diff(first)
             band = np.where(n > 0, bands.of(np.maximum(n, 1)), -1)
             own, low = (parity_sketches(values, first, x, bands) for x in (band, band - 1))
-            yield pa.RecordBatch.from_pydict({"doc": batch.column(key), "n": n, "one": signed(one), "two": signed(two), "own": pa.array(own, pa.binary()), "low": pa.array(low, pa.binary()),
+            yield pa.RecordBatch.from_pydict({"doc": batch.column(key), "n": n, "one": signed(one), "two": signed(two), "band": band.astype(np.int32), "own": pa.array(own, pa.binary()), "low": pa.array(low, pa.binary()),
                                               "lead": pa.array(ids[lead], pa.int64())})
 
-    sets = written(spark, known.mapInArrow(measure, "doc long, n long, one long, two long, own binary, low binary, lead long"), "sets")
+    sets = written(spark, known.mapInArrow(measure, "doc long, n long, one long, two long, band int, own binary, low binary, lead long"), "sets")
     groups = written(spark, _sharers(_ask(known, text, key, bands, n_shards)).distinct(), "sharers")
     copies = sets.filter((F.col("doc") != F.col("lead")) & (F.col("n") > 0)).selectExpr("lead as a", "doc as b")
     first_pairs = written(spark, groups.filter(F.col("doc") != F.col("lead")).selectExpr("lead as a", "doc as b").distinct(), "candidates")
     links = copies.unionByName(_verified(spark, known, sets, first_pairs, text, key, bands))
     found = components(spark, links)
     # what shares a sketch word but lies in different components, and has not been compared
-    placed = groups.join(found.selectExpr("node as doc", "component"), "doc", "left").select("group", "doc", F.coalesce("component", "doc").alias("component"))
-    placed = written(spark, placed, "placed")
-    split = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("group")
-    left = written(spark, placed.join(split, "group", "left_semi"), "split")
+    where = (sets.select("doc", "band").dropDuplicates(["doc"]).join(found.selectExpr("node as doc", "component"), "doc", "left")
+             .select("doc", "band", F.coalesce("component", "doc").alias("component")))
+    placed = written(spark, groups.select("group", "doc").join(written(spark, where, "where"), "doc"), "placed")
+    split = (placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("band").alias("least_band"))
+             .filter("low < high").select("group", "least_band"))
+    left = written(spark, placed.join(written(spark, split, "split"), "group"), "left")
     if not left.isEmpty():
         more = _across(spark, left, sets, bands).join(first_pairs, ["a", "b"], "left_anti")
         found = components(spark, links.unionByName(_verified(spark, known, sets, more, text, key, bands)))
