@@ -190,9 +190,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, and bound what they get at once."""
+    """Make this package importable in the executors' Python workers, and bound what they get at once.
+
+    Scans are split for a fixed number of tasks instead of the cores there happen to be, so that later
+    scans of an input agree with earlier ones when executors are lost or added meanwhile."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
 def joined(a: bytes, b: bytes) -> bytes:
