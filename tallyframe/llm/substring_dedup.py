@@ -39,7 +39,7 @@ class Windows:
     def __init__(self, batch: pa.RecordBatch, text: str, window: int, confirm: bool = True):
         self.buf, self.off = text_buffer(batch.column(text))
         self.words = w = Words(self.buf, self.off)
-        h = w.hashes()
+        self.word_hashes = h = w.hashes()
         n = len(h)
         count = np.diff(w.first)
         left = np.repeat(w.first[1:], count) - np.arange(n)
@@ -161,19 +161,23 @@ def _spaced(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _located(w: Windows, phrases: np.ndarray, size: int) -> np.ndarray:
-    """First words of all places where one of the phrases stands, found by an automaton over all texts of the block.
-
-    The automaton reads bytes (as Latin-1), so that its positions are byte positions."""
-    flat, begin = _spaced(w.buf, w.words.start, w.words.end)
-    text = flat.tobytes().decode("latin-1")
+    """First words of all places where one of the phrases stands, found by an automaton over all documents of the block.
+
+    Each distinct word is a number of as many base-64 digits as the block needs, written as characters: the
+    automaton's nodes then have few children, which it searches one by one. Its places are exact;
+    those that do not end with a word are dropped."""
+    distinct, number = np.unique(w.word_hashes, return_inverse=True)
+    digits = max(1, -(-len(distinct).bit_length() // 6))
+    text = (np.stack([(number >> 6 * k) & 63 for k in range(digits)], 1).astype(np.uint8) + 64).tobytes().decode("ascii")
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for a, b in zip(begin[phrases].tolist(), begin[phrases + size].tolist(), strict=True):
-        machine.add_word(text[a: b + 1], 1)
+    for first in phrases.tolist():
+        machine.add_word(text[first * digits: (first + size) * digits], 1)
     machine.make_automaton()
     found = [np.zeros(0, np.int64)]
-    for a, b in zip(begin[w.words.first[:-1]].tolist(), begin[w.words.first[1:]].tolist(), strict=True):
-        found.append(np.array([end for end, _ in machine.iter(text, a, b + 1)], np.int64))
-    return np.searchsorted(begin, np.concatenate(found)) - size
+    for a, b in zip((w.words.first[:-1] * digits).tolist(), (w.words.first[1:] * digits).tolist(), strict=True):
+        found.append(np.array([end for end, _ in machine.iter(text, a, b)], np.int64))
+    ends = np.concatenate(found) + 1
+    return ends[ends % digits == 0] // digits - size
 
 
 def _kept(batch: pa.RecordBatch, got: dict[int, bytes], text: str, key: str, window: int, n_shards: int) -> tuple[Words, np.ndarray]:
