@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import scratch_path, ship_package
 
-from .textcore import mix, signed, text_buffer
+from .textcore import mix, signed, text_buffer, tidy
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
@@ -114,6 +114,8 @@ def cut(batches: Iterator[pa.RecordBatch], text: str, target: int = BLOCK_BYTES)
                 held, size, serial = [], 0, serial + 1
     if held:
         yield flush()
+    del held
+    tidy()
 
 
 def blocks(df: DataFrame, text: str = "text", target: int = BLOCK_BYTES) -> DataFrame:
@@ -166,6 +168,7 @@ def answer(questions: DataFrame, resolve: Callable[[list[bytes]], list[bytes]])
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         out = resolve(table.column("question").to_pylist())
+        tidy()
         return pa.table([table.column("block"), table.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
     return questions.groupBy("shard").applyInArrow(run, ANSWER_SCHEMA)
@@ -177,7 +180,9 @@ def meet(blocks_df: DataFrame, answers: DataFrame, run: Callable[[int, Any, dict
         if left.num_rows != 1:
             raise RuntimeError(f"answers for a block that occurs {left.num_rows} times: the input's rows are not in a stable order")
         got = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True)) if right.num_rows else {}
-        return run(left.column("block")[0].as_py(), read(left.column("payload")[0].as_py()), got)
+        out = run(left.column("block")[0].as_py(), read(left.column("payload")[0].as_py()), got)
+        tidy()
+        return out
 
     return blocks_df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
@@ -195,7 +200,7 @@ def prepare(spark: SparkSession) -> None:
     Scans are split for a fixed number of tasks instead of the cores there happen to be, so that later
     scans of an input agree with earlier ones when executors are lost or added meanwhile."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BLOCK_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import QUESTION_SCHEMA, cut, joined, pack, pack_sorted, parted, prepare, question_batch, shards_for, split_sorted, text_bytes, unpack, unpack_sorted, written
 from .links import components
-from .textcore import LOWER, Words, chunks, mix, range_hashes, signed, text_buffer, window_hashes
+from .textcore import LOWER, Words, chunks, mix, range_hashes, signed, text_buffer, tidy, window_hashes
 
 SHINGLE = 5
 THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
@@ -232,6 +232,7 @@ def _verified(spark: SparkSession, df: DataFrame, sets: DataFrame, pairs: DataFr
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(common > 0 and common * den >= (len(x) + len(y) - common) * num)
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        tidy()
 
     return written(spark, pairs.filter("equal").select("a", "b").unionByName(both.mapInArrow(check, "a long, b long")), "verified")
 

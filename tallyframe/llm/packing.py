@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .blocks import prepare
 from .pretokens import Pretokens, definition, tokenizer
-from .textcore import chunks, mix
+from .textcore import chunks, mix, tidy
 
 GROUP_ROWS = 4096
 GROUP_BITS = 24  # sequences of one group have ids group * 2**GROUP_BITS + n
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 class Bins:
@@ -95,6 +95,7 @@ def pack_sequences(df: DataFrame, path: str, capacity: int = 2048, end_id: int =
                         totals.append(len(ids))
                 group = mix(np.arange(serial, serial + len(rows), dtype=np.uint64) ^ mix(np.array([seed]))) % np.uint64(n_groups)
                 serial += len(rows)
+                tidy()
                 yield pa.RecordBatch.from_pydict({"group": group.astype(np.int64), key: part.column(key).take(pa.array(rows, pa.int64())), "start": pa.array(starts, pa.int64()),
                                                   "length": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": pa.array(totals, pa.int64())})
 

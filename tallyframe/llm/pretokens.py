@@ -9,7 +9,6 @@ Which characters are letters, digits or white space is asked of the library itse
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +47,15 @@ class Tokenizer:
             kinds = self.kinds[codes]
         return kinds
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    def _encoded(self, words: list[bytes], step: int = 8192):
+        """The library's encodings of pre-tokens, a bounded number at a time: they are large objects."""
+        for at in range(0, len(words), step):
+            yield from self.library.encode_batch([w.decode() for w in words[at: at + step]], add_special_tokens=False)
 
-    def ids(self, pieces: Pretokens, keep: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._encoded(words)]
+
+    def ids(self, pieces: Pretokens, keep: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, length by pre-token) of all pre-tokens of a batch; at most ``keep`` distinct ones stay in memory."""
         h, first, own = np.unique(pieces.hashes, return_index=True, return_inverse=True)
         if len(self.seen) + len(h) > keep:
@@ -64,7 +68,7 @@ class Tokenizer:
             made = self.encode([pieces.raw[a:b] for a, b in zip(pieces.start[first[new]].tolist(), pieces.end[first[new]].tolist(), strict=True)])
             length = np.fromiter(map(len, made), np.int64, len(made))
             place = len(self.flat) + np.cumsum(length) - length
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))])
+            self.flat = np.concatenate([self.flat, *made])
             seen = np.concatenate([self.seen, h[new]])
             order = np.argsort(seen, kind="stable")
             self.seen, self.place, self.length = seen[order], np.concatenate([self.place, place])[order], np.concatenate([self.length, length])[order]
@@ -77,7 +81,7 @@ class Tokenizer:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Number of pieces of each pre-token."""
-        return np.fromiter(map(len, self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)), np.int64, len(words))
+        return np.fromiter(map(len, self._encoded(words)), np.int64, len(words))
 
 
 _KEPT: dict[int, Tokenizer] = {}

@@ -6,6 +6,7 @@ functions are pure numpy, so a batch costs a few passes over its bytes whatever
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,5 +142,18 @@ def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def tidy() -> None:
+    """Give memory that this worker has freed back to the system: idle workers wait for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)

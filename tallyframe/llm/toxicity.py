@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import prepare, written
-from .textcore import LOWER, Words, chunks, mix, signed, span_hashes, text_buffer
+from .textcore import LOWER, Words, chunks, mix, signed, span_hashes, text_buffer, tidy
 
 #: Labelled rows that learning reads at most (those of smallest hash), and the words and beginnings kept.
 SAMPLE_ROWS = 50_000
@@ -205,6 +205,7 @@ def _lexicon(rows: DataFrame, text: str, cost: np.ndarray) -> tuple[np.ndarray,
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)[pairs[:, 0].astype(np.int64)] > 0
                 value, own = np.unique(pairs[:, 1], return_inverse=True)
                 yield pa.RecordBatch.from_pydict({"h": signed(value), "toxic": np.bincount(own, toxic, len(value)).astype(np.int64), "clean": np.bincount(own, ~toxic, len(value)).astype(np.int64)})
+        tidy()
 
     sizes = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = float(sizes["t"] or 0), float(sizes["n"])
@@ -276,6 +277,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: st
             for part in chunks(batch, text):
                 p = 1 / (1 + np.exp(-np.clip(_measures(part, text, held) @ held.fit, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(p)], [*names, "score"])
+        tidy()
 
     out = df.mapInArrow(score, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
     return out.select(*names, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
