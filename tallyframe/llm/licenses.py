@@ -81,7 +81,8 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[Template,
 
     Derived are ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``;
     columns of these names are replaced. A null text is empty; a text without a proposed place has
-    score 0. A share is the IDF mass of the template's words that stand in place; the score is the
+    score 0. Only the mandatory phrase has to lie in the text: a start is negative where the template
+    would begin before it, and the words missing there count as not in place. A share is the IDF mass of the template's words that stand in place; the score is the
     largest share, halved where the mandatory phrase is not complete.
     """
     added = ("n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -98,7 +99,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[Template,
     proposed = F.array_distinct(F.flatten(F.transform(
         F.filter("__lic_hits", lambda h: F.map_contains_key("__lic_index.keys", h["word"])),
         lambda h: F.filter(F.transform(F.col("__lic_index.keys")[h["word"]], lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["rel"]).alias("start"))),
-                           lambda p: p["start"] >= 0))))
+                           lambda p: p["start"] + F.col("__lic_details")[p["template"]]["at"] >= 0))))
 
     def examined(p):
         t = F.col("__lic_details")[p["template"]]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import registry, toxicity
 from tallyframe.llm.chat import chat_digest, format_chats, read_back
 from tallyframe.llm.embedding_dedup import near_vectors
-from tallyframe.llm.licenses import scan_licenses
+from tallyframe.llm.licenses import TEMPLATES, scan_licenses
 from tallyframe.llm.mtree import top_k
 from tests.conftest import SF_SMALL
 
@@ -127,6 +127,22 @@ def test_licenses_on_odd_texts(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_of_texts_that_begin_with_the_phrase(spark):
+    texts = [t.phrase + tail for t in TEMPLATES for tail in (" and more", "")] + ["more " + t.phrase for t in TEMPLATES]
+    titles = {"MIT License": "mit", "Apache License Version 2.0, January 2004": "apache-2", "Mozilla Public License Version 2.0": "mpl", "CC BY-NC 4.0": "cc-by,cc-by-nc"}
+    filler = ["nothing here"] * 5  # so that no word is in all documents
+    found = scan_licenses(spark.createDataFrame(list(enumerate(texts + list(titles) + filler)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    for i, text in enumerate(texts):
+        label = (TEMPLATES[i // 2] if i < 2 * len(TEMPLATES) else TEMPLATES[i - 2 * len(TEMPLATES)]).label
+        assert label in got[i].labels.split(",") and got[i].score > 0, text
+        assert got[i].first_word is None or got[i].first_word >= 0
+    assert [got[len(texts) + k].labels for k in range(len(titles))] == list(titles.values())
+    assert [got[len(texts) + len(titles) + k].score for k in range(5)] == [0] * 5
+    at = next(i for i, t in enumerate(TEMPLATES) if t.label == "mpl")
+    assert {p.start for p in got[2 * at].places if p.verified} == {-6}
+
+
 def test_license_scan_is_native(spark):
     plan = registry.op4_license_scan(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
