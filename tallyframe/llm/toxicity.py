@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation (operator 5).
 
 * A character language model, trigram counts over the letters of all documents, is gathered first.
-* Words that look disguised (signs in place of letters, letters set apart, letters repeated) become a
-  lattice: each sign may stand for itself or for the letters it resembles, a separator or a repeated
-  letter may fall away. The Viterbi path under the language model is the restored word.
+* Words that may be disguised (with a sign, a separator within or a letter twice in a row, and rows of
+  words of one letter) become a lattice: a sign may stand for the letters it resembles, a repeated letter
+  may fall away, a separator or space may fall away or part two words. The words of the Viterbi path
+  under the language model are the restored words.
 * Word and word-beginning weights are learned from labelled rows, from restored text, and a logistic
   score of a document's weights is fitted on the same rows. Rows with crc32(id as text) mod 5 = 0 are
   held out of all learning from labels. Scores see the text only.
@@ -12,7 +13,9 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +51,13 @@ _SIGN[[ord(c) for c in LOOKS_LIKE]] = True
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in SEPARATORS]] = True
 _NOT_LETTER = ~LETTER
+_SYMBOLS = SYMBOL.tolist()
+_LETTERS = re.compile(rb"[a-z\x80-\xbf\xc2-\xf4]+")
+SPACE = 32
+#: What a space or separator costs that stands for itself and parts two words.
+BREAK_COST = 1.0
+#: Readings that are taken of a row of words of one letter, and what they may cost more than the likeliest.
+READINGS, READING_MARGIN = 8, 6.0
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
@@ -67,49 +77,115 @@ class Model(NamedTuple):
     fit: np.ndarray
 
 
-def restored(word: bytes, cost: np.ndarray) -> bytes:
-    """The likeliest reading of a disguised word: Viterbi over its lattice, a state being the last two symbols."""
+def readings(word: bytes, cost, n: int = 1) -> list[tuple[float, bytes]]:
+    """The ``n`` likeliest readings of a disguised stretch, words set apart by spaces, with their costs: Viterbi over its lattice, a state being the last two symbols."""
     word = word.lstrip(b".,;:?\"([{#&%").rstrip(b".,;:?\")]}#&%!")
-    states = {(0, 0): (0.0, b"")}
+    states: dict = {(0, 0): [(0.0, None)]}  # cost so far, and the path as (path before, byte)
     for at, byte in enumerate(word):
         sign = chr(byte)
-        options = []  # (letter or nothing, cost of the change)
+        options = []  # (letter, space or nothing, cost of the change)
         if LETTER[byte]:
-            options.append((bytes([byte]), 0.0))
+            options.append((byte, 0.0))
             if at and word[at - 1] == byte:
-                options.append((b"", 1.0 if at > 1 and word[at - 2] == byte else 4.0))
+                options.append((0, 1.0 if at > 1 and word[at - 2] == byte else 4.0))
         else:
-            options += [(x.encode(), 1.0) for x in LOOKS_LIKE.get(sign, "")]
-            options.append((b"", 0.5 if sign in SEPARATORS or sign == " " else 14.0))
+            options += [(ord(x), 1.0) for x in LOOKS_LIKE.get(sign, "")]
+            if sign in SEPARATORS or sign == " ":
+                options += [(0, 0.5), (SPACE, BREAK_COST)]
+            else:
+                options.append((0, 14.0))
         following: dict = {}
-        for (p, q), (sofar, path) in states.items():
+        if n == 1:  # the same with one path a state
+            for (p, q), [(sofar, path)] in states.items():
+                for letter, change in options:
+                    if letter:
+                        r = _SYMBOLS[letter]
+                        state, total, longer = (q, r), sofar + change + cost[(p * K + q) * K + r], (path, letter)
+                    else:
+                        state, total, longer = (p, q), sofar + change, path
+                    held = following.get(state)
+                    if held is None or total < held[0][0]:
+                        following[state] = [(total, longer)]
+            states = following
+            continue
+        for (p, q), paths in states.items():
             for letter, change in options:
                 if letter:
-                    r = int(SYMBOL[letter[0]])
-                    state, total = (q, r), sofar + change + float(cost[(p * K + q) * K + r])
+                    r = _SYMBOLS[letter]
+                    change += cost[(p * K + q) * K + r]
+                    following.setdefault((q, r), []).extend([(sofar + change, (path, letter)) for sofar, path in paths])
                 else:
-                    state, total = (p, q), sofar + change
-                if state not in following or total < following[state][0]:
-                    following[state] = (total, path + letter)
-        states = following
-    return min(((total + float(cost[(p * K + q) * K]), path) for (p, q), (total, path) in states.items()), default=(0, b""))[1]
+                    following.setdefault((p, q), []).extend([(sofar + change, path) for sofar, path in paths])
+        states = {k: sorted(v, key=_cost)[:n] if len(v) > 1 else v for k, v in following.items()}
+    ends = sorted(((total + cost[(p * K + q) * K], path) for (p, q), paths in states.items() for total, path in paths), key=_cost)
+    return [(total, _spelt(path)) for total, path in ends[:n]]
 
 
-def _flagged(words: Words, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_cost = itemgetter(0)
+
+
+def _spelt(path) -> bytes:
+    out = bytearray()
+    while path:
+        path, letter = path
+        out.append(letter)
+    return bytes(out[::-1])
+
+
+def restored(word: bytes, cost) -> bytes:
+    return readings(word, cost)[0][1]
+
+
+def _revealed(stretch: bytes, cost) -> tuple[bytes, ...]:
+    """The words of a stretch's likely readings that do not stand in it plainly; in a row of letters several are open."""
+    found = readings(stretch, cost, READINGS if b" " in stretch else 1)
+    words = {w for total, path in found if total <= found[0][0] + READING_MARGIN for w in path.split()}
+    return tuple(sorted(words - set(_LETTERS.findall(stretch))))
+
+
+_reader: tuple = (None, None)
+
+
+def _read(cost: np.ndarray):
+    """``_revealed`` under one model, kept per process, so that a task decodes a distinct word once."""
+    global _reader
+    if _reader[0] is not cost:
+        costs = cost.tolist()
+        _reader = (cost, lru_cache(maxsize=200_000)(lambda w: _revealed(w, costs)))
+    return _reader[1]
+
+
+def _stay(buf: np.ndarray, double: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The doubled letters that the likeliest reading keeps for certain, by the three trigrams they change.
+
+    In one row of letters, a letter that stands twice, not three times, is kept or not by itself: a
+    word of such a row whose doubled letters all stay reads as it stands.
+    """
+    wide = np.concatenate([[0, 0], buf, [0]]).astype(np.uint8)
+    a, b, c = (SYMBOL[wide[k: k + len(buf)]] for k in (0, 1, 3))  # before the two, the letter, after them
+    triple = (wide[:-3] == buf) | (wide[3:] == buf)
+    kept = cost[(a * K + b) * K + b] + cost[(b * K + b) * K + c]
+    return double & ~triple & (kept < cost[(a * K + b) * K + c] + 4.0 - 1e-4)
+
+
+def _flagged(words: Words, buf: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of the stretches that look disguised: words, and rows of words of one letter."""
-    n = len(buf)
-    letter, wide = LETTER[buf], np.append(buf, np.zeros(2, np.uint8))
-    next_letter = np.append(letter[1:], False)
-    hit = _SIGN[buf] & next_letter  # a sign before a letter
-    triple = letter & (buf == wide[1: n + 1]) & (buf == wide[2: n + 2]) & (buf < 0x80)
-    apart = _SEPARATOR[buf] & next_letter
-    apart[1:] &= letter[:-1]
-    total = [np.concatenate([[0], np.cumsum(x)]) for x in (hit | triple, apart, letter)]
-    count = [t[words.end] - t[words.start] for t in total]
-    # a stretch of three letters or more, not one long code; separators count from two on
-    alone = np.flatnonzero(((count[0] > 0) | (count[1] > 1)) & (count[2] >= 2) & (2 * (count[2] + count[0]) >= words.end - words.start))
+    letter, sign = LETTER[buf], _SIGN[buf]
+    inner = letter | sign
+    double = np.zeros(len(buf), bool)
+    double[1:] = letter[1:] & (buf[1:] == buf[:-1]) & (buf[1:] < 0x80)
+    opens, closes = _SEPARATOR[buf], _SEPARATOR[buf]  # separators after and before a letter or sign
+    opens[1:] &= inner[:-1]
+    closes[:-1] &= inner[1:]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    total = [np.concatenate([[0], np.cumsum(x)]) for x in (sign, opens, closes, double, double & ~_stay(buf, double, cost), begins)]
+    signs, opened, closed, doubles, unsure, rows = (t[words.end] - t[words.start] for t in total)
+    # a sign, a separator within, or a letter twice in a row, but for words that surely read as they stand
+    odd = (signs > 0) | ((opened > 0) & (closed > 0)) | (unsure > 0) | ((doubles > 0) & (rows > 1))
+    alone = np.flatnonzero(odd & (words.end - words.start > 1))
     doc = np.searchsorted(words.first, np.arange(len(words.start)), "right") - 1
-    single = (words.end - words.start == 1) & (letter | _SIGN[buf])[words.start] if len(words.start) else np.zeros(0, bool)
+    single = (words.end - words.start == 1) & inner[words.start] if len(words.start) else np.zeros(0, bool)
     run = np.ones(len(single), bool)
     run[1:] = (single[1:] != single[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(run)
@@ -129,12 +205,10 @@ def features(batch: pa.RecordBatch, text: str, cost: np.ndarray) -> tuple[np.nda
     doc = np.repeat(np.arange(len(count)), count)
     h = plain.hashes()
     begin = span_hashes(buf, plain.start, np.minimum(plain.end, plain.start + PREFIX))
-    start, end, owner = _flagged(Words(buf, off), buf)
+    start, end, owner = _flagged(Words(buf, off), buf, cost)
     if len(start):
-        read = lru_cache(maxsize=200_000)(lambda w: restored(w, cost))
-        raw = buf.tobytes()
-        made = [(o, read(raw[a:b])) for a, b, o in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True)]
-        made = [(o, w) for o, w in made if w]
+        read, raw = _read(cost), buf.tobytes()
+        made = [(o, w) for a, b, o in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True) for w in read(raw[a:b])]
         flat = np.frombuffer(b"".join(w for _, w in made), np.uint8)
         ends = np.cumsum([len(w) for _, w in made], dtype=np.int64)
         starts = ends - np.array([len(w) for _, w in made], np.int64)

@@ -183,6 +183,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(x.predicted == 0 for x in none) and toxicity.score_toxicity(df.limit(0), tags).count() == 0
 
 
+def test_toxicity_sees_disguised_forms(spark):
+    r = random.Random(5)
+    plain = ["tree", "house", "river", "stone", "cloud", "bread", "light", "water", "you", "are", "i", "a", "all", "well"]
+    bad = ["idiot", "loser", "moron", "stupid", "shit", "hate"]
+    fill = [" ".join(r.choice(plain) for _ in range(30)) for _ in range(800)]
+    docs = [(i, f"{x} {r.choice(bad)} {x} {r.choice(bad)}" if i % 4 == 0 else x) for i, x in enumerate(fill)]
+    forms = ["you are a i d i o t", "water I i d i o t", "tree s t u p i d i d i o t", "tree s t u p i d m o r o n tree", "5h17", "1d107", "h473", "stuupid", "mooron", "idi-ot", "l.o.s.e.r", "st_upid", "$h1+"]
+    clean = ["you are a t r e e", "well-a", "2024 a", "all well!", "h0u5e", "w4ter", "r-i-v-e-r", "stoone"]
+    x = " ".join(["tree house river stone cloud bread light water"] * 3)
+    probes = [(10_000 + k, f"{x} {w} {x}") for k, w in enumerate(forms + clean)]
+    df = spark.createDataFrame(docs + probes, "doc_id long, text string")
+    tags = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    out = {o.doc_id: o.predicted for o in toxicity.score_toxicity(df, tags).collect()}
+    assert {w: out[10_000 + k] for k, w in enumerate(forms + clean)} == dict.fromkeys(forms, 1) | dict.fromkeys(clean, 0)
+
+
 def test_held_out_accuracy_on_the_table(spark):
     sf = f"{SF_SMALL}/../sf0.1"
     scored = registry.op5_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
