@@ -460,11 +460,18 @@ def listed(v):
     return v.tracked.withColumn("created_at", created).withColumn("program_id", F.concat(F.lit("prog"), (F.col("id") % 7).cast("string"))).join(native, "address", "left")
 
 
-def first_listed(v, sort, *order):
-    """The first entries of a listing, with their place in it, so that the order itself is checked."""
-    from pyspark.sql import Window
-    top = ledger.list_registry(listed(v), sort=sort).limit(LISTING)
-    return top.select(F.row_number().over(Window.orderBy(*order, F.col("id").asc())).cast("long").alias("place"), "id", "address", "registry_status")
+def whole_listing(v, sort, by):
+    """All entries of a listing in its order, each with its place, so that the order itself is checked.
+
+    Places count down ``by`` with an id tie-break; entries without a value follow by id.
+    """
+    from tallyframe.operators.sequence import _axis, with_ordinal
+    entries = listed(v).select("id", "address", "is_active", by)
+    there = entries.where(F.col(by).isNotNull())
+    placed = with_ordinal(there.withColumn("_down", -_axis(there, by)), [], ["_down", "id"], out="place").drop("_down")
+    after = with_ordinal(entries.where(F.col(by).isNull()), [], ["id"], out="place")
+    after = after.withColumn("place", F.col("place") + there.agg(F.count(F.lit(1))).scalar())
+    return ledger.list_registry(placed.unionByName(after), sort=sort).select("place", "id", "address", "registry_status")
 
 
 @query("list_registry_created", oracle_text(f"""
@@ -472,15 +479,15 @@ SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, address, C
 FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
 def list_registry_created(v, spark, sf):
     """The default listing, newest entries first."""
-    return first_listed(v, "created", F.col("created_at").desc())
+    return whole_listing(v, "created", "created_at")
 
 
 @query("list_registry_balance", oracle_text(f"""
 SELECT row_number() OVER (ORDER BY balance DESC NULLS LAST, id) AS place, id, address, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
 FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
 def list_registry_balance(v, spark, sf):
-    """The entries of largest balance."""
-    return first_listed(v, "balance", F.col("balance").desc_nulls_last())
+    """The listing by balance, largest first, entries without one last."""
+    return whole_listing(v, "balance", "balance")
 
 
 @query("registry_by_program", oracle_text("""

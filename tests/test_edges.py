@@ -164,3 +164,22 @@ def test_percentiles_interpolate_like_numpy(spark):
         x = [v for k, v in rows if k == r.kind and v is not None]
         assert np.allclose([r.mean_us, r.min_us, r.max_us, r.p50_us, r.p95_us, r.p99_us], [np.mean(x), min(x), max(x), *np.percentile(x, [50, 95, 99])])
     assert len(got) == 3
+
+
+def test_listings_place_every_entry(spark):
+    """All entries of the registry are listed, those past the 100th and those without a balance too."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from tallyframe.sources.tables import FIXTURE_TABLES
+
+    from .conftest import SF_SMALL
+    con = duckdb.connect()
+    for t in FIXTURE_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for name in ("list_registry_created", "list_registry_balance"):
+        whole = oracle_sql()[name].replace("QUALIFY place <= 100", "")
+        want = con.execute(f"SELECT place, id, address, registry_status FROM ({whole}) ORDER BY place").fetchall()
+        got = [tuple(r) for r in queries()[name](spark, SF_SMALL).collect()]
+        assert got == want and len(got) > 100
+    assert con.execute(f"SELECT count(*) FROM read_parquet('{SF_SMALL}/customer.parquet')").fetchone() == (len(got),)
