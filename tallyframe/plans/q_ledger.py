@@ -445,7 +445,6 @@ def history_export(v, spark, sf):
 
 # -- T4, T7 by creation time and balance; D6 by program; scalar display helpers ---
 
-LISTING = 100
 LISTED_SQL = """
 listed AS (SELECT t.*, TIMESTAMP '2024-01-01' + to_hours(t.id % 500) AS created_at, 'prog' || (t.id % 7) AS program_id, b.balance
            FROM v_tracked t LEFT JOIN (SELECT wallet_address, arg_max(balance, (ts, slot, id)) AS balance FROM v_balances
@@ -474,17 +473,17 @@ def whole_listing(v, sort, by):
     return ledger.list_registry(placed.unionByName(after), sort=sort).select("place", "id", "address", "registry_status")
 
 
-@query("list_registry_created", oracle_text(f"""
+@query("list_registry_created", oracle_text("""
 SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, address, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
-FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
+FROM listed""", extra=LISTED_SQL))
 def list_registry_created(v, spark, sf):
     """The default listing, newest entries first."""
     return whole_listing(v, "created", "created_at")
 
 
-@query("list_registry_balance", oracle_text(f"""
+@query("list_registry_balance", oracle_text("""
 SELECT row_number() OVER (ORDER BY balance DESC NULLS LAST, id) AS place, id, address, CASE WHEN is_active THEN 'Active' ELSE 'Inactive' END AS registry_status
-FROM listed QUALIFY place <= {LISTING}""", extra=LISTED_SQL))
+FROM listed""", extra=LISTED_SQL))
 def list_registry_balance(v, spark, sf):
     """The listing by balance, largest first, entries without one last."""
     return whole_listing(v, "balance", "balance")
