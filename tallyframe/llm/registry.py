@@ -116,8 +116,9 @@ w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM w
 t(template, label, base, rel, word, key_phrase) AS (VALUES {_SLOTS}),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM t) GROUP BY 1),
 weighed AS (SELECT t.*, ln((SELECT count(*) FROM documents) + 1) - ln(coalesce(df, 0) + 1) + 1 AS idf FROM t LEFT JOIN df USING (word)),
-keyed AS (SELECT *, key_phrase AND row_number() OVER (PARTITION BY template, key_phrase ORDER BY round(idf, 9) DESC, rel) <= {KEYS} AS is_key FROM weighed),
-proposed AS (SELECT DISTINCT w.doc_id, k.template, w.pos - k.rel AS start FROM w JOIN keyed k ON w.word = k.word AND k.is_key WHERE w.pos >= k.rel),
+keyed AS (SELECT *, key_phrase AND row_number() OVER (PARTITION BY template, key_phrase ORDER BY round(idf, 9) DESC, rel) <= {KEYS} AS is_key,
+    min(CASE WHEN key_phrase THEN rel END) OVER (PARTITION BY template) AS at FROM weighed),
+proposed AS (SELECT DISTINCT w.doc_id, k.template, w.pos - k.rel AS start FROM w JOIN keyed k ON w.word = k.word AND k.is_key WHERE w.pos - k.rel + k.at >= 0),
 examined AS (SELECT p.doc_id, p.start, p.template, any_value(k.label) AS label, bool_or(k.base) AS base,
     bool_and(CASE WHEN k.key_phrase THEN w.word IS NOT NULL ELSE true END) AS verified,
     sum(CASE WHEN w.word IS NOT NULL THEN k.idf ELSE 0 END) / sum(k.idf) AS share
