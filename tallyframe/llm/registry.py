@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digest, format_chats
 from .embedding_dedup import near_vectors
 from .licenses import DELIMITERS, KEYS, TEMPLATES, in_phrase, scan_licenses
+from .merkle import lowered, manifest
 from .mixing import mix_sources
 from .mtree import top_k
 from .ngram_join import near_groups
@@ -78,6 +79,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = {"text": F.when(tampered, lowered(F.col("text"))).otherwise(F.col("text"))}
+    return manifest(read(spark, sf_dir, "documents"), changed).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Oracles of operators that SQL expresses; the others are tested against brute force in tests/llm.
@@ -153,4 +161,49 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": ORACLE_TOP_K, "op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    return (f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::UBIGINT)), "
+            "lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::UBIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))")
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs that grow the trees of ``name0`` (tree, place, n, digest), each node with its run's digests ``kids``; a tree of one node stays as it is."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k}r AS (SELECT tree, place // 16 AS above, list(digest ORDER BY place) AS kids, any_value(n) AS n FROM {name}{k} GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, above AS place, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN kids[1] ELSE sha256(list_aggregate(kids, 'string_agg', '')) END AS digest FROM {name}{k}r)")
+    return ",\n".join(out)
+
+
+def _fold_sql(source: str, name: str, runs: str, levels: int) -> str:
+    """CTEs that fold the rows of ``source`` (tree, place, node, proof) through the levels of a tree."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k} AS (SELECT s.* REPLACE (s.place // 16 AS place,
+    CASE WHEN r.n = 1 THEN s.node ELSE sha256(coalesce(list_aggregate(r.kids[:s.place % 16], 'string_agg', ''), '') || s.node || coalesce(list_aggregate(r.kids[s.place % 16 + 2:], 'string_agg', ''), '')) END AS node,
+    CASE WHEN r.n = 1 THEN s.proof ELSE s.proof || coalesce(list_aggregate(r.kids[:s.place % 16], 'string_agg', ''), '') || coalesce(list_aggregate(r.kids[s.place % 16 + 2:], 'string_agg', ''), '') END AS proof)
+  FROM {source} s JOIN {runs}{k}r r ON r.tree = s.tree AND r.above = s.place // 16)""")
+        source = f"{name}{k}"
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLE_MERKLE = f"""
+WITH docs AS (SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents),
+l0 AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS digest, {_leaf_sql("changed")} AS replacement,
+    row_number() OVER (PARTITION BY coalesce('=' || source, '') ORDER BY doc_id NULLS FIRST, {_leaf_sql("text")}) - 1 AS place, count(*) OVER (PARTITION BY coalesce('=' || source, '')) AS n FROM docs),
+{_tree_sql("l", 6)},
+t0 AS (SELECT '' AS tree, tree AS of, digest, row_number() OVER (ORDER BY tree COLLATE "C") - 1 AS place, count(*) OVER () AS n FROM l6),
+{_tree_sql("t", 3)},
+s AS (SELECT doc_id, digest AS leaf, tree, place, replacement AS node, '' AS proof FROM l0),
+{_fold_sql("s", "f", "l", 6)},
+s2 AS (SELECT f5.* REPLACE ('' AS tree, t0.place AS place), t0.digest AS subroot FROM f5 JOIN t0 ON t0.of = f5.tree),
+{_fold_sql("s2", "g", "t", 3)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = digest AS verified FROM g2, t3
+"""
+
+ORACLES: dict[str, str] = {"op13_merkle_manifest": ORACLE_MERKLE, "op3_exact_top_k": ORACLE_TOP_K, "op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
