@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_chats
+from .conversation_repair import damaged, repair_report
 from .embedding_dedup import near_vectors
 from .licenses import DELIMITERS, KEYS, TEMPLATES, in_phrase, scan_licenses
 from .merkle import lowered, manifest
@@ -19,6 +20,7 @@ from .packing import pack_sequences
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .url_filter import BRANCHES, ENDING, IDENTIFIER, MIN_SPLIT, NUMBER, PURITY, RULES, SUPPORT, WEIGHT, judge_urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
@@ -79,6 +81,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    rows = damaged(conversations, "conv_id", "turn", "role", "text")
+    return repair_report(conversations, rows).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     changed = {"text": F.when(tampered, lowered(F.col("text"))).otherwise(F.col("text"))}
@@ -96,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_url_filter": op11_url_filter,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -206,4 +221,44 @@ s2 AS (SELECT f5.* REPLACE ('' AS tree, t0.place AS place), t0.digest AS subroot
 SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = digest AS verified FROM g2, t3
 """
 
-ORACLES: dict[str, str] = {"op13_merkle_manifest": ORACLE_MERKLE, "op3_exact_top_k": ORACLE_TOP_K, "op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
+def _level_sql(d: int) -> str:
+    """CTEs of one level of the template trees: from u<d> (host, path, label, segments, node, n) to u<d+1>."""
+    segment, ending = f"segments[{d + 1}]", f"regexp_extract(path, '{ENDING}', 0)"
+    return f"""
+o{d} AS (SELECT *, CASE WHEN regexp_matches({segment}, '{NUMBER}') THEN '*' || regexp_extract({segment}, '{ENDING}', 0)
+    WHEN regexp_matches({segment}, '{IDENTIFIER}') AND regexp_matches({segment}, '[0-9]') THEN '*' WHEN {segment} IN ('*', '+', '**') THEN '=' || {segment} ELSE {segment} END AS seen,
+    coalesce(label, 'none') || '|' || (len(segments) - {d}) || '|' || {ending} AS kind FROM u{d} WHERE n >= {MIN_SPLIT} AND len(segments) > {d}),
+b{d} AS (SELECT *, named AND NOT (count(*) FILTER (named) OVER (PARTITION BY host, node) > {BRANCHES} AND n < {SUPPORT}) AS kept
+    FROM (SELECT host, node, seen, NOT starts_with(seen, '*') AS named, count(*) AS n FROM o{d} GROUP BY ALL)),
+x{d} AS (SELECT o.host, o.node, o.seen, kind, b.n, count(*) AS x FROM o{d} o JOIN b{d} b ON (o.host, o.node, o.seen) = (b.host, b.node, b.seen) WHERE kept GROUP BY ALL),
+p{d} AS (SELECT host, node, kind, sum(x) AS p FROM x{d} GROUP BY ALL),
+z{d} AS (SELECT host, node, sum(p) AS whole, count(*) - 1 AS free FROM p{d} GROUP BY ALL),
+a{d} AS (SELECT x.host, x.node, x.seen FROM x{d} x JOIN p{d} p ON (x.host, x.node, x.kind) = (p.host, p.node, p.kind) JOIN z{d} z ON (x.host, x.node) = (z.host, z.node)
+    GROUP BY ALL HAVING round(any_value(whole) / any_value(n) * sum(x * x / p) - any_value(n), 6) <= round(any_value(free) + 2 * sqrt(2 * any_value(free)), 6)),
+m{d} AS (SELECT * FROM a{d} QUALIFY count(*) OVER (PARTITION BY host, node) > 1),
+t{d} AS (SELECT b.host, b.node, b.seen, b.n, CASE WHEN NOT kept THEN CASE WHEN starts_with(b.seen, '*') THEN b.seen ELSE '*' END WHEN m.seen IS NOT NULL THEN '+' ELSE b.seen END AS branch
+    FROM b{d} b LEFT JOIN m{d} m ON (b.host, b.node, b.seen) = (m.host, m.node, m.seen)),
+u{d + 1} AS (SELECT o.host, path, label, segments, o.node || '/' || branch AS node, t.n
+    FROM o{d} o JOIN (SELECT * REPLACE (sum(n) OVER (PARTITION BY host, node, branch) AS n) FROM t{d}) t ON (o.host, o.node, o.seen) = (t.host, t.node, t.seen))"""
+
+
+def _closed_sql(d: int) -> str:
+    return f"SELECT host, path, label, CASE WHEN n < {MIN_SPLIT} THEN node || '/**' ELSE node END AS template FROM u{d} WHERE n < {MIN_SPLIT} OR len(segments) <= {d}"
+
+
+URL_LEVELS = 5  # of the oracle; the urls of the given tables have three segments at most
+_RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.text}', '{r.host}', '{r.path}')" for r in RULES)
+ORACLE_URLS = f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(after, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, rule, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
+ruled AS (SELECT parts.*, (SELECT arg_max({{'rule': rule, 'verdict': verdict}}, length(rule)) FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS r FROM parts),
+u0 AS (SELECT *, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS segments, '' AS node, count(*) OVER (PARTITION BY host) AS n FROM (SELECT DISTINCT host, path, r.verdict AS label FROM ruled)),
+{",".join(_level_sql(d) for d in range(URL_LEVELS))},
+closed AS ({" UNION ALL ".join(_closed_sql(d) for d in range(URL_LEVELS + 1))}),
+judged AS (SELECT host, path, template, (count(*) FILTER (label = 'block') OVER w + {WEIGHT / 2}) / (count(label) OVER w + {WEIGHT}) AS purity FROM closed WINDOW w AS (PARTITION BY host, template))
+SELECT page_id, r.host, r.path, r.r.rule AS rule, coalesce(r.r.verdict, CASE WHEN purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM ruled r JOIN judged j ON r.host = j.host AND r.path = j.path
+"""
+
+ORACLES: dict[str, str] = {"op11_url_filter": ORACLE_URLS, "op13_merkle_manifest": ORACLE_MERKLE, "op3_exact_top_k": ORACLE_TOP_K, "op1_mixing": ORACLE_MIXING, "op4_license_scan": ORACLE_LICENSES, "op6_chat_format": ORACLE_CHAT}
