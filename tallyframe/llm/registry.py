@@ -226,17 +226,18 @@ def _level_sql(d: int) -> str:
     segment, ending = f"segments[{d + 1}]", f"regexp_extract(path, '{ENDING}', 0)"
     return f"""
 o{d} AS (SELECT *, CASE WHEN regexp_matches({segment}, '{NUMBER}') THEN '*' || regexp_extract({segment}, '{ENDING}', 0)
-    WHEN regexp_matches({segment}, '{IDENTIFIER}') AND regexp_matches({segment}, '[0-9]') THEN '*' WHEN {segment} IN ('*', '+', '**') THEN '=' || {segment} ELSE {segment} END AS seen,
+    WHEN regexp_matches({segment}, '{IDENTIFIER}') AND regexp_matches({segment}, '[0-9]') THEN '*' WHEN regexp_matches({segment}, '^\\*|\\+$') THEN '=' || {segment} || '=' ELSE {segment} END AS seen,
     coalesce(label, 'none') || '|' || (len(segments) - {d}) || '|' || {ending} AS kind FROM u{d} WHERE n >= {MIN_SPLIT} AND len(segments) > {d}),
 b{d} AS (SELECT *, named AND NOT (count(*) FILTER (named) OVER (PARTITION BY host, node) > {BRANCHES} AND n < {SUPPORT}) AS kept
     FROM (SELECT host, node, seen, NOT starts_with(seen, '*') AS named, count(*) AS n FROM o{d} GROUP BY ALL)),
-x{d} AS (SELECT o.host, o.node, o.seen, kind, b.n, count(*) AS x FROM o{d} o JOIN b{d} b ON (o.host, o.node, o.seen) = (b.host, b.node, b.seen) WHERE kept GROUP BY ALL),
-p{d} AS (SELECT host, node, kind, sum(x) AS p FROM x{d} GROUP BY ALL),
-z{d} AS (SELECT host, node, sum(p) AS whole, count(*) - 1 AS free FROM p{d} GROUP BY ALL),
-a{d} AS (SELECT x.host, x.node, x.seen FROM x{d} x JOIN p{d} p ON (x.host, x.node, x.kind) = (p.host, p.node, p.kind) JOIN z{d} z ON (x.host, x.node) = (z.host, z.node)
+x{d} AS (SELECT *, first(kind) OVER (PARTITION BY host, node, seen ORDER BY x DESC, kind DESC) AS pool
+    FROM (SELECT o.host, o.node, o.seen, kind, b.n, count(*) AS x FROM o{d} o JOIN b{d} b ON (o.host, o.node, o.seen) = (b.host, b.node, b.seen) WHERE kept GROUP BY ALL)),
+p{d} AS (SELECT host, node, pool, kind, sum(x) AS p FROM x{d} GROUP BY ALL),
+z{d} AS (SELECT host, node, pool, sum(p) AS whole, count(*) - 1 AS free FROM p{d} GROUP BY ALL),
+a{d} AS (SELECT x.host, x.node, x.pool, x.seen FROM x{d} x JOIN p{d} p ON (x.host, x.node, x.pool, x.kind) = (p.host, p.node, p.pool, p.kind) JOIN z{d} z ON (x.host, x.node, x.pool) = (z.host, z.node, z.pool)
     GROUP BY ALL HAVING round(any_value(whole) / any_value(n) * sum(x * x / p) - any_value(n), 6) <= round(any_value(free) + 2 * sqrt(2 * any_value(free)), 6)),
-m{d} AS (SELECT * FROM a{d} QUALIFY count(*) OVER (PARTITION BY host, node) > 1),
-t{d} AS (SELECT b.host, b.node, b.seen, b.n, CASE WHEN NOT kept THEN CASE WHEN starts_with(b.seen, '*') THEN b.seen ELSE '*' END WHEN m.seen IS NOT NULL THEN '+' ELSE b.seen END AS branch
+m{d} AS (SELECT *, min(seen) OVER (PARTITION BY host, node, pool) || '+' AS merged FROM a{d} QUALIFY count(*) OVER (PARTITION BY host, node, pool) > 1),
+t{d} AS (SELECT b.host, b.node, b.seen, b.n, CASE WHEN NOT kept THEN CASE WHEN starts_with(b.seen, '*') THEN b.seen ELSE '*' END ELSE coalesce(m.merged, b.seen) END AS branch
     FROM b{d} b LEFT JOIN m{d} m ON (b.host, b.node, b.seen) = (m.host, m.node, m.seen)),
 u{d + 1} AS (SELECT o.host, path, label, segments, o.node || '/' || branch AS node, t.n
     FROM o{d} o JOIN (SELECT * REPLACE (sum(n) OVER (PARTITION BY host, node, branch) AS n) FROM t{d}) t ON (o.host, o.node, o.seen) = (t.host, t.node, t.seen))"""

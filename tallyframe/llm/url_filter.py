@@ -6,9 +6,10 @@ A url is judged by the longest rule that fits it. The others are judged by their
   split by the next path segment, all hosts' nodes of a level at once.
 * A segment that looks variable (a number with or without a file ending, a long hexadecimal or dashed id) becomes the wildcard
   ``*``; so does a name with fewer than ``SUPPORT`` paths where a node has more than ``BRANCHES`` names.
-* The named branches of a node are compared with all of them taken together, by a chi-square statistic over
-  what their paths are labelled, how many segments follow, and how they end. Two or more branches that do not differ from the whole
-  are merged into one, ``+``. So branches are compared with one distribution, not with each other.
+* A path's kind under a branch is its label, how many segments follow, and how it ends. The named branches of a node
+  that have their commonest kind in common are a pool, and each is compared with its whole pool by a chi-square statistic over the kinds.
+  Two or more branches that do not differ from their pool are merged into one, named after the least of them with a ``+``. So a
+  branch is compared with one distribution, not with each other branch.
 * The labels are the verdicts of the rules. A template is rejected when its share of blocked paths among the
   labelled ones, smoothed by ``WEIGHT`` paths of a share of one half, is ``PURITY`` or more.
 
@@ -77,7 +78,7 @@ def _shape(segment: Column) -> Column:
     """The wildcard of a segment that looks variable, else the segment itself."""
     return (F.when(segment.rlike(NUMBER), F.concat(F.lit("*"), F.regexp_extract(segment, ENDING, 0)))
             .when(segment.rlike(IDENTIFIER) & segment.rlike("[0-9]"), "*")
-            .when(segment.isin("*", "+", "**"), F.concat(F.lit("="), segment)).otherwise(segment))
+            .when(segment.rlike(r"^\*|\+$"), F.concat(F.lit("="), segment, F.lit("="))).otherwise(segment))
 
 
 def _decided(open_paths: DataFrame, spark) -> DataFrame:
@@ -87,16 +88,19 @@ def _decided(open_paths: DataFrame, spark) -> DataFrame:
     names = seen.filter("named").groupBy("host", "node").agg(F.count(F.lit(1)).alias("names"))
     rare = (F.coalesce("names", F.lit(0)) > BRANCHES) & (F.col("n") < SUPPORT)
     seen = written(spark, seen.join(names, ["host", "node"], "left").select("host", "node", "seen", "n", (F.col("named") & ~rare).alias("named")), "branches")
-    # the named branches against all of them together
+    # the named branches of one commonest kind against all of them together
     kept = counts.drop("named").join(seen.filter("named").drop("named"), ["host", "node", "seen"])
-    whole = kept.groupBy("host", "node", "kind").agg(F.sum("x").alias("p"))
-    size = whole.groupBy("host", "node").agg(F.sum("p").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    chi = kept.join(whole, ["host", "node", "kind"]).groupBy("host", "node", "seen").agg(F.sum(F.col("x") * F.col("x") / F.col("p")).alias("s"), F.first("n").alias("n"))
+    commonest = kept.groupBy("host", "node", "seen").agg(F.max_by("kind", F.struct("x", "kind")).alias("pool"))
+    kept = written(spark, kept.join(commonest, ["host", "node", "seen"]), "kept")
+    pool = ["host", "node", "pool"]
+    whole = kept.groupBy(*pool, "kind").agg(F.sum("x").alias("p"))
+    size = whole.groupBy(*pool).agg(F.sum("p").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    chi = kept.join(whole, [*pool, "kind"]).groupBy(*pool, "seen").agg(F.sum(F.col("x") * F.col("x") / F.col("p")).alias("s"), F.first("n").alias("n"))
     free = F.col("kinds") - 1
     alike = F.round(F.col("all") / F.col("n") * F.col("s") - F.col("n"), 6) <= F.round(free + 2 * F.sqrt(2 * free), 6)
-    alike = written(spark, chi.join(size, ["host", "node"]).filter(alike).select("host", "node", "seen"), "alike")
-    merged = alike.groupBy("host", "node").agg(F.count(F.lit(1)).alias("alike")).filter("alike > 1")
-    merged = alike.join(merged, ["host", "node"]).select("host", "node", "seen", F.lit("+").alias("merged"))
+    alike = written(spark, chi.join(size, pool).filter(alike).select(*pool, "seen"), "alike")
+    merged = alike.groupBy(*pool).agg(F.count(F.lit(1)).alias("alike"), F.concat(F.min("seen"), F.lit("+")).alias("merged")).filter("alike > 1")
+    merged = alike.join(merged, pool).select("host", "node", "seen", "merged")
     variable = F.when(F.col("seen").startswith("*"), F.col("seen")).otherwise("*")
     branch = F.when(~F.col("named"), variable).otherwise(F.coalesce("merged", "seen"))
     taken = seen.join(merged, ["host", "node", "seen"], "left").select("host", "node", "seen", "n", branch.alias("branch"))
