@@ -12,11 +12,13 @@ Two documents link when the Jaccard similarity of their shingle sets is ``THRESH
   passages that many documents share make no candidates then. Otherwise all filled words are, and a
   set that fills d words or fewer is sketched again with the next salt, until it fills more. Of two
   linked sets one has the fewest salts; under its last one both are present, so no link is lost.
-* Sketch words are dealt out by hash ranges; the sets that share a word are paired with the one of
+* Sketch words are dealt out by bands and, within a band, by hash ranges; the sets that share a word are paired with the one of
   smallest id. A pair is dropped if the Hamming distance of two short parity sketches of one bit per
   shingle, again a lower bound, is over d, and is verified on the texts otherwise.
-* Sets that share a word but end up in different components are then compared with each other, sketch
-  by sketch in blocks, and what may be a link is verified, so the components are those of all links.
+* The family of a set are all that share a word with it of which it has the smallest id; any two that share a word are in
+  one family. The sets of a family that end up in different components are then compared with each other, sketch by sketch in
+  blocks: first each with its nearest one of each other component, and when what proves to be a link is merged, all that is left.
+  So the components are those of all links, and large components that many pairs link take a pair a set.
 """
 
 from __future__ import annotations
@@ -104,13 +106,13 @@ def _block_sets(batch: pa.RecordBatch, text: str, key: str):
     return ids, values, first, one, two, lead[own.ravel()] if len(ids) else lead
 
 
-def sketch_words(values: np.ndarray, first: np.ndarray, rows: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the non-empty sketch words of the chosen rows' sets, and the row of each."""
+def sketch_words(values: np.ndarray, first: np.ndarray, rows: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the non-empty sketch words of the chosen rows' sets, and the row and the band of each."""
     size = np.diff(first)[rows]
     band = bands.of(size)
     below = np.array([b > 0 and s <= bands.largest(int(bands.edges[b]) - 1) for s, b in zip(size.tolist(), band.tolist(), strict=True)], bool)
     rows, band = np.concatenate([rows, rows[below]]), np.concatenate([band, band[below] - 1])
-    keys, owners, salt = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    keys, owners, under, salt = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     spread = {int(b): bands.spread(int(b)) for b in np.unique(band)}
     while len(rows):
         m, d = (np.array([spread[b][i] for b in band.tolist()]) for i in (0, 1))
@@ -131,9 +133,28 @@ def sketch_words(values: np.ndarray, first: np.ndarray, rows: np.ndarray, bands:
         place = (band[mine].astype(np.uint64) << np.uint64(48)) + (np.uint64(salt) << np.uint64(40)) + word[order[at]].astype(np.uint64)
         keys.append(mix(parity ^ mix(place))[use])
         owners.append(rows[mine[use]])
+        under.append(band[mine[use]])
         again = filled <= d
         rows, band, salt = rows[again], band[again], salt + 1
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(under)
+
+
+def key_ranges(volume: dict[int, int], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Where each band's keys begin in the space of 64-bit keys, and a 2**32nd of the room they have there, by volume of words.
+
+    So the words of one band lie in as few shards as their volume allows, and a pair that shares many words is found in few of them."""
+    n = len(bands.edges)
+    share = np.array([volume.get(b, 0) for b in range(n)], float)
+    share = (share + share.sum() * 1e-9 + 1e-9) / (share + share.sum() * 1e-9 + 1e-9).sum()
+    room = np.floor(share * ((1 << 32) - 1)).astype(np.uint64)
+    return (np.cumsum(room) - room) << np.uint64(32), room
+
+
+def placed_keys(keys: np.ndarray, band: np.ndarray, ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys moved into the ranges of their bands."""
+    start, room = ranges[0][band], ranges[1][band]
+    high, low = keys >> np.uint64(32), keys & np.uint64((1 << 32) - 1)
+    return start + high * room + (low * room >> np.uint64(32))
 
 
 def parity_sketches(values: np.ndarray, first: np.ndarray, band: np.ndarray, bands: Bands) -> list[bytes]:
@@ -149,23 +170,36 @@ def parity_sketches(values: np.ndarray, first: np.ndarray, band: np.ndarray, ban
     return [raw[a:b] for a, b in zip((end - size // 8).tolist(), end.tolist(), strict=True)]
 
 
-def may_link(bands: Bands, n_a: int, own_a: bytes, low_a: bytes, n_b: int, own_b: bytes, low_b: bytes) -> bool:
-    """Whether sizes and sketches of two sets leave a link possible."""
-    if n_a > n_b:
-        n_a, own_a, low_a, n_b, own_b, low_b = n_b, own_b, low_b, n_a, own_a, low_a
-    if not n_a or n_b > bands.largest(n_a):
-        return False
-    band_a, band_b = bands.of(np.array([n_a, n_b])).tolist()
-    other = own_b if band_a == band_b else low_b
-    return (int.from_bytes(own_a) ^ int.from_bytes(other)).bit_count() <= bands.spread(band_a)[1]
+def most_apart(bands: Bands, n_a, n_b):
+    """The largest symmetric difference of a link between sets of these sizes (numbers or arrays)."""
+    return (n_a + n_b) * (bands.den - bands.num) // (bands.den + bands.num)
+
+
+def may_link(bands: Bands, n_a: np.ndarray, own_a: list, low_a: list, n_b: np.ndarray, own_b: list, low_b: list) -> np.ndarray:
+    """Whether sizes and sketches leave a link possible, pair by pair."""
+    band_a, band_b = bands.of(np.maximum(n_a, 1)), bands.of(np.maximum(n_b, 1))
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    out = (small > 0) & (large <= bands.largest(small))
+    at = np.flatnonzero(out)
+    # the sketch of each under the band of the smaller set
+    x = [low_a[i] if band_a[i] > band_b[i] else own_a[i] for i in at.tolist()]
+    y = [low_b[i] if band_b[i] > band_a[i] else own_b[i] for i in at.tolist()]
+    size = np.array([len(v) for v in x], np.int64)
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        bits = [np.frombuffer(b"".join(v[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1) for v in (x, y)]
+        pair = at[rows]
+        out[pair] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64) <= most_apart(bands, n_a[pair], n_b[pair])
+    return out
 
 
-def _ask(df: DataFrame, text: str, key: str, bands: Bands, n_shards: int) -> DataFrame:
+def _ask(df: DataFrame, text: str, key: str, bands: Bands, ranges: tuple[np.ndarray, np.ndarray], n_shards: int) -> DataFrame:
     def run(batches):
         for block, batch in cut(batches, text):
             ids, values, first, _, _, lead = _block_sets(batch, text, key)
             rows = np.flatnonzero((lead == np.arange(len(ids))) & (np.diff(first) > 0))
-            keys, owners = sketch_words(values, first, rows, bands)
+            keys, owners, under = sketch_words(values, first, rows, bands)
+            keys = placed_keys(keys, under, ranges)
             order = np.argsort(keys)
             keys, owners = keys[order], ids[owners[order]]
             yield question_batch([(s, block, joined(pack_sorted(keys[p]), pack(owners[p]))) for s, p in split_sorted(keys, n_shards)])
@@ -174,7 +208,7 @@ def _ask(df: DataFrame, text: str, key: str, bands: Bands, n_shards: int) -> Dat
 
 
 def _sharers(questions: DataFrame) -> DataFrame:
-    """Groups of ids that share a sketch word: (group, doc, lead), lead the smallest id; equal groups of a shard once."""
+    """(a, b): ids that share a sketch word with ``a``, the smallest id of that word; a pair once a shard."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [(unpack_sorted(a), unpack(b, np.int64)[0]) for a, b in (parted(q.as_py()) for q in table.column("question"))]
@@ -187,16 +221,11 @@ def _sharers(questions: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(at, len(keys)))
         many = np.repeat(n > 1, n)
-        at, n = at[n > 1], n[n > 1]
-        docs = docs[many]
-        at = np.cumsum(n) - n
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(docs.astype(np.uint64)), dtype=np.uint64)])
-        group, once = np.unique(mix(total[at + n] - total[at] + n.astype(np.uint64)), return_index=True)
-        at, n = at[once], n[once]
-        docs = docs[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        return pa.table({"group": pa.array(np.repeat(signed(group), n)), "doc": pa.array(docs), "lead": pa.array(np.repeat(docs[np.cumsum(n) - n], n) if len(n) else docs)})
+        lead, docs = np.repeat(docs[at], n)[many], docs[many]
+        pairs = np.unique(np.stack([lead, docs], 1)[lead != docs], axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return questions.groupBy("shard").applyInArrow(run, "group long, doc long, lead long")
+    return questions.groupBy("shard").applyInArrow(run, "a long, b long")
 
 
 SKETCHED = ("n", "one", "two", "own", "low")
@@ -210,10 +239,10 @@ def _verified(spark: SparkSession, df: DataFrame, sets: DataFrame, pairs: DataFr
 
     def sift(batches):
         for batch in batches:
-            c = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-            equal = [x == y for x, y in zip(zip(c["n_a"], c["one_a"], c["two_a"], strict=True), zip(c["n_b"], c["one_b"], c["two_b"], strict=True), strict=True)]
-            keep = [e or may_link(bands, *row) for e, *row in zip(equal, c["n_a"], c["own_a"], c["low_a"], c["n_b"], c["own_b"], c["low_b"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal, pa.bool_())], ["a", "b", "equal"]).filter(pa.array(keep, pa.bool_()))
+            c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+            equal = (c["n_a"] == c["n_b"]) & (c["one_a"] == c["one_b"]) & (c["two_a"] == c["two_b"])
+            keep = equal | may_link(bands, c["n_a"], c["own_a"], c["low_a"], c["n_b"], c["own_b"], c["low_b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal)], ["a", "b", "equal"]).filter(pa.array(keep))
 
     pairs = written(spark, both_sets.mapInArrow(sift, "a long, b long, equal boolean"), "pairs")
     open_pairs = pairs.filter(~F.col("equal")).select("a", "b").distinct()
@@ -237,14 +266,16 @@ def _verified(spark: SparkSession, df: DataFrame, sets: DataFrame, pairs: DataFr
     return written(spark, pairs.filter("equal").select("a", "b").unionByName(both.mapInArrow(check, "a long, b long")), "verified")
 
 
-def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of one group and different components that sketches leave possible; large groups in blocks by blocks."""
-    pieces = written(spark, left.groupBy("group").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("pieces")).filter("pieces > 1"), "large_groups")
+def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one family and different components that sketches leave possible; large families in blocks by blocks.
+
+    With ``nearest``, only the nearest partner of each set in each other component of a block."""
+    pieces = written(spark, left.groupBy("family").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("pieces")).filter("pieces > 1"), "large_families")
     n = F.coalesce("pieces", F.lit(1))
-    rows = (left.join(pieces, "group", "left").withColumn("piece", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-            .select("group", "doc", "component", "least_band", "piece", F.least("piece", "other").alias("low_piece"), F.greatest("piece", "other").alias("high_piece")))
-    rows = rows.join(sets.select("doc", "n", "band", "own", "low").dropDuplicates(["doc"]), "doc")
-    # the sketch under the band below is for smaller sets of the group, if there are any
+    rows = (left.join(pieces, "family", "left").withColumn("piece", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .select("family", "doc", "component", "least_band", "piece", F.least("piece", "other").alias("low_piece"), F.greatest("piece", "other").alias("high_piece")))
+    rows = rows.join(sets.select("doc", "n", "band", "own", "low"), "doc")
+    # the sketch under the band below is for smaller sets of the family, if there are any
     rows = rows.withColumn("low", F.when(F.col("band") > F.col("least_band"), F.col("low"))).drop("least_band", "band")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -252,12 +283,11 @@ def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands)
         crossed = table.column("low_piece")[0].as_py() != table.column("high_piece")[0].as_py()
         own, low = table.column("own").to_pylist(), table.column("low").to_pylist()
         band = bands.of(size)
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
         for b in np.unique(band).tolist():
             ours, above = np.flatnonzero(band == b), np.flatnonzero(band == b + 1)
             all_rows = np.concatenate([ours, above])
             bits = np.stack([np.frombuffer(own[i], np.uint64) for i in ours.tolist()] + [np.frombuffer(low[i], np.uint64) for i in above.tolist()])
-            d = bands.spread(b)[1]
             step = max(1, (1 << 18) // (bits.size or 1))
             for at in range(0, len(ours), step):
                 i, rest = ours[at: at + step, None], all_rows[None, at:]
@@ -266,14 +296,39 @@ def _across(spark: SparkSession, left: DataFrame, sets: DataFrame, bands: Bands)
                 if crossed:
                     near &= piece[rest] != piece[i]
                 if near.any():
-                    near &= np.bitwise_count(bits[at: at + len(i), None] ^ bits[None, at:]).sum(2, dtype=np.int64) <= d
-                    x, y = np.nonzero(near)
-                    x, y = doc[i[x, 0]], doc[rest[0, y]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+                    apart = np.bitwise_count(bits[at: at + len(i), None] ^ bits[None, at:]).sum(2, dtype=np.int64)
+                    x, y = np.nonzero(near & (apart <= most_apart(bands, size[rest], size[i])))
+                    found.append(np.stack([i[x, 0], rest[0, y], apart[x, y]], 1))
+                    if nearest:
+                        found[-1] = _nearest(found[-1], component)
+        pairs = np.concatenate(found)
+        if nearest:
+            pairs = _nearest(pairs, component)
+        pairs = np.unique(np.sort(doc[pairs[:, :2]], axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("group", "low_piece", "high_piece").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("family", "low_piece", "high_piece").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _nearest(pairs: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Of rows (i, j, distance) those that are the nearest of i in j's component or of j in i's."""
+    keep = np.zeros(len(pairs), bool)
+    for one, other in ((0, 1), (1, 0)):
+        order = np.lexsort((pairs[:, other], pairs[:, 2], component[pairs[:, other]], pairs[:, one]))
+        key = np.stack([pairs[order, one], component[pairs[order, other]]], 1)
+        first = np.ones(len(order), bool)
+        first[1:] = (key[1:] != key[:-1]).any(1)
+        keep[order[first]] = True
+    return pairs[keep]
+
+
+def _apart(spark: SparkSession, families: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(family, doc, component, least_band) of the families that lie in several components."""
+    where = docs.join(found.selectExpr("node as doc", "component"), "doc", "left").select("doc", "band", F.coalesce("component", "doc").alias("component"))
+    placed = written(spark, families.join(written(spark, where, "where"), "doc"), "placed")
+    split = (placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("band").alias("least_band"))
+             .filter("low < high").select("family", "least_band"))
+    return written(spark, placed.join(written(spark, split, "split"), "family").drop("band"), "left")
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -281,7 +336,8 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
 
     Null and empty texts have no shingles and link with nothing; a row without an id links with
     nothing and has a null component; rows of one id are one document, and an id has the links of
-    all its texts. Other columns are ignored.
+    all its texts. Other columns are ignored. The input is read several times and has to come in the same order
+    each time, as a scan does.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -300,21 +356,25 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
                                               "lead": pa.array(ids[lead], pa.int64())})
 
     sets = written(spark, known.mapInArrow(measure, "doc long, n long, one long, two long, band int, own binary, low binary, lead long"), "sets")
-    groups = written(spark, _sharers(_ask(known, text, key, bands, n_shards)).distinct(), "sharers")
+    volume = {r["band"]: r["n"] * bands.spread(r["band"])[0] for r in sets.filter("doc = lead and n > 0").groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a band
+    ranges = key_ranges({b: volume.get(b, 0) + volume.get(b + 1, 0) for b in range(-1, max(volume, default=0) + 1)}, bands)
+    tested = written(spark, _sharers(_ask(known, text, key, bands, ranges, n_shards)).distinct(), "candidates")
     copies = sets.filter((F.col("doc") != F.col("lead")) & (F.col("n") > 0)).selectExpr("lead as a", "doc as b")
-    first_pairs = written(spark, groups.filter(F.col("doc") != F.col("lead")).selectExpr("lead as a", "doc as b").distinct(), "candidates")
-    links = copies.unionByName(_verified(spark, known, sets, first_pairs, text, key, bands))
+    links = copies.unionByName(_verified(spark, known, sets, tested, text, key, bands))
     found = components(spark, links)
-    # what shares a sketch word but lies in different components, and has not been compared
-    where = (sets.select("doc", "band").dropDuplicates(["doc"]).join(found.selectExpr("node as doc", "component"), "doc", "left")
-             .select("doc", "band", F.coalesce("component", "doc").alias("component")))
-    placed = written(spark, groups.select("group", "doc").join(written(spark, where, "where"), "doc"), "placed")
-    split = (placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("band").alias("least_band"))
-             .filter("low < high").select("group", "least_band"))
-    left = written(spark, placed.join(written(spark, split, "split"), "group"), "left")
-    if not left.isEmpty():
-        more = _across(spark, left, sets, bands).join(first_pairs, ["a", "b"], "left_anti")
-        found = components(spark, links.unionByName(_verified(spark, known, sets, more, text, key, bands)))
+    # what is of one family but in different components, and has not been compared
+    families = tested.selectExpr("a as family", "b as doc").unionByName(tested.selectExpr("a as family", "a as doc").distinct())
+    texts_of = written(spark, sets.dropDuplicates(["doc", "one", "two"]), "texts_of")
+    docs = sets.groupBy("doc").agg(F.min("band").alias("band"))
+    for nearest in (True, False):
+        left = _apart(spark, families, docs, found)
+        if left.isEmpty():
+            break
+        more = written(spark, _across(spark, left, texts_of, bands, nearest).join(tested, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = links.unionByName(_verified(spark, known, sets, more, text, key, bands))
+            found = components(spark, links)
     counted = sets.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"))
     if df.filter(F.col(key).isNull()).isEmpty():
         lost = None

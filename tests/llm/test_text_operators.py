@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyframe.llm import registry
+from tallyframe.llm import ngram_join, registry
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.ngram_join import Bands, near_groups
 from tallyframe.llm.packing import first_fit_decreasing, pack_sequences
@@ -180,3 +180,23 @@ def test_queries_over_the_whole_table(spark, name):
         assert {r.doc_id: r.kept_sha256 for r in got} == {i: hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in want.items()}
     else:
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_groups(rows)
+
+
+def test_near_groups_of_an_id_with_two_texts(spark, monkeypatch):
+    """An id has the links of all its texts, also where only the comparison within families finds them."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 3)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for g in range(6):
+        base = [rnd.choice(words) for _ in range(120)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rnd.randrange(5)):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            docs.append((len(docs), " ".join(w)))
+    two = docs + [(5, docs[40][1] + " tail"), (5, docs[70][1])]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(spark.createDataFrame(two, "doc_id long, text string")).collect()}
+    sets = [(i, brute.shingles(t)) for i, t in two]
+    links = [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1:] if 100 * len(x & y) >= 80 * len(x | y)]
+    assert got == brute.components({i for i, _ in two}, links)
