@@ -1,15 +1,17 @@
 """Skew-safe sequence primitives: previous row, ordinal and running aggregates.
 
 A plain ``Window.partitionBy(key)`` puts every row of one key into one task; one account, program
-or request kind can hold a third of all rows. These helpers window over ``(key, chunk)``, where the
-chunk is a stretch of the first ordering column. The stretch's width follows from the data: the
-busiest key holds ``ROWS_PER_CHUNK`` rows a chunk on average, so a window group is bounded in rows
-whatever the load is. There is one algorithm for all keys and sizes, and nothing runs while a query
-is built (the width is a scalar subquery of its plan).
-
-What crosses a chunk's edge (the last row before it, counts and sums of earlier chunks) comes from a
-per-chunk summary that is aggregated map-side. Chunks are stitched in two levels: within groups of
-``CHUNKS_PER_GROUP`` chunks, then over groups, so no task sees all summaries of a key either.
+or request kind can hold a third of all rows, and they may all fall into one minute. Here the frame is
+stored once in the order of (keys, ordering columns), by range partitions, and cut into chunks of at most
+``ROWS_PER_CHUNK`` consecutive stored rows, whatever keys and times these have. Windows run within
+chunks, so a window group is bounded by a row count, not by an assumption about the data: bursts,
+outliers, equal times and hot keys are all cut alike, and small keys share a chunk.
+
+What crosses a chunk's edge (the last row before it, or counts and sums of the key that goes on) is one
+row a chunk. Of the few keys that go on over many chunks, these rows are cumulated; then each chunk looks at
+the one before it, within its partition or, at a partition's start, by one row a partition.
+
+The stored frame is what makes all readers agree on the chunks, also when an executor is lost; it lies in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,117 +20,97 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.functions.expr import unix_micros_ntz
+from tallyframe.session import scratch_path
 
-# Keys are held as one struct: equal when all fields are equal or both null, so that joins on it keep null keys.
-KEY, CHUNK, GROUP = "_key", "_chunk", "_group"
+CHUNK, ROW = "_chunk", "_row"
 ROWS_PER_CHUNK = 65_536
-CHUNKS_PER_GROUP = 1_024
-
-
-def _axis(df: DataFrame, col: str) -> Column:
-    """The ordering column as a number: micros of a timestamp, days of a date, else the number itself."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return unix_micros_ntz(F.col(col).cast("timestamp_ntz"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col)
-    if isinstance(kind, T.NumericType):
-        return F.col(col)
-    raise TypeError(f"the first ordering column must be a number, date or timestamp; {col} is {kind.simpleString()}")
-
-
-def _key(keys: Sequence[str]) -> list[str]:
-    return [KEY] if keys else []
+#: ``ROW`` is a partition's number in the upper bits and the place of the row in it in the lower ones.
+PLACE_BITS = 33
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add KEY and CHUNK, non-decreasing along ``order``; rows without a first ordering value come first."""
-    x = _axis(df, order[0])
-    df = df.withColumn(KEY, F.struct(*keys)) if keys else df
-    per_key = df.groupBy(*_key(keys)).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
-    span = per_key.agg(F.struct(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).alias("s")).scalar()
-    width = (span["high"] - span["low"] + 1).cast("double") * rows / span["n"]
-    return df.withColumn(CHUNK, F.coalesce(F.floor((x - span["low"]) / width).cast("long"), F.lit(-1).cast("long")))
+    """``df`` stored in the order of ``keys`` and ``order`` (nulls first), with ROW, and CHUNK, the ``rows`` consecutive rows it belongs to."""
+    spark, by = df.sparkSession, [F.col(c) for c in (*keys, *order)]
+    path = scratch_path(spark, "sequence")
+    stored = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(ROW, F.monotonically_increasing_id())
+    stored.write.parquet(path)
+    place = F.col(ROW).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return spark.read.schema(stored.schema).parquet(path).withColumn(CHUNK, F.col(ROW) - place + F.floor(place / rows).cast("long"))
 
 
-def _window(key: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*key, CHUNK).orderBy(*order)
+def _key(keys: Sequence[str]) -> Column:
+    """All keys as one value, equal when all are equal or both null."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def _levels(summary: DataFrame, keys: list[str]):
-    """The summary with its chunk groups, and the windows over a group's chunks and over a key's groups."""
-    grouped = summary.withColumn(GROUP, F.floor(F.col(CHUNK) / CHUNKS_PER_GROUP).cast("long"))
-    near = Window.partitionBy(*keys, GROUP).orderBy(CHUNK)
-    far = (Window.partitionBy(*keys) if keys else Window).orderBy(GROUP)
-    return grouped, near, far
+def _from_chunk_before(summary: DataFrame, column: str, out: str) -> DataFrame:
+    """(CHUNK, ``out``): ``column`` of the chunk before; ``summary`` has a row a chunk."""
+    part = F.shiftright(CHUNK, PLACE_BITS).alias("_part")
+    summary = summary.select(CHUNK, part, column)
+    tops = summary.groupBy("_part").agg(F.max_by(column, CHUNK).alias("_top"))
+    tops = tops.select("_part", F.lag("_top").over(Window.orderBy("_part")).alias("_top"))  # a row a partition
+    near = F.lag(column).over(Window.partitionBy("_part").orderBy(CHUNK)).alias(out)
+    return summary.select(CHUNK, "_part", near).join(tops, "_part", "left").select(CHUNK, F.coalesce(out, "_top").alias(out))
 
 
-def _last_before(summary: DataFrame, keys: list[str], last: str, out: str) -> DataFrame:
-    """For each (key, chunk) the ``last`` of the nearest earlier chunk of the key."""
-    grouped, near, far = _levels(summary, keys)
-    tops = grouped.groupBy(*keys, GROUP).agg(F.max_by(last, CHUNK).alias("_top")).select(*keys, GROUP, F.lag("_top").over(far).alias("_top"))
-    inner = grouped.select(*keys, CHUNK, GROUP, F.lag(last).over(near).alias(out))
-    return inner.join(tops, [*keys, GROUP], "left").select(*keys, CHUNK, F.coalesce(out, "_top").alias(out))
+def _carried(d: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """(CHUNK, ``_edge``): for each chunk the key that the chunk before ends with, and the ``sums`` over all rows of that key up to there."""
+    last = d.groupBy(CHUNK).agg(F.max_by(_key(keys), ROW).alias("_k"))
+    ends = d.join(last, CHUNK).where(F.col("_k").eqNullSafe(_key(keys))).groupBy(CHUNK, "_k").agg(*(c.alias(n) for n, c in sums.items()))
+    upto = Window.partitionBy("_k").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = ends.select(CHUNK, F.struct(F.col("_k").alias("k"), *(F.sum(n).over(upto).alias(n) for n in sums)).alias("_last"))
+    return _from_chunk_before(total, "_last", "_edge")
 
 
-def _sums_before(summary: DataFrame, keys: list[str], sums: Sequence[str]) -> DataFrame:
-    """For each (key, chunk) the sums over all earlier chunks of the key."""
-    grouped, near, far = _levels(summary, keys)
-    before = (Window.unboundedPreceding, -1)
-    tops = grouped.groupBy(*keys, GROUP).agg(*(F.sum(s).alias(s) for s in sums))
-    tops = tops.select(*keys, GROUP, *(F.sum(s).over(far.rowsBetween(*before)).alias(f"_top{s}") for s in sums))
-    inner = grouped.select(*keys, CHUNK, GROUP, *(F.sum(s).over(near.rowsBetween(*before)).alias(s) for s in sums))
-    total = [(F.coalesce(s, F.lit(0)) + F.coalesce(f"_top{s}", F.lit(0))).alias(s) for s in sums]
-    return inner.join(tops, [*keys, GROUP], "left").select(*keys, CHUNK, *total)
+def _goes_on(keys: Sequence[str]) -> Column:
+    """Whether the key of a row is the one that the chunk before ends with."""
+    return F.col("_edge.k").eqNullSafe(_key(keys))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
                   out: str = "prev", rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add struct column ``out`` = values of the previous row of the same key.
 
-    ``order`` must be a unique ascending ordering within a key, its first column a number, date or
-    timestamp. ``out`` is null on the first row of a key.
+    ``order`` must be a unique ascending ordering within a key. ``out`` is null on the first row of a key.
     """
-    d, keys = with_chunk(df, keys, order, rows), _key(keys)
-    in_chunk = d.withColumn(out, F.lag(F.struct(*values)).over(_window(keys, order)))
-    last = d.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
-    edge = _last_before(last, keys, "_last", "_edge")
-    return (in_chunk.join(edge, [*keys, CHUNK], "left").withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
-            .drop("_edge", CHUNK, KEY))
+    d = with_chunk(df, keys, order, rows)
+    row = F.struct(_key(keys).alias("k"), F.struct(*values).alias("v"))
+    edge = _from_chunk_before(d.groupBy(CHUNK).agg(F.max_by(row, ROW).alias("_last")), "_last", "_edge")
+    d = d.withColumn("_before", F.lag(row).over(Window.partitionBy(CHUNK).orderBy(ROW)))
+    d = d.join(edge, CHUNK, "left").withColumn("_before", F.coalesce("_before", "_edge"))
+    return d.withColumn(out, F.when(F.col("_before.k").eqNullSafe(_key(keys)), F.col("_before.v"))).drop("_before", "_edge", CHUNK, ROW)
+
+
+def _in_chunk(keys: Sequence[str]):
+    return Window.partitionBy(CHUNK, *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "ordinal", rows: int = ROWS_PER_CHUNK) -> DataFrame:
     """1-based position of each row within its key along ``order``."""
-    d, keys = with_chunk(df, keys, order, rows), _key(keys)
-    ranked = d.withColumn("_rn", F.row_number().over(_window(keys, order)))
-    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _sums_before(counts, keys, ["_n"])
-    return (ranked.join(offsets, [*keys, CHUNK], "left").withColumn(out, (F.col("_n") + F.col("_rn")).cast("long"))
-            .drop("_rn", "_n", CHUNK, KEY))
+    d = with_chunk(df, keys, order, rows)
+    edge = _carried(d, keys, {"n": F.count(F.lit(1))})
+    before = F.when(_goes_on(keys), F.col("_edge.n")).otherwise(F.lit(0))
+    d = d.withColumn("_n", F.row_number().over(_in_chunk(keys))).join(edge, CHUNK, "left")
+    return d.withColumn(out, (F.col("_n") + before).cast("long")).drop("_n", "_edge", CHUNK, ROW)
 
 
 def with_running_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "running_mean",
                       rows: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Mean of ``value`` over all rows of the key up to and including this one."""
-    d, keys = with_chunk(df, keys, order, rows), _key(keys)
-    upto = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = (d.withColumn("_s", F.sum(F.col(value).cast("double")).over(upto))
-           .withColumn("_c", F.count(F.col(value)).over(upto)))
-    sums = d.groupBy(*keys, CHUNK).agg(F.sum(F.col(value).cast("double")).alias("_ps"), F.count(F.col(value)).alias("_pc"))
-    total_c = F.col("_pc") + F.col("_c")
-    return (run.join(_sums_before(sums, keys, ["_ps", "_pc"]), [*keys, CHUNK], "left")
-            .withColumn(out, F.when(total_c > 0, (F.col("_ps") + F.coalesce("_s", F.lit(0.0))) / total_c))
-            .drop("_s", "_c", "_ps", "_pc", CHUNK, KEY))
+    """Mean of ``value`` over all rows of the key up to and including this one; null while there is no value."""
+    d = with_chunk(df, keys, order, rows)
+    v = F.col(value).cast("double")
+    edge = _carried(d, keys, {"s": F.coalesce(F.sum(v), F.lit(0.0)), "c": F.count(value)})
+    d = d.withColumn("_s", F.sum(v).over(_in_chunk(keys))).withColumn("_c", F.count(value).over(_in_chunk(keys))).join(edge, CHUNK, "left")
+    s, c = (F.coalesce(f"_{x}", F.lit(0)) + F.when(_goes_on(keys), F.col(f"_edge.{x}")).otherwise(F.lit(0)) for x in "sc")
+    return d.withColumn(out, F.when(c > 0, s / c)).drop("_s", "_c", "_edge", CHUNK, ROW)
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "running_total",
                        rows: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Sum of ``value`` over all rows of the key up to and including this one."""
-    d, keys = with_chunk(df, keys, order, rows), _key(keys)
-    run = d.withColumn(out, F.sum(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sums = d.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_ps"))
-    return (run.join(_sums_before(sums, keys, ["_ps"]), [*keys, CHUNK], "left")
-            .withColumn(out, F.coalesce(out, F.lit(0)) + F.col("_ps")).drop("_ps", CHUNK, KEY))
+    """Sum of ``value`` over all rows of the key up to and including this one; nulls count as 0."""
+    d = with_chunk(df, keys, order, rows)
+    edge = _carried(d, keys, {"s": F.coalesce(F.sum(value), F.lit(0))})
+    before = F.when(_goes_on(keys), F.col("_edge.s")).otherwise(F.lit(0))
+    d = d.withColumn("_s", F.sum(value).over(_in_chunk(keys))).join(edge, CHUNK, "left")
+    return d.withColumn(out, F.coalesce("_s", F.lit(0)) + before).drop("_s", "_edge", CHUNK, ROW)

@@ -464,13 +464,11 @@ def whole_listing(v, sort, by):
 
     Places count down ``by`` with an id tie-break; entries without a value follow by id.
     """
-    from tallyframe.operators.sequence import _axis, with_ordinal
-    entries = listed(v).select("id", "address", "is_active", by)
-    there = entries.where(F.col(by).isNotNull())
-    placed = with_ordinal(there.withColumn("_down", -_axis(there, by)), [], ["_down", "id"], out="place").drop("_down")
-    after = with_ordinal(entries.where(F.col(by).isNull()), [], ["id"], out="place")
-    after = after.withColumn("place", F.col("place") + there.agg(F.count(F.lit(1))).scalar())
-    return ledger.list_registry(placed.unionByName(after), sort=sort).select("place", "id", "address", "registry_status")
+    from tallyframe.operators.sequence import with_ordinal
+    down = -(expr.unix_micros_ntz(by) if by == "created_at" else F.col(by))
+    entries = listed(v).select("id", "address", "is_active", by, F.col(by).isNull().alias("_none"), down.alias("_down"))
+    placed = with_ordinal(entries, [], ["_none", "_down", "id"], out="place")
+    return ledger.list_registry(placed, sort=sort).select("place", "id", "address", "registry_status")
 
 
 @query("list_registry_created", oracle_text("""

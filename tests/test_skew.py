@@ -52,14 +52,42 @@ def test_hot_key_changes_exact_and_bounded(spark, rows):
     assert biggest <= min(hot_rows, 2 * rows)
 
 
-def test_groups_of_chunks_are_stitched(spark, monkeypatch):
-    monkeypatch.setattr(sequence, "CHUNKS_PER_GROUP", 3)
-    rows = [(i % 2 and "hot" or None, i // 2, i, float(i)) for i in range(200)]
-    df = spark.createDataFrame(rows, "k string, slot long, id long, v double")
-    got = sequence.with_previous(df, ["k"], ["slot", "id"], ["v"], rows=4).select("id", F.col("prev.v").alias("p")).collect()
-    assert {r.id: r.p for r in got} == {i: (float(i - 2) if i > 1 else None) for i in range(200)}
-    got = sequence.with_ordinal(df, ["k"], ["slot", "id"], rows=4).collect()
-    assert {r.id: r.ordinal for r in got} == {i: i // 2 + 1 for i in range(200)}
+BURST, OUTLIER, EQUAL = "burst", "outlier", "equal times"
+
+
+def _uneven(kind):
+    """Rows whose times say little about how many rows there are: a hot minute beside a year, one early row, one time for all."""
+    if kind == BURST:
+        return [("hot", i % 60, i) for i in range(6000)] + [("slow", i * 86_400, i) for i in range(365)]
+    if kind == OUTLIER:
+        return [("k", 0, 0)] + [("k", 10 ** 9 + i, i) for i in range(1, 6000)]
+    return [("k", 5, i) for i in range(6000)] + [(None, None, i) for i in range(50)]
+
+
+@pytest.mark.parametrize("kind", [BURST, OUTLIER, EQUAL])
+def test_chunks_are_bounded_whatever_the_times(spark, kind):
+    rows = _uneven(kind)
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    biggest = with_chunk(df, ["k"], ["t", "id"], 100).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
+    assert biggest <= 100
+    order = sorted(rows, key=lambda r: (r[0] or "", r[0] is not None, -1 if r[1] is None else r[1], r[2]))
+    before, place, total = {}, {}, {}
+    for at, r in enumerate(order):
+        same = at > 0 and order[at - 1][0] == r[0]
+        before[r] = order[at - 1][2] if same else None
+        place[r] = place[order[at - 1]] + 1 if same else 1
+        total[r] = (total[order[at - 1]] if same else 0) + r[2]
+    key = lambda r: (r.k, r.t, r.id)
+    assert {key(r): r.p for r in sequence.with_previous(df, ["k"], ["t", "id"], ["id"], rows=100).select("*", F.col("prev.id").alias("p")).collect()} == before
+    assert {key(r): r.ordinal for r in sequence.with_ordinal(df, ["k"], ["t", "id"], rows=100).collect()} == place
+    assert {key(r): r.running_total for r in sequence.with_running_total(df, ["k"], ["t", "id"], "id", rows=100).collect()} == total
+    mean = {key(r): r.running_mean for r in sequence.with_running_mean(df, ["k"], ["t", "id"], "id", rows=100).collect()}
+    assert all(abs(mean[r] - total[r] / place[r]) < 1e-6 for r in rows)
+
+
+def test_sequences_of_no_rows(spark):
+    none = spark.createDataFrame([], "k string, t long, id long")
+    assert sequence.with_previous(none, ["k"], ["t"], ["id"]).collect() == sequence.with_ordinal(none, [], ["t"]).collect() == []
 
 
 def test_values_need_not_follow_the_order(spark):
