@@ -3,29 +3,32 @@
 * R1 ``account_change_batches`` and R3 ``slot_change_batches``: ``foreachBatch`` over the batch
   operators. A micro-batch is joined to the last states of its own keys, goes through the same
   chunked window as a batch job, and its results and new last states are written under its batch id.
-* R2 ``new_signature_stream``: keyed ``dropDuplicatesWithinWatermark`` (bounded state), or
-  ``dropDuplicates`` without a watermark (exact, unbounded state).
+* R2 ``recent_signature_batches``: what is new among the last 10 signatures of an address, poll by poll;
+  ``new_signature_batches``: the first sighting of a pair within a delay; ``new_signature_stream``: the same by
+  ``dropDuplicates``, exact and unbounded, or within a watermark.
 * R4 ``filtered_tx_stream``: stateless subscription filter.
-* R5 ``fresh_state_stream``: the last state per key, with event-time expiry of the state.
-* A7 ``batch_rate_stream``: rows per tumbling window, emitted once the watermark has passed it.
+* R5 ``fresh_state_batches``: the last state per key, for a time to live since it was written and a time to idle since it was touched.
+* A7 ``batch_rate_batches``: rows per tumbling window, once the clock has passed it; ``batch_rate_stream``: the same by a watermark.
 
 Event time stays TIMESTAMP_NTZ; only watermarked streams cast to TIMESTAMP (watermarks reject NTZ).
 Everything is written under the shared folder, so a lost executor or a restarted driver resumes from
-the last commit, and a retried micro-batch replaces its own folder. A row that is not newer than the
-stored state of its key is late: it goes to the ``rejects`` output, never silently away.
+the last commit, and a retried micro-batch replaces its own folder. A job's clock is the latest event time of
+the batches before. A row that is not newer than the stored state of its key, or that is older than the clock less
+the job's delay, is late: it goes to the ``rejects`` output, never silently away. (The watermarked forms drop such rows.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.operators.changes import STATE_FIELDS, account_changes, distinct_until_changed
 from tallyframe.operators.ledger import subscription_filter
-from tallyframe.session import scratch_path
+from tallyframe.operators.sequence import with_previous
+from tallyframe.session import scratch_path, scratch_scope
 
 #: A stored state is written whole after this many micro-batches, so a read covers that many at most.
 COMPACT_EVERY = 64
@@ -96,12 +99,39 @@ class BatchFolders:
         return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{self.path}/{what}")
 
     def state(self, spark: SparkSession, schema: T.StructType, batch_id: int) -> DataFrame:
-        """State rows before ``batch_id``: the last one written whole, and those after it."""
+        """State rows before ``batch_id``, with the ``batch_id`` that wrote them: the last one written whole, and those after it."""
         rows = self.read(spark, "state", schema)
         if "batch_id" not in rows.columns:
-            return rows
+            return rows.withColumn("batch_id", F.lit(-1).cast("long"))
         whole = batch_id // COMPACT_EVERY * COMPACT_EVERY - 1
-        return rows.where((F.col("batch_id") >= whole) & (F.col("batch_id") < batch_id)).drop("batch_id")
+        return rows.where((F.col("batch_id") >= whole) & (F.col("batch_id") < batch_id))
+
+    def clock(self, spark: SparkSession, batch_id: int) -> Column:
+        """The latest event time of the batches before ``batch_id``; null before the first one."""
+        seen = self.read(spark, "clock", CLOCK)
+        return (seen.where(F.col("batch_id") < batch_id) if "batch_id" in seen.columns else seen).agg(F.max("clock")).scalar()
+
+    def tick(self, batch: DataFrame, ts: str, batch_id: int) -> None:
+        self.write(batch.agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("clock")), "clock", batch_id)
+
+
+def whole_state(batch_id: int) -> bool:
+    """Whether a batch writes the state whole."""
+    return (batch_id + 1) % COMPACT_EVERY == 0
+
+
+CLOCK = T.StructType([T.StructField("clock", T.TimestampNTZType())])
+
+
+def _once(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored as scratch, so that its readers do not compute it again each."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _span(delay: str) -> Column:
+    return F.expr(f"INTERVAL {delay}")
 
 
 def _latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -117,20 +147,19 @@ def _stateful(folders: BatchFolders, keys: Sequence[str], order: Sequence[str],
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, columns = batch.sparkSession, batch.columns
-        stored = folders.state(spark, batch.schema, batch_id)
-        touched = batch.select(*keys).distinct() if keys else None
-        last = _latest(stored.join(touched, keys, "left_semi") if keys else stored, keys, order)
-        ranks = last.select(*keys, F.struct(*order).alias("_last"))
-        ranked = (batch.join(ranks, keys, "left") if keys else batch.withColumn("_last", ranks.select("_last").scalar()))
-        fresh = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
-        news = ranked.where(fresh).select(*columns)
-        folders.write(ranked.where(~fresh).select(*columns), "rejects", batch_id)
-        rows = last.select(*columns).withColumn("_seed", F.lit(True)).unionByName(news.withColumn("_seed", F.lit(False)))
-        folders.write(run(rows), "out", batch_id)
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            folders.write(_latest(stored.unionByName(news), keys, order).select(*columns), "state", batch_id)
-        else:
-            folders.write(_latest(news, keys, order).select(*columns), "state", batch_id)
+        with scratch_scope(spark):
+            batch = _once(spark, batch, "batch")
+            stored = folders.state(spark, batch.schema, batch_id).drop("batch_id")
+            touched = batch.select(*keys).distinct() if keys else None
+            last = _once(spark, _latest(stored.join(touched, keys, "left_semi") if keys else stored, keys, order).select(*columns), "last")
+            ranks = last.select(*keys, F.struct(*order).alias("_last"))
+            ranked = batch.join(ranks, keys, "left") if keys else batch.withColumn("_last", ranks.select("_last").scalar())
+            ranked = _once(spark, ranked.withColumn("_fresh", F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))), "ranked")
+            news = ranked.where("_fresh").select(*columns)
+            folders.write(ranked.where("not _fresh").select(*columns), "rejects", batch_id)
+            rows = last.withColumn("_seed", F.lit(True)).unionByName(news.withColumn("_seed", F.lit(False)))
+            folders.write(run(rows), "out", batch_id)
+            folders.write(_latest(stored.unionByName(news) if whole_state(batch_id) else news, keys, order).select(*columns), "state", batch_id)
 
     return write
 
@@ -174,6 +203,18 @@ def slot_change_batches(path: str, order: Sequence[str] = ("ts", "signature"), s
     return _stateful(BatchFolders(path), source, order, run)
 
 
+def run_batches(spark: SparkSession, stream: DataFrame, job: Callable[[str], Callable[[DataFrame, int], None]], name: str, processing_time: str | None = None) -> str:
+    """Drain a ``foreachBatch`` job, and return the folder it wrote to; with ``processing_time`` it polls at that interval until nothing new has come."""
+    path, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    query = start_batches(stream, job(path), ckpt, processing_time)
+    if processing_time:
+        query.processAllAvailable()
+        query.stop()
+    else:
+        _drained(query)
+    return path
+
+
 def run_slot_changes(spark: SparkSession, tx: DataFrame, name: str = "slot-stream") -> DataFrame:
     """R3 drained."""
     path, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
@@ -204,13 +245,135 @@ def filtered_tx_stream(df: DataFrame, **filters) -> DataFrame:
     return subscription_filter(df, **filters)
 
 
-def fresh_state_stream(df: DataFrame, key: str, columns: Sequence[str], ttl: str, ts: str = "ts", seq: str = "id") -> DataFrame:
-    """The last state per key and time-to-live window; a window's state is dropped when the watermark passes it.
+def recent_signature_batches(path: str, address: str = "address", signature: str = "signature", order: Sequence[str] = ("ts", "signature"), keep: int = 10):
+    """R2: a ``foreachBatch`` function that treats each micro-batch as a poll.
+
+    An address's list is its ``keep`` latest signatures so far, by ``order``. What is on it now and was not on it after the
+    address's last poll is new; so all of a first poll's list is, and a signature that had left the list and comes again."""
+    folders = BatchFolders(path)
+    columns = list(dict.fromkeys([address, signature, *order]))
+    latest = Window.partitionBy(address).orderBy(*(F.desc(c) for c in order))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            rows = _once(spark, batch.select(*columns), "poll")
+            state = folders.state(spark, rows.schema, batch_id)
+            # an address's list is what its last poll wrote
+            polls = state.groupBy(F.col(address).alias("_a")).agg(F.max("batch_id").alias("_b"))
+            lists = state.join(polls, F.col(address).eqNullSafe(F.col("_a")) & (F.col("batch_id") == F.col("_b"))).select(*columns)
+            touched = rows.select(F.col(address).alias("_a")).distinct()
+            before = _once(spark, lists.join(touched, F.col(address).eqNullSafe(F.col("_a")), "left_semi"), "lists")
+            sightings = before.unionByName(rows).groupBy(address, signature).agg(F.max(F.struct(*order)).alias("_at"))
+            sightings = sightings.select(address, signature, *(F.col("_at")[c].alias(c) for c in order if c not in (address, signature)))
+            now = _once(spark, sightings.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= keep).select(*columns), "now")
+            was = before.select(F.col(address).alias("_a"), F.col(signature).alias("_s"))
+            folders.write(now.join(was, F.col(address).eqNullSafe(F.col("_a")) & F.col(signature).eqNullSafe(F.col("_s")), "left_anti"), "out", batch_id)
+            others = lists.join(touched, F.col(address).eqNullSafe(F.col("_a")), "left_anti")
+            folders.write(now.unionByName(others) if whole_state(batch_id) else now, "state", batch_id)
+
+    return write
+
+
+def new_signature_batches(path: str, keys: Sequence[str] = ("address", "signature"), ts: str = "ts", delay: str = "1 day"):
+    """R2: a ``foreachBatch`` function that writes the earliest row of each key, unless the key was seen within ``delay`` before; late rows go to ``rejects``."""
+    folders, keys = BatchFolders(path), list(keys)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            rows = _once(spark, batch, "batch")
+            clock = folders.clock(spark, batch_id)
+            late = F.coalesce(F.col(ts) < clock - _span(delay), F.lit(False))
+            folders.write(rows.where(late), "rejects", batch_id)
+            columns = [*keys, ts]
+            seen = folders.state(spark, rows.select(*columns).schema, batch_id).where(F.coalesce(F.col(ts) >= clock - _span(delay), F.lit(True))).select(*columns)
+            first = rows.where(~late).groupBy(*keys).agg(F.min(ts).alias(ts))
+            known = seen.select(F.struct(*keys).alias("_k")).distinct()
+            news = _once(spark, first.join(known, F.struct(*keys).eqNullSafe(F.col("_k")), "left_anti").select(*columns), "news")
+            folders.write(news, "out", batch_id)
+            folders.write(seen.unionByName(news) if whole_state(batch_id) else news, "state", batch_id)
+            folders.tick(rows, ts, batch_id)
+
+    return write
+
+
+def batch_rate_batches(path: str, width: str = "1 hour", width_s: float = 3600.0, delay: str = "1 hour", ts: str = "ts", by: Sequence[str] = ()):
+    """A ``foreachBatch`` function that writes the rate of each tumbling window once the clock is ``delay`` past its end.
+
+    Rows of windows that were written before are late and go to ``rejects``. The state is the counts of the open windows."""
+    folders, by = BatchFolders(path), list(by)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            rows = _once(spark, batch.select(*batch.columns, F.window(ts, width).alias("_w")), "batch")
+            before = folders.clock(spark, batch_id)
+            late = F.coalesce(F.col("_w.end") <= before - _span(delay), F.lit(False))
+            folders.write(rows.where(late).drop("_w"), "rejects", batch_id)
+            news = rows.where(~late).groupBy(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by).agg(F.count(F.lit(1)).alias("n"))
+            state = folders.state(spark, news.schema, batch_id).where(F.col("batch_id") == batch_id - 1).select(*news.columns)
+            counts = _once(spark, state.unionByName(news).groupBy("window_start", "window_end", *by).agg(F.sum("n").alias("n")), "counts")
+            folders.tick(rows, ts, batch_id)
+            closed = F.coalesce(F.col("window_end") <= folders.clock(spark, batch_id + 1) - _span(delay), F.lit(False))
+            folders.write(counts.where(closed).select("window_start", "window_end", *by, "n", (F.col("n") / F.lit(width_s)).alias("per_second")), "out", batch_id)
+            folders.write(counts.where(~closed), "state", batch_id)  # the open windows are the whole state
+
+    return write
+
+
+def fresh_state_batches(path: str, key: str, columns: Sequence[str], ttl: str, idle: str | None = None, ts: str = "ts", seq: str = "id", read: str | None = None):
+    """A ``foreachBatch`` function that keeps the last state per key, with the times it was ``written`` and ``touched``.
+
+    A state lives for ``ttl`` after it was written and, with ``idle``, until it has not been touched for that long; where the
+    flag ``read`` is true a row only touches the key's state, and one that is no longer alive is not revived. ``fresh`` reads what is alive at a time.
+    A key's rows are taken by (``ts``, ``seq``); rows without a key take no part. States past their ``ttl`` by the clock leave the state where it is
+    written whole, so touches may come late by what is left of it."""
+    folders, columns = BatchFolders(path), list(columns)
+    is_read = F.coalesce(F.col(read), F.lit(False)) if read else F.lit(False)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            rows = _once(spark, batch.select(key, *columns, ts, seq, is_read.alias("_read")), "batch")
+            schema = rows.select(key, *columns, F.col(ts).alias("written"), F.col(seq).alias("sequence"), F.col(ts).alias("touched")).schema
+            state = _latest(folders.state(spark, schema, batch_id), [key], ["batch_id"]).select(*schema.names)
+            known = state.join(rows.select(key).distinct(), key, "left_semi")
+            writes = rows.where("not _read").select(key, *columns, F.col(ts).alias("written"), F.col(seq).alias("sequence"), F.col(ts).alias("touched"))
+            last = _once(spark, _latest(known.unionByName(writes), [key], ["written", "sequence"]).select(*schema.names), "last")
+            # touches since the last write, in order; the first gap over the idle time ends them
+            touches = (last.select(key, F.col("touched").alias("_t"), F.lit(0).alias("_n")).unionByName(
+                rows.join(last.select(key, "written", "touched"), key).where(F.col("_read") & (F.col(ts) >= F.col("written")) & (F.col(ts) >= F.col("touched")))
+                .select(key, F.col(ts).alias("_t"), F.lit(1).alias("_n"))))
+            if idle is None:
+                ends = touches.groupBy(key).agg(F.max("_t").alias("_end"))
+            else:
+                gaps = with_previous(touches.withColumn("_s", F.monotonically_increasing_id()), [key], ["_t", "_n", "_s"], ["_t"], out="_p")
+                broken = F.col("_t") > F.col("_p._t") + _span(idle)
+                ends = gaps.groupBy(key).agg(F.coalesce(F.min(F.when(broken, F.col("_p._t"))), F.max("_t")).alias("_end"))
+            news = last.join(ends, key, "left").withColumn("touched", F.coalesce("_end", "touched")).select(*schema.names)
+            folders.tick(rows, ts, batch_id)
+            if whole_state(batch_id):
+                rest = state.join(rows.select(key).distinct(), key, "left_anti")
+                news = news.unionByName(rest).where(alive(folders.clock(spark, batch_id + 1), ttl))
+            folders.write(news, "state", batch_id)
+
+    return write
+
+
+def alive(now: Column, ttl: str, idle: str | None = None) -> Column:
+    """Whether a state with ``written`` and ``touched`` is alive at a time."""
+    fresh = F.col("written") >= now - _span(ttl)
+    return fresh if idle is None else fresh & (F.col("touched") >= now - _span(idle))
+
 
-    Windows tile time by ``ttl``, so the state that is held covers the last two of them at most."""
-    d = _watermarked(df, ts, ttl).groupBy(F.window(ts, ttl).alias("w"), key)
-    return (d.agg(F.max_by(F.struct(ts, *columns), F.struct(ts, seq)).alias("_r"))
-            .select(key, F.col("w.end").alias("expires_after"), *(F.col("_r")[c].alias(c) for c in (ts, *columns))))
+def fresh(spark: SparkSession, path: str, schema: T.StructType, key: str, columns: Sequence[str], now: Column, ttl: str, idle: str | None = None) -> DataFrame:
+    """The states under ``path`` that are alive at ``now``: key, columns, ``written``, ``touched``. ``schema`` is that of the stream's rows."""
+    times = [T.StructField(n, T.TimestampNTZType()) for n in ("written", "touched")]
+    state = T.StructType([schema[key], *(schema[c] for c in columns), *times])
+    rows = BatchFolders(path).read(spark, "state", state)
+    rows = rows if "batch_id" in rows.columns else rows.withColumn("batch_id", F.lit(-1))
+    return _latest(rows, [key], ["batch_id"]).drop("batch_id").where(alive(now, ttl, idle))
 
 
 def batch_rate_stream(df: DataFrame, width: str = "1 hour", width_s: float = 3600.0, delay: str = "1 hour", ts: str = "ts",
