@@ -25,10 +25,23 @@ from .links import components
 from .textcore import mix, signed
 
 THRESHOLD = 0.93
-TABLES = 6
-PROBES = 4
-BUCKET_MEAN = 64
+PROBES = 1
+#: Vectors a bucket holds on average, which the number of hashes a bucket is made of follows from.
+BUCKET_MEAN = 1024
 BUCKET_ROWS = 2048
+#: How often, at least, two vectors of the threshold's cosine meet in one table of one hash and one probe (0.71 measured at 768
+#: dimensions, 0.82 at 64); each further hash leaves about half of that. The tables are as many as let a pair be missed this rarely.
+MEET, MISSED = 0.71, 0.03
+
+
+def hashes_for(vectors: int, dim: int) -> int:
+    """Hashes of a bucket: as many as spread this many vectors over buckets of ``BUCKET_MEAN``, by the 2 d values a hash of this width has."""
+    values = 2 << max(1, (dim - 1).bit_length())
+    return max(1, math.ceil(math.log(max(1, vectors / BUCKET_MEAN)) / math.log(values)))
+
+
+def tables_for(k: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - MEET / 2 ** (k - 1)))
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -78,12 +91,12 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(rows: dict[str, np.ndarray], table: int, threshold: float, shape: tuple[int, int], kind: type):
+def _compare(rows: dict[str, np.ndarray], table: int, threshold: float, probes: int, kind: type):
     """Of one bucket piece: (vector, links counted here, smallest vector it is tied to here)."""
     member, split, low, high = rows["member"], rows["split"], rows["low"][0], rows["high"][0]
     n = len(member)
     x = units(np.stack([np.frombuffer(v, kind) for v in rows["vector"]]).astype(np.float64))
-    c = np.stack([np.frombuffer(v, np.int32).reshape(shape) for v in rows["codes"]])
+    c = np.stack([np.frombuffer(v, np.int64).reshape(-1, 1 + probes) for v in rows["codes"]])
     ours = np.flatnonzero(member)
     near = x[ours] @ x.T >= threshold
     a, b = np.nonzero(near)
@@ -115,13 +128,14 @@ def _compare(rows: dict[str, np.ndarray], table: int, threshold: float, shape: t
 
 
 def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str = "label", threshold: float = THRESHOLD,
-                 tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+                 hashes: int | None = None, probes: int = PROBES) -> DataFrame:
     """(key, ``n_links``, ``component_id``, ``kept``) for every row of ``df``.
 
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is
     ``threshold`` or more. Vectors that are null, empty, zero or hold nulls or non-finite numbers, and
     rows without an id, link with nothing; without an id the component and ``kept`` are null. Equal
-    rows are vectors of their own. Other columns are ignored.
+    rows are vectors of their own. Other columns are ignored. ``hashes`` of a bucket follow from the number and the width of the
+    vectors if not given, and the number of tables from them, so that the recall at the threshold stays the same.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -131,7 +145,6 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     classes = written(spark, df.filter(fine).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
     n = classes.count()
-    k = max(1, math.ceil(math.log(max(1, n / BUCKET_MEAN)) / math.log(128)))
 
     def place(batches, whole=True):
         """Each vector in its buckets; only the buckets unless ``whole``."""
@@ -146,8 +159,10 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                     rows = np.flatnonzero(sizes == d)
                     x = flat[first[rows][:, None] + np.arange(d)]
                     unit = units(x.astype(np.float64))
+                    k = hashes or hashes_for(n, d)
+                    tables = tables_for(k)
                     all_codes = np.stack([codes(unit, t, k, probes) for t in range(tables)], 1)
-                    packed = [c.tobytes() for c in all_codes.astype(np.int32)]
+                    packed = [c.tobytes() for c in all_codes]
                     vectors = [v.tobytes() for v in x]
                     names = part.column("label").take(pa.array(rows))
                     seed = mix(np.array([hash_text(s) for s in names.to_pylist()], np.uint64) + np.uint64(d))
@@ -155,7 +170,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                         for p in range(1 + probes):
                             code = all_codes[:, t, p]
                             use = np.flatnonzero(code >= 0)
-                            bucket = signed(mix(seed[use] ^ mix(code[use].astype(np.uint64) * np.uint64(tables) + np.uint64(t))))
+                            bucket = signed(mix(seed[use] ^ mix(mix(code[use].astype(np.uint64)) + np.uint64(t))))
                             if not whole:
                                 yield pa.RecordBatch.from_pydict({"bucket": bucket})
                                 continue
@@ -171,7 +186,6 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     pieces = (placed.join(sizes, "bucket", "left").withColumn("split", split).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
               .withColumn("low", F.least("split", "other")).withColumn("high", F.greatest("split", "other")).drop("pieces", "other"))
     pieces = pieces.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    shape = (tables, 1 + probes)
 
     def compare(batches):
         held: pa.Table | None = None
@@ -192,7 +206,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                 for a, b in many:
                     if columns["member"][a:b].any():
                         rows = {c: v[a:b] for c, v in columns.items()} | {"vector": vectors[a:b], "codes": packed[a:b]}
-                        found = _compare(rows, int(columns["tab"][a]), threshold, shape, kind)
+                        found = _compare(rows, int(columns["tab"][a]), threshold, probes, kind)
                         if found:
                             out.append(found)
             return out, table.slice(int(at[stop]))

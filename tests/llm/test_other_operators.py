@@ -103,6 +103,23 @@ def test_near_vectors_in_pieces_of_large_buckets(spark, monkeypatch):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("dim, hashes", [(64, 2), (64, 3), (64, 4), (768, 2), (768, 3), (768, 4)])
+def test_recall_and_counts_of_several_hashes(spark, dim, hashes):
+    """Pairs just over the threshold, in buckets of many hashes: the recall stays, and who shares a component has links."""
+    r = np.random.default_rng([dim, hashes])
+    x = r.normal(size=(150, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.935 * x + math.sqrt(1 - 0.935 ** 2) * z
+    rows = [(2 * i + j, v.tolist(), 1) for i in range(len(x)) for j, v in enumerate((x[i], y[i]))]
+    got = {v.vec_id: v for v in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), hashes=hashes).collect()}
+    linked = [i for i in range(len(x)) if got[2 * i + 1].component_id == 2 * i]
+    assert len(linked) >= 0.9 * len(x)
+    assert {i for i, v in got.items() if v.n_links == 1} == {2 * i + j for i in linked for j in (0, 1)} and all(v.n_links <= 1 for v in got.values())
+
+
 def test_recall_on_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/../sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = sum(r.n_links for r in registry.op7_embedding_near_dedup(spark, f"{SF_SMALL}/../sf0.1").collect())
