@@ -8,9 +8,10 @@ sequence also starts earlier (smaller id, or same document and earlier start) ar
    that occur at two places or more are found by a sharded exchange of hashes (see ``blocks``).
 2. Windows over a recurring anchor are candidates; a second exchange confirms, by 128-bit hashes,
    which of them recur and whether their first occurrence lies in the asking block.
-3. Each block compiles the anchors of its confirmed passages into an Aho-Corasick automaton (the
-   automata are sharded by block: a block needs the phrases it holds, and no others), streams all its
-   documents through it, and marks every confirmed window at every place the automaton reports.
+3. Each block compiles the anchors of its confirmed passages, each once, into an Aho-Corasick automaton (the
+   automata are sharded by block: a block needs the phrases it holds, and no others) and streams all its
+   documents through it. Windows around a reported place that are a confirmed passage, by both hashes,
+   and do not stand at its first place, lose their words. No word goes that the automaton has not reported.
 """
 
 from __future__ import annotations
@@ -118,25 +119,37 @@ def _candidates(w: Windows, n_shards: int, got: dict[int, bytes]) -> np.ndarray:
 
 
 class Distinct:
-    """The distinct windows among some windows of a block, in hash order, each with its first place.
-
-    ``own`` and ``lead``, by window: which distinct one it is, and whether it stands at that one's first place.
-    """
+    """The distinct windows among some windows of a block, in order of hash and check: of each its first
+    place in the block (``doc``, ``start``), whether it stands there twice, and its anchor (``anchor``, at word ``place``)."""
 
     def __init__(self, batch: pa.RecordBatch, w: Windows, which: np.ndarray, key: str):
-        row = np.searchsorted(w.words.first, w.at[which], "right") - 1
-        ids = batch.column(key).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc, start, h, check = ids[row], w.at[which] - w.words.first[row], w.hash[which], w.check[which]
+        doc, start = _places(batch, w, which, key)
+        h, check = w.hash[which], w.check[which]
         order = np.lexsort((start, doc, check, h))
         h, check = h[order], check[order]
         new = np.ones(len(order), bool)
         new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
         first = np.flatnonzero(new)
-        self.h, self.check, self.doc, self.start = h[first], check[first], doc[order][first], start[order][first].astype(np.int64)
+        self.h, self.check, self.doc, self.start = h[first], check[first], doc[order][first], start[order][first]
         self.twice = np.diff(np.append(first, len(order))) > 1
-        self.own = np.empty(len(order), np.int64)
-        self.own[order] = np.cumsum(new) - 1
-        self.lead = (doc == self.doc[self.own]) & (start == self.start[self.own])
+        self.anchor, self.place = w.anchor[which][order][first], w.place[which][order][first]
+
+
+def _places(batch: pa.RecordBatch, w: Windows, which: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Document id and first word within the document of some windows."""
+    row = np.searchsorted(w.words.first, w.at[which], "right") - 1
+    ids = batch.column(key).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids[row], (w.at[which] - w.words.first[row]).astype(np.int64)
+
+
+def _among(h: np.ndarray, check: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where each pair (x, y) stands among the pairs (h, check), which are sorted; -1 where it does not."""
+    at, found = np.searchsorted(h, x), np.full(len(x), -1)
+    for step in range(np.unique(h, return_counts=True)[1].max(initial=0)):  # one step, unless hashes collide
+        p = np.minimum(at + step, len(h) - 1)
+        hit = (h[p] == x) & (check[p] == y)
+        found[hit] = p[hit]
+    return found
 
 
 def _ask_windows(df: DataFrame, anchors: DataFrame, text: str, key: str, window: int, n_shards: int) -> DataFrame:
@@ -181,28 +194,30 @@ def _located(w: Windows, phrases: np.ndarray, size: int) -> np.ndarray:
 
 
 def _kept(batch: pa.RecordBatch, got: dict[int, bytes], text: str, key: str, window: int, n_shards: int) -> tuple[Words, np.ndarray]:
-    """The words of a block, and for each whether it stays."""
+    """The words of a block, and for each whether it stays.
+
+    The answers name the confirmed passages, each once, with its first place; where else they stand is what the
+    automaton reports, each place checked against the passages by both hashes."""
     w = Windows(batch, text, window)
     which = _candidates(w, n_shards, {s: v for s, v in got.items() if s < n_shards})
     d = Distinct(batch, w, which, key)
-    flags = flags_of(d.h, n_shards, {s - n_shards: v for s, v in got.items() if s >= n_shards}, lambda b, n: unpack(b, np.uint8)[0])[d.own]
-    recurs = flags >= 2
-    gone = recurs & ((flags & 1 == 1) | ~d.lead)
-    goes = np.zeros(len(w.words.start), bool)  # by first word: a confirmed window that starts earlier elsewhere
-    goes[w.at[which[gone]]] = True
-    covered = np.zeros(len(goes) + 1, np.int32)
-    if gone.any():
-        # the anchor phrase of every confirmed passage, once
+    flags = flags_of(d.h, n_shards, {s - n_shards: v for s, v in got.items() if s >= n_shards}, lambda b, n: unpack(b, np.uint8)[0])
+    known = np.flatnonzero(flags >= 2)
+    covered = np.zeros(len(w.words.start) + 1, np.int32)
+    if len(known):
         size = min(ANCHOR, window)
-        reach = window - size + 1
-        marks = which[recurs]
-        phrases = w.place[marks[np.unique(w.anchor[marks], return_index=True)[1]]]
-        hits = np.unique(_located(w, phrases, size))
-        near = np.unique(hits[:, None] - np.arange(reach))
-        near = near[near >= 0]
-        near = near[goes[near]]
-        covered[near] += 1  # the starts are distinct, and so are the ends
-        covered[near + window] -= 1
+        phrases = d.place[known[np.unique(d.anchor[known], return_index=True)[1]]]  # every anchor phrase once
+        hits = _located(w, phrases, size)
+        near = np.zeros(len(w.words.start), bool)
+        for back in range(window - size + 1):  # a window holds its anchor anywhere
+            near[hits[hits >= back] - back] = True
+        which = np.flatnonzero(near[w.at])
+        own = _among(d.h[known], d.check[known], w.hash[which], w.check[which])
+        which, own = which[own >= 0], known[own[own >= 0]]
+        doc, start = _places(batch, w, which, key)
+        gone = w.at[which[(flags[own] & 1 == 1) | (doc != d.doc[own]) | (start != d.start[own])]]
+        covered[gone] += 1  # the starts are distinct, and so are the ends
+        covered[gone + window] -= 1
     return w.words, np.cumsum(covered[:-1]) == 0
 
 

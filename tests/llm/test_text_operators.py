@@ -76,6 +76,30 @@ def test_repeats_of_small_windows_and_repeated_rows(spark, tmp_path):
     assert [r.n_removed for r in remove_repeats(spark.read.parquet(str(tmp_path / "t"))).collect()] == [0, 0, 0, 0]  # one document twice
 
 
+def test_repeats_are_where_the_automaton_reports_them(monkeypatch):
+    """Removals come from the automaton's places: of a block without any, nothing goes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyframe.llm import substring_dedup as sd
+    from tallyframe.llm.blocks import joined, pack, pack_sorted
+    r = random.Random(8)
+    shared = prose(30, r)
+    texts = [prose(25, r) + " " + shared, None, "", shared + " " + prose(9, r) + " " + shared, prose(40, r)]
+    batch = pa.record_batch({"doc_id": pa.array([5, 1, 2, 3, None], pa.int64()), "text": pa.array(texts, pa.string())})
+    w = sd.Windows(batch, "text", 20)
+    values, count = np.unique(w.anchors(), return_counts=True)
+    got = {0: sd._recurring([joined(pack_sorted(values), np.packbits(count > 1).tobytes())])[0]}
+    d = sd.Distinct(batch, w, sd._candidates(w, 1, got), "doc_id")
+    got[1] = sd._first_places([joined(pack_sorted(d.h), pack(d.check, d.doc, d.start, d.twice.astype(np.uint8)))])[0]
+    words, stays = sd._kept(batch, got, "text", "doc_id", 20, 1)
+    gone = [int((~stays[a:b]).sum()) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    want = brute.remove_repeats(zip([5, 1, 2, 3, None], texts, strict=True))
+    assert gone == [len(brute.words(t)) - len(want[i]) for i, t in zip([5, 1, 2, 3, None], texts, strict=True)] == [30, 0, 0, 30, 0]
+    monkeypatch.setattr(sd, "_located", lambda w, phrases, size: np.zeros(0, np.int64))
+    assert sd._kept(batch, got, "text", "doc_id", 20, 1)[1].all()
+
+
 def test_near_groups_equal_brute_force(docs):
     rows, df = docs
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(df).collect()}
