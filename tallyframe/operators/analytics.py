@@ -24,6 +24,28 @@ def wallet_analytics(activities: DataFrame, asof: str, days: int = 30, key: str
         F.count_distinct(F.to_date(ts)).alias("active_days"))
 
 
+def activity_days(activities: DataFrame, key: str = "wallet_address", ts: str = "ts") -> DataFrame:
+    """D1 rollup, to be stored: per (wallet, activity_type, day) count, fee sum, first and last time. Days of new batches
+    are appended; a day that is rolled up again replaces its rows."""
+    return activities.groupBy(key, "activity_type", F.to_date(ts).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_activities"), F.sum("fee").cast("long").alias("total_fees"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def wallet_analytics_from_days(stored: DataFrame, activities: DataFrame, asof: str, days: int = 30, key: str = "wallet_address",
+                               ts: str = "ts") -> DataFrame:
+    """D1 as ``wallet_analytics`` gives it, for any as-of time: whole days from the stored rollup, the parts of days at the two
+    ends from the log (a filter on time alone, which reaches the scan). Days of one (wallet, type) are distinct rows, so they count themselves."""
+    end = F.lit(asof).cast("timestamp_ntz")
+    low = end - F.make_interval(days=F.lit(days))
+    first, last = F.to_date(low + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")), F.to_date(end)
+    ends = _since(activities, asof, days, ts).where((F.col(ts) < first.cast("timestamp_ntz")) | (F.col(ts) >= last.cast("timestamp_ntz")))
+    whole = stored.where((F.col("day") >= first) & (F.col("day") < last))
+    parts = whole.unionByName(activity_days(ends, key, ts))
+    return parts.groupBy(key, "activity_type").agg(
+        F.sum("n_activities").alias("n_activities"), F.sum("total_fees").alias("total_fees"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), F.count_distinct("day").alias("active_days"))
+
+
 def account_analytics(changes: DataFrame, asof: str, days: int = 30, key: str = "account_address",
                       ts: str = "timestamp") -> DataFrame:
     """Per (account, activity_type): count, net and absolute lamports change, net data change."""

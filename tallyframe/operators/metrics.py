@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import unix_micros_ntz
@@ -151,3 +151,49 @@ def block_rollup(tx: DataFrame, slots: DataFrame, confirmed_depth: int = 2, fina
 
     return d.where(F.col("_own") > 0).select("slot", "tx_count", "total_fees", "total_volume", "vote_count",
                                               delay("confirmed", "confirmation_delay_s"), delay("finalized", "finalization_delay_s"))
+
+
+HISTOGRAM_BITS = 8  # leading bits of a value that its bucket keeps: a bucket's middle is within 1/256 of its values
+
+
+def latency_histogram(log: DataFrame, by: Sequence[str] = ("kind",), value: str = "response_us", ts: str = "ts") -> DataFrame:
+    """A5, to be stored: per group and ``hour``, buckets of integer values that share their leading bits.
+
+    One row a bucket: ``low``, ``shift`` (it holds low to low + 2**shift - 1), ``n``, ``total``, ``least``, ``most``. A group has
+    at most 2 x 7,424 buckets whatever its rows, and rows of different hours, batches or tables merge by adding.
+    Null values count nowhere; values below zero have buckets of the same widths.
+    """
+    v = F.col(value).cast("long")
+    size = F.when(v < 0, -(v + 1)).otherwise(v)
+    shift = F.when(size >= 1 << HISTOGRAM_BITS, F.length(F.bin(size)) - HISTOGRAM_BITS).otherwise(0)
+    rows = log.where(v.isNotNull()).select(*by, F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour"), v.alias("_v"), shift.alias("shift"))
+    low = F.call_function("shiftleft", F.call_function("shiftright", F.col("_v"), F.col("shift")), F.col("shift"))
+    return rows.groupBy(*by, "hour", low.alias("low"), "shift").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_v").cast("decimal(20,0)")).alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+
+
+def merge_histograms(parts: Sequence[DataFrame]) -> DataFrame:
+    """Stored histograms of the same groups as one; equal buckets are added."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    keys = [c for c in out.columns if c not in ("n", "total", "least", "most")]
+    return out.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(30,0)").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def histogram_percentiles(stored: DataFrame, by: Sequence[str] = ("kind",), asked: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Count, mean, least, most and percentiles per group over all the hours that ``stored`` holds.
+
+    A percentile is that of the nearest rank (the ceil(p x n)-th value), as the middle of its bucket: the rank is
+    exact, the value within 1/256. The window runs over a group's buckets, not its rows, and these are bounded.
+    """
+    group = [F.col(c) for c in by]
+    buckets = stored.groupBy(*by, "low", "shift").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    so_far = Window.partitionBy(*group).orderBy("low", "shift").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy(*group)
+    buckets = buckets.select("*", F.sum("n").over(so_far).alias("_upto"), F.sum("n").over(all_of).alias("_all"))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("shift"))
+    middle = F.greatest("least", F.least("most", F.col("low") + F.call_function("shiftright", width - 1, F.lit(1))))
+    return buckets.groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum("total").cast("double") / F.sum("n")).alias("mean_us"), F.min("least").alias("min_us"), F.max("most").alias("max_us"),
+        *(F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(p)), middle)).alias(f"p{round(100 * p)}_us") for p in asked))

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import BASE58_PATTERN, address_bounds, is_valid_address, unix_micros_ntz
 from tallyframe.operators import maintenance
+from tallyframe.operators.stored import RangeTable
 from tallyframe.plans.registry import INGEST_TS, oracle_text, query
 from tallyframe.session import scratch_path
 from tallyframe.sources import ingest
 
+SLOTS_A_RANGE = 4096  # of the stored slots
+
 
 @query("ingest_headers", oracle_text(
     "SELECT slot, blockhash, parent_slot, true AS finalized, ts AS timestamp FROM v_headers"))
@@ -126,6 +129,32 @@ def scan_tx_jsonl(v, spark, sf):
                        F.array_join("program_ids", ",").alias("program_ids_text"), "ts")
 
 
+LINE_SQL = """
+SELECT signature, slot, fee, CASE WHEN fee % 13 = 0 THEN substr(line, 1, 40)
+       WHEN fee % 17 = 0 THEN replace(line, '"slot":', '"place":') WHEN fee % 19 = 0 THEN replace(line, 'T', ' at ') ELSE line END AS line
+FROM (SELECT *, concat('{"signature":"', signature, '","slot":', CAST(slot AS VARCHAR), ',"fee":', CAST(fee AS VARCHAR), ',"status":"', status,
+             '","programIds":["', program_id, '"],"timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), '"}') AS line FROM v_transactions)"""
+
+
+@query("scan_tx_jsonl_rejects", oracle_text(f"""
+SELECT CASE WHEN reason IS NULL THEN signature END AS signature, CASE WHEN reason IS NULL THEN slot END AS slot,
+       CASE WHEN reason IS NOT NULL THEN line END AS line, reason
+FROM (SELECT *, CASE WHEN fee % 13 = 0 THEN 'malformed' WHEN fee % 17 = 0 THEN 'slot' WHEN fee % 19 = 0 THEN 'timestamp' END AS reason
+      FROM ({LINE_SQL}))"""))
+def scan_tx_jsonl_rejects(v, spark, sf):
+    """A log in which some lines are cut, lack their slot or have no ISO time: typed rows and rejects, no line lost."""
+    path = scratch_path(spark, "tx-broken")
+    fee = F.col("fee")
+    line = F.concat(F.lit('{"signature":"'), "signature", F.lit('","slot":'), F.col("slot").cast("string"), F.lit(',"fee":'), fee.cast("string"),
+                    F.lit(',"status":"'), "status", F.lit('","programIds":["'), "program_id", F.lit('"],"timestamp":"'),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit('"}'))
+    broken = (F.when(fee % 13 == 0, F.substring(line, 1, 40)).when(fee % 17 == 0, F.replace(line, F.lit('"slot":'), F.lit('"place":')))
+              .when(fee % 19 == 0, F.replace(line, F.lit("T"), F.lit(" at "))).otherwise(line))
+    v.transactions.select(broken.alias("value")).write.mode("error").text(path)
+    rows, rejects = ingest.read_tx_jsonl_checked(spark, path)
+    return rows.select("signature", "slot").unionByName(rejects, allowMissingColumns=True)
+
+
 # -- K1, K2, K4, K5 -------------------------------------------------------
 
 @query("upsert_slots", oracle_text("""
@@ -142,6 +171,24 @@ def upsert_slots(v, spark, sf):
     return maintenance.upsert(target, batch, "slot").select("slot", "blockhash", "parent_slot", "finalized", "ts")
 
 
+@query("upsert_slots_stored", oracle_text("""
+SELECT s.slot, CASE WHEN s.slot > m.tip - 100 THEN concat('fork', s.blockhash) ELSE s.blockhash END AS blockhash, s.parent_slot,
+       s.slot <= m.tip - 100 AND h.slot IS NOT NULL AS finalized, s.ts
+FROM v_slots s LEFT JOIN v_headers h ON h.slot = s.slot CROSS JOIN (SELECT max(slot) AS tip FROM v_slots) m"""))
+def upsert_slots_stored(v, spark, sf):
+    """K1 written back: slots stored by ranges, headers upserted over them, then the newest 100 slots replaced, twice as after a
+    lost writer; the last batch rewrites the ranges of its slots only."""
+    columns = ["slot", "blockhash", "parent_slot", "finalized", "ts"]
+    seeds = v.slots.withColumn("finalized", F.lit(False)).withColumn("ingest_seq", F.lit(0)).select(*columns, "ingest_seq")
+    landed = ingest.ingest_headers(v.headers, INGEST_TS).withColumnRenamed("timestamp", "ts").withColumn("ingest_seq", F.lit(0))
+    fork = seeds.where(F.col("slot") > v.slots.select(F.max("slot")).scalar() - 100).withColumn("blockhash", F.concat(F.lit("fork"), "blockhash"))
+    table = RangeTable(spark, scratch_path(spark, "slots-stored"), seeds.select(*columns).schema, width=SLOTS_A_RANGE)
+    for batch_id, batch in enumerate((seeds, landed, fork)):
+        table.upsert(batch, batch_id)
+    table.upsert(fork, 2)
+    return table.read()
+
+
 @query("insert_absent", oracle_text("""
 SELECT id, address, name, tag, is_active FROM v_tracked
 UNION ALL

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.expr import cid_of
 from tallyframe.operators import archive, maintenance, metrics
-from tallyframe.plans.registry import ARCHIVE_DAYS, ARCHIVE_NOW, REJECT_BYTES, oracle_text, query
+from tallyframe.plans.registry import ARCHIVE_DAYS, ARCHIVE_NOW, ASOF, REJECT_BYTES, SEEN_BEFORE, oracle_text, query
 from tallyframe.session import scratch_path
 
 
@@ -284,3 +284,27 @@ def latency_summary_approx(v, spark, sf):
         return ((F.col(f"to_{i}") >= F.col("n") * p - slack) & (F.col(f"before_{i}") <= F.col("n") * p + slack)).alias(f"p{int(100 * p)}_close")
 
     return ranks.select("kind", r6("mean_us"), "min_us", "max_us", *(close(i, p) for i, p in enumerate(asked)))
+
+
+@query("latency_rollup", oracle_text(f"""
+SELECT kind, n, mean_us, min_us, max_us, p50_us, p95_us, p99_us FROM (
+  SELECT kind, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(total) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS mean_us, min(least) AS min_us, max(most) AS max_us,
+         min(CASE WHEN upto >= ceil(alln * CAST(0.5 AS DOUBLE)) THEN middle END) AS p50_us,
+         min(CASE WHEN upto >= ceil(alln * CAST(0.95 AS DOUBLE)) THEN middle END) AS p95_us,
+         min(CASE WHEN upto >= ceil(alln * CAST(0.99 AS DOUBLE)) THEN middle END) AS p99_us
+  FROM (SELECT *, greatest(least, least(most, low + (((CAST(1 AS BIGINT) << shift) - 1) >> 1))) AS middle,
+               sum(n) OVER (PARTITION BY kind ORDER BY low) AS upto, sum(n) OVER (PARTITION BY kind) AS alln
+        FROM (SELECT kind, (response_us >> shift) << shift AS low, shift, count(*) AS n, sum(response_us) AS total,
+                     min(response_us) AS least, max(response_us) AS most
+              FROM (SELECT *, CAST(greatest(length(bin(response_us)) - 8, 0) AS BIGINT) AS shift FROM v_access_log
+                    WHERE ts >= TIMESTAMP '{SEEN_BEFORE}' AND ts < TIMESTAMP '{ASOF}')
+              GROUP BY ALL))
+  GROUP BY kind)"""))
+def latency_rollup(v, spark, sf):
+    """A5 from stored hourly histograms: percentiles of a range of hours, the log itself is not read again."""
+    path = scratch_path(spark, "latency-hours")
+    hours = metrics.latency_histogram(v.access_log)
+    hours.write.mode("error").parquet(path)
+    stored = spark.read.schema(hours.schema).parquet(path)
+    span = stored.where((F.col("hour") >= F.lit(SEEN_BEFORE).cast("timestamp_ntz")) & (F.col("hour") < F.lit(ASOF).cast("timestamp_ntz")))
+    return metrics.histogram_percentiles(span).withColumn("mean_us", r6("mean_us"))

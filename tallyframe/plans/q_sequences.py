@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import analytics, changes, ledger
 from tallyframe.operators.sequence import with_previous
 from tallyframe.plans.registry import ASOF, oracle_text, query
+from tallyframe.session import scratch_path
 
 CHANGE_COLS = ["account_address", "block_slot", "timestamp", "snapshot_id", "activity_type", "change_type",
                "old_value", "new_value", "lamports_change", "data_size_change", "transaction_signature"]
@@ -239,6 +240,22 @@ def wallet_analytics(v, spark, sf):
     return analytics.wallet_analytics(v.activities, ASOF, 30)
 
 
+MIDDAY = "2024-01-20 12:30:00"
+
+
+@query("wallet_analytics_rollup", oracle_text(f"""
+SELECT wallet_address, activity_type, count(*) AS n_activities, CAST(sum(fee) AS BIGINT) AS total_fees,
+       min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT CAST(ts AS DATE)) AS active_days
+FROM v_activities WHERE ts >= TIMESTAMP '{MIDDAY}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{MIDDAY}'
+GROUP BY wallet_address, activity_type"""))
+def wallet_analytics_rollup(v, spark, sf):
+    """The analytics of 7 days up to a midday from stored days, and from the log for the two half days."""
+    path = scratch_path(spark, "activity-days")
+    days = analytics.activity_days(v.activities)
+    days.write.mode("error").parquet(path)
+    return analytics.wallet_analytics_from_days(spark.read.schema(days.schema).parquet(path), v.activities, MIDDAY, 7)
+
+
 @query("history_range", oracle_text("""
 SELECT * FROM v_activities
 WHERE wallet_address IN (SELECT address FROM v_tracked WHERE is_active)

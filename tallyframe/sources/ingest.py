@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.expr import UNKNOWN_BLOCKHASH, ntz_from_micros
 from tallyframe.schemas import FLOW_BLOCK_DOC, TX_JSONL
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'"
+ISO_PATTERN = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?Z$"
 
 
 def read_tx_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +23,26 @@ def read_tx_jsonl(spark: SparkSession, path: str) -> DataFrame:
                       F.to_timestamp_ntz(F.col("timestamp"), F.lit(ISO_UTC)).alias("ts"))
 
 
+def read_tx_jsonl_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S2 for logs with broken lines: (typed rows as ``read_tx_jsonl`` gives them, rejects with ``line`` and ``reason``).
+
+    Every line that is not blank is in exactly one of the two. Reasons: ``malformed`` (no JSON object, or a field of the
+    wrong type), ``signature`` or ``slot`` (missing), ``timestamp`` (given, but no ISO time in UTC).
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    spec = T.StructType([*TX_JSONL.fields, T.StructField("_broken", T.StringType())])
+    r = F.col("r")
+    time = F.when(r["timestamp"].rlike(ISO_PATTERN), F.regexp_replace(r["timestamp"], "Z$", "").try_cast("timestamp_ntz"))
+    reason = (F.when(r.isNull() | r["_broken"].isNotNull(), "malformed").when(r["signature"].isNull(), "signature")
+              .when(r["slot"].isNull(), "slot").when(r["timestamp"].isNotNull() & time.isNull(), "timestamp"))
+    parsed = lines.select("value", F.from_json("value", spec, {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    parsed = parsed.select("value", "r", time.alias("ts"), reason.alias("reason"))
+    rows = parsed.where(F.col("reason").isNull()).select(
+        r["signature"].alias("signature"), r["slot"].alias("slot"), r["fee"].alias("fee"), r["status"].alias("status"),
+        r["programIds"].alias("program_ids"), "ts")
+    return rows, parsed.where(F.col("reason").isNotNull()).select(F.col("value").alias("line"), "reason")
+
+
 def to_tx_jsonl(tx: DataFrame) -> DataFrame:
     """The inverse projection (for writing a log in the sample record shape)."""
     return tx.select("signature", "slot", "fee", "status", F.col("program_ids").alias("programIds"),
