@@ -137,12 +137,12 @@ FROM (SELECT *, concat('{"signature":"', signature, '","slot":', CAST(slot AS VA
 
 
 @query("scan_tx_jsonl_rejects", oracle_text(f"""
-SELECT CASE WHEN reason IS NULL THEN signature END AS signature, CASE WHEN reason IS NULL THEN slot END AS slot,
+SELECT CASE WHEN reason IS NULL THEN signature END AS signature, CASE WHEN reason IS NULL THEN slot ELSE -1 END AS slot,
        CASE WHEN reason IS NOT NULL THEN line END AS line, reason
 FROM (SELECT *, CASE WHEN fee % 13 = 0 THEN 'malformed' WHEN fee % 17 = 0 THEN 'slot' WHEN fee % 19 = 0 THEN 'timestamp' END AS reason
       FROM ({LINE_SQL}))"""))
 def scan_tx_jsonl_rejects(v, spark, sf):
-    """A log in which some lines are cut, lack their slot or have no ISO time: typed rows and rejects, no line lost."""
+    """A log in which some lines are cut, lack their slot or have no ISO time: typed rows and rejects (slot -1), no line lost."""
     path = scratch_path(spark, "tx-broken")
     fee = F.col("fee")
     line = F.concat(F.lit('{"signature":"'), "signature", F.lit('","slot":'), F.col("slot").cast("string"), F.lit(',"fee":'), fee.cast("string"),
@@ -152,7 +152,7 @@ def scan_tx_jsonl_rejects(v, spark, sf):
               .when(fee % 19 == 0, F.replace(line, F.lit("T"), F.lit(" at "))).otherwise(line))
     v.transactions.select(broken.alias("value")).write.mode("error").text(path)
     rows, rejects = ingest.read_tx_jsonl_checked(spark, path)
-    return rows.select("signature", "slot").unionByName(rejects, allowMissingColumns=True)
+    return rows.select("signature", "slot").unionByName(rejects.withColumn("slot", F.lit(-1).cast("long")), allowMissingColumns=True)
 
 
 # -- K1, K2, K4, K5 -------------------------------------------------------
