@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.expr import BASE58_PATTERN, address_bounds, is_valid_address, unix_micros_ntz
+from tallyframe.functions.expr import BASE58_ALPHABET, BASE58_PATTERN, address_bounds, is_valid_address, unix_micros_ntz
 from tallyframe.operators import maintenance
 from tallyframe.operators.stored import RangeTable
 from tallyframe.plans.registry import INGEST_TS, oracle_text, query
@@ -56,27 +57,49 @@ def ingest_leaders(v, spark, sf):
     return ingest.ingest_leaders(sched)
 
 
+def signature_bytes() -> Column:
+    """64 bytes for a signature, of which every 13th slot's begin with zero bytes."""
+    hexed = F.concat(F.sha2("signature", 256), F.sha2(F.reverse("signature"), 256))
+    return F.unhex(F.when(F.col("slot") % 13 == 0, F.overlay(hexed, F.lit("000000"), 1)).otherwise(hexed))
+
+
 def raw_transactions(v):
-    """Landed raw transactions: prog6 rows arrive without metadata, prog5 rows without block time."""
+    """Landed raw transactions: prog6 rows arrive without metadata, prog5 rows without block time; signatures are bytes."""
     t = v.transactions
     meta = F.when(F.col("program_id") == "prog6", F.lit(None)).otherwise(
         F.struct(F.col("fee").alias("fee"),
                  F.when(F.col("status") == "failed", F.lit("InstructionError")).alias("err")))
-    return t.select("signature", "slot", meta.alias("meta"),
+    return t.select(signature_bytes().alias("signature"), "slot", meta.alias("meta"),
                     F.when(F.col("program_id") == "prog5", F.lit(None).cast("long"))
                     .otherwise(F.floor(unix_micros_ntz("ts") / 1000000).cast("long")).alias("block_time"),
                     F.array("program_id").alias("program_ids"))
 
 
+def base58_sql(source: str, columns: str) -> str:
+    """CTEs that end in ``encoded``: ``columns`` of ``source`` and ``b58``, the base-58 text of its 128 hex digits ``h``.
+
+    32-bit chunks are summed with their weights into limbs of base 58**9 in 128-bit integers, then the limbs are carried."""
+    limb, n_limbs = 58 ** 9, 10
+    chunks = ", ".join(f"CAST(CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT) AS HUGEINT) AS c{i}" for i in range(16))
+    totals = ", ".join("CAST(" + " + ".join(f"c{i} * {(1 << 32 * (15 - i)) // limb ** j % limb}" for i in range(16)) + f" AS HUGEINT) AS r{j}" for j in range(n_limbs))
+    ctes = [f"b58_chunks AS (SELECT *, {chunks} FROM {source})", f"b58_0 AS (SELECT *, CAST(0 AS HUGEINT) AS carry, {totals} FROM b58_chunks)"]
+    ctes += [f"b58_{j + 1} AS (SELECT * EXCLUDE (carry), (r{j} + carry) % {limb} AS g{j}, (r{j} + carry) // {limb} AS carry FROM b58_{j})" for j in range(n_limbs)]
+    digits = ", ".join(f"substr('{BASE58_ALPHABET}', CAST(g{j} // {58 ** k} % 58 AS INTEGER) + 1, 1)" for j in reversed(range(n_limbs)) for k in reversed(range(9)))
+    zeros = "length(regexp_extract(h, '^(00)*', 0)) // 2"
+    return ",\n".join([*ctes, f"encoded AS (SELECT {columns}, concat(repeat('1', {zeros}), ltrim(concat({digits}), '1')) AS b58 FROM b58_{n_limbs})"])
+
+
 @query("ingest_transactions", oracle_text(f"""
-SELECT signature, slot, CASE WHEN program_id = 'prog6' THEN 0 ELSE fee END AS fee,
+SELECT b58 AS signature, slot, CASE WHEN program_id = 'prog6' THEN 0 ELSE fee END AS fee,
        CASE WHEN program_id <> 'prog6' AND status <> 'failed' THEN 'success' ELSE 'failed' END AS status,
        CASE WHEN program_id = 'prog5' THEN TIMESTAMP '{INGEST_TS}'
             ELSE TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) END AS ts,
        program_id AS program_ids_text
-FROM v_transactions"""))
+FROM encoded""", extra="""signed AS (
+  SELECT *, CASE WHEN slot % 13 = 0 THEN concat('000000', substr(hexed, 7)) ELSE hexed END AS h
+  FROM (SELECT *, concat(sha256(signature), sha256(reverse(signature))) AS hexed FROM v_transactions))""" + ",\n" + base58_sql("signed", "slot, fee, status, program_id, ts")))
 def ingest_transactions(v, spark, sf):
-    """Normalise raw transactions (status, fee default, block time fallback)."""
+    """Normalise raw transactions (signature text, status, fee default, block time fallback)."""
     return ingest.normalise_transactions(raw_transactions(v), INGEST_TS).select(
         "signature", "slot", "fee", "status", "ts", F.array_join("program_ids", ",").alias("program_ids_text"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.base58 import base58_encode
 from tallyframe.functions.expr import UNKNOWN_BLOCKHASH, ntz_from_micros
 from tallyframe.schemas import FLOW_BLOCK_DOC, TX_JSONL
 
@@ -93,10 +94,13 @@ def ingest_leaders(schedule: DataFrame) -> DataFrame:
 
 def normalise_transactions(raw: DataFrame, ingest_ts: str) -> DataFrame:
     """status = success iff metadata is present without error; fee default 0;
-    block time -> timestamp, falling back to the ingest time (a column, so reruns agree)."""
+    block time -> timestamp, falling back to the ingest time (a column, so reruns agree).
+
+    A binary ``signature``, as nodes send it, becomes its base-58 text (F12)."""
     meta = F.col("meta")
+    binary = isinstance(raw.schema["signature"].dataType, T.BinaryType)
     return raw.select(
-        "signature", "slot",
+        base58_encode("signature").alias("signature") if binary else F.col("signature"), "slot",
         F.coalesce(meta["fee"], F.lit(0).cast("long")).alias("fee"),
         F.when(meta.isNotNull() & meta["err"].isNull(), "success").otherwise("failed").alias("status"),
         "program_ids", "block_time",

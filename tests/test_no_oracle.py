@@ -4,15 +4,20 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from tallyframe.functions.expr import BASE58_ALPHABET, is_valid_address
-from tallyframe.functions.udfs import b58encode
+from tallyframe.functions.base58 import base58_encode
+from tallyframe.functions.expr import BASE58_ALPHABET, base58_number, is_valid_address
 
 from .conftest import SF_SMALL
 
 
+def b58encode(raw):
+    return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + base58_number(int.from_bytes(raw, "big"))
+
+
 def _decoded_length(s):
     n = 0
     for ch in s:
@@ -55,3 +60,36 @@ def test_registry_add_bruteforce(spark):
     got = sorted((r.id, r.address) for r in queries()["registry_add"](spark, SF_SMALL).collect())
     new = [(k + 9000000, a) for k, a in _candidates() if _valid(a)]
     assert got == sorted([(k, f"acct{k:08d}") for k, _ in _candidates()] + new)
+
+
+def test_base58_text_equals_long_division(spark):
+    rng = random.Random(1)
+    values = [None, b"", b"\0", b"\0\0\x01", b"hello", b"\xff" * 64, b"\0" * 64, b"\0" * 63 + b"\x01", b"\xff" * 32]
+    values += [bytes(rng.choice([0, 0, 1, 5])) + rng.randbytes(rng.randint(0, 59)) for _ in range(1000)] + [rng.randbytes(64) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "raw binary")
+    assert [r.a for r in df.select(base58_encode("raw").alias("a")).collect()] == [None if v is None else b58encode(v) for v in values]
+    short = [v for v in values if v is None or len(v) <= 32]
+    df = spark.createDataFrame([(v,) for v in short], "raw binary")
+    assert [r.a for r in df.select(base58_encode("raw", 32).alias("a")).collect()] == [None if v is None else b58encode(v) for v in short]
+
+
+def test_base58_refuses_longer_values(spark):
+    df = spark.createDataFrame([(b"\x01" * 33,)], "raw binary")
+    with pytest.raises(Exception, match="more than 32 bytes"):
+        df.select(base58_encode("raw", 32)).collect()
+    with pytest.raises(ValueError):
+        base58_encode("raw", 65)
+
+
+def test_signatures_are_encoded_without_python(spark):
+    df = queries()["ingest_transactions"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEval" not in plan and "Python" not in plan and "Exchange" not in plan
+    rows = {r.signature for r in df.collect()}
+    slots = duckdb.sql(f"SELECT event_id FROM '{SF_SMALL}/events.parquet'").fetchall()
+    want = set()
+    for (k,) in slots:
+        name = f"sig{k:010d}"
+        raw = hashlib.sha256(name.encode()).digest() + hashlib.sha256(name[::-1].encode()).digest()
+        want.add(b58encode(bytes(3) + raw[3:] if k // 10 % 13 == 0 else raw))
+    assert rows == want

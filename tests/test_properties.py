@@ -48,7 +48,7 @@ def test_ordinal_and_running_mean_equal_bruteforce(spark, rows, per_chunk):
 
 
 def test_base58_encode(spark):
-    from tallyframe.functions.udfs import base58_encode
+    from tallyframe.functions.base58 import base58_encode
     df = spark.createDataFrame([(b"\0\0\x01",), (b"hello",), (None,)], "raw binary")
     assert [r.a for r in df.select(base58_encode("raw").alias("a")).collect()] == ["112", "Cn8eVZg", None]
 
