@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import expr
 from tallyframe.operators import joins, ledger
+from tallyframe.operators.seen import build_filter, merge_filters, new_keys
 from tallyframe.plans.registry import HOT_SINCE, SEEN_BEFORE, oracle_text, query
+from tallyframe.session import scratch_path
 
 SLOT_COLS = ["slot", "blockhash", "parent_slot", "finalized", "ts"]
 TX_COLS = ["signature", "slot", "fee", "status", "program_id", "payer", "amount", "ts"]
@@ -276,10 +278,13 @@ def multi_get_transactions(v, spark, sf):
     return joins.multi_get(req, hot.select(*TX_COLS), v.transactions.select(*TX_COLS), "signature")
 
 
-@query("new_signatures", oracle_text(f"""
+NEW_SIGNATURES = oracle_text(f"""
 SELECT wallet_address AS address, transaction_signature AS signature, ts FROM v_activities a
 WHERE NOT EXISTS (SELECT 1 FROM v_activities s WHERE s.ts < TIMESTAMP '{SEEN_BEFORE}'
-                  AND s.wallet_address = a.wallet_address AND s.transaction_signature = a.transaction_signature)"""))
+                  AND s.wallet_address = a.wallet_address AND s.transaction_signature = a.transaction_signature)""")
+
+
+@query("new_signatures", NEW_SIGNATURES)
 def new_signatures(v, spark, sf):
     """(address, signature) pairs not in the seen set (activities before a cut-off)."""
     cur = v.activities.select(F.col("wallet_address").alias("address"),
@@ -288,6 +293,21 @@ def new_signatures(v, spark, sf):
     return ledger.new_signatures(cur, seen)
 
 
+@query("new_signatures_filtered", NEW_SIGNATURES)
+def new_signatures_filtered(v, spark, sf):
+    """J3/U1 against a large seen set: stored filters of two halves of the seen days, a range a day, merged and looked up."""
+    cur = v.activities.select(F.col("wallet_address").alias("address"), F.col("transaction_signature").alias("signature"), "ts")
+    seen = cur.where(F.col("ts") < F.lit(SEEN_BEFORE).cast("timestamp_ntz"))
+    day = F.unix_date(F.col("ts").cast("date"))
+    stored = []
+    for half in (day % 2 == 0, day % 2 != 0):
+        path = scratch_path(spark, "seen-filter")
+        part = build_filter(seen.where(half), ["address", "signature"], day)
+        part.write.parquet(path)
+        stored.append(spark.read.schema(part.schema).parquet(path))
+    return new_keys(cur, seen, merge_filters(*stored))
+
+
 @query("fk_orphans", oracle_text("""
 SELECT slot, count(*) AS n_rows FROM v_transactions t
 WHERE NOT EXISTS (SELECT 1 FROM v_headers h WHERE h.slot = t.slot) GROUP BY slot"""))
@@ -437,7 +457,6 @@ WHERE rank <= 50"""))
 def history_export(v, spark, sf):
     """Watched wallets' histories exported as gzip JSON lines and read back."""
     from tallyframe.operators.maintenance import write_table
-    from tallyframe.session import scratch_path
     hist = wallet_history(v, spark, sf).drop("ts")
     path = write_table(hist, scratch_path(spark, "history-export"), fmt="json", compression="gzip")
     return spark.read.schema(hist.schema).json(path)
