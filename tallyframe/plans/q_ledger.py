@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe import schemas
 from tallyframe.functions import expr
 from tallyframe.operators import joins, ledger
 from tallyframe.operators.seen import build_filter, merge_filters, new_keys
 from tallyframe.plans.registry import HOT_SINCE, SEEN_BEFORE, oracle_text, query
 from tallyframe.session import scratch_path
+from tallyframe.sources import layout
 
 SLOT_COLS = ["slot", "blockhash", "parent_slot", "finalized", "ts"]
+SLOT_BUCKETS = 8  # of the stored relations of the fixtures; ``layout.buckets_for`` sizes others
 TX_COLS = ["signature", "slot", "fee", "status", "program_id", "payer", "amount", "ts"]
 
 
@@ -316,15 +319,27 @@ def fk_orphans(v, spark, sf):
     return joins.fk_orphans(v.transactions, v.headers, "slot")
 
 
-@query("tx_enriched", oracle_text("""
+TX_ENRICHED = oracle_text("""
 SELECT t.signature, t.slot, t.fee, t.status, h.blockhash, h.ts AS block_ts, l.leader_pubkey
-FROM v_transactions t LEFT JOIN v_headers h ON h.slot = t.slot LEFT JOIN v_slot_leaders l ON l.slot = t.slot"""))
+FROM v_transactions t LEFT JOIN v_headers h ON h.slot = t.slot LEFT JOIN v_slot_leaders l ON l.slot = t.slot""")
+
+
+@query("tx_enriched", TX_ENRICHED)
 def tx_enriched(v, spark, sf):
     """Transaction -> landed header -> leader."""
     return joins.tx_enriched(v.transactions, v.headers, v.slot_leaders).select(
         "signature", "slot", "fee", "status", "blockhash", "block_ts", "leader_pubkey")
 
 
+@query("tx_enriched_stored", TX_ENRICHED)
+def tx_enriched_stored(v, spark, sf):
+    """The three relations stored by slot with declared schemas, and joined bucket by bucket, without a shuffle."""
+    headers = v.headers.withColumn("finalized", F.lit(True))
+    tx, slots, leaders = (layout.store(df, scratch_path(spark, "by-slot"), schema, SLOT_BUCKETS)
+                          for df, schema in ((v.transactions, schemas.TRANSACTIONS), (headers, schemas.SLOTS), (v.slot_leaders, schemas.SLOT_LEADERS)))
+    return joins.tx_enriched(tx, slots, leaders).select("signature", "slot", "fee", "status", "blockhash", "block_ts", "leader_pubkey")
+
+
 @query("label_enrich", oracle_text("""
 SELECT w.wallet_address, b.label, b.label_type, b.confidence
 FROM (SELECT DISTINCT wallet_address FROM v_balances) w

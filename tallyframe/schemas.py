@@ -29,3 +29,10 @@ ACCOUNT_CHANGE_KINDS = (
     ("EXECUTABLE_CHANGE", "EXECUTABLE", "executable", ""),
     ("RENT_EPOCH_CHANGE", "RENT_EPOCH", "rent_epoch", ""),
 )
+
+# Stored relations that are joined by slot.
+SLOTS = _st(("slot", L, False), ("blockhash", S, True), ("parent_slot", L, True), ("finalized", T.BooleanType(), True),
+            ("ts", T.TimestampNTZType(), True))
+TRANSACTIONS = _st(("signature", S, False), ("slot", L, True), ("fee", L, True), ("status", S, True), ("program_id", S, True),
+                   ("payer", S, True), ("amount", T.DoubleType(), True), ("ts", T.TimestampNTZType(), True))
+SLOT_LEADERS = _st(("slot", L, False), ("leader_pubkey", S, True))
