@@ -62,7 +62,7 @@ def norm_kind(c) -> Column:
 
 
 def enum_or_unknown(c, allowed) -> Column:
-    """keep a known enum value, else UNKNOWN."""
+    """a known enum value in upper case, else (null too) UNKNOWN."""
     u = F.upper(_c(c))
     return F.when(u.isin(list(allowed)), u).otherwise(F.lit("UNKNOWN"))
 
@@ -107,11 +107,6 @@ def ntz_from_micros(us) -> Column:
     return F.timestamp_add("MICROSECOND", _c(us), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-def seconds_between(a, b) -> Column:
-    """(b - a) in seconds as double."""
-    return (unix_micros_ntz(b) - unix_micros_ntz(a)).cast("double") / F.lit(1e6)
-
-
 # Fixed value: the base-58 alphabet (no 0, O, I, l), which is in ASCII order.
 BASE58_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 ADDRESS_BYTES = 32

@@ -532,12 +532,15 @@ def registry_by_program(v, spark, sf):
 SELECT signature, CASE WHEN fee % 7 = 0 THEN 'No fee' ELSE printf('%.9f SOL', fee / 1e9) END AS fee_text,
        substr(signature, 1, 5) || '...' || substr(signature, length(signature) - 4, 5) AS short, substr(status, 1, 4) AS head,
        CASE WHEN slot % 3 = 0 THEN 0 ELSE 2 END AS n_tags, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown_at, strftime(ts, '%m-%d %H:%M:%S') AS shown_short,
-       CASE WHEN slot % 2 = 0 THEN 'Unnamed' ELSE payer END AS shown_name
+       CASE WHEN slot % 2 = 0 THEN 'Unnamed' ELSE payer END AS shown_name,
+       CASE WHEN slot % 4 = 0 THEN 'SEND' WHEN slot % 4 = 1 THEN 'STAKE' ELSE 'UNKNOWN' END AS shown_kind
 FROM v_transactions"""))
 def registry_display(v, spark, sf):
-    """the texts a listing shows."""
+    """the texts a listing shows."""
+    kind = F.when(F.col("slot") % 4 == 0, "send").when(F.col("slot") % 4 == 1, "Stake").when(F.col("slot") % 4 == 2, F.col("program_id"))
     tags = F.when(F.col("slot") % 3 == 0, "not json").otherwise('["a", "b"]')
     return v.transactions.select(
         "signature", expr.fee_text(F.when(F.col("fee") % 7 == 0, F.lit(0)).otherwise(F.col("fee"))).alias("fee_text"), expr.short_address("signature", 5, 5).alias("short"),
         expr.prefix("status", 4).alias("head"), F.size(expr.json_string_array(tags)).alias("n_tags"), expr.display_time("ts").alias("shown_at"),
-        expr.display_time("ts", short=True).alias("shown_short"), expr.name_or_default(F.when(F.col("slot") % 2 != 0, F.col("payer"))).alias("shown_name"))
+        expr.display_time("ts", short=True).alias("shown_short"), expr.name_or_default(F.when(F.col("slot") % 2 != 0, F.col("payer"))).alias("shown_name"),
+        expr.enum_or_unknown(kind, schemas.WALLET_ACTIVITY_TYPES).alias("shown_kind"))
