@@ -155,31 +155,36 @@ def _read(cost: np.ndarray):
     return _reader[1]
 
 
-def _stay(buf: np.ndarray, double: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _stay(buf: np.ndarray, first: np.ndarray, double: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """The doubled letters that the likeliest reading keeps for certain, by the three trigrams they change.
 
     In one row of letters, a letter that stands twice, not three times, is kept or not by itself: a
-    word of such a row whose doubled letters all stay reads as it stands.
+    word of such a row whose doubled letters all stay reads as it stands. ``first`` tells where texts begin and end:
+    beyond those stand no letters, so a text reads the same whatever its neighbours are.
     """
     wide = np.concatenate([[0, 0], buf, [0]]).astype(np.uint8)
     a, b, c = (SYMBOL[wide[k: k + len(buf)]] for k in (0, 1, 3))  # before the two, the letter, after them
+    a[1:][first[: len(buf)][:-1]] = 0
+    c[first[1: len(buf) + 1]] = 0
     triple = (wide[:-3] == buf) | (wide[3:] == buf)
     kept = cost[(a * K + b) * K + b] + cost[(b * K + b) * K + c]
     return double & ~triple & (kept < cost[(a * K + b) * K + c] + 4.0 - 1e-4)
 
 
-def _flagged(words: Words, buf: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flagged(words: Words, buf: np.ndarray, off: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of the stretches that look disguised: words, and rows of words of one letter."""
     letter, sign = LETTER[buf], _SIGN[buf]
     inner = letter | sign
     double = np.zeros(len(buf), bool)
-    double[1:] = letter[1:] & (buf[1:] == buf[:-1]) & (buf[1:] < 0x80)
+    first = np.zeros(len(buf) + 1, bool)
+    first[off] = True
+    double[1:] = letter[1:] & (buf[1:] == buf[:-1]) & (buf[1:] < 0x80) & ~first[1:-1]
     opens, closes = _SEPARATOR[buf], _SEPARATOR[buf]  # separators after and before a letter or sign
     opens[1:] &= inner[:-1]
     closes[:-1] &= inner[1:]
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
-    total = [np.concatenate([[0], np.cumsum(x)]) for x in (sign, opens, closes, double, double & ~_stay(buf, double, cost), begins)]
+    total = [np.concatenate([[0], np.cumsum(x)]) for x in (sign, opens, closes, double, double & ~_stay(buf, first, double, cost), begins)]
     signs, opened, closed, doubles, unsure, rows = (t[words.end] - t[words.start] for t in total)
     # a sign, a separator within, or a letter twice in a row, but for words that surely read as they stand
     odd = (signs > 0) | ((opened > 0) & (closed > 0)) | (unsure > 0) | ((doubles > 0) & (rows > 1))
@@ -205,7 +210,7 @@ def features(batch: pa.RecordBatch, text: str, cost: np.ndarray) -> tuple[np.nda
     doc = np.repeat(np.arange(len(count)), count)
     h = plain.hashes()
     begin = span_hashes(buf, plain.start, np.minimum(plain.end, plain.start + PREFIX))
-    start, end, owner = _flagged(Words(buf, off), buf, cost)
+    start, end, owner = _flagged(Words(buf, off), buf, off, cost)
     if len(start):
         read, raw = _read(cost), buf.tobytes()
         made = [(o, w) for a, b, o in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True) for w in read(raw[a:b])]
