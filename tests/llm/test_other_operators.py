@@ -249,7 +249,7 @@ def test_chats_round_trip(spark):
 def test_query_matches_oracle(spark, name):
     from tests.test_oracle import _digest
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "labels"):
+    for t in ("documents", "embeddings", "conversations", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     got, want = registry.QUERIES[name](spark, SF_SMALL).toPandas(), con.execute(registry.ORACLES[name]).df()
     for df in (got, want):
