@@ -10,7 +10,7 @@ sequence also starts earlier (smaller id, or same document and earlier start) ar
    which of them recur and whether their first occurrence lies in the asking block.
 3. Each block compiles the anchors of its confirmed passages, each once, into an Aho-Corasick automaton (the
    automata are sharded by block: a block needs the phrases it holds, and no others) and streams all its
-   documents through it. Windows around a reported place that are a confirmed passage, by both hashes,
+   documents through it, many streams in step. Windows around a reported place that are a confirmed passage, by both hashes,
    and do not stand at its first place, lose their words. No word goes that the automaton has not reported.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +30,8 @@ from .textcore import Words, mix, text_buffer, window_hashes
 
 WINDOW = 20
 ANCHOR = 6
+#: Words that the automaton reads one after another; a block's documents are read in streams of so many words, side by side.
+STREAM = 128
 ADDED = ["n_words", "n_removed", "kept_sha256"]
 
 
@@ -173,24 +174,71 @@ def _spaced(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return flat, begin
 
 
+class Automaton:
+    """Aho-Corasick automaton over words, for phrases (rows of word hashes) of one length.
+
+    States are numbered by depth from the root 0, each the target of one edge. Edges are the sorted numbers
+    ``state * alphabet + symbol``, and the edge at index i leads to state i + 1. Symbol 0 is any word of no phrase."""
+
+    def __init__(self, phrases: np.ndarray):
+        self.size = phrases.shape[1]
+        self.words, symbols = np.unique(phrases, return_inverse=True)
+        symbols = symbols.reshape(phrases.shape) + 1
+        self.alphabet = len(self.words) + 1
+        self.edges, self.fail = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        state = np.zeros(len(phrases), np.int64)
+        for depth in range(self.size):
+            edges, own = np.unique(state * self.alphabet + symbols[:, depth], return_inverse=True)
+            if depth:
+                fail = self.step(self.fail[edges // self.alphabet], edges % self.alphabet)
+            else:
+                self.root = np.zeros(self.alphabet, np.int64)
+                self.root[edges] = np.arange(1, len(edges) + 1)
+                fail = np.zeros(len(edges), np.int64)
+            self.accepting = len(self.edges) + 1  # the states from here on are the deepest: whole phrases
+            state = own.reshape(-1) + self.accepting
+            self.edges, self.fail = np.concatenate([self.edges, edges]), np.concatenate([self.fail, fail])
+
+    def symbols(self, word_hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, word_hashes), len(self.words) - 1)
+        return np.where(self.words[at] == word_hashes, at + 1, 0)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state of each stream: along the edge, or along the failure links to the first state that has it."""
+        out = self.root[symbol]
+        on = np.flatnonzero((state > 0) & (symbol > 0))
+        state = state[on]
+        while len(on):
+            edge = state * self.alphabet + symbol[on]
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            found = self.edges[at] == edge
+            out[on[found]] = at[found] + 1
+            state = self.fail[state]
+            on, state = on[left := ~found & (state > 0)], state[left]
+        return out
+
+    def places(self, word_hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """First words of all places, in documents that begin at the words ``first``, where a phrase stands.
+
+        Documents are read in streams of ``STREAM`` words, all streams a word at a time; each reads on into the
+        next one's words as far as a phrase that begins in it can reach."""
+        symbols = self.symbols(word_hashes)
+        count = -(-np.diff(first) // STREAM)
+        begin = np.repeat(first[:-1] - (np.cumsum(count) - count) * STREAM, count) + np.arange(count.sum()) * STREAM
+        length = np.minimum(np.repeat(first[1:], count) - begin, STREAM + self.size - 1)
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        state, found = np.zeros(len(begin), np.int64), [np.zeros(0, np.int64)]
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t))  # streams longer than t
+            state = self.step(state[:n], symbols[begin[:n] + t])
+            found.append(begin[np.flatnonzero(state >= self.accepting)] + t + 1 - self.size)
+        return np.concatenate(found)
+
+
 def _located(w: Windows, phrases: np.ndarray, size: int) -> np.ndarray:
-    """First words of all places where one of the phrases stands, found by an automaton over all documents of the block.
-
-    Each distinct word is a number of as many base-64 digits as the block needs, written as characters: the
-    automaton's nodes then have few children, which it searches one by one. Its places are exact;
-    those that do not end with a word are dropped."""
-    distinct, number = np.unique(w.word_hashes, return_inverse=True)
-    digits = max(1, -(-len(distinct).bit_length() // 6))
-    text = (np.stack([(number >> 6 * k) & 63 for k in range(digits)], 1).astype(np.uint8) + 64).tobytes().decode("ascii")
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for first in phrases.tolist():
-        machine.add_word(text[first * digits: (first + size) * digits], 1)
-    machine.make_automaton()
-    found = [np.zeros(0, np.int64)]
-    for a, b in zip((w.words.first[:-1] * digits).tolist(), (w.words.first[1:] * digits).tolist(), strict=True):
-        found.append(np.array([end for end, _ in machine.iter(text, a, b)], np.int64))
-    ends = np.concatenate(found) + 1
-    return ends[ends % digits == 0] // digits - size
+    """First words of all places where one of the phrases stands, found by an automaton over all documents of the block."""
+    return Automaton(w.word_hashes[phrases[:, None] + np.arange(size)]).places(w.word_hashes, w.words.first)
 
 
 def _kept(batch: pa.RecordBatch, got: dict[int, bytes], text: str, key: str, window: int, n_shards: int) -> tuple[Words, np.ndarray]:

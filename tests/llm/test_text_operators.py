@@ -100,6 +100,27 @@ def test_repeats_are_where_the_automaton_reports_them(monkeypatch):
     assert sd._kept(batch, got, "text", "doc_id", 20, 1)[1].all()
 
 
+@pytest.mark.parametrize("size", [1, 2, 6])
+def test_automaton_finds_every_place_in_few_steps(size, monkeypatch):
+    """Phrases that are each other's suffixes and prefixes, documents around a stream's length and an empty one; the
+    interpreter takes a step per word of a stream, not per hit or character."""
+    import numpy as np
+
+    from tallyframe.llm import substring_dedup as sd
+    r = np.random.default_rng(size)
+    lengths = [0, 1, 5, 6, sd.STREAM - 1, sd.STREAM, sd.STREAM + size, 5000, 0, 3000]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    h = r.choice(np.array([7, 1 << 63, 12345678901, 3], np.uint64), int(first[-1]))
+    h[r.random(len(h)) < 0.1] = 99  # a word that may be in no phrase
+    at = r.choice(np.concatenate([np.arange(a, max(a, b - size + 1)) for a, b in zip(first[:-1], first[1:], strict=True)]), 40)
+    phrases = {tuple(h[a: a + size].tolist()) for a in at.tolist()}
+    want = [a for d, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) for a in range(d, e - size + 1) if tuple(h[a: a + size].tolist()) in phrases]
+    machine, steps, step = sd.Automaton(h[at[:, None] + np.arange(size)]), [], sd.Automaton.step
+    monkeypatch.setattr(sd.Automaton, "step", lambda self, *a: steps.append(1) or step(self, *a))
+    assert sorted(machine.places(h, first).tolist()) == want
+    assert len(steps) == sd.STREAM + size - 1
+
+
 def test_near_groups_equal_brute_force(docs):
     rows, df = docs
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(df).collect()}
