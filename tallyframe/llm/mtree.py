@@ -8,8 +8,9 @@ a stored row: leaf nodes with a pivot, a covering radius and the distance to the
 entries with the distance to their leaf's pivot.
 
 A query first searches the page it lies in, which bounds its k-th distance. Blocks of queries then
-visit the pages of all cells that the covering radii leave open, nearest leaves first; leaves and
-entries are passed over by the triangle inequality on stored distances, and the rest are scored.
+visit the pages of all cells that the covering radii leave open, each query its nearest leaf first;
+leaves and entries are passed over by the triangle inequality on stored distances, and the rest are
+scored, a leaf with all queries of the block to which it is open in one matrix product.
 Nothing is approximate: bounds are widened by a margin over the rounding of the distances.
 """
 
@@ -94,31 +95,47 @@ class Page:
         self.ids, x, self.own, self.first, pivots, self.radius, self.parent = unpack(value, np.int64, np.float64, np.float64, np.int64, np.float64, np.float64, np.float64)
         self.x, self.pivots = x.reshape(-1, width), pivots.reshape(-1, width + 1)
 
-    def search(self, q: np.ndarray, own_id: int, floor: float, to_routing: float, k: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the page's rows, the query's own apart, that may be among its k best given that k score ``floor`` or more."""
-        bound = space.reach(q, floor) if np.isfinite(floor) else np.inf
-        open_leaves = np.flatnonzero(np.abs(to_routing - self.parent) - self.radius <= bound + space.margin)
-        if not len(open_leaves):
-            return self.ids[:0], np.zeros(0)
-        lifted = np.append(q, 0.0)
-        to_pivot = Space.distances(self.pivots[open_leaves], lifted[None])[:, 0]
-        lower = to_pivot - self.radius[open_leaves]
-        ids, scores = self.ids[:0], np.zeros(0)
-        for i in np.argsort(lower, kind="stable").tolist():
-            if lower[i] > bound + space.margin:
-                break
-            a, b = self.first[open_leaves[i]], self.first[open_leaves[i] + 1]
-            use = a + np.flatnonzero(np.abs(to_pivot[i] - self.own[a:b]) <= bound + space.margin)
-            use = use[self.ids[use] != own_id]
-            ids, scores = np.concatenate([ids, self.ids[use]]), np.concatenate([scores, self.x[use] @ q])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                floor = max(floor, scores.min())
-                bound = space.reach(q, floor)
-        use = scores >= floor
-        return ids[use], scores[use]
+    def search(self, q: np.ndarray, own_ids: np.ndarray, floors: np.ndarray, to_routing: np.ndarray, k: int, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the query, id, score) of the page's rows, a query's own apart, that may be among the k best of the
+        queries (rows of ``q``) given that k rows score ``floors`` or more.
+
+        The queries go through the tree together: each first visits its nearest leaf, which tightens its bound, then
+        the leaves are visited nearest first, each by the queries whose bound leaves it open."""
+        floors = floors.copy()
+        best = np.full((len(q), k), -np.inf)  # the k best scores so far of each query
+        bound = np.where(np.isfinite(floors), space.reach(q, np.where(np.isfinite(floors), floors, 0.0)), np.inf) + space.margin
+        by_parent = np.abs(to_routing[:, None] - self.parent) - self.radius
+        to_pivot = Space.distances(np.concatenate([q, np.zeros((len(q), 1))], 1), self.pivots)
+        lower = np.maximum(by_parent, to_pivot - self.radius)
+        nearest = np.argmin(lower, 1)
+        found = [(np.zeros(0, np.int64), self.ids[:0], np.zeros(0))]
+
+        def visit(leaf: int, who: np.ndarray):
+            who = who[lower[who, leaf] <= bound[who]]
+            if not len(who):
+                return
+            a, b = self.first[leaf], self.first[leaf + 1]
+            use = a + np.flatnonzero((self.own[a:b] >= (to_pivot[who, leaf] - bound[who]).min()) & (self.own[a:b] <= (to_pivot[who, leaf] + bound[who]).max()))
+            ids, scores = self.ids[use], q[who] @ self.x[use].T
+            scores[own_ids[who][:, None] == ids] = -np.inf
+            row, at = np.nonzero((scores >= floors[who][:, None]) & (scores > -np.inf))
+            found.append((who[row], ids[at], scores[row, at]))
+            better = np.unique(row)
+            who = who[better]
+            best[who] = np.partition(np.concatenate([best[who], scores[better]], 1), -k, 1)[:, -k:]
+            floors[who] = np.maximum(floors[who], best[who].min(1))
+            tight = who[np.isfinite(floors[who])]
+            bound[tight] = space.reach(q[tight], floors[tight]) + space.margin
+
+        for leaf in np.unique(nearest).tolist():
+            visit(leaf, np.flatnonzero(nearest == leaf))
+        for leaf in np.argsort(np.median(lower, 0), kind="stable").tolist():
+            visit(leaf, np.flatnonzero(nearest != leaf))
+        row, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        use = np.flatnonzero(scores >= floors[row])
+        use = use[np.lexsort((ids[use], -scores[use], row[use]))]
+        use = use[np.arange(len(use)) - np.searchsorted(row[use], row[use]) < k]
+        return row[use], ids[use], scores[use]
 
 
 def top_k(df: DataFrame, k: int = 20, vector: str = "embedding", key: str = "vec_id", every: int = 20, scale: int = 64) -> DataFrame:
@@ -178,15 +195,16 @@ def top_k(df: DataFrame, k: int = 20, vector: str = "embedding", key: str = "vec
                     yield pa.RecordBatch.from_arrays([pa.array([w >> 32], pa.int32()), pa.array([w & 0xFFFFFFFF], pa.int32()), pa.array([pack(ids[m], x[m], np.full(len(m), -np.inf))], pa.binary())], ["cell", "page", "queries"])
 
     def search(batches):
+        last = held = None
         for batch in batches:
             for c, q, t in zip(batch.column("cell").to_pylist(), batch.column("queries"), batch.column("tree"), strict=True):
-                held = Page(t.as_py(), width)
+                if (value := t.as_py()) != last:  # the blocks of a page come one after another
+                    last, held = value, Page(value, width)
                 ids, x, floors = unpack(q.as_py(), np.int64, np.float64, np.float64)
                 x = x.reshape(-1, width)
                 to_routing = Space.distances(np.concatenate([x, np.zeros((len(x), 1))], 1), routing[c:c + 1])[:, 0]
-                out = [(i, *held.search(v, i, f, d, k, space)) for i, v, f, d in zip(ids.tolist(), x, floors.tolist(), to_routing.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(o[1]), o[0], np.int64) for o in out]), key: np.concatenate([o[1] for o in out]),
-                                                  "score": np.concatenate([o[2] for o in out]).astype(np.int64)})
+                row, found, scores = held.search(x, ids, floors, to_routing, k, space)
+                yield pa.RecordBatch.from_pydict({"query_id": ids[row], key: found, "score": scores.astype(np.int64)})
 
     def searched(asked):
         return asked.join(tree.select("cell", "page", "tree"), ["cell", "page"]).select("cell", "queries", "tree").mapInArrow(search, result)

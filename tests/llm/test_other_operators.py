@@ -53,6 +53,36 @@ def test_top_k_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_page_search_scores_blocks_of_queries_leaf_by_leaf(known, monkeypatch):
+    """A page gives each query of a block its k best, ties by id, in work by leaf and not by query and leaf; a bound that
+    is known shuts leaves and entries, and loses nothing."""
+    from tallyframe.llm import mtree
+    r = np.random.default_rng(5)
+    centres = r.integers(-60, 60, (12, 16))
+    x = (centres[r.integers(0, 12, 900)] + r.integers(-4, 5, (900, 16))).astype(np.float64)
+    x[100:150] = x[7]  # ties
+    ids = np.arange(900, dtype=np.int64) * 3
+    space = mtree.Space(16, float((x * x).sum(1).max()))
+    monkeypatch.setattr(mtree, "LEAF_ROWS", 16)
+    page = mtree.Page(mtree.build_page(ids, x, space.lifted(x[:1])[0], space), 16)
+    mine = np.concatenate([r.choice(900, 199, replace=False), [7]])
+    q = np.concatenate([x[mine], r.integers(-60, 60, (40, 16)).astype(np.float64)])
+    own = np.concatenate([ids[mine], np.full(40, -1)])
+    scores = np.where(own[:, None] == ids, -np.inf, q @ x.T)
+    want = [[(int(ids[j]), s[j]) for j in np.lexsort((ids, -s))[:5]] for s in scores]
+    floors = np.array([w[-1][1] for w in want]) if known else np.full(len(q), -np.inf)
+    calls, reach = [], mtree.Space.reach
+    monkeypatch.setattr(mtree.Space, "reach", lambda self, *a: calls.append(1) or reach(self, *a))
+    to_routing = mtree.Space.distances(np.concatenate([q, np.zeros((len(q), 1))], 1), space.lifted(x[:1]))[:, 0]
+    row, found, score = page.search(q, own, floors, to_routing, 5, space)
+    got = [[] for _ in q]
+    for i, j, s in zip(row.tolist(), found.tolist(), score.tolist(), strict=True):
+        got[i].append((j, s))
+    assert got == want
+    assert len(calls) <= 1 + 2 * len(page.radius)
+
+
 def test_top_k_small_pages_and_few_rows(spark, monkeypatch):
     from tallyframe.llm import mtree
     monkeypatch.setattr(mtree, "PAGE_ROWS", 64)
